@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from graphloom.llm import chat, secrets, sharding
+from graphloom.llm import chat, media, mtree, packing, secrets, sharding
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
+    "op3_media_columns": media.op3_media_columns,
     "op7_sharding": sharding.op7_sharding,
     "op8_chat_formatting": chat.op8_chat_formatting,
+    "op9_exact_topk": mtree.op9_exact_topk,
     "op10_secret_scans": secrets.op10_secret_scans,
 }
-SQL = {"op8_chat_formatting": chat.OP8_SQL}
+SQL = {"op8_chat_formatting": chat.OP8_SQL, "op9_exact_topk": mtree.OP9_SQL}
