@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from graphloom.llm import chat, media, mtree, packing, secrets, sharding
+from graphloom.llm import chat, media, mixing, mtree, packing, quality, secrets, sharding
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_media_columns": media.op3_media_columns,
+    "op6_source_mixing": mixing.op6_source_mixing,
     "op7_sharding": sharding.op7_sharding,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_exact_topk": mtree.op9_exact_topk,
