@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from graphloom.llm import chat, contextmix, media, mixing, mtree, packing, quality, secrets, sharding
+from graphloom.llm import chat, contextmix, media, mixing, mtree, neardup, packing, quality, secrets, sharding
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_media_columns": media.op3_media_columns,
+    "op4_minhash_dedup": neardup.op4_minhash_dedup,
     "op5_lm_scoring": contextmix.op5_lm_scoring,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op7_sharding": sharding.op7_sharding,
