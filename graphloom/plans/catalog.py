@@ -1,6 +1,11 @@
-"""Registry of the engine's queries: name -> (callable, oracle SQL or None)."""
+"""Registry of the engine's queries."""
 
 from __future__ import annotations
 
+from graphloom.plans import text_queries
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _module in (text_queries,):
+    QUERIES |= _module.R.queries
+    SQL |= _module.R.sql
