@@ -83,6 +83,20 @@ class Words:
         return self.low[self.start[i] : self.end[i]].tobytes()
 
 
+#: Bytes of text that are hashed at once: some fifty bytes of memory go to each.
+SLICE = 1 << 21
+
+
+def slices(batch, column: str = "text"):
+    """Runs of a record batch's rows with about SLICE bytes of text each, one row at least."""
+    _, offsets = arrow_bytes(batch[column])
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SLICE, side="right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def words_of(column) -> Words:
     return Words(*arrow_bytes(column))
 
