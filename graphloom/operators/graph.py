@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.lineage import cut
+
 #: Fixed values.
 AGENT_ROLES = ("agent", "speaker", "source", "giver")
 PATIENT_ROLES = ("patient", "addressee", "target", "recipient", "experiencer")
@@ -92,13 +94,13 @@ def coverage_audit(chunks: DataFrame, events: DataFrame, arguments: DataFrame) -
 
 def reached(edges: DataFrame, seeds: DataFrame, allowed: DataFrame, part: list[str], most: int = 64) -> DataFrame:
     """Fixed point: nodes reached from seeds over undirected edges (part, a, b) through allowed nodes (part, node)."""
-    both = edges.select(*part, "a", "b").unionByName(edges.select(*part, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    known = seeds.select(*part, "node").distinct()
+    both = cut(edges.select(*part, "a", "b").unionByName(edges.select(*part, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    allowed = cut(allowed.select(*part, "node"))
+    known = cut(seeds.select(*part, "node").distinct())
     fresh = known
     for _ in range(most):
         step = fresh.withColumnRenamed("node", "a").join(both, [*part, "a"]).select(*part, F.col("b").alias("node")).distinct()
-        fresh = step.join(allowed, [*part, "node"], "left_semi").join(known, [*part, "node"], "left_anti")
-        fresh = fresh.checkpoint() if fresh.sparkSession.sparkContext.getCheckpointDir() else fresh.persist()
+        fresh = cut(step.join(allowed, [*part, "node"], "left_semi").join(known, [*part, "node"], "left_anti"))
         if fresh.isEmpty():
             break
         known = known.unionByName(fresh)
