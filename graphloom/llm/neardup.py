@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.store import table, written
-from graphloom.llm.wordhash import mix, pair_shingles, words_of
+from graphloom.llm.wordhash import mix, pair_shingles, slices, words_of
 
 SIMILAR = 80  # percent
 SKETCH = 64
@@ -74,13 +74,13 @@ def _lists(values: np.ndarray, offsets: np.ndarray, most: int | None) -> pa.List
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        values, offsets, node, check = _sets(batch)
+    for batch in (part for whole in batches for part in slices(whole)):
+        values, offsets, node, _ = _sets(batch)
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(np.diff(offsets)), pa.array(node), _lists(values, offsets, SKETCH)], ["doc_id", "text_hash", "n", "node", "sketch"])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         values, offsets, node, _ = _sets(batch)
         yield pa.RecordBatch.from_arrays([pa.array(node), _lists(values, offsets, None)], ["node", "shingles"])
 
