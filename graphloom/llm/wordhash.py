@@ -84,7 +84,7 @@ class Words:
 
 
 #: Bytes of text that are hashed at once: some fifty bytes of memory go to each.
-SLICE = 1 << 21
+SLICE = 1 << 18
 
 
 def slices(batch, column: str = "text"):
