@@ -39,7 +39,7 @@ def role_of(name: str) -> str:
 def mentions_of(text: str) -> list[dict]:
     out = []
     for m in _MENTION.finditer(text):
-        kind = m.lastgroup
+        kind = "pronoun" if m[0].lower() in PRONOUNS else m.lastgroup
         out.append({"text": m[0], "start": m.start(), "end": m.end(), "kind": kind, "normal": re.sub(r"^(the|an?) ", "", m[0].lower())})
     return out
 
