@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import audit, chunking, discovery, evaluation, extraction, projection, retrieval
+from graphloom.operators import arms, audit, chunking, discovery, evaluation, extraction, ingest, projection, retrieval
 from graphloom.operators.lineage import cut
 from graphloom.plans.graph_queries import _arguments, _facts
 from graphloom.plans.tables import Registry, table
@@ -217,3 +217,62 @@ def entity_snapshots(spark, d):
 def record_snapshots(spark, d):
     facts = _facts(spark, d).withColumn("case_id", F.lit(1))
     return projection.record_snapshots(facts).groupBy("kind").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("n"))
+
+
+_RAG_WORDS = r"list_filter(string_split_regex(text, '[ \t\n\r\f\v]+'), lambda x: x <> '')"
+_RAG_TERMS = "list_filter(list_distinct(regexp_extract_all(lower({}), '[a-z0-9_]+')), lambda x: length(x) > 2)"
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_RAG_WORDS} AS w FROM documents), c AS (SELECT doc_id, i AS idx, array_to_string(w[i * 160 + 1 : i * 160 + 160], ' ') AS t FROM w, unnest(range(CAST(greatest(1, ceil(len(w) / 160.0)) AS BIGINT))) AS r(i)),
+s AS (SELECT doc_id, idx, len(list_intersect({_RAG_TERMS.format('t')}, ['the', 'thing', 'answer'])) AS overlap FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, idx) AS rank FROM s)
+SELECT doc_id AS task_id, CAST(idx AS INTEGER) AS idx, CAST(overlap AS BIGINT) AS overlap, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
+def keyword_rag_chunks(spark, d):
+    cases = table(spark, d, "documents").select(F.col("doc_id").alias("task_id"), F.lit("the thing is answer").alias("question"), F.col("text").alias("context"))
+    return arms.chunk_overlap(cases, pattern=r"[a-z0-9_]+").select("task_id", "idx", "overlap", "rank")
+
+
+def _needles(spark, d):
+    """Cases of events: a planted code in filler; every fourth is unanswerable."""
+    e, code = table(spark, d, "events"), F.col("event_id").cast("string")
+    there = F.col("event_id") % 4 != 0
+    context = F.concat(F.repeat(F.lit("hay "), 20), F.when(there, F.concat(F.lit("The secret code is "), code, F.lit(". "))).otherwise(""), F.repeat(F.lit("hay "), 20))
+    return e.select(code.alias("task_id"), F.lit("What is the secret code?").alias("question"), context.alias("context"), F.array(code).alias("answers"), F.array(F.lit("chunk_0")).alias("gold_evidence"), there.alias("answerable"))
+
+
+@query("""WITH e AS (SELECT count(*) AS n, count(*) FILTER (event_id % 4 <> 0) AS k FROM events)
+SELECT 'gold' AS arm, n AS runs, 1.0 AS exact, 1.0 AS recall, CAST(0 AS BIGINT) AS wrong FROM e UNION ALL SELECT 'wrong', n, 0.0, 0.0, k FROM e UNION ALL SELECT 'pattern', n, round(k / n, 6), 0.0, 0 FROM e UNION ALL SELECT 'keyword', n, round(k / n, 6), 1.0, 0 FROM e""")
+def arms_runner(spark, d):
+    """Cases x arms with bounds, a pattern arm and a window arm."""
+    runs = arms.run(_needles(spark, d), {"gold": arms.gold_arm, "wrong": arms.wrong_arm, "pattern": arms.pattern_arm, "keyword": arms.keyword_arm})
+    return runs.groupBy("arm").agg(F.count(F.lit(1)).alias("runs"), F.round(F.avg("exact_match"), 6).alias("exact"), F.round(F.avg("evidence_recall"), 6).alias("recall"), F.count_if(F.array_contains("failures", "wrong_answer")).alias("wrong"))
+
+
+@query()
+def ingest_documents(spark, d):
+    made = ingest.ingest(table(spark, d, "documents").select("doc_id", "text"), BUDGET, separator=r"\n\s*")
+    return made["entities"]
+
+
+@query("SELECT count(*) AS pending, CAST(min(length(t)) AS BIGINT) AS shortest FROM (SELECT 'Source: s' || l_suppkey || chr(10) || 'Relation: supplies' || chr(10) || 'Target: p' || l_partkey || chr(10) || 'Evidence: o' || l_orderkey || '-' || l_linenumber AS t FROM lineitem WHERE l_returnflag <> 'R')")
+def encode_pending_relations(spark, d):
+    """Relation candidates without a vector yet: lines that were not returned."""
+    s = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    li = table(spark, d, "lineitem").withColumn("candidate_id", F.monotonically_increasing_id().cast("string"))
+    c = li.select("candidate_id", s("s", "l_suppkey").alias("source"), F.lit("supplies").alias("predicate"), s("p", "l_partkey").alias("target"), F.concat_ws("-", s("o", "l_orderkey"), F.col("l_linenumber").cast("string")).alias("evidence"), "l_returnflag")
+    done = ingest.encode_pending(c.where("l_returnflag <> 'R'").drop("l_returnflag"), c.where("l_returnflag = 'R'").select("candidate_id"), 16)
+    return done.agg(F.count(F.lit(1)).alias("pending"), F.min(F.length("text")).cast("long").alias("shortest"))
+
+
+@query("SELECT event_id, regexp_extract(props, '\"k\"\\s*:\\s*(-?[0-9]+)', 1) AS k FROM events")
+def nested_json_values(spark, d):
+    wrapped = F.concat(F.lit('{"a":[{"b":'), "props", F.lit("}]}"))
+    return table(spark, d, "events").select("event_id", F.get(ingest.nested_values(wrapped, "k"), F.lit(0)).alias("k"))
+
+
+@query()
+def frontier_scoring_eval(spark, d):
+    from graphloom.plans.graph_queries import _semantic_docs
+
+    docs = _semantic_docs(spark, d)
+    cases = docs.orderBy("doc_id").limit(5).select(F.col("doc_id").alias("case_id"), F.col("doc_id").alias("from_id"), "v")
+    return arms.frontier_scores(docs, cases, {"query": 0.5, "profile": 0.2, "structure": 0.15, "evidence": 0.1, "novelty": 0.05}).select("case_id", "doc_id", "rank", F.round("score", 6).alias("score"))
