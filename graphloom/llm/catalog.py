@@ -16,4 +16,4 @@ QUERIES = {
     "op9_exact_topk": mtree.op9_exact_topk,
     "op10_secret_scans": secrets.op10_secret_scans,
 }
-SQL = {"op8_chat_formatting": chat.OP8_SQL, "op9_exact_topk": mtree.OP9_SQL}
+SQL = {"op4_minhash_dedup": neardup.OP4_SQL, "op8_chat_formatting": chat.OP8_SQL, "op9_exact_topk": mtree.OP9_SQL, "op10_secret_scans": secrets.OP10_SQL}

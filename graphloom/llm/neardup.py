@@ -277,6 +277,20 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS w FROM documents),
+s AS (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM d),
+n AS (SELECT rid, doc_id, CAST(len(g) AS BIGINT) AS n_shingles, md5(array_to_string(list_sort(g), chr(10))) AS h, g FROM s),
+c AS (SELECT h, min(doc_id) AS rep, any_value(n_shingles) AS n, any_value(g) AS g FROM n WHERE n_shingles > 0 GROUP BY h),
+x AS (SELECT h, n, unnest(g) AS t FROM c),
+l AS (SELECT a.h AS a, b.h AS b FROM x a JOIN x b ON a.t = b.t AND a.h < b.h AND least(a.n, b.n) * 100 >= 80 * greatest(a.n, b.n) GROUP BY a.h, b.h, a.n, b.n HAVING count(*) * 100 >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT h AS a, h AS b FROM c UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+m AS (SELECT r.a AS h, min(c.rep) AS component_id FROM r JOIN c ON c.h = r.b GROUP BY r.a)
+SELECT doc_id, n_shingles, CASE WHEN n_shingles = 0 THEN doc_id ELSE component_id END AS component_id, doc_id = CASE WHEN n_shingles = 0 THEN doc_id ELSE component_id END AS kept FROM n LEFT JOIN m USING (h)
+"""
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group of near-duplicates, that with the least id."""
     kept = similar_components(docs).where("doc_id = component_id").select("doc_id", F.col("text_hash").alias("_hash")).distinct()

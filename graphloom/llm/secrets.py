@@ -109,6 +109,26 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _sql() -> str:
+    """The same spans in SQL: matches and the texts between them, with running sums of their lengths."""
+    quoted = [p.replace("'", "''") for _, p in RULES]
+    kinds = ", ".join(f"({i}, '{k}', regexp_extract_all(text, '{p}'), string_split_regex(text, '{p}'))" for i, ((k, _), p) in enumerate(zip(RULES, quoted, strict=True)))
+    said = "string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, i)"
+    count = lambda i: f"CAST(count(*) FILTER (i = {i}) AS BIGINT)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT rid, t.i, t.kind, t.hits, t.parts FROM d, LATERAL (VALUES {kinds}) AS t(i, kind, hits, parts) WHERE len(t.hits) > 0),
+u AS (SELECT rid, i, kind, unnest(hits) AS hit, unnest(parts[1:len(hits)]) AS gap, generate_subscripts(hits, 1) AS n FROM m),
+s AS (SELECT rid, i, kind, hit, CAST(sum(length(gap)) OVER w + sum(length(hit)) OVER w - length(hit) AS BIGINT) AS a FROM u WINDOW w AS (PARTITION BY rid, i ORDER BY n)),
+f AS (SELECT *, a + length(hit) AS b FROM s WHERE i <> 0 OR length(regexp_extract(hit, '{quoted[0]}', 2)) >= {ASSIGN_LEAST}),
+g AS (SELECT rid, {count(0)} AS n_assign, {count(1)} AS n_access, {count(2)} AS n_hex, coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, i) FILTER (i < {BASE_KINDS}), '') AS base, {said} AS spans FROM f GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (rid)
+"""
+
+
+OP10_SQL = _sql()
+
+
 def mask_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with their secrets masked; every document stays."""
     ledger = written(scan_ledger(docs), "secret-ledger")
