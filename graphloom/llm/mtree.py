@@ -12,8 +12,8 @@ distance is computed.  Scores themselves are exact integers.
 Queries meet every shard in blocks; each block keeps its k best, and a window
 merges the shards.
 
-Defined results: vectors that are null or hold null or non-finite components
-take no part; a shorter vector counts as padded with zeros; rows that share a
+Defined results: vectors that are null or hold null or non-finite components,
+and those without an id, take no part; a shorter vector counts as padded with zeros; rows that share a
 query's id are its own and no candidates; equal scores go to the smaller id;
 repeated candidate rows are each a candidate; an empty table gives no rows.
 """
@@ -175,7 +175,7 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").where(usable(F.col("embedding"))).select(F.col("vec_id").cast("long"), scaled(F.col("embedding")).alias("v"))
+    rows = table(spark, sf_dir, "embeddings").where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), scaled(F.col("embedding")).alias("v"))
     return topk(rows, rows.where(F.col("vec_id") % EVERY == 0))
 
 

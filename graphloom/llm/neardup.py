@@ -21,7 +21,8 @@ links, found by alternating stars, are the result.
 
 Defined results: null texts are empty; a text without words is alone; one with
 a single word has that word as its shingle; repeated rows are copies of each
-other; an empty table gives an empty result; other columns are ignored.
+other; rows without an id never name a component that has one; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -293,7 +294,9 @@ SELECT doc_id, n_shingles, CASE WHEN n_shingles = 0 THEN doc_id ELSE component_i
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group of near-duplicates, that with the least id."""
-    kept = similar_components(docs).where("doc_id = component_id").select("doc_id", F.col("text_hash").alias("_hash")).distinct()
+    found = similar_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = written(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).distinct(), "dup-kept")
     hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     same = Window.partitionBy("doc_id", "_hash").orderBy("doc_id")
-    return hashed.join(written(kept, "dup-kept"), ["doc_id", "_hash"], "left_semi").withColumn("_copy", F.row_number().over(same)).where("_copy = 1").select(*docs.columns)
+    stays = hashed.join(kept, hashed["doc_id"].eqNullSafe(kept["_id"]) & (hashed["_hash"] == kept["_text"]), "left_semi")
+    return stays.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").select(*docs.columns)
