@@ -19,6 +19,8 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 _POW: dict[str, np.ndarray] = {}
+#: Bytes of text that are hashed at once: some fifty bytes of memory go to each.
+SLICE = 1 << 18
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -64,29 +66,42 @@ class Words:
     def __init__(self, raw: np.ndarray, offsets: np.ndarray):
         rows = len(offsets) - 1
         # one separator byte after each text keeps words of neighbours apart
-        low = np.full(len(raw) + rows, 32, dtype=np.uint8)
-        shifted = np.repeat(np.arange(rows), np.diff(offsets))
-        low[np.arange(len(raw)) + shifted] = _LOWER[raw]
+        self.low, self.rows = np.full(len(raw) + rows, 32, dtype=np.uint8), rows
+        for i in range(rows):
+            self.low[offsets[i] + i : offsets[i + 1] + i] = _LOWER[raw[offsets[i] : offsets[i + 1]]]
+        parts = [self._hashed(a, b) for a, b in self._segments()]
+        self.start, self.end, self.hashes = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))
+        self.row = np.searchsorted(offsets[1:] + np.arange(1, rows + 1), self.start, side="right")
+
+    def _segments(self):
+        """Bounds of runs of about SLICE bytes that end after a space."""
+        a = 0
+        while a < len(self.low):
+            b = min(a + SLICE, len(self.low))
+            while b < len(self.low):
+                space = np.flatnonzero(_SPACE[self.low[b : b + SLICE]])
+                if len(space):
+                    b += int(space[0]) + 1
+                    break
+                b = min(b + SLICE, len(self.low))
+            yield a, b
+            a = b
+
+    def _hashed(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        low = self.low[a:b]
         inside = ~_SPACE[low]
         edge = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
-        self.low, self.rows = low, rows
-        self.start = np.flatnonzero(edge == 1)
-        self.end = np.flatnonzero(edge == -1)
-        self.row = np.searchsorted(offsets[1:] + np.arange(1, rows + 1), self.start, side="right")
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         with np.errstate(over="ignore"):
             sums = np.zeros(len(low) + 1, dtype=np.uint64)
             np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _powers(BASE, len(low)), out=sums[1:])
-            poly = (sums[self.end] - sums[self.start]) * _powers(BASE_INV, len(low) + 1)[self.start]
-            self.hashes = mix(poly ^ mix((self.end - self.start).astype(np.uint64)))
+            poly = (sums[end] - sums[start]) * _powers(BASE_INV, len(low) + 1)[start]
+            return start + a, end + a, mix(poly ^ mix((end - start).astype(np.uint64)))
 
     def text(self, i: int) -> bytes:
         return self.low[self.start[i] : self.end[i]].tobytes()
 
 
-#: Bytes of text that are hashed at once: some fifty bytes of memory go to each.
-SLICE = 1 << 18
-
-
 def slices(batch, column: str = "text"):
     """Runs of a record batch's rows with about SLICE bytes of text each, one row at least."""
     _, offsets = arrow_bytes(batch[column])

@@ -264,6 +264,18 @@ def test_word_hashes():
     assert w.text(3) == "é".encode()
 
 
+def test_long_texts_hash_in_segments(monkeypatch):
+    import pyarrow as pa
+
+    from graphloom.llm import wordhash
+
+    texts = pa.array(["ab cd " * 50 + "x" * 90, None, "y z " * 30])
+    whole = words_of(texts)
+    monkeypatch.setattr(wordhash, "SLICE", 16)
+    cut = words_of(texts)
+    assert (cut.hashes == whole.hashes).all() and (cut.row == whole.row).all() and (cut.start == whole.start).all()
+
+
 def test_pipeline(spark, tables, empty_tables, rows):
     import corpus_pipeline
 
