@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from graphloom.functions.vector import let
+
 #: Fixed values.
 ASCII_WORD = r"[a-z0-9_]+"
 UNICODE_WORD = r"(?U)\w+"
@@ -107,9 +109,11 @@ def words(text: Column) -> Column:
 
 def word_windows(text: Column, size: int = 160) -> Column:
     """Array of (index, text) windows of ``size`` words; one empty window for an empty text."""
-    w = words(text)
-    count = F.greatest(F.lit(1), F.ceil(F.size(w) / size)).cast("int")
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("idx"), F.array_join(F.slice(w, i * size + 1, F.lit(size)), " ").alias("text")))
+    def cut(w: Column) -> Column:
+        count = F.greatest(F.lit(1), F.ceil(F.size(w) / size)).cast("int")
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("idx"), F.array_join(F.slice(w, i * size + 1, F.lit(size)), " ").alias("text")))
+
+    return let(words(text), cut)
 
 
 def char_slices(text: Column, width: int) -> Column:
