@@ -131,10 +131,11 @@ def stop_reason_histogram(spark, d):
     return metrics.histogram(rows, ["arm"], "stop").select("arm", shown.alias("histogram"))
 
 
-@query(f"""WITH {_RUNS}, rev AS (SELECT l_orderkey AS run_id, l_linenumber AS ordinal, l_discount AS revised, l_returnflag = 'R' AS model_rerun FROM lineitem), last AS (SELECT run_id, max_by(revised, ordinal) AS revised, max(ordinal) AS revision FROM rev WHERE NOT model_rerun GROUP BY run_id)
+@query(f"""WITH {_RUNS}, rev AS (SELECT l_orderkey AS run_id, l_linenumber AS ordinal, max(l_discount) AS revised, l_returnflag = 'R' AS model_rerun FROM lineitem GROUP BY ALL), last AS (SELECT run_id, max_by(revised, ordinal) AS revised, max(ordinal) AS revision FROM rev WHERE NOT model_rerun GROUP BY run_id)
 SELECT run_id, CAST(revision AS INTEGER) AS revision, coalesce(revised, score) AS active_score FROM runs LEFT JOIN last USING (run_id)""")
 def latest_revision(spark, d):
-    rev = metrics.first_wins(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("ordinal"), F.col("l_discount").alias("revised"), (F.col("l_returnflag") == "R").alias("model_rerun")), ["run_id", "ordinal", "revised", "model_rerun"], ["ordinal"])
+    rerun = (F.col("l_returnflag") == "R").alias("model_rerun")
+    rev = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("ordinal"), rerun).agg(F.max("l_discount").alias("revised"))
     return metrics.latest_revision(_runs(spark, d), rev, "run_id").select("run_id", "revision", "active_score")
 
 
