@@ -20,7 +20,7 @@ spanning forest of the links that hold leaves a task.  Components of those
 links, found by alternating stars, are the result.
 
 Defined results: null texts are empty; a text without words is alone; one with
-a single word has that word as its shingle; repeated rows are copies of each
+fewer words than a shingle has its whole sequence as its shingle; repeated rows are copies of each
 other; rows without an id never name a component that has one; an empty table
 gives an empty result; other columns are ignored.
 """
@@ -36,9 +36,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.store import table, written
-from graphloom.llm.wordhash import mix, pair_shingles, slices, words_of
+from graphloom.llm.wordhash import mix, slices, word_shingles, words_of
 
 SIMILAR = 80  # percent
+#: Words in a shingle of the pipeline's stage; op4 is bound to two.
+STAGE_WORDS = 5
 SKETCH = 64
 KEYS = 12
 LIST = 48
@@ -55,9 +57,9 @@ def _hash63(values: np.ndarray) -> np.ndarray:
     return (values >> np.uint64(1)).astype(np.int64)
 
 
-def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _sets(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Shingles (ascending within a row), row offsets, and two sums that stand for each row's set."""
-    shingles, offsets = pair_shingles(words_of(batch["text"]))
+    shingles, offsets = word_shingles(words_of(batch["text"]), size)
     with np.errstate(over="ignore"):
         sums = [np.concatenate(([np.uint64(0)], np.cumsum(mix(shingles * k)))) for k in (np.uint64(1), np.uint64(0xD6E8FEB86659FD93))]
         first, second = (np.diff(s[offsets]) for s in sums)
@@ -74,16 +76,22 @@ def _lists(values: np.ndarray, offsets: np.ndarray, most: int | None) -> pa.List
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[at], pa.int64()))
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (part for whole in batches for part in slices(whole)):
-        values, offsets, node, _ = _sets(batch)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(np.diff(offsets)), pa.array(node), _lists(values, offsets, SKETCH)], ["doc_id", "text_hash", "n", "node", "sketch"])
+def _sketches(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole)):
+            values, offsets, node, _ = _sets(batch, size)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(np.diff(offsets)), pa.array(node), _lists(values, offsets, SKETCH)], ["doc_id", "text_hash", "n", "node", "sketch"])
 
+    return run
 
-def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (part for whole in batches for part in slices(whole)):
-        values, offsets, node, _ = _sets(batch)
-        yield pa.RecordBatch.from_arrays([pa.array(node), _lists(values, offsets, None)], ["node", "shingles"])
+
+def _full_sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole)):
+            values, offsets, node, _ = _sets(batch, size)
+            yield pa.RecordBatch.from_arrays([pa.array(node), _lists(values, offsets, None)], ["node", "shingles"])
+
+    return run
 
 
 def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,11 +233,11 @@ def _verify(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
 
-def similar_components(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id of every row of doc_id, text."""
+def similar_components(docs: DataFrame, size: int = 2) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id of every row of doc_id, text, by shingles of ``size`` words."""
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
-    rows = written(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketches, "doc_id long, text_hash long, n long, node long, sketch array<long>"), "dup-rows")
+    rows = written(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketches(size), "doc_id long, text_hash long, n long, node long, sketch array<long>"), "dup-rows")
     nodes = written(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "dup-nodes")
     keyed = written(_sized(nodes.select("node", "n", F.explode(F.slice("sketch", 1, KEYS)).alias("key"))), "dup-keys")
     busy = keyed.where(F.col("size") > LIST).select("node").distinct()
@@ -242,7 +250,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     dense = banded.where(~short)
     chains = dense.join(dense.groupBy("key").agg(F.min("node").alias("b")), "key").select(F.col("node").alias("a"), "b").where("a <> b")
     families = written(components(pairs.unionByName(chains), "dup-families"), "dup-family")
-    links = _verified(docs, nodes, families)
+    links = _verified(docs, nodes, families, size)
     linked = components(links, "dup-links")
     labelled = nodes.select("node", "rep").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -252,13 +260,13 @@ def similar_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), alone.alias("component_id"))
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, families: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, nodes: DataFrame, families: DataFrame, size: int) -> DataFrame:
     """Links (a, b) between nodes of one family that hold on full sets: a spanning forest per task."""
     wanted = written(families.join(nodes.select("node", "rep"), "node"), "dup-wanted")
     count = wanted.count()
     ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    sets = texts.select("text").mapInArrow(_full_sets, "node long, shingles array<long>")
+    sets = texts.select("text").mapInArrow(_full_sets(size), "node long, shingles array<long>")
     sizes = wanted.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
     place = wanted.select("node", "root").join(sizes, "root").withColumn("parts", F.expr(f"(members + {BLOCK - 1}) div {BLOCK}").cast("int"))
     place = place.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
@@ -274,7 +282,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, families: DataFrame) -> DataFra
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = similar_components(table(spark, sf_dir, "documents"))
+    found = similar_components(table(spark, sf_dir, "documents"), 2)
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
@@ -293,8 +301,8 @@ SELECT doc_id, n_shingles, CASE WHEN n_shingles = 0 THEN doc_id ELSE component_i
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group of near-duplicates, that with the least id."""
-    found = similar_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """Pipeline stage: one document of each group of near-duplicates on STAGE_WORDS-word shingles, that with the least id."""
+    found = similar_components(docs, STAGE_WORDS).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = written(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).distinct(), "dup-kept")
     hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     same = Window.partitionBy("doc_id", "_hash").orderBy("doc_id")

@@ -116,20 +116,26 @@ def words_of(column) -> Words:
     return Words(*arrow_bytes(column))
 
 
-def pair_shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 2-word shingle hashes by row, ascending within a row, and the offsets of the rows.
+def word_shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of ``size``-word shingles by row, ascending within a row, and the offsets of the rows.
 
-    A text with one word gives that word as its one shingle; none gives an empty set.
+    A text with fewer words, one at least, gives its whole sequence as its one shingle; none gives an empty set.
     """
     h, row = words.hashes, words.row
+    count = np.bincount(row, minlength=words.rows)
+    first = np.cumsum(count) - count
     with np.errstate(over="ignore"):
-        follows = row[1:] == row[:-1]
-        pairs = mix(h[:-1][follows] * np.uint64(3) + mix(h[1:][follows]))
-        prow = row[:-1][follows]
-        count = np.bincount(row, minlength=words.rows)
-        alone = count[row] == 1 if len(row) else np.zeros(0, dtype=bool)
-        pairs = np.concatenate((pairs, mix(h[alone] ^ np.uint64(0x5851F42D4C957F2D))))
-        prow = np.concatenate((prow, row[alone]))
+        full = np.flatnonzero(row[size - 1 :] == row[: len(row) - size + 1]) if len(row) >= size else np.empty(0, np.int64)
+        pairs = h[full]
+        for i in range(1, size):
+            pairs = mix(pairs * np.uint64(3) + mix(h[full + i]))
+        short = np.flatnonzero((count > 0) & (count < size))
+        whole = h[first[short]]
+        for i in range(1, size - 1):
+            longer = count[short] > i
+            whole[longer] = mix(whole[longer] * np.uint64(3) + mix(h[first[short[longer]] + i]))
+        pairs = np.concatenate((pairs, mix(whole ^ np.uint64(0x5851F42D4C957F2D))))
+        prow = np.concatenate((row[full], short))
     order = np.lexsort((pairs, prow))
     pairs, prow = pairs[order], prow[order]
     if len(pairs):
