@@ -1,26 +1,29 @@
 """Language-model scoring by online logistic context mixing.
 
-A text is a sequence of word tokens and one end.  A token's probability is
-interpolated from its count in the training texts, with absolute discounting,
-and from a bit model of its spelling, which takes the discounted mass:
+A text is a stream of bytes: its word tokens, each with a space after it, and
+one more space as the end.  Its score is the log10 probability of all those
+bytes, bit by bit, from a bit model whose contexts cross words:
 
-* several predictors look a hashed context (0 to 4 preceding bytes, or the
-  whole prefix) and the bits so far up in tables of bit counts over all distinct
-  training words;
+* several predictors look a hashed context (0 to 4 preceding bytes of the text,
+  or the word so far) and the bits so far up in tables of bit counts over all
+  training texts, each occurrence counted;
 * their log-odds are combined by weights that a gate (bit position and the
   longest context seen) selects; weights are learnt online, step by step,
-  leaving each word out of its own counts, by every task over its share of the
-  words, and averaged;
+  leaving each occurrence out of its own counts, by every task over its share,
+  and averaged;
 * an adaptive table refines the mixed probability by its size and the bits so
   far.
 
-Total bits per byte follow from a text's score.  Word counts, bit counts,
-weights and refinement come from all training texts.  The bit model has a fixed
-size; word counts are sharded by hash.  Training texts may carry a group (their
-language): each of the GROUPS largest has word counts of its own, and a text's
-probability is the Bayesian mixture of all groups' models, which weighs them,
-token by token, by how well they did on the text so far.  Texts meet the HOT_WORDS most frequent
-words as a table of bounded size and all others in a join.
+Counts, weights and refinement are those of the training texts and stay as they
+are while texts are scored: scores do not depend on the order of rows.
+
+A byte with four bytes or more of its word before it (a tail) depends on its
+word alone, any other (a head) on the four bytes before it and its place in the
+word.  So each distinct head and each distinct word's tail is learnt once, times
+its occurrences, and computed once per task or table; sums over a text are those
+of a run over all its bytes.  The bit model has a fixed size; words and heads
+are counted by hash.  Texts meet the HOT_WORDS most frequent words as a table of
+bounded size and all others in a join.
 
 Defined results: a null text is empty: one token, the end; equal texts have
 equal scores; repeated rows are each scored and, in training, each counted; a
@@ -38,12 +41,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.store import table, written
-from graphloom.llm.wordhash import mix, slices, words_of
+from graphloom.llm.wordhash import _SPACE, Words, mix, slices, words_of
 
 HELD_OUT = 10
 HOT_WORDS = 1 << 19
 SLOTS = 1 << 18
-GROUPS = 7
 PREDICTORS = 6
 LEVELS = PREDICTORS + 1
 GATES = 8 * LEVELS
@@ -53,6 +55,10 @@ RATE = 0.02
 CHUNK, STEP = 1 << 17, 1 << 14
 BLOCK = 1 << 12
 PRIOR = 0.4
+#: Preceding bytes that the longest context holds.
+REACH = 4
+#: Distinct heads that a task keeps at once.
+HEADS = 1 << 19
 
 
 def trains(doc_ids: list) -> np.ndarray:
@@ -60,26 +66,18 @@ def trains(doc_ids: list) -> np.ndarray:
     return np.fromiter((zlib.crc32(("" if d is None else str(d)).encode()) % HELD_OUT != 0 for d in doc_ids), dtype=bool, count=len(doc_ids))
 
 
-class Spelling:
-    """All bits of a batch of words, each word with an end byte, and the table slots of their contexts."""
+class Contexts:
+    """The table slots of the contexts of bytes, and their bits."""
 
-    def __init__(self, words: list[bytes]):
-        lengths = np.fromiter((len(w) + 1 for w in words), dtype=np.int64, count=len(words))
-        self.bytes = np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8)
-        self.word = np.repeat(np.arange(len(words)), lengths)
-        starts = np.cumsum(lengths) - lengths
-        at = np.arange(len(self.bytes)) - np.repeat(starts, lengths)
-        wide = np.concatenate((np.zeros(4, np.uint64), self.bytes.astype(np.uint64)))
-        n = len(self.bytes)
+    def __init__(self, values: np.ndarray, before: list[np.ndarray], prefix: np.ndarray):
+        self.bytes = values
+        n = len(values)
         context = np.zeros(n, np.uint64)
         hashes = [mix(np.full(n, 1, np.uint64))]
         with np.errstate(over="ignore"):
-            for order in range(1, 5):
-                before = np.where(at >= order, wide[4 - order : 4 - order + n], np.uint64(0))
-                context = context * np.uint64(257) + before
+            for order in range(1, REACH + 1):
+                context = context * np.uint64(257) + before[order - 1]
                 hashes.append(mix(context + np.uint64(order << 40)))
-            running = np.concatenate(([np.uint64(0)], np.cumsum(mix(self.bytes.astype(np.uint64) + (at.astype(np.uint64) << np.uint64(8))))))
-            prefix = running[:-1] - np.repeat(running[starts], lengths)
             hashes.append(mix(prefix + np.uint64(7 << 40)))
         self.hashes = hashes
 
@@ -93,6 +91,73 @@ class Spelling:
             yield position, node.astype(np.int64), slots, ((value >> np.uint64(7 - position)) & np.uint64(1)).astype(bool)
 
 
+def _placed(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return mix(values.astype(np.uint64) + (at.astype(np.uint64) << np.uint64(8)))
+
+
+class Spelling(Contexts):
+    """A batch of words, each with an end byte and with nothing before it; ``at`` is the place in the word."""
+
+    def __init__(self, words: list[bytes]):
+        lengths = np.fromiter((len(w) + 1 for w in words), dtype=np.int64, count=len(words))
+        values = np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8)
+        self.word = np.repeat(np.arange(len(words)), lengths)
+        starts = np.cumsum(lengths) - lengths
+        self.at = np.arange(len(values)) - np.repeat(starts, lengths)
+        wide, n = np.concatenate((np.zeros(REACH, np.uint64), values.astype(np.uint64))), len(values)
+        before = [np.where(self.at >= k, wide[REACH - k : REACH - k + n], np.uint64(0)) for k in range(1, REACH + 1)]
+        with np.errstate(over="ignore"):
+            running = np.concatenate(([np.uint64(0)], np.cumsum(_placed(values, self.at))))
+            prefix = running[:-1] - np.repeat(running[starts], lengths)
+        super().__init__(values, before, prefix)
+
+    def tails(self) -> Spelling:
+        """Only the bytes whose contexts lie within their word."""
+        keep = self.at >= REACH
+        self.bytes, self.word, self.at, self.hashes = self.bytes[keep], self.word[keep], self.at[keep], [h[keep] for h in self.hashes]
+        return self
+
+
+class Heads(Contexts):
+    """Bytes near the start of a word by key: the four bytes before, the byte, its place in the word."""
+
+    def __init__(self, keys: np.ndarray):
+        at = keys & np.uint64(255)
+        before = [(keys >> np.uint64(8 + 8 * k)) & np.uint64(255) for k in range(1, REACH + 1)]
+        prefix = np.zeros(len(keys), np.uint64)
+        with np.errstate(over="ignore"):
+            for place in range(REACH - 1):
+                for k in range(1, REACH):
+                    here = at == place + k
+                    prefix[here] += _placed(before[k - 1][here], np.full(int(here.sum()), place))
+        super().__init__(((keys >> np.uint64(8)) & np.uint64(255)).astype(np.uint8), before, prefix)
+
+
+def heads_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the heads of all texts of a batch, their ends among them, and the row of each."""
+    lengths, rows = words.end - words.start, words.rows
+    count = np.bincount(words.row, weights=lengths + 1, minlength=rows).astype(np.int64)
+    base = np.cumsum(count + REACH + 1) - count - REACH - 1
+    begin = np.cumsum(lengths + 1) - lengths - 1 + (REACH + 1) * words.row + REACH
+    stream = np.full(int(count.sum()) + (REACH + 1) * rows, 32, dtype=np.uint64)
+    for k in range(REACH):
+        stream[base + k] = 0
+    stream[np.repeat(begin - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))] = words.low[~_SPACE[words.low]]
+    keys, row = [], []
+    ends = base + REACH + count
+    for place in range(REACH):
+        here = lengths >= place
+        p, r = begin[here] + place, words.row[here]
+        if place == 0:
+            p, r = np.concatenate((p, ends)), np.concatenate((r, np.arange(rows)))
+        key = stream[p] << np.uint64(8) | np.uint64(place)
+        for k in range(1, REACH + 1):
+            key |= stream[p - k] << np.uint64(8 + 8 * k)
+        keys.append(key)
+        row.append(r)
+    return np.concatenate(keys), np.concatenate(row)
+
+
 def _chunks(words: list[bytes]) -> Iterator[list[bytes]]:
     """Runs of words of about CHUNK bytes; a longer word is a run of its own."""
     now, size = [], 0
@@ -130,19 +195,33 @@ def _summed(rows: DataFrame, sizes: dict[int, int]) -> dict[int, np.ndarray]:
     return got
 
 
+def _events(batch: pa.RecordBatch) -> Iterator[tuple[Contexts, np.ndarray]]:
+    """Heads and tails of rows of key or word, n; with the occurrences of each byte."""
+    n = batch["n"].to_numpy().astype(float)
+    head = batch["word"].is_null().to_numpy(zero_copy_only=False)
+    keys = batch["key"].fill_null(0).to_numpy()[head].view(np.uint64)
+    for a in range(0, len(keys), CHUNK):
+        yield Heads(keys[a : a + CHUNK]), n[head][a : a + CHUNK]
+    times, a = n[~head], 0
+    for words in _chunks([w for w in batch["word"].to_pylist() if w is not None]):
+        spelled = Spelling(words).tails()
+        yield spelled, times[a + spelled.word]
+        a += len(words)
+
+
 def _count_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(2 * PREDICTORS * SLOTS)
     for batch in batches:
-        for words in _chunks(batch["word"].to_pylist()):
-            for _, _, slots, bit in Spelling(words).bits():
+        for event, times in _events(batch):
+            for _, _, slots, bit in event.bits():
                 for i in range(PREDICTORS):
                     own = slice(2 * i * SLOTS, 2 * (i + 1) * SLOTS)
-                    counts[own] += np.bincount((slots[i] - i * SLOTS) * 2 + bit, minlength=2 * SLOTS)
+                    counts[own] += np.bincount((slots[i] - i * SLOTS) * 2 + bit, weights=times, minlength=2 * SLOTS)
     yield _as_blocks(counts, 0)
 
 
 def _left_out(counts: np.ndarray, slots: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of each predictor and the number of predictors with counts, each word's own bits left out."""
+    """Log-odds of each predictor and the number of predictors with counts, one occurrence's own bit left out."""
     zero, one = counts[slots * 2], counts[slots * 2 + 1]
     one, zero = np.maximum(0.0, one - bit), np.maximum(0.0, zero - ~bit)
     return np.log((one + PRIOR) / (zero + PRIOR)), ((zero + one) > 0).sum(0)
@@ -161,19 +240,20 @@ def _learn(shared):
         weights, steps = np.full((GATES, PREDICTORS), 1.0 / PREDICTORS), 0
         hits = np.zeros(2 * 256 * BUCKETS)
         for batch in batches:
-            for words in _chunks(batch["word"].to_pylist()):
-                for position, node, slots, bit in Spelling(words).bits():
+            for event, times in _events(batch):
+                for position, node, slots, bit in event.bits():
                     inputs, level = _left_out(counts, slots, bit)
                     gate = position * LEVELS + level
                     for a in range(0, len(bit), STEP):
-                        g, x, y = gate[a : a + STEP], inputs[:, a : a + STEP], bit[a : a + STEP]
+                        g, x, y, n = gate[a : a + STEP], inputs[:, a : a + STEP], bit[a : a + STEP], times[a : a + STEP]
+                        share = n * (len(n) / n.sum())
                         score = np.clip((weights[g] * x.T).sum(1), -12, 12)
-                        wrong = y - 1.0 / (1.0 + np.exp(-score))
-                        size = np.maximum(1, np.bincount(g, minlength=GATES))
+                        wrong = share * (y - 1.0 / (1.0 + np.exp(-score)))
+                        size = np.maximum(1, np.bincount(g, weights=share, minlength=GATES))
                         for i in range(PREDICTORS):
                             weights[:, i] += RATE * np.bincount(g, weights=wrong * x[i], minlength=GATES) / np.sqrt(size)
                         cell = node[a : a + STEP] * BUCKETS + np.clip(np.rint((score + 8.0) * 2.0), 0, BUCKETS - 1).astype(np.int64)
-                        hits += np.bincount(cell * 2 + y, minlength=len(hits))
+                        hits += np.bincount(cell * 2 + y, weights=n, minlength=len(hits))
                         steps += len(y)
         yield _as_blocks(np.append(weights.reshape(-1) * steps, steps), 1)
         yield _as_blocks(hits, 2)
@@ -181,55 +261,82 @@ def _learn(shared):
     return run
 
 
-def spelling_logs(words: list[bytes], model: dict) -> np.ndarray:
-    """log10 of each word's probability under the bit model."""
+def _logs(event: Contexts, model: dict) -> np.ndarray:
+    """log10 of each byte's probability under the bit model."""
+    total = np.zeros(len(event.bytes))
+    for position, node, slots, bit in event.bits():
+        inputs, level = model["odds"][slots], model["seen"][slots].sum(0)
+        score = np.clip((model["weights"][position * LEVELS + level] * inputs.T).sum(1), -12, 12)
+        p, _ = _refined(model["refine"], score, node)
+        total += np.log10(np.where(bit, p, 1.0 - p))
+    return total
+
+
+def tail_logs(words: list[bytes], model: dict) -> np.ndarray:
+    """log10 of the probability of each word's tail."""
     out = []
     for chunk in _chunks(words):
-        spelled = Spelling(chunk)
-        total = np.zeros(len(spelled.bytes))
-        for position, node, slots, bit in spelled.bits():
-            inputs, level = model["odds"][slots], model["seen"][slots].sum(0)
-            score = np.clip((model["weights"][position * LEVELS + level] * inputs.T).sum(1), -12, 12)
-            p, _ = _refined(model["refine"], score, node)
-            total += np.log10(np.where(bit, p, 1.0 - p))
-        out.append(np.bincount(spelled.word, weights=total, minlength=len(chunk)))
+        spelled = Spelling(chunk).tails()
+        out.append(np.bincount(spelled.word, weights=_logs(spelled, model), minlength=len(chunk)).astype(float))
     return np.concatenate(out) if out else np.empty(0)
 
 
-def _word_counts(groups: list[str]):
-    """Distinct words of each batch with their counts in training texts: of all, and of each group."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole)):
-            words, learnt = words_of(batch["text"]), trains(batch["doc_id"].to_pylist())
-            kinds, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
-            of = np.array([groups.index(g) if g in groups else -1 for g in batch["group"].to_pylist()])
-            masks = [learnt] + [learnt & (of == i) for i in range(len(groups))]
-            n = [pa.array(np.bincount(which, weights=m[words.row], minlength=len(kinds)).astype(np.int64)) for m in masks]
-            yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array([words.text(i) for i in first], pa.binary()), *n], ["hash", "word", *(f"n{i}" for i in range(len(n)))])
-
-    return run
-
-
-def _log_probs(shared):
+class HeadLogs:
+    """log10 of the probabilities of heads, the latest HEADS or so kept."""
+
+    def __init__(self, model: dict):
+        self.model, self.keys, self.logs = model, np.empty(0, np.uint64), np.empty(0)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        kinds, which = np.unique(keys, return_inverse=True)
+        new = kinds[~np.isin(kinds, self.keys, assume_unique=True)]
+        if len(self.keys) + len(new) > HEADS:
+            self.keys, self.logs, new = np.empty(0, np.uint64), np.empty(0), kinds
+        logs = [_logs(Heads(new[a : a + CHUNK]), self.model) for a in range(0, len(new), CHUNK)]
+        merged = np.concatenate((self.keys, new))
+        order = np.argsort(merged, kind="stable")
+        self.keys, self.logs = merged[order], np.concatenate([self.logs, *logs])[order]
+        return self.logs[np.searchsorted(self.keys, kinds)][which]
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words of each batch with their counts in training texts."""
+    for batch in (part for whole in batches for part in slices(whole)):
+        words, learnt = words_of(batch["text"]), trains(batch["doc_id"].to_pylist())
+        kinds, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
+        n = np.bincount(which, weights=learnt[words.row], minlength=len(kinds)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array([words.text(i) for i in first], pa.binary()), pa.array(n)], ["hash", "word", "n"])
+
+
+def _head_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct heads of training texts with their counts, about HEADS at once."""
+    keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+    made = lambda: pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "n"])
+    for batch in (part for whole in batches for part in slices(whole)):
+        found, row = heads_of(words_of(batch["text"]))
+        kinds, times = np.unique(found[trains(batch["doc_id"].to_pylist())[row]], return_counts=True)
+        both = np.concatenate((keys, kinds))
+        keys, which = np.unique(both, return_inverse=True)
+        counts = np.bincount(which, weights=np.concatenate((counts, times)), minlength=len(keys)).astype(np.int64)
+        if len(keys) > HEADS:
+            yield made()
+            keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+    yield made()
+
+
+def _tails(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            spelt = 10.0 ** spelling_logs(batch["word"].to_pylist(), model)
-            out = []
-            for i, part in enumerate(model["parts"]):
-                n = batch[f"n{i}"].to_numpy().astype(float)
-                out.append(pa.array(np.log10(np.maximum(np.maximum(0.0, n - part["discount"]) / part["tokens"] + part["spare"] * spelt, 1e-300))))
-            yield pa.RecordBatch.from_arrays([batch["hash"], batch["n0"], *out], ["hash", "n", *(f"log{i}" for i in range(len(out)))])
+            yield pa.RecordBatch.from_arrays([batch["hash"], batch["n"], pa.array(tail_logs(batch["word"].to_pylist(), shared.value))], ["hash", "n", "tail"])
 
     return run
 
 
-def _doc_rows(shared, names: list[str]):
-    """Per row a total over its frequent words, and its other words one by one."""
+def _doc_rows(shared, model, names: list[str]):
+    """Per row a total over its heads and frequent words, and its other words one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
+        hot, heads = shared.value, HeadLogs(model.value)
         for batch in (part for whole in batches for part in slices(whole)):
             words = words_of(batch["text"])
             rows = batch["row"].to_numpy()
@@ -240,7 +347,9 @@ def _doc_rows(shared, names: list[str]):
             known, n = found[which], words.rows
             total = lambda x: np.bincount(words.row, weights=np.where(found, x[at], 0)[which], minlength=n)  # noqa: E731, B023
             nothing = pa.nulls(n, pa.int64())
-            sums = [pa.array(total(x) + end) for x, end in zip(hot["logs"], hot["end_logs"], strict=True)]
+            keys, row = heads_of(words)
+            score = np.bincount(row, weights=heads.of(keys), minlength=n) + total(hot["tail"])
+            sums = [pa.array(total(hot["base"]) + hot["end_base"]), pa.array(score)]
             counted = pa.array((total(hot["counted"]) + hot["end_counted"]).astype(np.int64))
             tokens = pa.array(np.bincount(words.row, minlength=n) + 1)
             yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"].cast(pa.int64()), nothing, nothing, tokens, counted, *sums], names)
@@ -266,16 +375,8 @@ def _frequent(words: DataFrame) -> int:
     return (1 << 62) if least is None else 0 if left >= 0 else int(np.ceil(2.0 ** (least / 8) - 1e-9))
 
 
-def fit(spark: SparkSession, counts: DataFrame, texts: list[int]) -> dict:
-    """The bit model and the totals of a table of word counts; ``texts`` are the training texts of all and of each group."""
-    parts = []
-    for i, n_texts in enumerate(texts):
-        n = F.col(f"n{i}")
-        t = counts.agg(F.sum(n), F.count_if(n > 0), F.count_if(n == 1), F.count_if(n == 2)).first()
-        tokens, distinct, once, twice = (t[0] or 0) + n_texts, t[1] + (n_texts > 0), t[2], t[3]
-        discount = min(0.95, max(0.05, once / max(1, once + 2 * twice)))
-        parts.append({"tokens": max(1, tokens), "n": tokens, "distinct": distinct, "discount": discount, "spare": discount * distinct / tokens if tokens else 1.0, "texts": n_texts})
-    seen = counts.where("n0 > 0").select("word")
+def fit(spark: SparkSession, seen: DataFrame) -> dict:
+    """The bit model of a table of heads and words (key or word, n)."""
     bits = _summed(seen.mapInArrow(_count_bits, BLOCKS), {0: 2 * PREDICTORS * SLOTS})[0].astype(np.float32)
     shared = spark.sparkContext.broadcast(bits)
     learnt = _summed(seen.mapInArrow(_learn(shared), BLOCKS), {1: GATES * PREDICTORS + 1, 2: 2 * 256 * BUCKETS})
@@ -283,56 +384,50 @@ def fit(spark: SparkSession, counts: DataFrame, texts: list[int]) -> dict:
     bucket = 1.0 / (1.0 + np.exp(-(np.arange(BUCKETS) / 2.0 - 8.0)))
     zero, one = learnt[2][::2].reshape(256, BUCKETS), learnt[2][1::2].reshape(256, BUCKETS)
     refine = ((one + 4.0 * bucket) / (zero + one + 4.0)).reshape(-1)
-    return {"odds": np.log((bits[1::2] + PRIOR) / (bits[::2] + PRIOR)), "seen": (bits[::2] + bits[1::2]) > 0, "weights": weights, "refine": refine, "parts": parts}
+    return {"odds": np.log((bits[1::2] + PRIOR) / (bits[::2] + PRIOR)), "seen": (bits[::2] + bits[1::2]) > 0, "weights": weights, "refine": refine}
 
 
-def score_texts(docs: DataFrame, group: str | None = None) -> DataFrame:
+def score_texts(docs: DataFrame) -> DataFrame:
     """Counts and scores of every row of doc_id, text, learning from the rows that are not held out."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text", (F.col(group) if group else F.lit(None)).cast("string").alias("group"))
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
     hashed = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % HELD_OUT
-    learnt = docs.where(hashed != 0)
-    largest = learnt.where(F.col("group").isNotNull()).groupBy("group").count().orderBy(F.desc("count"), "group").limit(GROUPS).collect()  # at most GROUPS rows
-    groups = [r["group"] for r in largest]
-    texts = [learnt.count(), *(r["count"] for r in largest)]
-    ns, ks = [f"n{i}" for i in range(len(texts))], [f"log{i}" for i in range(len(texts))]
-    schema = "hash long, word binary, " + ", ".join(f"{n} long" for n in ns)
-    counts = written(docs.mapInArrow(_word_counts(groups), schema).groupBy("hash", "word").agg(*(F.sum(n).alias(n) for n in ns)), "lm-words")
-    model = fit(spark, counts, texts)
-    parts = model["parts"]
+    texts = docs.where(hashed != 0).count()
+    counts = written(docs.mapInArrow(_word_counts, "hash long, word binary, n long").groupBy("hash", "word").agg(F.sum("n").alias("n")), "lm-words")
+    heads = written(docs.mapInArrow(_head_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "lm-heads")
+    t = counts.agg(F.sum("n"), F.count_if(F.col("n") > 0)).first()
+    tokens, distinct = (t[0] or 0) + texts, t[1] + (texts > 0)
+    long_words = counts.where((F.col("n") > 0) & (F.length("word") >= REACH)).select(F.lit(None).cast("long").alias("key"), "word", "n")
+    model = fit(spark, heads.select("key", F.lit(None).cast("binary").alias("word"), "n").unionByName(long_words))
     shared = spark.sparkContext.broadcast(model)
-    logs = written(counts.mapInArrow(_log_probs(shared), "hash long, n long, " + ", ".join(f"{k} double" for k in ks)), "lm-logs")
+    logs = written(counts.mapInArrow(_tails(shared), "hash long, n long, tail double"), "lm-logs")
     least = _frequent(logs)
     hot = logs.where(F.col("n") >= least).toArrow()  # at most HOT_WORDS rows
     kinds = hot["hash"].to_numpy().view(np.uint64)
     order, empty = np.argsort(kinds), not len(kinds)
     n = hot["n"].to_numpy()[order]
-    bottom = float(np.log10(max(1e-9, parts[0]["n"] + 0.1 * (parts[0]["distinct"] + 1))))
-    end = 10.0 ** spelling_logs([b""], model)[0]
-    ends = [float(np.log10(max(1e-300, max(0.0, p["texts"] - p["discount"]) / p["tokens"] + p["spare"] * end))) for p in parts]
+    bottom = float(np.log10(max(1e-9, tokens + 0.1 * (distinct + 1))))
     frequent = {
         "hash": np.zeros(1, np.uint64) if empty else kinds[order],
         "counted": np.zeros(1) if empty else (n > 0).astype(float),
-        "logs": [np.zeros(1)] * (1 + len(ks)) if empty else [np.log10(n + 0.1) - bottom, *(hot[k].to_numpy()[order] for k in ks)],
-        "end_logs": [float(np.log10(texts[0] + 0.1) - bottom), *ends], "end_counted": int(texts[0] > 0),
+        "base": np.zeros(1) if empty else np.log10(n + 0.1) - bottom, "tail": np.zeros(1) if empty else hot["tail"].to_numpy()[order],
+        "end_base": float(np.log10(texts + 0.1) - bottom), "end_counted": int(texts > 0),
     }
     table_ = spark.sparkContext.broadcast(frequent)
-    sums = ["base", *ks]
+    sums = ["base", "score"]
     names = ["row", "doc_id", "hash", "times", "n_tokens", "n_known", *sums]
     kind = ", ".join(f"{x} long" for x in names[:6]) + ", " + ", ".join(f"{x} double" for x in sums)
-    rows = written(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_doc_rows(table_, names), kind), "lm-rows")
+    rows = written(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_doc_rows(table_, shared, names), kind), "lm-rows")
     rare = rows.where(F.col("hash").isNotNull()).select("row", "hash", "times").join(logs.where(F.col("n") < least), "hash")
     times, void = F.col("times"), F.lit(None).cast("long")
     rare = rare.select(
         "row", void.alias("doc_id"), void.alias("n_tokens"), F.when(F.col("n") > 0, times).otherwise(0).alias("n_known"),
-        (times * (F.log10(F.col("n") + 0.1) - F.lit(bottom))).alias("base"), *((times * F.col(k)).alias(k) for k in ks),
+        (times * (F.log10(F.col("n") + 0.1) - F.lit(bottom))).alias("base"), (times * F.col("tail")).alias("score"),
     )
     whole = rows.where(F.col("hash").isNull()).select("row", "doc_id", "n_tokens", "n_known", *sums).unionByName(rare)
     out = whole.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), *(F.sum(x).alias(x) for x in sums))
-    best = F.greatest(*ks) if len(ks) > 1 else F.col(ks[0])
-    mixed = best + F.log10(sum((F.pow(F.lit(10.0), F.col(k) - best) for k in ks), F.lit(0.0)) / F.lit(float(len(ks))))
-    return out.select("doc_id", (hashed == 0).alias("held_out"), "n_tokens", "n_known", F.lit(parts[0]["n"]).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), mixed.alias("score"))
+    return out.select("doc_id", (hashed == 0).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_texts(table(spark, sf_dir, "documents"), "lang")
+    return score_texts(table(spark, sf_dir, "documents"))

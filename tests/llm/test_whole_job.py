@@ -38,3 +38,43 @@ def test_stage_removes_by_five_words(spark, tmp_path):
     for r in neardup.similar_components(docs, 5).collect():
         sizes[r["n_shingles"]].add(r["doc_id"])
     assert sizes[0] == {97, 98} and sizes[1] == {90, 91, 92, 93, 94, 95, 96}
+
+
+def test_scores_cover_the_byte_stream():
+    """Heads and tails of a text together are its bits in a run over all its bytes, contexts crossing words."""
+    import numpy as np
+    import pyarrow as pa
+
+    from graphloom.llm import contextmix as cm
+    from graphloom.llm.wordhash import words_of
+
+    rng = np.random.default_rng(1)
+    model = {"odds": rng.normal(size=cm.PREDICTORS * cm.SLOTS), "seen": rng.random(cm.PREDICTORS * cm.SLOTS) < 0.5, "weights": np.full((cm.GATES, cm.PREDICTORS), 0.2), "refine": np.full(256 * cm.BUCKETS, 0.5)}
+    texts = ["One  two\tthreefold a bc", "threefold two bc a one", "", None, "verylongword x"]
+    words = words_of(pa.array(texts))
+    keys, row = cm.heads_of(words)
+    got = np.bincount(row, weights=cm.HeadLogs(model).of(keys), minlength=len(texts))
+    for i, text in enumerate(texts):
+        got[i] += cm.tail_logs([w.encode() for w in tokens_of(text)], model).sum()
+        values, before, prefix = [], [[] for _ in range(cm.REACH)], []
+        stream = bytes(cm.REACH)
+        for word in [*tokens_of(text), ""]:
+            so_far = np.uint64(0)
+            for at, b in enumerate(word.encode() + b" "):
+                values.append(b)
+                prefix.append(so_far)
+                for k in range(cm.REACH):
+                    before[k].append(stream[-1 - k])
+                stream += bytes([b])
+                with np.errstate(over="ignore"):
+                    so_far = so_far + cm._placed(np.array([b]), np.array([at]))[0]
+        every = cm.Contexts(np.array(values, np.uint8), [np.array(b, np.uint64) for b in before], np.array(prefix, np.uint64))
+        assert np.isclose(got[i], cm._logs(every, model).sum())
+
+
+def test_word_order_counts_in_scores(spark):
+    from graphloom.llm import contextmix as cm
+
+    docs = spark.createDataFrame([(i, "the cat sat on a mat and the dog ran") for i in range(30)] + [(100, "dog mat the a the ran sat on and cat")], "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in cm.score_texts(docs).collect()}
+    assert score[1] > score[100] + 1
