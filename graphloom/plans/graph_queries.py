@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import graph, navigation, retrieval, sinks
@@ -102,9 +101,11 @@ def frontier_structural(spark, d):
 
 @query()
 def beam_navigation(spark, d):
+    """From every document whose id is divisible by 50, with its own vector as the query."""
     docs = _semantic_docs(spark, d)
-    v = table(spark, d, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    seeds = docs.orderBy("doc_id").limit(5).select((F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long").alias("query_id"), "doc_id", F.lit(0.5).alias("score"))
+    start = docs.where("doc_id % 50 = 0")
+    v = start.select(F.col("doc_id").alias("query_id"), "v")
+    seeds = start.select(F.col("doc_id").alias("query_id"), "doc_id", F.lit(0.5).alias("score"))
     return navigation.navigate(docs, v, seeds)
 
 

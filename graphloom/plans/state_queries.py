@@ -274,5 +274,5 @@ def frontier_scoring_eval(spark, d):
     from graphloom.plans.graph_queries import _semantic_docs
 
     docs = _semantic_docs(spark, d)
-    cases = docs.orderBy("doc_id").limit(5).select(F.col("doc_id").alias("case_id"), F.col("doc_id").alias("from_id"), "v")
+    cases = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("case_id"), F.col("doc_id").alias("from_id"), "v")
     return arms.frontier_scores(docs, cases, {"query": 0.5, "profile": 0.2, "structure": 0.15, "evidence": 0.1, "novelty": 0.05}).select("case_id", "doc_id", "rank", F.round("score", 6).alias("score"))
