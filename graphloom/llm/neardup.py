@@ -238,7 +238,7 @@ def similar_components(docs: DataFrame, size: int = 2) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
     rows = written(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketches(size), "doc_id long, text_hash long, n long, node long, sketch array<long>"), "dup-rows")
-    nodes = written(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "dup-nodes")
+    nodes = written(rows.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "text_hash")).alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumns({"rep": F.col("least.doc_id"), "rep_text": F.col("least.text_hash")}).drop("least"), "dup-nodes")
     keyed = written(_sized(nodes.select("node", "n", F.explode(F.slice("sketch", 1, KEYS)).alias("key"))), "dup-keys")
     busy = keyed.where(F.col("size") > LIST).select("node").distinct()
     bands = nodes.join(busy, "node", "left_semi").select("node", "n", "sketch").mapInArrow(_band_keys, "node long, n long, keys array<long>")
@@ -262,10 +262,12 @@ def similar_components(docs: DataFrame, size: int = 2) -> DataFrame:
 
 def _verified(docs: DataFrame, nodes: DataFrame, families: DataFrame, size: int) -> DataFrame:
     """Links (a, b) between nodes of one family that hold on full sets: a spanning forest per task."""
-    wanted = written(families.join(nodes.select("node", "rep"), "node"), "dup-wanted")
+    wanted = written(families.join(nodes.select("node", "rep", "rep_text"), "node"), "dup-wanted")
     count = wanted.count()
-    ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    ids = wanted.select("rep", "rep_text").distinct()
+    ids = F.broadcast(ids) if count <= BROADCAST_IDS else ids
+    # by text too: the rows of a node may all be without an id
+    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["rep"]) & (F.xxhash64("text") == F.col("rep_text")), "left_semi")
     sets = texts.select("text").mapInArrow(_full_sets(size), "node long, shingles array<long>")
     sizes = wanted.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
     place = wanted.select("node", "root").join(sizes, "root").withColumn("parts", F.expr(f"(members + {BLOCK - 1}) div {BLOCK}").cast("int"))

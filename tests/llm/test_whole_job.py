@@ -78,3 +78,16 @@ def test_word_order_counts_in_scores(spark):
     docs = spark.createDataFrame([(i, "the cat sat on a mat and the dog ran") for i in range(30)] + [(100, "dog mat the a the ran sat on and cat")], "doc_id long, text string")
     score = {r["doc_id"]: r["score"] for r in cm.score_texts(docs).collect()}
     assert score[1] > score[100] + 1
+
+
+def test_rows_without_id_link_others(spark):
+    """A text that only rows without an id have joins two documents that are not near copies of each other."""
+    from graphloom.llm import neardup
+
+    words = [f"w{i}" for i in range(200)]
+    edited = lambda n: " ".join(f"v{i}" if i % 20 == 0 and i < 20 * n else w for i, w in enumerate(words))
+    rows = [(1, edited(0)), (None, edited(8)), (None, edited(8)), (2, " ".join(f"v{i}" if i % 20 == 0 or i % 20 == 10 and i < 120 else w for i, w in enumerate(words)))]
+    found = {r["doc_id"]: r["component_id"] for r in neardup.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: 1, 2: 1, None: 1}
+    alone = neardup.similar_components(spark.createDataFrame([rows[0], rows[3]], "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in alone} == {1, 2}
