@@ -11,8 +11,8 @@ complete (less than j pieces) is packed first-fit-decreasing in small groups.
 Ids come from the vocabulary's rank file through a byte-pair encoder several
 times as fast as the JSON file's own library; tests hold both to equal ids.
 
-Defined results: a null or empty text is the one closing id; a text's control
-strings are ordinary text; repeated rows are packed each; an empty table gives
+Defined results: a null or empty text is the one closing id; the tokenizer's added
+token in a text is its one id; repeated rows are packed each; an empty table gives
 an empty result.
 """
 
@@ -39,6 +39,8 @@ END_ID = 1
 WORKER_ROWS = 1024
 LEFT_ROWS = 100
 TOKENIZER = "byte_bpe_50k.tiktoken"
+#: Tokens that the JSON file adds to the ranks.
+ADDED = {TOKENIZER: {"<|endoftext|>": 50256}}
 
 
 @lru_cache(maxsize=4)
@@ -50,12 +52,12 @@ def encoder(name: str = TOKENIZER):
     path = name if "/" in name else public_tokenizers.path(name)
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED.get(name, {}))
 
 
 def token_ids(text: str | None, name: str = TOKENIZER) -> np.ndarray:
     """A document's ids, the closing one included."""
-    return np.append(encoder(name).encode_to_numpy(text or "", disallowed_special=()), END_ID).astype("<u4")
+    return np.append(encoder(name).encode_to_numpy(text or "", allowed_special="all", disallowed_special=()), END_ID).astype("<u4")
 
 
 @lru_cache(maxsize=None)

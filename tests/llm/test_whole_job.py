@@ -91,3 +91,14 @@ def test_rows_without_id_link_others(spark):
     assert found == {1: 1, 2: 1, None: 1}
     alone = neardup.similar_components(spark.createDataFrame([rows[0], rows[3]], "doc_id long, text string")).collect()
     assert {r["component_id"] for r in alone} == {1, 2}
+
+
+def test_added_token_has_its_id():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from graphloom.llm import packing
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|>c", "<|endoftext| >", "plain", "", "é\n<|endoftext|>\n"):
+        assert packing.token_ids(text).tolist() == [*t.encode(text, add_special_tokens=False).ids, 1]
