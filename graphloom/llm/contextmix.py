@@ -9,8 +9,10 @@ bytes, bit by bit, from a bit model whose contexts cross words:
   training texts, each occurrence counted;
 * their log-odds are combined by weights that a gate (bit position and the
   longest context seen) selects; weights are learnt online, step by step,
-  leaving each occurrence out of its own counts, by every task over its share,
-  and averaged;
+  leaving each occurrence out of its own counts, over blocks of about LEARN_ROWS
+  distinct contexts in the order of their hashes, and averaged.  Blocks follow
+  from the contexts alone, and sums are taken in their order: the model does not
+  depend on partitions or tasks;
 * an adaptive table refines the mixed probability by its size and the bits so
   far.
 
@@ -21,13 +23,15 @@ A byte with four bytes or more of its word before it (a tail) depends on its
 word alone, any other (a head) on the four bytes before it and its place in the
 word.  So each distinct head and each distinct word's tail is learnt once, times
 its occurrences, and computed once per task or table; sums over a text are those
-of a run over all its bytes.  The bit model has a fixed size; words and heads
-are counted by hash.  Texts meet the HOT_WORDS most frequent words as a table of
+of a run over all its bytes.  The bit tables grow with the number of distinct
+contexts, from SLOTS to MAX_SLOTS a predictor; words and heads are counted by hash.  Texts meet the HOT_WORDS most frequent words as a table of
 bounded size and all others in a join.
 
 Defined results: a null text is empty: one token, the end; equal texts have
 equal scores; repeated rows are each scored and, in training, each counted; a
-null id hashes as the empty string; an empty table gives an empty result.
+null id hashes as the empty string; a very long text is worked on in slices of
+words; words of one count are all frequent or none; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +50,10 @@ from graphloom.llm.wordhash import _SPACE, Words, mix, slices, words_of
 
 HELD_OUT = 10
 HOT_WORDS = 1 << 19
-SLOTS = 1 << 18
+#: Slots of each predictor's table: one for about eight distinct contexts, within these bounds.
+SLOTS, MAX_SLOTS = 1 << 18, 1 << 20
+#: Distinct contexts that are learnt from in one block, and those taken together.
+LEARN_ROWS, LEARN_BATCH = 1 << 17, 1 << 14
 PREDICTORS = 6
 LEVELS = PREDICTORS + 1
 GATES = 8 * LEVELS
@@ -81,13 +89,13 @@ class Contexts:
             hashes.append(mix(prefix + np.uint64(7 << 40)))
         self.hashes = hashes
 
-    def bits(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    def bits(self, size: int = SLOTS) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(position, bits so far with a leading 1, slots per predictor, bit)."""
         value = self.bytes.astype(np.uint64)
         for position in range(8):
             node = (np.uint64(1) << np.uint64(position)) | (value >> np.uint64(8 - position))
             salt = mix(node + np.uint64(11))
-            slots = np.stack([((h ^ salt) & np.uint64(SLOTS - 1)).astype(np.int64) + i * SLOTS for i, h in enumerate(self.hashes)])
+            slots = np.stack([((h ^ salt) & np.uint64(size - 1)).astype(np.int64) + i * size for i, h in enumerate(self.hashes)])
             yield position, node.astype(np.int64), slots, ((value >> np.uint64(7 - position)) & np.uint64(1)).astype(bool)
 
 
@@ -171,25 +179,32 @@ def _chunks(words: list[bytes]) -> Iterator[list[bytes]]:
         yield now
 
 
-def _as_blocks(array: np.ndarray, kind: int) -> pa.RecordBatch:
+def _as_blocks(array: np.ndarray, kind: int, part: int) -> pa.RecordBatch:
     parts = [array[a : a + BLOCK] for a in range(0, len(array), BLOCK)]
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(parts), pa.int32()), pa.array(range(len(parts)), pa.int32()), pa.array([p.astype("<f4").tobytes() for p in parts], pa.binary())], ["kind", "block", "sums"])
+    columns = [pa.array([kind] * len(parts), pa.int32()), pa.array(range(len(parts)), pa.int32()), pa.array([part] * len(parts), pa.int64()), pa.array([p.astype("<f8").tobytes() for p in parts], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["kind", "block", "part", "sums"])
 
 
-BLOCKS = "kind int, block int, sums binary"
+BLOCKS = "kind int, block int, part long, sums binary"
+#: Parts that are summed first, group by group.
+SUM_GROUPS = 64
 
 
-def _summed(rows: DataFrame, sizes: dict[int, int]) -> dict[int, np.ndarray]:
-    """Sums over all tasks of arrays of a fixed size, given in blocks."""
+def _add(pdf):
+    pdf = pdf.sort_values("part")
+    out = pdf.head(1).copy()
+    total = np.zeros(len(out["sums"].iloc[0]) // 8)
+    for b in pdf["sums"]:
+        total += np.frombuffer(b, dtype="<f8")
+    out["sums"] = [total.astype("<f8").tobytes()]
+    return out
 
-    def add(pdf):
-        total = np.sum([np.frombuffer(b, dtype="<f4").astype(float) for b in pdf["sums"]], axis=0)
-        out = pdf.head(1).copy()
-        out["sums"] = [total.astype("<f8").tobytes()]
-        return out
 
+def _summed(rows: DataFrame, sizes: dict[int, int]) -> dict[int, np.ndarray]:
+    """Sums over all parts of arrays of a fixed size, given in blocks, in the order of their parts."""
     got = {k: np.zeros(n) for k, n in sizes.items()}
-    for r in rows.groupBy("kind", "block").applyInPandas(add, BLOCKS).collect():  # a fixed number of rows
+    some = rows.groupBy("kind", "block", F.pmod("part", F.lit(SUM_GROUPS)).alias("some")).applyInPandas(lambda key, pdf: _add(pdf), BLOCKS)
+    for r in some.groupBy("kind", "block").applyInPandas(lambda key, pdf: _add(pdf), BLOCKS).collect():  # a fixed number of rows
         part = np.frombuffer(r["sums"], dtype="<f8")
         got[r["kind"]][r["block"] * BLOCK : r["block"] * BLOCK + len(part)] = part
     return got
@@ -209,15 +224,18 @@ def _events(batch: pa.RecordBatch) -> Iterator[tuple[Contexts, np.ndarray]]:
         a += len(words)
 
 
-def _count_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(2 * PREDICTORS * SLOTS)
-    for batch in batches:
-        for event, times in _events(batch):
-            for _, _, slots, bit in event.bits():
-                for i in range(PREDICTORS):
-                    own = slice(2 * i * SLOTS, 2 * (i + 1) * SLOTS)
-                    counts[own] += np.bincount((slots[i] - i * SLOTS) * 2 + bit, weights=times, minlength=2 * SLOTS)
-    yield _as_blocks(counts, 0)
+def _count_bits(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(2 * PREDICTORS * size)
+        for batch in batches:
+            for event, times in _events(batch):
+                for _, _, slots, bit in event.bits(size):
+                    for i in range(PREDICTORS):
+                        own = slice(2 * i * size, 2 * (i + 1) * size)
+                        counts[own] += np.bincount((slots[i] - i * size) * 2 + bit, weights=times, minlength=2 * size)
+        yield _as_blocks(counts, 0, TaskContext.get().partitionId())
+
+    return run
 
 
 def _left_out(counts: np.ndarray, slots: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,14 +252,17 @@ def _refined(table_: np.ndarray, score: np.ndarray, node: np.ndarray) -> tuple[n
     return (plain + table_[cell]) / 2.0, cell
 
 
-def _learn(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
+def _learn(shared, size: int):
+    """The weights and refinement hits of one block of contexts, in the order of their hashes."""
+
+    def run(block: pa.Table) -> pa.Table:
+        counts, part = shared.value, block["part"][0].as_py()
+        block = block.sort_by([("order", "ascending"), ("key", "ascending"), ("word", "ascending")]).combine_chunks()
         weights, steps = np.full((GATES, PREDICTORS), 1.0 / PREDICTORS), 0
         hits = np.zeros(2 * 256 * BUCKETS)
-        for batch in batches:
+        for batch in block.to_batches(max_chunksize=LEARN_BATCH):
             for event, times in _events(batch):
-                for position, node, slots, bit in event.bits():
+                for position, node, slots, bit in event.bits(size):
                     inputs, level = _left_out(counts, slots, bit)
                     gate = position * LEVELS + level
                     for a in range(0, len(bit), STEP):
@@ -249,14 +270,13 @@ def _learn(shared):
                         share = n * (len(n) / n.sum())
                         score = np.clip((weights[g] * x.T).sum(1), -12, 12)
                         wrong = share * (y - 1.0 / (1.0 + np.exp(-score)))
-                        size = np.maximum(1, np.bincount(g, weights=share, minlength=GATES))
+                        crowd = np.maximum(1, np.bincount(g, weights=share, minlength=GATES))
                         for i in range(PREDICTORS):
-                            weights[:, i] += RATE * np.bincount(g, weights=wrong * x[i], minlength=GATES) / np.sqrt(size)
+                            weights[:, i] += RATE * np.bincount(g, weights=wrong * x[i], minlength=GATES) / np.sqrt(crowd)
                         cell = node[a : a + STEP] * BUCKETS + np.clip(np.rint((score + 8.0) * 2.0), 0, BUCKETS - 1).astype(np.int64)
                         hits += np.bincount(cell * 2 + y, weights=n, minlength=len(hits))
                         steps += len(y)
-        yield _as_blocks(np.append(weights.reshape(-1) * steps, steps), 1)
-        yield _as_blocks(hits, 2)
+        return pa.Table.from_batches([_as_blocks(np.append(weights.reshape(-1) * steps, steps), 1, part), _as_blocks(hits, 2, part)])
 
     return run
 
@@ -264,7 +284,7 @@ def _learn(shared):
 def _logs(event: Contexts, model: dict) -> np.ndarray:
     """log10 of each byte's probability under the bit model."""
     total = np.zeros(len(event.bytes))
-    for position, node, slots, bit in event.bits():
+    for position, node, slots, bit in event.bits(len(model["odds"]) // PREDICTORS):
         inputs, level = model["odds"][slots], model["seen"][slots].sum(0)
         score = np.clip((model["weights"][position * LEVELS + level] * inputs.T).sum(1), -12, 12)
         p, _ = _refined(model["refine"], score, node)
@@ -352,13 +372,14 @@ def _doc_rows(shared, model, names: list[str]):
             sums = [pa.array(total(hot["base"]) + hot["end_base"]), pa.array(score)]
             counted = pa.array((total(hot["counted"]) + hot["end_counted"]).astype(np.int64))
             tokens = pa.array(np.bincount(words.row, minlength=n) + 1)
-            yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"].cast(pa.int64()), nothing, nothing, tokens, counted, *sums], names)
+            size = pa.array(np.bincount(words.row, weights=words.end - words.start + 1, minlength=n).astype(np.int64) + 1)
+            yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"].cast(pa.int64()), nothing, nothing, size, tokens, counted, *sums], names)
             pair = words.row[~known] * np.int64(max(1, len(kinds))) + which[~known]
             pair, times = np.unique(pair, return_counts=True)
             if len(times):
                 void, real = pa.nulls(len(times), pa.int64()), pa.nulls(len(times), pa.float64())
                 row, kind = pair // len(kinds), pair % len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[row]), void, pa.array(kinds[kind].view(np.int64)), pa.array(times.astype(np.int64)), void, void, *[real] * len(sums)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[row]), void, pa.array(kinds[kind].view(np.int64)), pa.array(times.astype(np.int64)), void, void, void, *[real] * len(sums)], names)
 
     return run
 
@@ -377,9 +398,15 @@ def _frequent(words: DataFrame) -> int:
 
 def fit(spark: SparkSession, seen: DataFrame) -> dict:
     """The bit model of a table of heads and words (key or word, n)."""
-    bits = _summed(seen.mapInArrow(_count_bits, BLOCKS), {0: 2 * PREDICTORS * SLOTS})[0].astype(np.float32)
+    rows = seen.count()
+    size = SLOTS
+    while size < MAX_SLOTS and size * 8 < rows:
+        size *= 2
+    bits = _summed(seen.mapInArrow(_count_bits(size), BLOCKS), {0: 2 * PREDICTORS * size})[0].astype(np.float32)
     shared = spark.sparkContext.broadcast(bits)
-    learnt = _summed(seen.mapInArrow(_learn(shared), BLOCKS), {1: GATES * PREDICTORS + 1, 2: 2 * 256 * BUCKETS})
+    order = F.xxhash64("key", "word")
+    blocks = seen.select("key", "word", "n", order.alias("order"), F.pmod(order, F.lit(-(-rows // LEARN_ROWS) or 1)).alias("part"))
+    learnt = _summed(blocks.groupBy("part").applyInArrow(_learn(shared, size), BLOCKS), {1: GATES * PREDICTORS + 1, 2: 2 * 256 * BUCKETS})
     weights = learnt[1][:-1].reshape(GATES, PREDICTORS) / learnt[1][-1] if learnt[1][-1] else np.full((GATES, PREDICTORS), 1.0 / PREDICTORS)
     bucket = 1.0 / (1.0 + np.exp(-(np.arange(BUCKETS) / 2.0 - 8.0)))
     zero, one = learnt[2][::2].reshape(256, BUCKETS), learnt[2][1::2].reshape(256, BUCKETS)
@@ -388,7 +415,10 @@ def fit(spark: SparkSession, seen: DataFrame) -> dict:
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
-    """Counts and scores of every row of doc_id, text, learning from the rows that are not held out."""
+    """Counts and scores of every row of doc_id, text, learning from the rows that are not held out.
+
+    ``n_bytes`` is the length of the modelled stream, ``bits_per_byte`` its total bits over that length.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     hashed = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % HELD_OUT
@@ -415,18 +445,18 @@ def score_texts(docs: DataFrame) -> DataFrame:
     }
     table_ = spark.sparkContext.broadcast(frequent)
     sums = ["base", "score"]
-    names = ["row", "doc_id", "hash", "times", "n_tokens", "n_known", *sums]
-    kind = ", ".join(f"{x} long" for x in names[:6]) + ", " + ", ".join(f"{x} double" for x in sums)
+    names = ["row", "doc_id", "hash", "times", "n_bytes", "n_tokens", "n_known", *sums]
+    kind = ", ".join(f"{x} long" for x in names[:7]) + ", " + ", ".join(f"{x} double" for x in sums)
     rows = written(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_doc_rows(table_, shared, names), kind), "lm-rows")
     rare = rows.where(F.col("hash").isNotNull()).select("row", "hash", "times").join(logs.where(F.col("n") < least), "hash")
     times, void = F.col("times"), F.lit(None).cast("long")
     rare = rare.select(
-        "row", void.alias("doc_id"), void.alias("n_tokens"), F.when(F.col("n") > 0, times).otherwise(0).alias("n_known"),
+        "row", void.alias("doc_id"), void.alias("n_bytes"), void.alias("n_tokens"), F.when(F.col("n") > 0, times).otherwise(0).alias("n_known"),
         (times * (F.log10(F.col("n") + 0.1) - F.lit(bottom))).alias("base"), (times * F.col("tail")).alias("score"),
     )
-    whole = rows.where(F.col("hash").isNull()).select("row", "doc_id", "n_tokens", "n_known", *sums).unionByName(rare)
-    out = whole.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), *(F.sum(x).alias(x) for x in sums))
-    return out.select("doc_id", (hashed == 0).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+    whole = rows.where(F.col("hash").isNull()).select("row", "doc_id", "n_bytes", "n_tokens", "n_known", *sums).unionByName(rare)
+    out = whole.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), *(F.sum(x).alias(x) for x in sums))
+    return out.select("doc_id", (hashed == 0).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", "n_bytes", (F.col("score") / F.lit(-float(np.log10(2.0))) / F.col("n_bytes")).alias("bits_per_byte"))
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
