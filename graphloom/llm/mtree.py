@@ -9,13 +9,16 @@ their own pivot.  A search pops the page with the least lower bound; stored
 distances bound entries and pages by the triangle inequality before any
 distance is computed.  Scores themselves are exact integers.
 
-Queries meet every shard in blocks; each block keeps its k best, and a window
-merges the shards.
+Queries meet every shard in blocks.  A search does not start without a bound: the
+k-th best score of a query among SEEDS vectors, broadcast to all, is one that
+holds in every shard.  Each block keeps its k best, and a window merges the shards.
 
 Defined results: vectors that are null or hold null or non-finite components,
 and those without an id, take no part; a shorter vector counts as padded with zeros; rows that share a
 query's id are its own and no candidates; equal scores go to the smaller id;
-repeated candidate rows are each a candidate; an empty table gives no rows.
+repeated candidate rows are each a candidate; components whose squares could pass
+the range of a long are multiplied as Python integers, and a score beyond that
+range becomes its limit; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +39,10 @@ SHARD_ROWS = 8192
 QUERY_BLOCK = 4096
 LEAF = 48
 PAGE = 256
+#: Vectors, those with the least hash, that give every query its first bound.
+SEEDS = 1024
+#: Squared norms from here on are beyond int64 sums.
+WIDE = 2.0**62
 PAGES = "shard int, page int, parent int, pivot array<double>, radius double, to_parent double, ids array<long>, vectors binary, to_pivot array<double>"
 
 
@@ -99,12 +106,13 @@ class Tree:
         self.root_radius = np.array([self.pages[t][3] for t in self.top])
         self.computed = 0
 
-    def search(self, own: int, query: np.ndarray, largest: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and scores of the k best, best first."""
+    def search(self, own: int, query: np.ndarray, largest: float, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """ids and scores of the k best, best first; fewer if scores below ``least`` need not be found."""
         point = np.append(query.astype(float), 0.0)
         base = float((point**2).sum()) + largest
         slack = 1e-7 * (1.0 + base**0.5)
-        ids, scores, limit = np.empty(0, np.int64), np.empty(0, np.int64), np.inf
+        start = max(0.0, base - 2.0 * least) ** 0.5
+        ids, scores, limit = np.empty(0, np.int64), np.empty(0, np.int64), start
         d = np.sqrt(((self.roots - point) ** 2).sum(1))
         self.computed += len(d)
         queue = [(max(0.0, x - r), t, x) for t, x, r in zip(self.top, d, self.root_radius, strict=True)]
@@ -126,16 +134,37 @@ class Tree:
                 near = np.flatnonzero((np.abs(dist - to_pivot) <= limit + slack) & (entry != own))
                 self.computed += len(near)
                 ids = np.concatenate((ids, entry[near]))
-                scores = np.concatenate((scores, vectors[near] @ query))
+                scores = np.concatenate((scores, _within_long(vectors[near] @ query)))
                 if len(ids) > k:
-                    best = np.lexsort((ids, -scores))[:k]
+                    best = _best(ids, scores)[:k]
                     ids, scores = ids[best], scores[best]
                 if len(ids) == k:
-                    limit = max(0.0, base - 2.0 * float(scores.min())) ** 0.5
-        best = np.lexsort((ids, -scores))
+                    limit = min(start, max(0.0, base - 2.0 * float(scores.min())) ** 0.5)
+        best = _best(ids, scores)
         return ids[best], scores[best]
 
 
+def _best(ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Places by score, best first, then by id."""
+    return np.lexsort((ids, ~scores))
+
+
+def _within_long(scores: np.ndarray) -> np.ndarray:
+    limits = np.iinfo(np.int64)
+    return np.array([min(max(int(x), limits.min), limits.max) for x in scores], dtype=np.int64) if scores.dtype == object else scores
+
+
+def _first_bounds(own: np.ndarray, queries: np.ndarray, ids: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of each query among the seeds, itself left out; -inf if there are fewer."""
+    out = np.full(len(queries), -np.inf)
+    for a in range(0, len(queries), 512):
+        scores = queries[a : a + 512].astype(float) @ seeds.T.astype(float)
+        scores[own[a : a + 512, None] == ids[None, :]] = -np.inf
+        if len(ids) >= k:
+            out[a : a + 512] = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+    return out - 1e-6 * (1.0 + np.abs(out, where=np.isfinite(out), out=np.zeros(len(out))))
+
+
 def _padded(rows: list, width: int) -> np.ndarray:
     out = np.zeros((len(rows), width), dtype=np.int64)
     for i, r in enumerate(rows):
@@ -155,6 +184,9 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         pages = build_pages(ids, _padded(pdf["v"].tolist(), width), largest, int(key[0]))
         return pd.DataFrame([(key[0], p[0], p[1], p[2], p[3], p[4], p[5], p[6].tobytes(), p[7]) for p in pages], columns=["shard", "page", "parent", "pivot", "radius", "to_parent", "ids", "vectors", "to_pivot"])
 
+    first = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SEEDS).select("vec_id", "v").collect()  # at most SEEDS rows
+    number = object if largest >= WIDE else np.int64
+    shared = vectors.sparkSession.sparkContext.broadcast((np.array([r["vec_id"] for r in first], dtype=np.int64), _padded([r["v"] for r in first], width)))
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard")
     pages = written(vectors.select(shard, "vec_id", "v").groupBy("shard").applyInPandas(build, PAGES), "mtree-pages")
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
@@ -163,8 +195,10 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         if not len(page_rows) or not len(query_rows):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         fields = page_rows[["page", "parent", "pivot", "radius", "to_parent", "ids", "vectors", "to_pivot"]].itertuples(index=False, name=None)
-        tree = Tree([(a, b, np.asarray(c, float), d, e, np.asarray(f, np.int64), np.frombuffer(g, np.int64).reshape(-1, width), np.asarray(h, float)) for a, b, c, d, e, f, g, h in fields])
-        found = [(q, *tree.search(q, x, largest, k)) for q, x in zip(query_rows["vec_id"], _padded(query_rows["v"].tolist(), width), strict=True)]
+        tree = Tree([(a, b, np.asarray(c, float), d, e, np.asarray(f, np.int64), np.frombuffer(g, np.int64).reshape(-1, width).astype(number), np.asarray(h, float)) for a, b, c, d, e, f, g, h in fields])
+        own, points = query_rows["vec_id"].to_numpy(dtype=np.int64), _padded(query_rows["v"].tolist(), width)
+        least = _first_bounds(own, points, *shared.value, k)
+        found = [(q, *tree.search(q, x, largest, k, low)) for q, x, low in zip(own, points.astype(number), least, strict=True)]
         return pd.DataFrame({"query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])}).astype("int64")
 
     left = pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
