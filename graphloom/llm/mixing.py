@@ -7,14 +7,19 @@ the least repeated one.  The normalised weights become token budgets: the
 largest source is read once, every other source as often as its weight says.
 
 A source's stream is made of epochs.  Its documents lie in blocks of about
-BLOCK_ROWS; each epoch permutes the blocks by hash, and documents inside them.
-The last epoch takes whole blocks until the budget is met.  ``mix_at``, the
-place in the stream over the budget, orders all sources' documents into one
-evenly mixed stream.
+BLOCK_ROWS, or in LEAST_BLOCKS if they are few, so that budgets are met closely
+at every size; each epoch permutes the blocks by hash, and documents inside
+them.  The last epoch takes whole blocks until the budget is met.  Where blocks
+start is summed in two steps (within RUN blocks, then over runs), so that no
+task sees all blocks of a large source.  ``mix_at``, the place in the stream
+over the budget, orders all sources' documents into one evenly mixed stream.
 
 Defined results: null texts count as one token, as do empty ones; a null source
-counts as the empty one; repeated rows are each dealt; ties in hashes are ordered by
-document id; an empty table gives an empty result.
+counts as the empty one; repeated rows are each dealt; rows are dealt by id and
+text, so that rows without an id spread too; ties in hashes are ordered by
+document id; a very long text is one row of many tokens; an empty table gives an
+empty result; other columns are kept by the stage, whatever their names, and
+ignored by the query.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.store import table, written
+from graphloom.llm.store import aside, table, written
 
 MAX_REPEAT = 2.0
 #: Share of the highest possible entropy that the mixture may reach.
@@ -30,6 +35,10 @@ TARGET_ENTROPY = 0.95
 SECTIONS = 32
 ROUNDS = 5
 BLOCK_ROWS = 512
+#: Blocks of a source at least (fewer only if it has fewer rows).
+LEAST_BLOCKS = 64
+#: Blocks whose starts one task sums.
+RUN = 4096
 SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -71,7 +80,7 @@ def plan(rows: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repeat: fl
     exponent = bisect_exponent(sources, target_entropy, max_repeat)
     most = sources.agg(F.max("total")).first()[0] or 1
     budgets = sources.withColumn("_times", F.pow(F.col("total") / F.lit(float(most)), F.lit(exponent - 1.0))).withColumn("_budget", F.col("_times") * F.col("total"))
-    return budgets.withColumn("_blocks", F.greatest(F.lit(1), F.expr(f"n div {BLOCK_ROWS}")).cast("long")).drop("n")
+    return budgets.withColumn("_blocks", F.greatest(F.least(F.col("n"), F.lit(LEAST_BLOCKS)), F.expr(f"n div {BLOCK_ROWS}")).cast("long")).drop("n")
 
 
 def _block(key: str = "_key"):
@@ -83,13 +92,20 @@ def schedule(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     sized = rows.join(budgets.select("_source", "_blocks"), "_source").groupBy("_source", _block().alias("_block")).agg(F.sum("_tokens").alias("_size"))
     each = sized.join(budgets.select("_source", "total", "_times", "_budget"), "_source")
     each = each.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_times") - 1e-9).cast("int") - 1)))
-    order = Window.partitionBy("_source", "_epoch").orderBy(F.xxhash64(F.lit(SEED), "_source", "_epoch", "_block"), "_block").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.withColumn("_start", F.col("_epoch") * F.col("total") + F.coalesce(F.sum("_size").over(order), F.lit(0)))
+    # the order of blocks is that of a hash, whose leading part names the run
+    each = each.withColumn("_hash", F.xxhash64(F.lit(SEED), "_source", "_epoch", "_block")).join(budgets.select("_source", F.expr(f"greatest(1, _blocks div {RUN})").alias("_runs")), "_source")
+    each = each.withColumn("_run", F.expr("shiftright(_hash, 32) + 2147483648L") * F.col("_runs") / F.lit(float(1 << 32))).withColumn("_run", F.floor("_run"))
+    runs = each.groupBy("_source", "_epoch", "_run").agg(F.sum("_size").alias("_sum"))
+    earlier = Window.partitionBy("_source", "_epoch").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("_source", "_epoch", "_run", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    order = Window.partitionBy("_source", "_epoch", "_run").orderBy("_hash", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("_inside", F.coalesce(F.sum("_size").over(order), F.lit(0))).join(runs, ["_source", "_epoch", "_run"])
+    each = each.withColumn("_start", F.col("_epoch") * F.col("total") + F.col("_base") + F.col("_inside"))
     return each.where(F.col("_start") < F.col("_budget") * (1 - 1e-12)).select("_source", "_block", "_epoch", "_start", "_budget")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_source", F.coalesce(F.col("source"), F.lit(""))).withColumn("_key", F.xxhash64(F.lit(SEED), "doc_id")).withColumn("_tokens", tokens())
+    return docs.withColumn("_source", F.coalesce(F.col("source"), F.lit(""))).withColumn("_key", F.xxhash64(F.lit(SEED), "doc_id", "text")).withColumn("_tokens", tokens())
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,12 +121,11 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as often as its block is taken."""
-    keyed = _keyed(docs)
-    rows = written(keyed.select("_source", "_key", "_tokens"), "mix-rows")
+    docs, back = aside(docs, "doc_id", "text", "source")
+    rows = written(_keyed(docs).select("_source", "_key", "_tokens"), "mix-rows")
     budgets = written(plan(rows), "mix-budgets")
     taken = schedule(rows, budgets).groupBy("_source", "_block").agg(F.count(F.lit(1)).alias("_copies"))
     taken = taken.join(budgets.select("_source", "_blocks"), "_source")
-    wide = docs.withColumn("_source", F.coalesce(F.col("source"), F.lit(""))).withColumn("_key", F.xxhash64(F.lit(SEED), "doc_id"))
-    wide = wide.join(budgets.select("_source", "_blocks"), "_source").withColumn("_block", _block())
+    wide = _keyed(docs).drop("_tokens").join(budgets.select("_source", "_blocks"), "_source").withColumn("_block", _block())
     wide = wide.join(written(taken.select("_source", "_block", "_copies"), "mix-copies"), ["_source", "_block"])
-    return wide.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    return wide.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*back)

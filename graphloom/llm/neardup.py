@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.store import table, written
+from graphloom.llm.store import aside, table, written
 from graphloom.llm.wordhash import mix, slices, word_shingles, words_of
 
 SIMILAR = 80  # percent
@@ -306,7 +306,8 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group of near-duplicates on STAGE_WORDS-word shingles, that with the least id."""
     found = similar_components(docs, STAGE_WORDS).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = written(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).distinct(), "dup-kept")
+    docs, back = aside(docs, "doc_id", "text")
     hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     same = Window.partitionBy("doc_id", "_hash").orderBy("doc_id")
     stays = hashed.join(kept, hashed["doc_id"].eqNullSafe(kept["_id"]) & (hashed["_hash"] == kept["_text"]), "left_semi")
-    return stays.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").select(*docs.columns)
+    return stays.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").select(*back)

@@ -6,18 +6,19 @@ ledger lacks under the current rules and joins findings back to every path that
 holds the blob.  Copies are therefore scanned once, and a rerun scans nothing.
 
 Defined results: a null text is an empty blob with no findings; repeated rows
-each get a result row; an empty table gives an empty result; other columns are
-left alone, whatever their names.
+each get a result row; a very long text is one blob, scanned by one task; spans
+that start together are listed by kind; an empty table gives an empty result;
+other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.store import table, written
+from graphloom.llm.store import aside, table, written
 
 #: Kinds in the order in which ties are listed.
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -30,7 +31,7 @@ JWT = r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
 RULES = (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("pem", PEM), ("jwt", JWT))
 BASE_KINDS = 3
 ASSIGN_LEAST = 6
-SPAN = "struct<start:bigint,kind:int,end:bigint>"
+SPAN = "struct<start:bigint,kind:int,end:bigint,before:bigint>"
 MASK = "[secret]"
 
 
@@ -39,26 +40,34 @@ def rule_version(rules=RULES) -> str:
     return hashlib.sha256("\n".join(f"{k}\t{p}" for k, p in rules).encode()).hexdigest()[:16]
 
 
-def _spans_of(text: Column, kind: int, pattern: str) -> Column:
-    """Spans of one kind: what lies between matches gives their places, in code points."""
+def _hits_of(text: Column, kind: int, pattern: str) -> Column:
+    """Matches of one kind in order: what lies between them (gap), their length, and whether they count."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out"))
+    between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
 
-    def step(acc, pair):
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["hit"])
-        here = F.array(F.struct(start.cast("long").alias("start"), F.lit(kind).alias("kind"), end.cast("long").alias("end")))
-        keep = F.length(F.regexp_extract(pair["hit"], pattern, 2)) >= ASSIGN_LEAST if kind == 0 else F.lit(True)
-        return F.struct(end.cast("long").alias("at"), F.when(keep, F.concat(acc["out"], here)).otherwise(acc["out"]).alias("out"))
+    def hit(gap, match):
+        keep = F.length(F.regexp_extract(match, pattern, 2)) >= ASSIGN_LEAST if kind == 0 else F.lit(True)
+        return F.struct(F.lit(kind).alias("kind"), F.length(gap).cast("long").alias("gap"), F.length(match).cast("long").alias("size"), keep.alias("keep"))
 
-    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, begin, step, lambda acc: acc["out"])).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
+    return F.when(F.size(found) > 0, F.zip_with(between, found, hit))
 
 
-def find_spans(text: Column, rules=RULES) -> Column:
-    """All spans of a text by start, then kind as listed."""
-    return F.array_sort(F.concat(*(_spans_of(text, i, p) for i, (_, p) in enumerate(rules))))
+def find_spans(blobs: DataFrame, rules=RULES) -> DataFrame:
+    """``blob``, ``spans`` of every row of blob, text: all spans by start, then kind as listed.
+
+    Matches are exploded and their places summed in windows within the blob, in time n log n of their number; rows
+    that come dealt by blob are not dealt again.  ``before`` is where the spans ahead in the list end at the latest.
+    """
+    nothing = F.array().cast("array<struct<kind:int,gap:bigint,size:bigint,keep:boolean>>")
+    hits = F.concat(*(F.coalesce(_hits_of(F.col("text"), i, p), nothing) for i, (_, p) in enumerate(rules)))
+    rows = blobs.select("blob", F.posexplode_outer(hits).alias("n", "hit")).select("blob", "n", "hit.*")
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("blob", "kind").orderBy("n"))
+    rows = rows.withColumn("end", end).select("blob", "kind", "keep", (F.col("end") - F.col("size")).alias("start"), "end")
+    ahead = Window.partitionBy("blob").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.max(F.when(F.col("keep"), F.col("end"))).over(ahead), F.lit(0).cast("long")))
+    # a blob without matches, or with short ones only, keeps its row
+    span = F.when(F.col("keep"), F.struct("start", "kind", "end", "before"))
+    return rows.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
 def scan_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> DataFrame:
@@ -68,15 +77,16 @@ def scan_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES) -
     blobs = docs.select(F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
     if ledger is not None:
         blobs = blobs.join(ledger.where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
-    return blobs.select("blob", F.lit(version).alias("rule_version"), find_spans(F.col("text"), rules).alias("spans"))
+    return find_spans(blobs, rules).select("blob", F.lit(version).alias("rule_version"), F.col("spans").cast(f"array<{SPAN}>").alias("spans"))
 
 
 def findings(docs: DataFrame, ledger: DataFrame, rules=RULES) -> DataFrame:
-    """``docs`` rows with ``secret_spans``: the ledger's findings for the row's blob."""
-    hits = ledger.where((F.col("rule_version") == rule_version(rules)) & (F.size("spans") > 0)).select(F.col("blob").alias("_blob"), F.col("spans").alias("secret_spans"))
+    """``docs`` rows with ``secret_spans``: the ledger's findings for the row's blob.  A column of that name is replaced."""
+    hits = ledger.where((F.col("rule_version") == rule_version(rules)) & (F.size("spans") > 0)).select(F.col("blob").alias("found blob"), F.col("spans").alias("found spans"))
+    docs, back = aside(docs.drop("secret_spans"), "text")
     blob = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    joined = docs.withColumn("_blob", blob).join(hits, "_blob", "left").drop("_blob")
-    return joined.withColumn("secret_spans", F.coalesce("secret_spans", F.expr(f"cast(array() as array<{SPAN}>)")))
+    joined = docs.withColumn("own blob", blob).join(hits, F.col("own blob") == F.col("found blob"), "left")
+    return joined.select(*back, F.coalesce("found spans", F.expr(f"cast(array() as array<{SPAN}>)")).alias("secret_spans"))
 
 
 def written_spans(spans: Column, rules=RULES) -> Column:
@@ -86,16 +96,10 @@ def written_spans(spans: Column, rules=RULES) -> Column:
 
 def masked(text: Column, spans: Column) -> Column:
     """The text with every found span, overlapping ones as one, replaced by a mark."""
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(F.lit(0), s["start"] - acc["at"]).cast("int"))
-        out = F.when(fresh, F.concat(acc["out"], gap, F.lit(MASK))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    whole = F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    piece = lambda s: F.concat(F.substring(text, (s["before"] + 1).cast("int"), (s["start"] - s["before"]).cast("int")), F.lit(MASK))
+    fresh = F.transform(F.filter(spans, lambda s: s["start"] >= s["before"]), piece)
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(fresh, ""), F.substring(text, (last + 1).cast("int"), F.lit(2**31 - 1)))).otherwise(text)
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +135,8 @@ OP10_SQL = _sql()
 
 def mask_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with their secrets masked; every document stays."""
-    ledger = written(scan_ledger(docs), "secret-ledger")
+    ledger = written(scan_ledger(docs.select("text")), "secret-ledger")
+    docs, back = aside(docs, "text", "n_chars")
     hit = findings(docs, ledger)
     text = masked(F.col("text"), F.col("secret_spans"))
-    return hit.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))).withColumn("text", text).select(*docs.columns)
+    return hit.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))).withColumn("text", text).select(*back)
