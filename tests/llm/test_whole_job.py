@@ -102,3 +102,116 @@ def test_added_token_has_its_id():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for text in ("<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|>c", "<|endoftext| >", "plain", "", "é\n<|endoftext|>\n"):
         assert packing.token_ids(text).tolist() == [*t.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_scores_do_not_depend_on_partitions(spark, tables):
+    """Equal scores for one, four and seventeen partitions, of input and of shuffles."""
+    from graphloom.llm import contextmix as cm
+
+    docs = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    found = []
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for parts in (1, 4, 17):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            found.append(sorted((r["doc_id"], r["n_bytes"], r["score"]) for r in cm.score_texts(docs.repartition(parts)).collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for other in found[1:]:
+        assert [x[:2] for x in other] == [x[:2] for x in found[0]]
+        assert max(abs(a[2] - b[2]) for a, b in zip(found[0], other, strict=True)) < 1e-6
+
+
+def test_long_words_cost_by_length(spark):
+    """A held-out word of random bytes costs bits for every byte; no floor under its probability."""
+    import random
+    import zlib
+
+    from graphloom.llm import contextmix as cm
+
+    rng = random.Random(3)
+    held = [d for d in range(1000) if zlib.crc32(str(d).encode()) % 10 == 0][:4]
+    sizes = (200, 600, 3000, 6000)
+    rows = [(d, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))) for d, n in zip(held, sizes, strict=True)]
+    rows += [(d, "plain words stand here") for d in range(1000, 1040)]
+    got = {r["doc_id"]: r for r in cm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    scores = [got[d]["score"] for d in held]
+    assert scores == sorted(scores, reverse=True) and scores[3] < 8 * scores[1] < 0
+    for d, n in zip(held, sizes, strict=True):
+        assert got[d]["n_bytes"] == n + 2
+        assert abs(got[d]["bits_per_byte"] * (n + 2) + got[d]["score"] / 0.30102999566398) < 1e-3
+
+
+def test_stages_keep_columns_of_any_name(spark, tables):
+    """Columns named like the stages' own keep their values."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    names = ["_median", "_kn_bits", "_kn_bytes", "_lang", "_keep", "_low", "_hash", "_copy", "_id", "_text", "secret_spans", "_blob", "blob", "spans", "_copies", "_source", "_block", "_blocks", "_key", "_tokens", "node", "a.b", "user column 0", "found blob", "own blob"]
+    docs = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    wide = docs.select("*", *(F.lit(f"v{i}").alias(n) for i, n in enumerate(names)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, tables)
+        assert out.columns == wide.columns, name
+        rows = out.collect()
+        assert rows and all(r[len(docs.columns) + i] == f"v{i}" for r in rows for i in range(len(names))), name
+        plain = stage(spark, docs, tables).collect()
+        assert sorted(map(str, plain)) == sorted(str(type(p)(**dict(zip(docs.columns, r, strict=False)))) for p, r in zip(plain, rows, strict=True)), name
+
+
+def test_ids_of_odd_texts_are_the_tokenizers():
+    """Control strings, the added token and a text of 1 MB."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from graphloom.llm import packing
+
+    rng = random.Random(4)
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    parts = ["<|endoftext|>", " the", "\x00", "\r\n\n", "é", "漢字", "  ", "<s>", "[INST]", "1234567", "'s", "​", "don't", "🙂", "\x7f", "ａ"]
+    long = "".join(rng.choice(parts) for _ in range(250_000))
+    assert len(long.encode()) > 1_000_000
+    for text in ["".join(rng.choice(parts) for _ in range(40)) for _ in range(100)] + [long]:
+        assert packing.token_ids(text).tolist() == [*t.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_many_matches_in_one_text(spark):
+    """A text of many secrets is scanned and masked in little time, places right."""
+    from graphloom.llm import secrets
+    from tests.llm.test_queries import brute_spans
+
+    text = " ".join(f"token=abc{i:06d} x{'f' * (20 + i % 8)}" for i in range(8000))
+    docs = spark.createDataFrame([(1, text), (2, "token=ab"), (3, None)], "doc_id long, text string")
+    ledger = {r["n"]: r for r in secrets.findings(docs, secrets.scan_ledger(docs)).selectExpr("doc_id as n", "secret_spans as s").collect()}
+    assert [(s["start"], s["kind"], s["end"]) for s in ledger[1]["s"]] == brute_spans(text)
+    assert ledger[2]["s"] == ledger[3]["s"] == [] and secrets.scan_ledger(docs).count() == 3
+    masked = secrets.mask_stage(spark, docs.selectExpr("*", "0L as n_chars"), "").where("doc_id = 1").first()["text"]
+    want, at = [], 0
+    for a, _, b in brute_spans(text):
+        if a >= at:
+            want += [text[at:a], secrets.MASK]
+        at = max(at, b)
+    assert masked == "".join(want) + text[at:]
+
+
+def test_wide_components(spark):
+    """Inner products beyond a long's range end at its limit, where they are ties."""
+    from pyspark.sql import functions as F
+
+    from graphloom.llm import mtree
+
+    big = 2.0**31 / 1024
+    vectors = [(0, [big] * 4), (1, [big / 2] * 4), (2, [-big] * 4), (3, [1.0] * 4), (4, [big] * 4)]
+    frame = spark.createDataFrame(vectors, "vec_id long, e array<double>").select("vec_id", mtree.scaled(F.col("e")).alias("v"))
+    got = {r["vec_id"]: (r["rank"], r["score"]) for r in mtree.topk(frame, frame.where("vec_id = 0")).collect()}
+    assert got == {1: (1, 2**63 - 1), 4: (2, 2**63 - 1), 3: (3, 2**31 * 1024 * 4), 2: (4, -(2**63))}
+
+
+def test_empty_chat_table(spark, empty_tables):
+    from graphloom.llm import catalog
+
+    assert [r["conv_id"] for r in catalog.QUERIES["op8_chat_formatting"](spark, empty_tables).collect()] == [-1]
