@@ -1,209 +1,223 @@
-"""Deterministic extraction of mentions and event frames from a chunk, and grounding of mentions in entities.
+"""Extraction of mentions and event frames from chunks, and grounding of mentions in entities, as windows and joins.
 
-Extraction stands where a model would: capitalised runs are named mentions, pronouns and articles with a noun are
-mentions of their kinds, and a verb between two mentions makes an event frame.  Grounding is order-dependent (anchors
-first, then left to right, seeing earlier results), so a chunk is worked on as one row; chunks are independent.
+Extraction stands where a model would: a text is cut into words, runs of capitalised words are named mentions, pronouns
+and articles with a noun are mentions of their kinds, and a verb of PREDICATES makes its sentence an event frame.  Its
+arguments are the nearest mentions around the verb.
+
+Grounding looks order-dependent (a mention takes the entity of an earlier one with its surface), but the earliest mention
+of a surface that is grounded by itself decides for all later ones: a window over the surface finds it.
+
+All tables are keyed by ``chunk_id``; ``n`` numbers the words of a chunk and so its mentions.  Offsets are half-open code
+points.  Null texts have no words.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
-from collections.abc import Iterator
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from graphloom.functions import ids
+from graphloom.operators.lineage import cut
 
-#: Fixed values.
-PRONOUNS = ("he", "she", "it", "they", "him", "her", "them", "we", "us")
+#: Roles.
 CORE_ROLES = ("actor", "agent", "patient", "subject", "object", "target", "experiencer", "stimulus", "speaker", "listener")
 ENTITY_ROLES = ("agent", "speaker", "addressee", "recipient", "experiencer")
 ROLE_NAMES = {"subject": "agent", "actor": "agent", "object": "patient", "target": "patient", "listener": "addressee"}
-NOISE = ("around", "together", "more", "apparently", "absolutely")
-MARKERS = ("finally", "however", "thus", "therefore", "meanwhile")
+#: What is no anchor.
+NOISE_TERMS = ("вокруг", "передо мной", "настоящим текстом", "публикации", "чуть позже", "абсолютно", "более", "больше", "ведь", "видимо", "вместе", "вдоль")
+NOISE_PREFIXES = ("в ", "во ", "на ", "перед ", "после ", "чуть ", "более ", "вокруг ")
+DISCOURSE_MARKERS = ("итак", "наконец", "однако", "например", "следовательно", "настоящим")
+#: Reasons.
+NOISE_TERM, NOISE_PREFIX, MARKER = "sentence_start_adverbial_noise", "prepositional_or_adverbial_phrase_noise", "discourse_marker_noise"
+SENTENCE_START, NO_EVIDENCE = "generic_capitalized_sentence_start", "missing_anchor_evidence"
+ANCHORED, NO_ANCHOR = "Named mention passed EntityAnchorPolicy.", "No named anchor is available in the local context."
+CONFLICT, AMBIGUOUS = "Event role conflict.", "Grounding candidates are ambiguous or below policy threshold."
+#: Our own words for what the stand-in extractor and the other groundings say.
+SAME_SURFACE, DISTINCT, SINGLE = "same surface", "distinct participant", "single anchor"
+PRONOUNS = ("he", "she", "it", "they", "him", "her", "them", "we", "us")
 PREDICATES = ("saw", "held", "took", "gave", "met", "said", "was", "were", "is")
-_MENTION = re.compile(r"\b(?P<named>[A-Z]\w+(?: [A-Z]\w+)*)\b|\b(?P<descriptor>(?:[Tt]he|[Aa]n?) (?:old |young )?\w+)\b|\b(?P<pronoun>" + "|".join(PRONOUNS) + r")\b")
-_VERB = re.compile(r"\b(?:" + "|".join(PREDICATES) + r")\b")
-_SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
-
-
-def stable(prefix: str, raw: str) -> str:
-    return f"{prefix}_{hashlib.sha256(raw.encode()).hexdigest()[:12]}"
-
-
-def role_of(name: str) -> str:
-    low = name.strip().lower()
-    return ROLE_NAMES.get(low, low or "participant")
-
-
-def mentions_of(text: str) -> list[dict]:
-    out = []
-    for m in _MENTION.finditer(text):
-        kind = "pronoun" if m[0].lower() in PRONOUNS else m.lastgroup
-        out.append({"text": m[0], "start": m.start(), "end": m.end(), "kind": kind, "normal": re.sub(r"^(the|an?) ", "", m[0].lower())})
-    return out
-
-
-def expects_entity(kind: str, role: str) -> bool:
-    return kind in ("named", "pronoun", "descriptor", "alias") or role in ENTITY_ROLES
-
-
-def repaired_arguments(mentions: list[dict], start: int, end: int, verb: tuple[int, int]) -> list[tuple[int, str, float]]:
-    """(mention, role, confidence): the nearest mention before the predicate is its agent, the nearest after its patient."""
-    inside = [i for i, m in enumerate(mentions) if start <= m["start"] and m["end"] <= end]
-    before = [i for i in inside if mentions[i]["end"] <= verb[0]]
-    after = [i for i in inside if mentions[i]["start"] >= verb[1]]
-    out = []
-    if before:
-        out.append((max(before, key=lambda i: mentions[i]["end"]), "agent", 0.45))
-    if after:
-        out.append((min(after, key=lambda i: mentions[i]["start"]), "patient", 0.35))
-    if not out and inside:
-        out.append((min(inside, key=lambda i: abs(mentions[i]["start"] - verb[0])), "participant", 0.30))
-    return out
-
-
-def frames_of(text: str, mentions: list[dict]) -> list[dict]:
-    """One frame per sentence with a predicate and a mention."""
-    out = []
-    for s in _SENTENCE.finditer(text):
-        verb = _VERB.search(text, s.start(), s.end())
-        args = repaired_arguments(mentions, s.start(), s.end(), verb.span()) if verb else []
-        if args:
-            out.append({"predicate": verb[0], "start": s.start(), "end": s.end(), "arguments": args})
-    return out
-
-
-def rejection(mention: dict, text: str, core: bool) -> str | None:
-    """Why a named mention is no anchor; ``core`` tells whether it fills a core role of an event."""
-    words = mention["text"].split()
-    evident = core or (len(words) >= 2 and all(w[:1].isupper() for w in words))
-    before = text[: mention["start"]].rstrip()
-    if mention["normal"] in NOISE:
-        return "sentence_start_noise"
-    if mention["normal"].split()[0] in MARKERS:
-        return "discourse_marker"
-    if not evident:
-        return "capitalised_sentence_start" if len(words) == 1 and (not before or before[-1] in ".!?…") else "missing_evidence"
-    return None
-
-
-def ground(mentions: list[dict], frames: list[dict], text: str, document: str) -> list[dict]:
-    """Resolution hypotheses in order; a mention can get several before its last one."""
-    roles = [{i: role_of(r) for i, r, _ in f["arguments"]} for f in frames]
-    core = {i for f in roles for i, r in f.items() if r in CORE_ROLES}
-    entity: dict[int, str] = {}
-    done, out = set(), []
-
-    def say(i: int, kind: str, status: str, confidence: float, decision: str, to: str | None, stage: str, reason: str) -> None:
-        out.append({"mention": i, "kind": kind, "status": status, "confidence": confidence, "decision": decision, "entity_id": to, "stage": stage, "reason": reason})
-
-    anchors = []
-    for i, m in enumerate(mentions):
-        if m["kind"] != "named":
-            continue
-        why = rejection(m, text, i in core)
-        if why:
-            done.add(i)
-            say(i, "unresolved", "rejected", 0.0, "drop", None, "anchor_policy", why)
-        else:
-            entity[i] = stable("entity", m["text"].strip().lower())
-            anchors.append(i)
-            say(i, "new_entity", "confirmed", 0.95, "create_entity", entity[i], "anchor_policy", "named anchor")
-    for i, m in enumerate(mentions):
-        if i in entity or i in done:
-            continue
-        if not anchors:
-            say(i, "unresolved", "unresolved", 0.0, "keep_as_mention_only", None, "local_grounding", "no anchor")
-            continue
-        same = next((j for j, p in enumerate(mentions) if j != i and p["start"] < m["start"] and p["normal"] == m["normal"] and j in entity), None)
-        if same is not None:
-            entity[i] = entity[same]
-            say(i, "same_entity", "likely", 0.82, "link_to_existing", entity[i], "local_grounding", "same surface")
-            continue
-        against = [a for a in anchors if any(f.get(a) in CORE_ROLES and f.get(i) in CORE_ROLES and f[a] != f[i] for f in roles)]
-        for a in against:
-            say(i, "known_entity", "rejected", 0.12, "keep_as_mention_only", entity[a], "local_grounding", "event role conflict")
-        if against:
-            name = "unknown_" + ("_".join(m["normal"].split()) or "entity") + "_1"
-            entity[i] = stable("entity", f"{document}:{name}")
-            say(i, "new_entity", "likely", 0.86, "create_entity", entity[i], "local_grounding", "distinct participant")
-        elif len(anchors) == 1 and m["kind"] in ("descriptor", "alias", "pronoun", "nominal"):
-            entity[i] = entity[anchors[0]]
-            say(i, "known_entity", "likely", 0.70, "link_to_existing", entity[i], "local_grounding", "single anchor")
-        else:
-            say(i, "unresolved", "unresolved", 0.0, "keep_as_mention_only", None, "local_grounding", "ambiguous")
+W = r"[\p{L}\p{N}_]+"
+WORD = rf"(?:[Tt]he|[Aa]n?) (?:old |young )?{W}|\p{{Lu}}{W}(?: \p{{Lu}}{W})*|{W}"
+ENDS = r"[.!?…\n]"
+ARTICLE = r"^(?:the|an?) "
+MENTION_KINDS = ("named", "descriptor", "pronoun")
+
+
+def words(chunks: DataFrame) -> DataFrame:
+    """chunk_id, doc_id, n, text, start, end, sentence, opens (a sentence), kind, normal of every word or run in chunk_id, doc_id, text."""
+    found = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    gaps = F.slice(F.split("text", WORD, -1), F.lit(1), F.size(found))
+    rows = chunks.select("chunk_id", "doc_id", F.posexplode(F.arrays_zip(found.alias("word"), gaps.alias("gap"))).alias("n", "hit")).select("chunk_id", "doc_id", "n", "hit.word", "hit.gap")
+    order = Window.partitionBy("chunk_id").orderBy("n")
+    end = F.sum(F.length("gap") + F.length("word")).over(order).cast("int")
+    bare = F.rtrim(F.regexp_replace("gap", r"\s", " "))
+    opens = F.when(F.col("n") == 0, (bare == "") | bare.rlike(r"[.!?…]$")).otherwise(bare.rlike(r"[.!?…]$"))
+    low = F.lower("word")
+    kind = F.when(low.isin(*PRONOUNS), "pronoun").when(low.isin(*PREDICATES), "predicate").when(low.rlike(ARTICLE), "descriptor").when(F.col("word").rlike(rf"^\p{{Lu}}"), "named").otherwise("plain")
+    rows = rows.withColumns({"end": end, "sentence": F.sum(F.col("gap").rlike(ENDS).cast("int")).over(order).cast("int"), "opens": opens, "kind": kind})
+    return rows.select("chunk_id", "doc_id", "n", F.col("word").alias("text"), (F.col("end") - F.length("word")).alias("start"), "end", "sentence", "opens", "kind", F.regexp_replace(low, ARTICLE, "").alias("normal"))
+
+
+def role_of(role: Column) -> Column:
+    low = F.lower(F.trim(role))
+    names = F.create_map(*(F.lit(x) for pair in ROLE_NAMES.items() for x in pair))
+    named = F.coalesce(F.element_at(names, low), low)
+    return F.when(named == "", "participant").otherwise(named)
+
+
+def expects_entity(kind: Column, role: Column) -> Column:
+    return kind.isin("named", "pronoun", "descriptor", "alias") | role.isin(*ENTITY_ROLES)
+
+
+def frames(all_words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events (a sentence with a verb and a mention each) and their arguments: the nearest mentions before and after the verb."""
+    is_verb, is_mention = F.col("kind") == "predicate", F.col("kind").isin(*MENTION_KINDS)
+    sentence = ["chunk_id", "sentence"]
+    verbs = all_words.groupBy(*sentence).agg(F.min(F.when(is_verb, F.struct("n", "text"))).alias("verb"), F.min("start").alias("start"), F.max("end").alias("end")).where("verb is not null")
+    near = all_words.where(is_mention).select(*sentence, "n").join(verbs.select(*sentence, F.col("verb.n").alias("v")), sentence)
+    near = near.groupBy(*sentence).agg(F.max(F.when(F.col("n") < F.col("v"), F.col("n"))).alias("agent"), F.min(F.when(F.col("n") > F.col("v"), F.col("n"))).alias("patient"))
+    events = verbs.join(near, sentence).select(*sentence, F.col("verb.text").alias("predicate"), "start", "end", "agent", "patient")
+    events = events.withColumn("event_id", ids.short_id("eventframe", F.concat_ws(":", "chunk_id", "predicate", "start", "end")))
+    args = F.array(F.struct(F.col("agent").alias("n"), F.lit("agent").alias("role"), F.lit(0.45).alias("confidence")), F.struct(F.col("patient").alias("n"), F.lit("patient").alias("role"), F.lit(0.35).alias("confidence")))
+    arguments = events.select("chunk_id", "event_id", F.inline(F.filter(args, lambda a: a["n"].isNotNull())))
+    return events.select("chunk_id", "event_id", "sentence", "predicate", "start", "end"), arguments
+
+
+def rejection(core: Column) -> Column:
+    """Why a named mention is no anchor, or null; ``core`` tells whether it fills a core role of an event."""
+    many = F.col("text").contains(" ")
+    evident = core | many  # a run holds capitalised words only
+    low = F.col("normal")
+    prefixed = F.lit(False)
+    for p in NOISE_PREFIXES:
+        prefixed = prefixed | low.startswith(p)
+    return (
+        F.when(low.isin(*NOISE_TERMS), NOISE_TERM).when(prefixed, NOISE_PREFIX).when(F.split(low, " ")[0].isin(*DISCOURSE_MARKERS), MARKER)
+        .when(F.col("opens") & ~many & ~evident, SENTENCE_START).when(~evident, NO_EVIDENCE)
+    )
+
+
+def ground(mentions: DataFrame, arguments: DataFrame) -> DataFrame:
+    """Hypotheses: chunk_id, n, kind, status, confidence, decision, entity_id, stage, reason; a mention may have several.
+
+    Named mentions become anchors or are dropped.  Any other one takes the entity of the earliest grounded mention of its
+    surface before it; else, against anchors with another core role in its event, a new entity; else the only anchor's.
+    """
+    mention = ["chunk_id", "n"]
+    core = arguments.where(F.col("role").isin(*CORE_ROLES)).select(*mention).distinct().withColumn("core", F.lit(True))
+    rows = mentions.join(core, mention, "left").withColumn("core", F.coalesce("core", F.lit(False)))
+    rows = rows.withColumn("why", F.when(F.col("kind") == "named", rejection(F.col("core"))))
+    anchor = (F.col("kind") == "named") & F.col("why").isNull()
+    rows = cut(rows.withColumn("anchor", F.when(anchor, ids.short_id("entity", F.trim(F.lower("text"))))))
+    chunk = rows.groupBy("chunk_id").agg(F.count("anchor").alias("anchors"), F.max("anchor").alias("only"))
+    # an anchor in another core role of the same event speaks against the mention
+    sides = arguments.where(F.col("role").isin(*CORE_ROLES)).join(rows.select(*mention, "anchor"), mention)
+    other = sides.where("anchor is not null").select("event_id", F.col("role").alias("_role"), F.col("n").alias("_n"), F.col("anchor").alias("against"))
+    clash = cut(sides.where("anchor is null").join(other, "event_id").where("role <> _role").select(*mention, "_n", "against").distinct())
+    rest = rows.where("anchor is null and why is null").join(chunk, "chunk_id")
+    rest = rest.join(clash.select(*mention).distinct().withColumn("clashes", F.lit(True)), mention, "left")
+    unknown = ids.short_id("entity", F.concat(F.col("doc_id").cast("string"), F.lit(":unknown_"), F.coalesce(F.nullif(F.regexp_replace(F.trim("normal"), r"\s+", "_"), F.lit("")), F.lit("entity")), F.lit("_1")))
+    own = F.when(F.col("anchors") == 0, F.lit(None)).when(F.col("clashes"), unknown).when(F.col("anchors") == 1, F.col("only"))
+    rest = rest.select(*mention, "normal", "anchors", "clashes", own.alias("own"))
+    every = rest.unionByName(rows.where("anchor is not null").select(*mention, "normal", F.col("anchor").alias("own")), allowMissingColumns=True)
+    earlier = Window.partitionBy("chunk_id", "normal").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    every = cut(every.withColumn("same", F.first("own", ignorenulls=True).over(earlier)).where("anchors is not null"))
+
+    def say(df: DataFrame, kind: str, status: str, confidence: float, decision: str, entity: Column, stage: str, reason: Column) -> DataFrame:
+        return df.select(*mention, F.lit(kind).alias("kind"), F.lit(status).alias("status"), F.lit(confidence).alias("confidence"), F.lit(decision).alias("decision"), entity.alias("entity_id"), F.lit(stage).alias("stage"), reason.alias("reason"))
+
+    none, keep, link, create, local = F.lit(None).cast("string"), "keep_as_mention_only", "link_to_existing", "create_entity", "local_grounding"
+    alone = every.where("anchors > 0 and same is null")
+    against = clash.join(alone.select(*mention), mention)
+    parts = (
+        say(rows.where("why is not null"), "unresolved", "rejected", 0.0, "drop", none, "anchor_policy", F.col("why")),
+        say(rows.where("anchor is not null"), "new_entity", "confirmed", 0.95, create, F.col("anchor"), "anchor_policy", F.lit(ANCHORED)),
+        say(every.where("anchors = 0"), "unresolved", "unresolved", 0.0, keep, none, local, F.lit(NO_ANCHOR)),
+        say(every.where("anchors > 0 and same is not null"), "same_entity", "likely", 0.82, link, F.col("same"), local, F.lit(SAME_SURFACE)),
+        say(against, "known_entity", "rejected", 0.12, keep, F.col("against"), local, F.lit(CONFLICT)),
+        say(alone.where("clashes"), "new_entity", "likely", 0.86, create, F.col("own"), local, F.lit(DISTINCT)),
+        say(alone.where("clashes is null and own is not null"), "known_entity", "likely", 0.70, link, F.col("own"), local, F.lit(SINGLE)),
+        say(alone.where("own is null"), "unresolved", "unresolved", 0.0, keep, none, local, F.lit(AMBIGUOUS)),
+    )
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 
-def frame_status(frame: dict, mentions: list[dict], entity: dict[int, str]) -> tuple[str, str]:
-    """(resolution, materialisation) of a frame from how many of its expected entities are bound."""
-    args = frame["arguments"]
-    expected = sum(expects_entity(mentions[i]["kind"], role_of(r)) for i, r, _ in args)
-    bound = sum(i in entity for i, _, _ in args)
-    if not args:
-        return "unresolved", "rejected"
-    if expected == 0 or bound >= expected:
-        return "complete", "valid"
-    return ("unresolved" if bound == 0 else "partial"), "degraded"
-
-
-def patch_of(text: str, document: str, chunk: str) -> dict:
-    """Mentions, hypotheses, frames, arguments and agent-patient relations of a chunk."""
-    mentions = mentions_of(text)
-    frames = frames_of(text, mentions)
-    hypotheses = ground(mentions, frames, text, document)
-    entity = {h["mention"]: h["entity_id"] for h in hypotheses if h["decision"] in ("create_entity", "link_to_existing")}
-    ids = [stable("rawmention", f"{chunk}:{m['start']}:{m['end']}:{m['text']}") for m in mentions]
-    events, arguments, relations = [], [], []
-    for f in frames:
-        event = stable("eventframe", f"{chunk}:{f['predicate']}:{f['start']}:{f['end']}")
-        resolution, material = frame_status(f, mentions, entity)
-        events.append({"event_id": event, "predicate": f["predicate"], "start": f["start"], "end": f["end"], "resolution": resolution, "materialization": material})
-        by_role = {role_of(r): i for i, r, _ in f["arguments"]}
-        for n, (i, r, c) in enumerate(f["arguments"]):
-            wants = expects_entity(mentions[i]["kind"], role_of(r))
-            arguments.append({"event_id": event, "argument_id": stable("eventarg", f"{chunk}:{f['predicate']}:{ids[i]}:{role_of(r)}:{n}"), "mention_id": ids[i], "role": role_of(r), "entity_id": entity.get(i), "status": "resolved" if i in entity else "unresolved" if wants else "mention_only", "confidence": c, "surface": mentions[i]["text"]})
-        a, b = entity.get(by_role.get("agent")), entity.get(by_role.get("patient"))
-        if a and b and a != b:
-            relations.append({"event_id": event, "source_entity_id": a, "target_entity_id": b, "predicate": f["predicate"]})
+def extract(chunks: DataFrame) -> dict[str, DataFrame]:
+    """Label tables of chunk_id, doc_id, text: mentions, hypotheses, events, arguments, relations."""
+    found = cut(words(chunks))
+    events, arguments = frames(found)
+    events, arguments = cut(events), cut(arguments)
+    mentions = found.where(F.col("kind").isin(*MENTION_KINDS)).drop("sentence")
+    mentions = cut(mentions.withColumn("mention_id", ids.short_id("rawmention", F.concat_ws(":", "chunk_id", "start", "end", "text"))))
+    hypotheses = cut(ground(mentions, arguments))
+    entity = hypotheses.where(F.col("decision").isin("create_entity", "link_to_existing")).select("chunk_id", "n", "entity_id")
+    bound = arguments.join(mentions.select("chunk_id", "n", "mention_id", F.col("kind").alias("mention_kind"), F.col("text").alias("surface")), ["chunk_id", "n"]).join(entity, ["chunk_id", "n"], "left")
+    wants = expects_entity(F.col("mention_kind"), F.col("role"))
+    bound = cut(bound.withColumn("wants", wants).withColumn("status", F.when(F.col("entity_id").isNotNull(), "resolved").when(wants, "unresolved").otherwise("mention_only")))
+    state = bound.groupBy("event_id").agg(F.count_if("wants").alias("expected"), F.count("entity_id").alias("found"))
+    complete = (F.col("expected") == 0) | (F.col("found") >= F.col("expected"))
+    events = events.join(state, "event_id").withColumn("resolution", F.when(complete, "complete").when(F.col("found") == 0, "unresolved").otherwise("partial")).withColumn("materialization", F.when(complete, "valid").otherwise("degraded")).drop("expected", "found")
+    side = lambda role, name: bound.where(F.col("role") == role).select("event_id", F.col("entity_id").alias(name))
+    relations = events.join(side("agent", "source_entity_id"), "event_id").join(side("patient", "target_entity_id"), "event_id").where("source_entity_id <> target_entity_id")
     return {
-        "mentions": [{"mention_id": i, "text": m["text"], "start": m["start"], "end": m["end"], "kind": m["kind"], "normal": m["normal"]} for i, m in zip(ids, mentions, strict=True)],
-        "hypotheses": [{"mention_id": ids[h["mention"]], **{k: v for k, v in h.items() if k != "mention"}} for h in hypotheses],
-        "events": events, "arguments": arguments, "relations": relations,
-    }
-
-
-PATCH = """chunk_id string, doc_id long, index int,
-mentions array<struct<mention_id:string,text:string,start:int,end:int,kind:string,normal:string>>,
-hypotheses array<struct<mention_id:string,kind:string,status:string,confidence:double,decision:string,entity_id:string,stage:string,reason:string>>,
-events array<struct<event_id:string,predicate:string,start:int,end:int,resolution:string,materialization:string>>,
-arguments array<struct<event_id:string,argument_id:string,mention_id:string,role:string,entity_id:string,status:string,confidence:double,surface:string>>,
-relations array<struct<event_id:string,source_entity_id:string,target_entity_id:string,predicate:string>>"""
-
-
-def extract_patches(chunks: DataFrame) -> DataFrame:
-    """A patch per row of chunk_id, doc_id, index, text."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [patch_of(t or "", str(d), c) for t, d, c in zip(b["text"], b["doc_id"], b["chunk_id"], strict=True)]
-            made = {k: [r[k] for r in rows] for k in ("mentions", "hypotheses", "events", "arguments", "relations")}
-            yield pd.DataFrame({"chunk_id": b["chunk_id"], "doc_id": b["doc_id"], "index": b["index"], **made})
-
-    return chunks.select("chunk_id", "doc_id", "index", "text").mapInPandas(run, PATCH)
-
-
-def label_table(patches: DataFrame, name: str) -> DataFrame:
-    """One of a patch's arrays as rows."""
-    return patches.selectExpr("chunk_id", "doc_id", f"inline({name})")
+        "mentions": mentions.select("chunk_id", "doc_id", "mention_id", "n", "text", "start", "end", "kind", "normal"),
+        "hypotheses": hypotheses.join(mentions.select("chunk_id", "n", "doc_id", "mention_id"), ["chunk_id", "n"]),
+        "events": events,
+        "arguments": bound.select("chunk_id", "event_id", ids.short_id("eventarg", F.concat_ws(":", "chunk_id", "event_id", "mention_id", "role")).alias("argument_id"), "mention_id", "role", "entity_id", "status", "confidence", "surface"),
+        "relations": relations.select("chunk_id", "event_id", "source_entity_id", "target_entity_id", "predicate"),
+    }
 
 
 def invalid_spans(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Mentions whose span is out of bounds or does not hold their text."""
-    from pyspark.sql import functions as F
-
     rows = mentions.join(chunks.select("chunk_id", F.col("text").alias("_t")), "chunk_id")
     inside = (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.length("_t"))
     holds = F.trim(F.substring("_t", F.col("start") + 1, F.col("end") - F.col("start"))) == F.trim("text")
     return rows.where(~(inside & holds)).drop("_t")
+
+
+def repaired_mentions(said: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Mentions a model named (chunk_id, text, start, end, kind) with spans that hold their text, once per span.
+
+    A span that does not hold its text moves to the first place of the text, letter case aside; a text that its chunk
+    lacks is dropped; a missing kind is a nominal; the text becomes what stands at the span.
+    """
+    rows = said.join(chunks.select("chunk_id", F.col("text").alias("_t")), "chunk_id")
+    held = (F.col("start") >= 0) & (F.col("end") <= F.length("_t")) & (F.substring("_t", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("text"))
+    first = F.instr(F.lower("_t"), F.lower(F.trim("text"))) - 1
+    at = F.when(held, F.col("start")).otherwise(first).cast("int")
+    size = F.when(held, F.col("end") - F.col("start")).otherwise(F.length(F.trim("text"))).cast("int")
+    fixed = rows.where(F.trim("text") != "").withColumns({"_at": at, "_size": size}).where("_at >= 0")
+    fixed = fixed.select("chunk_id", F.substring("_t", F.col("_at") + 1, F.col("_size")).alias("text"), F.col("_at").alias("start"), (F.col("_at") + F.col("_size")).alias("end"), F.coalesce("kind", F.lit("nominal")).alias("kind"), held.alias("held"))
+    once = Window.partitionBy("chunk_id", "start", "end").orderBy(F.desc("held"), "kind")
+    return fixed.withColumn("_r", F.row_number().over(once)).where("_r = 1").drop("_r")
+
+
+def repaired_relations(said: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Relations a model named (chunk_id, source, predicate, target) whose ends are mentions of the chunk, once each.
+
+    Ends are found by surface, letter case aside (the first of several); a relation of a mention with itself is dropped.
+    """
+    surface = mentions.groupBy("chunk_id", F.lower(F.trim("text")).alias("_s")).agg(F.min("start").alias("at"))
+    side = lambda c: surface.select("chunk_id", F.col("_s").alias(f"_{c}"), F.col("at").alias(f"{c}_start"))
+    rows = said.withColumns({"_source": F.lower(F.trim("source")), "_target": F.lower(F.trim("target"))})
+    rows = rows.join(side("source"), ["chunk_id", "_source"]).join(side("target"), ["chunk_id", "_target"]).where("source_start <> target_start")
+    return rows.select("chunk_id", "source_start", F.lower(F.trim("predicate")).alias("predicate"), "target_start").distinct()
+
+
+def fallback_frames(all_words: DataFrame) -> DataFrame:
+    """For a chunk without any verb: one frame from the first two mentions of its first sentence that has two."""
+    has = all_words.where("kind = 'predicate'").select("chunk_id").distinct()
+    rows = all_words.where(F.col("kind").isin(*MENTION_KINDS)).join(has, "chunk_id", "left_anti")
+    per = rows.groupBy("chunk_id", "sentence").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "text"))), 1, 2).alias("two")).where("size(two) = 2")
+    return per.groupBy("chunk_id").agg(F.min(F.struct("sentence", "two")).alias("f")).select("chunk_id", "f.sentence", F.col("f.two")[0]["text"].alias("agent"), F.col("f.two")[1]["text"].alias("patient"))
+
+
+def claim_pairs(claims: DataFrame) -> DataFrame:
+    """Relation candidates of claims (chunk_id, claim_id, text, confidence, subjects): every ordered pair of different subjects, once per id."""
+    rows = claims.where(F.size("subjects") >= 2).withColumn("source_entity_id", F.explode(F.array_distinct("subjects"))).withColumn("target_entity_id", F.explode(F.array_distinct("subjects"))).where("source_entity_id <> target_entity_id")
+    rows = rows.withColumn("relation_candidate_id", ids.short_id("relcand", F.concat_ws(":", "chunk_id", "source_entity_id", "target_entity_id", "claim_id")))
+    return rows.dropDuplicates(["relation_candidate_id"]).select("relation_candidate_id", "source_entity_id", "target_entity_id", F.col("text").alias("relation_span"), "confidence")

@@ -10,8 +10,6 @@ from graphloom.operators import chunking, extraction, sinks
 from graphloom.operators.lineage import cut
 from graphloom.streaming import fold
 
-TABLES = ("mentions", "hypotheses", "events", "arguments", "relations")
-
 
 def ingest(docs: DataFrame, budget: int, ledger: DataFrame | None = None, mode: str = "overwrite", separator: str = r"\n\s*\n") -> dict[str, DataFrame]:
     """Chunks to do, their label tables, and the document state after every chunk.
@@ -20,10 +18,11 @@ def ingest(docs: DataFrame, budget: int, ledger: DataFrame | None = None, mode:
     """
     chunks = chunking.chunk_documents(docs, budget, separator).withColumn("content_hash", F.sha2("text", 256)).withColumn("document_id", F.col("doc_id"))
     todo = chunks if ledger is None else sinks.to_redo(chunks, ledger, mode)
-    patches = cut(extraction.extract_patches(todo))
-    out = {"chunks": todo, **{t: extraction.label_table(patches, t) for t in TABLES}}
-    known = F.array_distinct(F.array_compact(F.transform("hypotheses", lambda h: F.when(h["decision"].isin("create_entity", "link_to_existing"), h["entity_id"]))))
-    out["state"] = fold.batch_fold(patches.select("doc_id", "index", "chunk_id", known.alias("entities")))
+    todo = cut(todo)
+    out = {"chunks": todo, **extraction.extract(todo)}
+    known = out["hypotheses"].where(F.col("decision").isin("create_entity", "link_to_existing")).groupBy("chunk_id").agg(F.array_sort(F.collect_set("entity_id")).alias("entities"))
+    nothing = F.expr("cast(array() as array<string>)")
+    out["state"] = fold.batch_fold(todo.select("doc_id", "index", "chunk_id").join(known, "chunk_id", "left").withColumn("entities", F.coalesce("entities", nothing)))
     out["entities"] = out["hypotheses"].where("entity_id is not null and status <> 'rejected'").groupBy("entity_id").agg(F.count_distinct("mention_id").alias("mentions"), F.max("confidence").alias("confidence"))
     return out
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import arms, audit, chunking, discovery, evaluation, extraction, ingest, projection, retrieval
+from graphloom.operators import arms, audit, chunking, discovery, evaluation, ingest, projection, retrieval
 from graphloom.operators.lineage import cut
 from graphloom.plans.graph_queries import _arguments, _facts
 from graphloom.plans.tables import Registry, table
@@ -24,33 +24,11 @@ def paragraph_chunks(spark, d):
     return _chunks(spark, d)
 
 
-@query("""WITH c AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))), lambda x: x <> '') AS p FROM documents)
-SELECT doc_id, CAST(sum(length(x)) AS BIGINT) AS chars FROM c, unnest(p) AS t(x) GROUP BY doc_id""")
+@query(r"SELECT doc_id, CAST(length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) AS BIGINT) AS chars FROM documents WHERE regexp_matches(text, '[^\x09-\x0D\x20]')")
 def chunk_text_is_kept(spark, d):
-    """No character of a paragraph is lost or repeated (blanks aside, which cutting into sentences may drop)."""
-    whole = F.split(F.col("text"), "\n")
-    kept = F.filter(F.transform(whole, lambda x: F.trim(F.regexp_replace(x, r"^[ \t\r\x0B\f]+|[ \t\r\x0B\f]+$", ""))), lambda x: x != "")
-    docs = table(spark, d, "documents").select("doc_id", F.explode(kept).alias("x"))
-    return docs.groupBy("doc_id").agg(F.sum(F.length("x")).cast("long").alias("chars"))
-
-
-@query()
-def extraction_patches(spark, d):
-    return extraction.extract_patches(_chunks(spark, d)).select("chunk_id", "doc_id", F.size("mentions").alias("mentions"), F.size("events").alias("events"), F.size("relations").alias("relations"))
-
-
-@query()
-def resolution_cascade(spark, d):
-    hypotheses = extraction.label_table(extraction.extract_patches(_chunks(spark, d)), "hypotheses")
-    return hypotheses.groupBy("stage", "reason", "status", "decision").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT CAST(0 AS BIGINT) AS invalid")
-def mention_span_contract(spark, d):
-    """Every extracted mention lies in its chunk and holds its text."""
-    chunks = _chunks(spark, d)
-    bad = extraction.invalid_spans(extraction.label_table(extraction.extract_patches(chunks), "mentions"), chunks)
-    return bad.agg(F.count(F.lit(1)).alias("invalid"))
+    """No letter or digit of a document is lost or repeated by chunking."""
+    chunks = _chunks(spark, d).withColumn("kept", F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]", "")))
+    return chunks.groupBy("doc_id").agg(F.sum("kept").cast("long").alias("chars"))
 
 
 _CLAIMS = """sub AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey AS claim, l_linenumber AS pos, 's' || l_linenumber AS sub, ['e' || l_linenumber] AS evidence, list_distinct(['s' || (l_suppkey % 10), 'm' || (l_partkey % 7)]) AS facts FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice),

@@ -137,24 +137,47 @@ def test_controller(spark):
     assert controller.run(d, "q", "none", controller.greedy).stop == "no_seed_documents"
 
 
-def test_grounding_branches():
-    text = "Ann saw the old man. Then Ann met him."
-    p = extraction.patch_of(text, "d", "c")
-    by = {m["mention_id"]: m["text"] for m in p["mentions"]}
-    h = [(by[x["mention_id"]], x["status"], x["reason"]) for x in p["hypotheses"]]
-    assert ("Ann", "confirmed", "named anchor") in h
-    assert ("the old man", "rejected", "event role conflict") in h and ("the old man", "likely", "distinct participant") in h
-    assert p["events"][0]["resolution"] == "complete" and p["relations"]
-    lone = extraction.patch_of("He saw it.", "d", "c")
-    assert {x["reason"] for x in lone["hypotheses"]} == {"no anchor"} and lone["events"][0]["resolution"] == "unresolved"
-    assert extraction.patch_of("", "d", "c")["mentions"] == []
-
-
-def test_patches_and_contract(spark):
-    chunks = spark.createDataFrame([("c1", 1, 0, "Ann saw the dog."), ("c2", 1, 1, None)], "chunk_id string, doc_id long, index int, text string")
-    patches = extraction.extract_patches(chunks)
-    mentions = extraction.label_table(patches, "mentions")
-    assert mentions.count() == 2 and extraction.invalid_spans(mentions, chunks).count() == 0
+def _extracted(spark, *texts):
+    rows = [(f"c{i}", 1, i, t) for i, t in enumerate(texts)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, doc_id long, index int, text string")
+    return chunks, extraction.extract(chunks)
+
+
+def test_grounding_branches(spark):
+    chunks, made = _extracted(spark, "Ann saw the old man. Then Ann met him.", "He saw it.", "", None, "Ann Lee met Bob Ray. He was old.", "Однако saw him. Anna Li was in town. She left.")
+    by = {(r["chunk_id"], r["n"]): r["text"] for r in made["mentions"].collect()}
+    said = {}
+    for r in made["hypotheses"].collect():
+        said.setdefault(r["chunk_id"], []).append((by[r["chunk_id"], r["n"]], r["status"], r["reason"]))
+    assert ("Ann", "confirmed", extraction.ANCHORED) in said["c0"]
+    assert ("the old man", "rejected", extraction.CONFLICT) in said["c0"] and ("the old man", "likely", extraction.DISTINCT) in said["c0"]
+    assert {x[2] for x in said["c1"]} == {extraction.NO_ANCHOR}
+    assert ("He", "unresolved", extraction.AMBIGUOUS) not in said["c1"] and "c2" not in said and "c3" not in said
+    assert ("He", "unresolved", extraction.AMBIGUOUS) in said["c4"]
+    assert ("Однако", "rejected", extraction.MARKER) in said["c5"] and ("She", "likely", extraction.SINGLE) in said["c5"]
+    state = {(r["chunk_id"], r["predicate"]): r["resolution"] for r in made["events"].collect()}
+    assert state["c0", "saw"] == "complete" and state["c1", "saw"] == "unresolved"
+    assert made["relations"].where("chunk_id = 'c0'").count() == 2 and extraction.invalid_spans(made["mentions"], chunks).count() == 0
+
+
+def test_same_surface_takes_the_earliest_entity(spark):
+    _, made = _extracted(spark, "Ann Lee is here. The dog was old. Bob Ray saw the dog. The dog is big.")
+    rows = made["hypotheses"].orderBy("n").collect()
+    dogs = [r for r in rows if r["n"] in {m["n"] for m in made["mentions"].where("normal = 'dog'").collect()}]
+    last = [r for r in dogs if r["reason"] == extraction.SAME_SURFACE]
+    first = next(r for r in dogs if r["entity_id"] and r["status"] == "likely")
+    assert last and last[-1]["entity_id"] == first["entity_id"]
+
+
+def test_repairs_and_fallback(spark):
+    chunks = spark.createDataFrame([("c", 1, "Ann met Bob in Rome, Ann")], "chunk_id string, doc_id long, text string")
+    said = spark.createDataFrame([("c", "ann", 99, 120, None), ("c", "Bob", 8, 11, "named"), ("c", "Bob", 0, 3, "named"), ("c", "Zed", 0, 3, "named"), ("c", " ", 0, 1, None)], "chunk_id string, text string, start int, end int, kind string")
+    fixed = extraction.repaired_mentions(said, chunks)
+    assert {(r["text"], r["start"], r["end"], r["kind"]) for r in fixed.collect()} == {("Ann", 0, 3, "nominal"), ("Bob", 8, 11, "named")}
+    links = spark.createDataFrame([("c", "ann", " Met ", "BOB"), ("c", "Ann", "met", "Bob"), ("c", "Ann", "is", "Ann"), ("c", "Ann", "saw", "Zed")], "chunk_id string, source string, predicate string, target string")
+    assert [(r["source_start"], r["predicate"], r["target_start"]) for r in extraction.repaired_relations(links, fixed).collect()] == [(0, "met", 8)]
+    quiet = spark.createDataFrame([("q", 1, "Well. Ann and Bob, then Cid Moe."), ("v", 1, "Ann saw Bob.")], "chunk_id string, doc_id long, text string")
+    assert [(r["chunk_id"], r["agent"], r["patient"]) for r in extraction.fallback_frames(extraction.words(quiet)).collect()] == [("q", "Ann", "Bob")]
 
 
 def test_snapshots(spark):
