@@ -9,13 +9,14 @@ from graphloom.functions.vector import let
 
 #: Fixed values.
 ASCII_WORD = r"[a-z0-9_]+"
-UNICODE_WORD = r"(?U)\w+"
+UNICODE_WORD = r"[\p{L}\p{N}_]+"
 LATIN_CYRILLIC = r"[A-Za-zА-Яа-яЁё0-9]+"
 FACT_TOKEN = r"[A-Za-z][A-Za-z0-9'.-]*|[0-9]+(?:\.[0-9]+)?"
 PLAIN_FACT = r"[a-z0-9]+(?:\.[0-9]+)?"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 EDGE_PUNCTUATION = ".,;:!?()[]{}\"'"
-STOPWORDS = ("the", "and", "for", "with", "that", "this", "from", "was", "were", "are", "has", "have", "had", "its", "his", "her", "their", "which", "into", "than")
+STOPWORDS = ("about", "after", "also", "among", "and", "are", "been", "being", "can", "from", "had", "has", "have", "held", "his", "into", "its", "more", "named", "than", "that", "the", "their", "there", "this", "was", "were", "which", "while", "with")
+USER_PREFIXES = ("user_", "user:", "User ", "user ")
 DATE_FORMATS = ("MMM d, yyyy", "MMMM d, yyyy", "yyyy-MM-dd")
 
 
@@ -70,13 +71,16 @@ def normalized_answer(text: Column) -> Column:
 
 
 def normalized_user(text: Column) -> Column:
-    """First run of digits, else the trimmed text, null if empty."""
+    """Without a prefix: the first run of digits, else the text; null if empty."""
     bare = F.trim(text)
+    for prefix in reversed(USER_PREFIXES):
+        bare = F.when(F.trim(text).startswith(prefix), F.substring(F.trim(text), len(prefix) + 1, 2**31 - 1)).otherwise(bare)
     return F.coalesce(F.nullif(F.regexp_extract(bare, r"\d+", 0), F.lit("")), F.nullif(bare, F.lit("")))
 
 
 def normalized_label(text: Column) -> Column:
-    bare = F.lower(F.trim(text))
+    """ham or spam of a label in any case, prefix or quotes; else null."""
+    bare = F.btrim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), "^label_", ""), "^label:", ""), F.lit(" .'\"[]()"))
     return F.when(bare.isin("ham", "not spam"), "ham").when(bare == "spam", "spam")
 
 

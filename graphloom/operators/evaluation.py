@@ -58,11 +58,20 @@ def ranking_scores(ranked: DataFrame, relevant: DataFrame, key: str, item: str,
 
 
 def cluster_separation(rows: DataFrame) -> DataFrame:
-    """Mean cosine of pairs with one label, with different labels, and the margin; rows are few (labelled cases)."""
-    other = rows.select(F.col("vec_id").alias("o"), F.col("label").alias("ol"), F.col("v").alias("ov"))
-    pairs = rows.join(F.broadcast(other), F.col("vec_id") < F.col("o"))
-    c, same = vector.cosine(F.col("v"), F.col("ov")), F.col("label") == F.col("ol")
-    means = pairs.agg(F.avg(F.when(same, c)).alias("s"), F.avg(F.when(~same, c)).alias("d"))
+    """Mean cosine of pairs with one label, with different labels, and the margin.
+
+    All pairs' cosines sum up to half of |sum of unit vectors|^2 less their own squares: no pair is made.
+    """
+    unit = rows.select("label", vector.normalized(F.col("v")).alias("u"))
+    per = unit.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(vector.dot(F.col("u"), F.col("u"))).alias("own"))
+    parts = unit.select("label", F.posexplode("u").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("x"))
+    squares = parts.groupBy("label").agg(F.sum(F.col("x") * F.col("x")).alias("square"))
+    whole = parts.groupBy("i").agg(F.sum("x").alias("x")).agg(F.sum(F.col("x") * F.col("x")).alias("all_square"))
+    n = F.col("n")
+    sums = per.join(squares, "label").agg(F.sum(n).alias("rows"), F.sum("own").alias("own"), F.sum("square").alias("square"), F.sum(n * (n - 1) / 2).alias("same_pairs"))
+    means = sums.crossJoin(whole)  # one row each
+    every = F.col("rows") * (F.col("rows") - 1) / 2
+    means = means.select(F.try_divide(F.col("square") - F.col("own"), 2 * F.col("same_pairs")).alias("s"), F.try_divide(F.col("all_square") - F.col("square"), 2 * (every - F.col("same_pairs"))).alias("d"))
     return means.select(F.round(F.coalesce("s", F.lit(0.0)), 6).alias("same_mean"), F.round(F.coalesce("d", F.lit(0.0)), 6).alias("different_mean"), F.round(F.coalesce("s", F.lit(0.0)) - F.coalesce("d", F.lit(0.0)), 6).alias("margin"))
 
 

@@ -12,6 +12,14 @@ from graphloom.functions import vector
 
 #: Queries that meet all rows at once; more are searched block by block.
 QUERY_BLOCK = 1024
+#: Fixed values.
+RATIONALES = {
+    "contradiction": "Graph and text arms reported contradictions.",
+    "both_supported": "Both read-only retrieval arms returned supporting evidence.",
+    "graph_supported_text_unconfirmed": "Graph arm found evidence; text arm did not confirm within budget.",
+    "text_supported_graph_missing": "Text arm found source evidence; graph view did not contain a matching route.",
+    "insufficient_evidence": "No read-only retrieval arm found evidence.",
+}
 
 
 def best(rows: DataFrame, part: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
@@ -90,7 +98,8 @@ def arbitrate(graph: DataFrame, text: DataFrame, key: str) -> DataFrame:
         key, "status",
         F.when(s == "both_supported", joined).when(s.startswith("graph"), F.col("g_answer")).when(s.startswith("text"), F.col("t_answer")).alias("answer"),
         F.when(s == "contradiction", F.least(gc, tc)).when(s == "both_supported", F.greatest(gc, tc)).when(s.startswith("graph"), gc * 0.85).when(s.startswith("text"), tc * 0.85).otherwise(0.0).alias("confidence"),
-        F.when(s == "both_supported", "hybrid").when(s.startswith("graph"), "graph").when(s.startswith("text"), "text").otherwise("none").alias("selected"),
+        F.when(s == "both_supported", "hybrid").when(s.startswith("graph"), "graph_rlm").when(s.startswith("text"), "text_rlm").otherwise("none").alias("selected"),
+        F.element_at(F.create_map(*(F.lit(x) for pair in RATIONALES.items() for x in pair)), s).alias("rationale"),
         F.when(s == "insufficient_evidence", empty).otherwise(F.array_union(ge, te)).alias("evidence"),
     )
 

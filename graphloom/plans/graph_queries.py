@@ -25,9 +25,9 @@ def _arguments(spark, d):
     return part.union(supp).union(place)
 
 
-@query(f"WITH {_ARGS} SELECT a.event_id, a.argument_id, a.entity_id, count(DISTINCT b.entity_id) AS counterparts, count(DISTINCT CASE WHEN b.entity_id IS NULL THEN b.surface END) AS unresolved FROM args a JOIN args b ON a.event_id = b.event_id AND a.argument_id <> b.argument_id GROUP BY ALL")
+@query(f"WITH {_ARGS} SELECT a.event_id, a.argument_id, a.entity_id, coalesce(string_agg(DISTINCT b.entity_id, ',' ORDER BY b.entity_id), '') AS counterparts, coalesce(string_agg(DISTINCT CASE WHEN b.entity_id IS NULL THEN b.surface END, ',' ORDER BY CASE WHEN b.entity_id IS NULL THEN b.surface END), '') AS unresolved FROM args a JOIN args b ON a.event_id = b.event_id AND a.argument_id <> b.argument_id GROUP BY ALL")
 def counterparts_per_event(spark, d):
-    return graph.counterparts(_arguments(spark, d)).select("event_id", "argument_id", "entity_id", F.size("counterparts").cast("long").alias("counterparts"), F.size("unresolved").cast("long").alias("unresolved"))
+    return graph.counterparts(_arguments(spark, d)).select("event_id", "argument_id", "entity_id", F.array_join("counterparts", ",").alias("counterparts"), F.array_join("unresolved", ",").alias("unresolved"))
 
 
 _DIRECTION = "CASE WHEN a.role IN ('agent','speaker','source','giver') AND b.role IN ('patient','addressee','target','recipient','experiencer') THEN 'f' WHEN b.role IN ('agent','speaker','source','giver') AND a.role IN ('patient','addressee','target','recipient','experiencer') THEN 'b' ELSE 'u' END"
@@ -58,10 +58,10 @@ def entity_exists_semi(spark, d):
     return c.join(keys, c.c_custkey == keys.o_custkey, "left_semi")
 
 
-@query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R') ORDER BY p_partkey LIMIT 50")
+@query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_linenumber >= 6) ORDER BY p_partkey LIMIT 50")
 def pending_anti(spark, d):
     """Next batch of parts without an edge of a kind: a bounded work list."""
-    p, li = table(spark, d, "part").select("p_partkey"), table(spark, d, "lineitem").where("l_returnflag = 'R'")
+    p, li = table(spark, d, "part").select("p_partkey"), table(spark, d, "lineitem").where("l_returnflag = 'R' and l_linenumber >= 6")
     return p.join(li, p.p_partkey == li.l_partkey, "left_anti").orderBy("p_partkey").limit(50)
 
 
@@ -71,11 +71,12 @@ def document_entities_union(spark, d):
     return a.union(table(spark, d, "lineitem").select("l_suppkey", F.lit("supplier"))).distinct()
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_linenumber = 1), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-w AS (SELECT 's1' AS node, 0 AS hops UNION SELECT u.b, w.hops + 1 FROM w JOIN u ON u.a = w.node WHERE w.hops < 4) SELECT 's1' AS source, node AS target, CAST(min(hops) AS INTEGER) AS hops FROM w WHERE node LIKE 's%' GROUP BY node HAVING min(hops) > 0""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+w AS (SELECT 's' || s_suppkey AS source, 's' || s_suppkey AS node, 0 AS hops FROM supplier WHERE s_suppkey % 50 = 0 UNION SELECT w.source, u.b, w.hops + 1 FROM w JOIN u ON u.a = w.node WHERE w.hops < 4) SELECT source, node AS target, CAST(min(hops) AS INTEGER) AS hops FROM w WHERE node LIKE 's%' GROUP BY source, node HAVING min(hops) > 0""")
 def shortest_path_le4(spark, d):
-    e = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b"))
-    return navigation.shortest_paths(e, spark.range(1).select(F.lit("s1").alias("source")), e.select(F.col("a").alias("target")))
+    """From every supplier whose key is divisible by 50, over all lines."""
+    e = table(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b"))
+    return navigation.shortest_paths(e, table(spark, d, "supplier").where("s_suppkey % 50 = 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("source")), e.select(F.col("a").alias("target")))
 
 
 _KEYS = "k AS (SELECT o_orderkey AS doc, 'e' AS kind, 'c' || o_custkey AS key, 2 AS w FROM orders UNION SELECT l_orderkey, 'e', 's' || l_suppkey, 2 FROM lineitem UNION SELECT o_orderkey, 'v', CAST(o_orderdate AS DATE) || '', 3 FROM orders UNION SELECT l_orderkey, 'x', 'p' || l_partkey, 1 FROM lineitem)"
@@ -92,11 +93,11 @@ def _semantic_docs(spark, d):
     return docs.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("c"), s("o_custkey")).alias("owner_id"), F.lit("entity").alias("owner_type"), F.array_union(F.array(F.concat(F.lit("c"), s("o_custkey"))), F.coalesce("_s", empty)).alias("entities"), F.array(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("events"), F.coalesce("evidence", empty).alias("evidence"), "v")
 
 
-@query(f"""WITH {_KEYS}, s AS (SELECT a.doc AS from_id, b.doc AS doc_id, sum(a.w) AS structural FROM k a JOIN k b ON a.kind = b.kind AND a.key = b.key AND a.doc <> b.doc WHERE a.doc IN (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 5) GROUP BY ALL),
+@query(f"""WITH {_KEYS}, s AS (SELECT a.doc AS from_id, b.doc AS doc_id, sum(a.w) AS structural FROM k a JOIN k b ON a.kind = b.kind AND a.key = b.key AND a.doc <> b.doc WHERE a.doc % 50 = 0 GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY structural DESC, doc_id) AS r FROM s) SELECT from_id, doc_id, CAST(structural AS BIGINT) AS structural FROM r WHERE r <= 20""")
 def frontier_structural(spark, d):
     docs = _semantic_docs(spark, d)
-    return navigation.frontier(docs, docs.orderBy("doc_id").limit(5), 20).select("from_id", "doc_id", F.col("structural").cast("long"))
+    return navigation.frontier(docs, docs.where("doc_id % 50 = 0"), 20).select("from_id", "doc_id", F.col("structural").cast("long"))
 
 
 @query()
@@ -219,10 +220,10 @@ def chunk_state_machine(spark, d):
     return rows.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("attempts").alias("attempts"), F.max(F.length("error")).cast("long").alias("error_chars"))
 
 
-@query("SELECT event_type, count(*) AS dangling FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer) GROUP BY event_type")
+@query("SELECT event_type, count(*) AS dangling FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 3) GROUP BY event_type")
 def referential_contract(spark, d):
     rows = table(spark, d, "events").withColumnRenamed("user_id", "c_custkey")
-    return graph.dangling(rows, table(spark, d, "customer"), "c_custkey").groupBy("event_type").agg(F.count(F.lit(1)).alias("dangling"))
+    return graph.dangling(rows, table(spark, d, "customer").where("c_custkey % 10 <> 3"), "c_custkey").groupBy("event_type").agg(F.count(F.lit(1)).alias("dangling"))
 
 
 def _facts(spark, d, labelled: bool = True):
@@ -234,52 +235,57 @@ def _facts(spark, d, labelled: bool = True):
 
 def _answer(question: str, labelled: bool = True):
     def run(spark, d):
-        return planner.answer(question, _facts(spark, d, labelled)).select("status", "value", "answer", F.size("records").cast("long").alias("records"))
+        return planner.answer(question, _facts(spark, d, labelled)).select("status", "value", "answer", F.size("records").cast("long").alias("records"), F.md5(F.array_join("records", ",")).alias("digest"))
 
     return run
 
 
-_FACTS = "f AS (SELECT CAST(user_id AS VARCHAR) AS u, CASE WHEN event_type IN ('click', 'view') THEN 'ham' ELSE 'spam' END AS l FROM events)"
+_FACTS = "f AS (SELECT event_id AS i, CAST(user_id AS VARCHAR) AS u, CASE WHEN event_type IN ('click', 'view') THEN 'ham' ELSE 'spam' END AS l FROM events)"
 R.queries |= {
     "count_distinct_user_label": _answer("How many instances of user 3 are classified as spam?"), "user_rank_k": _answer("Which user is the second most frequent?"), "label_mode_most": _answer("Which label is the most common?"),
     "label_mode_least": _answer("Which label is the least common?"), "group_rate_before_after": _answer("Is label: spam more common before or after 2024-01-01?"), "count_refused_unlabelled": _answer("How many instances of user 3 are classified as spam?", labelled=False),
 }
 R.sql |= {
-    "count_distinct_user_label": f"WITH {_FACTS} SELECT 'complete' AS status, CAST(count(*) AS VARCHAR) AS value, 'Answer: ' || count(*) AS answer, count(*) AS records FROM f WHERE u = '3' AND l = 'spam'",
-    "user_rank_k": f"WITH {_FACTS} SELECT 'complete' AS status, u AS value, u AS answer, count(*) AS records FROM f GROUP BY u ORDER BY count(*) DESC, u LIMIT 1 OFFSET 1",
-    "label_mode_most": f"WITH {_FACTS} SELECT 'complete' AS status, l AS value, 'Label: ' || l AS answer, count(*) AS records FROM f GROUP BY l ORDER BY count(*) DESC, l DESC LIMIT 1",
-    "label_mode_least": f"WITH {_FACTS} SELECT 'complete' AS status, l AS value, 'Label: ' || l AS answer, count(*) AS records FROM f GROUP BY l ORDER BY count(*), l LIMIT 1",
-    "group_rate_before_after": "SELECT 'unsupported' AS status, CAST(NULL AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS answer, CAST(0 AS BIGINT) AS records",
-    "count_refused_unlabelled": "SELECT 'insufficient_facts' AS status, CAST(NULL AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS answer, CAST(0 AS BIGINT) AS records",
+    "count_distinct_user_label": f"WITH {_FACTS} SELECT 'complete' AS status, CAST(count(*) AS VARCHAR) AS value, 'Answer: ' || count(*) AS answer, count(*) AS records, md5(string_agg('r' || i, ',' ORDER BY i)) AS digest FROM f WHERE u = '3' AND l = 'spam'",
+    "user_rank_k": f"WITH {_FACTS} SELECT 'complete' AS status, u AS value, u AS answer, count(*) AS records, md5(string_agg('r' || i, ',' ORDER BY i)) AS digest FROM f GROUP BY u ORDER BY count(*) DESC, u LIMIT 1 OFFSET 1",
+    "label_mode_most": f"WITH {_FACTS} SELECT 'complete' AS status, l AS value, 'Label: ' || l AS answer, count(*) AS records, md5(string_agg('r' || i, ',' ORDER BY i)) AS digest FROM f GROUP BY l ORDER BY count(*) DESC, l DESC LIMIT 1",
+    "label_mode_least": f"WITH {_FACTS} SELECT 'complete' AS status, l AS value, 'Label: ' || l AS answer, count(*) AS records, md5(string_agg('r' || i, ',' ORDER BY i)) AS digest FROM f GROUP BY l ORDER BY count(*), l LIMIT 1",
+    "group_rate_before_after": "SELECT 'unsupported' AS status, CAST(NULL AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS answer, CAST(0 AS BIGINT) AS records, md5('') AS digest",
+    "count_refused_unlabelled": "SELECT CASE WHEN (SELECT count(*) FROM events WHERE NOT event_id > 0) > 0 THEN 'insufficient_facts' ELSE 'complete' END AS status, CAST(NULL AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS answer, CAST(0 AS BIGINT) AS records, md5('') AS digest",
 }
 
 
-_TERMS = "list_filter(list_distinct(regexp_extract_all(lower({}), '[a-z0-9_]+')), lambda x: length(x) > 2)"
-_HITS = f"""p AS (SELECT doc_id, unnest({_TERMS.format('text')}) AS t FROM documents), q AS (SELECT item_id AS query_id, unnest({_TERMS.format('text')}) AS t FROM benchmark), n AS (SELECT query_id, count(*) AS n FROM q GROUP BY query_id),
-h AS (SELECT query_id, doc_id, count(*) AS overlap FROM p JOIN q USING (t) GROUP BY ALL)"""
+_TERMS = r"list_filter(list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')), lambda x: length(x) > 2)"
+_LATIN = "list_filter(list_distinct(regexp_extract_all(lower({}), '[A-Za-zА-Яа-яЁё0-9]+')), lambda x: length(x) > 2)"
+_HITS, _TEXT_HITS = (f"""p AS (SELECT doc_id, unnest({t.format('text')}) AS t FROM documents), q AS (SELECT item_id AS query_id, unnest({t.format('text')}) AS t FROM benchmark), n AS (SELECT query_id, count(*) AS n FROM q GROUP BY query_id),
+h AS (SELECT query_id, doc_id, count(*) AS overlap FROM p JOIN q USING (t) GROUP BY ALL)""" for t in (_TERMS, _LATIN))
 
 
-def _terms(spark, d):
+def _terms(spark, d, pattern: str):
     from graphloom.functions import text
 
-    t = text.terms(F.col("text"), text.ASCII_WORD)
+    t = text.terms(F.col("text"), pattern)
     return table(spark, d, "documents").select("doc_id", t.alias("terms")), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), t.alias("terms"))
 
 
 @query(f"""WITH {_HITS}, a AS (SELECT b.item_id AS query_id, doc_id, coalesce(overlap, 0) AS overlap FROM benchmark b CROSS JOIN documents LEFT JOIN h ON h.query_id = b.item_id AND h.doc_id = documents.doc_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, doc_id) AS rank FROM a)
 SELECT query_id, doc_id, overlap, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""".replace("doc_id, coalesce", "documents.doc_id, coalesce"))
 def keyword_topk(spark, d):
-    docs, queries = _terms(spark, d)
+    from graphloom.functions import text
+
+    docs, queries = _terms(spark, d, text.UNICODE_WORD)
     return retrieval.keyword_topk(docs, queries, 5).select("query_id", "doc_id", "overlap", "rank")
 
 
-@query(f"WITH {_HITS}, r AS (SELECT query_id, doc_id, round(overlap / n, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY CAST(overlap AS DOUBLE) / n DESC, doc_id) AS rank FROM h JOIN n USING (query_id)) SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
+@query(f"WITH {_TEXT_HITS}, r AS (SELECT query_id, doc_id, round(overlap / n, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY CAST(overlap AS DOUBLE) / n DESC, doc_id) AS rank FROM h JOIN n USING (query_id)) SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
 def text_search_drop_zero(spark, d):
-    docs, queries = _terms(spark, d)
+    from graphloom.functions import text
+
+    docs, queries = _terms(spark, d, text.LATIN_CYRILLIC)
     return retrieval.text_search(docs, queries, 5).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"""WITH {_HITS}, r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY CAST(overlap AS DOUBLE) / n DESC, doc_id) AS rank FROM h JOIN n USING (query_id)), top AS (SELECT * FROM r WHERE rank <= 5),
+@query(f"""WITH {_TEXT_HITS}, r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY CAST(overlap AS DOUBLE) / n DESC, doc_id) AS rank FROM h JOIN n USING (query_id)), top AS (SELECT * FROM r WHERE rank <= 5),
 g AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), gn AS (SELECT query_id, count(*) AS wanted FROM g GROUP BY query_id),
 f AS (SELECT query_id, min(rank) AS first, count(*) AS found, sum(1.0 / log2(rank + 1)) AS gain FROM top JOIN g USING (query_id, doc_id) GROUP BY query_id)
 SELECT q.query_id, round(CASE WHEN wanted IS NULL THEN 1.0 ELSE least(1.0, coalesce(found, 0) / wanted) END, 6) AS recall, round(coalesce(1.0 / first, 0.0), 6) AS mrr,
@@ -287,13 +293,17 @@ SELECT q.query_id, round(CASE WHEN wanted IS NULL THEN 1.0 ELSE least(1.0, coale
 FROM (SELECT DISTINCT query_id FROM top UNION SELECT query_id FROM g) q LEFT JOIN gn USING (query_id) LEFT JOIN f USING (query_id)""")
 def evidence_topk(spark, d):
     """Flagship: best documents by term overlap for every benchmark passage, held against the documents that contain it."""
+    from graphloom.functions import text
     from graphloom.operators import evaluation
+    from graphloom.operators.lineage import cut
 
-    docs, queries = _terms(spark, d)
-    top = retrieval.text_search(docs, queries, 5)
+    docs, queries = _terms(spark, d, text.LATIN_CYRILLIC)
+    # one pass over the postings serves both the ranking and the containment
+    hits = cut(retrieval.overlap(docs, queries).join(queries.select("query_id", F.size("terms").alias("n")), "query_id"))
+    top = cut(retrieval.best(hits.withColumn("score", F.col("overlap") / F.col("n")), ["query_id"], [F.desc("score"), "doc_id"], 5))
     passages = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    # the inverted index finds whatever holds the passage's terms; containment is then checked on those alone
-    wanted = retrieval.overlap(docs, queries).join(queries.select("query_id", F.size("terms").alias("n")), "query_id").where("overlap = n")
-    gold = wanted.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").join(passages, "query_id").where(F.contains("text", F.col("passage"))).select("query_id", "doc_id")
+    # a document that holds a passage holds all of its terms; containment is checked on those alone
+    whole = hits.where("overlap = n").select("query_id", "doc_id")
+    gold = cut(whole.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").join(passages, "query_id").where(F.contains("text", F.col("passage"))).select("query_id", "doc_id"))
     scores = evaluation.ranking_scores(top, gold, "query_id", "doc_id", 5)
     return scores.select("query_id", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"), F.round("ndcg", 6).alias("ndcg"))

@@ -26,8 +26,11 @@ class Plan:
 
 
 def _label_of(text: str) -> str | None:
-    named = re.search(r"(?:label\s*[:=]?|classified as)\s*['\"]?(not spam|ham|spam)\b", text, re.I) or re.search(r"\b(ham|spam)\b", text, re.I)
-    return None if named is None else "spam" if named[1].lower() == "spam" else "ham"
+    """The label after "label", else after "classified as", else ham if it is named at all, else spam."""
+    for before in (r"label\s*[:=]?\s*", r"classified as\s+"):
+        if named := re.search(rf"{before}['\"]?(not spam|ham|spam)\b", text, re.I):
+            return "spam" if named[1].lower() == "spam" else "ham"
+    return next((label for label in ("ham", "spam") if re.search(rf"\b{label}\b", text, re.I)), None)
 
 
 def _rank_of(text: str) -> int | None:
@@ -71,17 +74,19 @@ def execute(p: Plan | None, facts: DataFrame) -> DataFrame:
     if p is None or p.kind == "rate":
         return _refused(facts, "unsupported")
     if p.kind == "rank":
-        per = facts.groupBy("user_id").agg(F.count_distinct("record_id").alias("n"), _records(facts))
-        # few rows after grouping meet one task only if the rank is inside the groups
+        per = facts.groupBy("user_id").agg(F.count_distinct("record_id").alias("n"))
+        # as many rows as the rank meet one task; records are gathered for the chosen user alone
         top = per.orderBy(F.desc("n"), "user_id").limit(max(0, p.rank or 0))
-        picked = top.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "user_id"))).where(F.col("r") == (p.rank or 0))
+        picked = top.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "user_id"))).where(F.col("r") == (p.rank or 0)).select("user_id")
+        picked = facts.join(F.broadcast(picked), "user_id").groupBy("user_id").agg(_records(facts))
         done = picked.select(F.lit("complete").alias("status"), F.col("user_id").alias("value"), F.col("user_id").alias("answer"), "records")
         return _or_insufficient(facts, done)
     unlabelled = facts.where("label is null").limit(1)
     if p.kind == "mode":
-        per = facts.groupBy("label").agg(F.count_distinct("record_id").alias("n"), _records(facts))
+        per = facts.groupBy("label").agg(F.count_distinct("record_id").alias("n"))
         order = [F.desc("n"), F.desc("label")] if p.descending else ["n", "label"]
-        done = per.orderBy(*order).limit(1).select(F.lit("complete").alias("status"), F.col("label").alias("value"), F.concat(F.lit("Label: "), "label").alias("answer"), "records")
+        picked = facts.join(F.broadcast(per.orderBy(*order).limit(1).select("label")), "label").groupBy("label").agg(_records(facts))
+        done = picked.select(F.lit("complete").alias("status"), F.col("label").alias("value"), F.concat(F.lit("Label: "), "label").alias("answer"), "records")
     else:
         matched = facts.where((F.col("user_id") == p.user) & (F.col("label") == p.label)).agg(_records(facts))
         n = F.size("records").cast("string")

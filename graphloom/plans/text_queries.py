@@ -10,7 +10,7 @@ from graphloom.plans.tables import Registry, table
 R = Registry()
 query = R.query
 _WORDS = r"list_filter(string_split_regex({}, '[ \t\n\r\f\v]+'), lambda x: x <> '')"
-_TERMS = "list_filter(list_distinct(regexp_extract_all(lower({}), '[a-z0-9_]+')), lambda x: length(x) > 2)"
+_TERMS = r"list_filter(list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')), lambda x: length(x) > 2)"
 
 
 @query("SELECT doc_id, CAST(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 3) END AS BIGINT) AS tokens, CAST(ceil(length(text) / 4.0) AS BIGINT) AS estimate, CAST(ceil(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 3) END / 6144.0) AS BIGINT) AS chunks FROM documents")
@@ -21,14 +21,17 @@ def token_count(spark, d):
 
 @query(f"SELECT doc_id, CAST(len({_TERMS.format('text')}) AS BIGINT) AS terms, array_to_string(list_sort({_TERMS.format('text')})[1:5], ' ') AS first_terms FROM documents")
 def term_set(spark, d):
-    t = text.terms(F.col("text"), text.ASCII_WORD)
+    t = text.terms(F.col("text"))
     return table(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("terms"), F.array_join(F.slice(F.array_sort(t), 1, 5), " ").alias("first_terms"))
 
 
-@query(r"SELECT doc_id, CAST(len(list_filter(list_distinct(regexp_extract_all(text, '[A-Za-zА-Яа-яЁё0-9]+')), lambda x: length(x) > 2)) AS BIGINT) AS terms FROM documents")
+_LATIN = "list_filter(list_distinct(regexp_extract_all(lower(text), '[A-Za-zА-Яа-яЁё0-9]+')), lambda x: length(x) > 2)"
+
+
+@query(f"SELECT doc_id, CAST(len({_LATIN}) AS BIGINT) AS terms, md5(array_to_string(list_sort({_LATIN}), ' ')) AS digest FROM documents")
 def latin_cyrillic_terms(spark, d):
-    found = F.array_distinct(text.all_matches(F.col("text"), text.LATIN_CYRILLIC))
-    return table(spark, d, "documents").select("doc_id", F.size(F.filter(found, lambda x: F.length(x) > 2)).cast("long").alias("terms"))
+    rows = table(spark, d, "documents").select("doc_id", text.terms(F.col("text"), text.LATIN_CYRILLIC).alias("t"))
+    return rows.select("doc_id", F.size("t").cast("long").alias("terms"), F.md5(F.array_join(F.array_sort("t"), " ")).alias("digest"))
 
 
 @query(f"""WITH w AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents)
@@ -54,8 +57,9 @@ _FACTS = r"""list_distinct(list_transform(list_filter(list_transform(regexp_extr
 
 @query(f"SELECT doc_id, CAST(len({_FACTS.format('text')}) AS BIGINT) AS facts, md5(array_to_string(list_sort({_FACTS.format('text')}), ' ')) AS digest FROM documents")
 def fact_terms(spark, d):
-    f = text.fact_terms(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(f).cast("long").alias("facts"), F.md5(F.array_join(F.array_sort(f), " ")).alias("digest"))
+    # the generator computes the terms of a text once for both columns
+    made = lambda f: F.struct(F.size(f).cast("long").alias("facts"), F.md5(F.array_join(F.array_sort(f), " ")).alias("digest"))
+    return table(spark, d, "documents").select("doc_id", F.inline(F.transform(F.array(text.fact_terms(F.col("text"))), made)))
 
 
 @query(r"SELECT item_id, CAST(len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+(?:\.[0-9]+)?'), lambda t: length(t) > 3 OR regexp_full_match(t, '[0-9]+'))) AS BIGINT) AS facts FROM benchmark")
@@ -84,12 +88,13 @@ def entity_slug(spark, d):
     return table(spark, d, "part").select("p_partkey", text.slug(F.col("p_name")).alias("slug"))
 
 
-@query("""WITH s AS (SELECT * FROM (VALUES ('the'), ('of'), ('tion')) AS t(surface)), p AS (SELECT doc_id, surface, string_split(lower(text), surface) AS parts FROM documents, s)
-SELECT doc_id, surface, CAST(len(parts) - 1 AS BIGINT) AS n, CAST(length(parts[1]) AS BIGINT) AS first_at FROM p WHERE len(parts) > 1""")
+@query("""WITH s AS (SELECT * FROM (VALUES ('the'), ('of'), ('tion')) AS t(surface)), p AS (SELECT doc_id, surface, string_split(lower(text), surface) AS parts FROM documents, s), u AS (SELECT doc_id, surface, unnest(parts[1:len(parts) - 1]) AS x, generate_subscripts(parts[1:len(parts) - 1], 1) AS i FROM p WHERE len(parts) > 1),
+a AS (SELECT doc_id, surface, i, CAST(sum(length(x)) OVER (PARTITION BY doc_id, surface ORDER BY i) + (i - 1) * length(surface) AS BIGINT) AS a FROM u)
+SELECT doc_id, surface, count(*) AS n, md5(string_agg(CAST(a AS VARCHAR), ',' ORDER BY i)) AS places FROM a GROUP BY doc_id, surface""")
 def find_occurrences(spark, d):
     surfaces = F.explode(F.array(*(F.lit(x) for x in ("the", "of", "tion"))))
     rows = table(spark, d, "documents").withColumn("surface", surfaces).withColumn("at", text.occurrences(F.col("text"), F.col("surface")))
-    return rows.where(F.size("at") > 0).select("doc_id", "surface", F.size("at").cast("long").alias("n"), F.get("at", F.lit(0)).cast("long").alias("first_at"))
+    return rows.where(F.size("at") > 0).select("doc_id", "surface", F.size("at").cast("long").alias("n"), F.md5(F.array_join(F.transform("at", lambda x: x.cast("string")), ",")).alias("places"))
 
 
 @query(r"""SELECT event_id, CASE WHEN event_type = 'purchase' THEN CAST(event_id % 97 AS VARCHAR) END AS answer, CAST(length('Answer from the context only.' || chr(10) || chr(10) || 'Context:' || chr(10) || CASE WHEN event_type = 'purchase' THEN 'hay The secret code is ' || CAST(event_id % 97 AS VARCHAR) || '.' ELSE 'hay' END || chr(10) || chr(10) || 'Question: what is it?') AS BIGINT) AS prompt_chars FROM events""")
@@ -116,14 +121,14 @@ def predicted_values(spark, d):
 _V = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
 
 
-@query(f"""WITH v AS (SELECT vec_id, label, {_V} AS v FROM embeddings), q AS (SELECT vec_id AS query_id, v AS q FROM v WHERE vec_id < 5),
+@query(f"""WITH v AS (SELECT vec_id, label, {_V} AS v FROM embeddings), q AS (SELECT vec_id AS query_id, v AS q FROM v WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, vec_id, round(list_cosine_similarity(q, v), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(q, v), 6) DESC, vec_id) AS rank FROM v, q WHERE query_id <> vec_id)
 SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, score FROM s WHERE rank <= 5""")
 def dense_topk(spark, d):
     from graphloom.operators import retrieval
 
     rows = table(spark, d, "embeddings").select("vec_id", vector.doubles(F.col("embedding")).alias("v"))
-    return retrieval.dense_topk(rows, rows.where("vec_id < 5"), 5)
+    return retrieval.dense_topk(rows, rows.where("vec_id % 50 = 0"), 5)
 
 
 @query(f"""WITH v AS (SELECT vec_id, {_V} AS v FROM embeddings), q AS (SELECT v AS q FROM v WHERE vec_id = 0),
@@ -149,13 +154,13 @@ def hashing_vector_sparse(spark, d):
     return vector.hashed_tokens(table(spark, d, "benchmark"), "item_id", F.col("text")).withColumn("value", F.round("value", 6))
 
 
-@query(f"""WITH v AS (SELECT vec_id, label, {_V} AS v FROM embeddings WHERE vec_id < 100)
+@query(f"""WITH v AS (SELECT vec_id, label, {_V} AS v FROM embeddings)
 SELECT round(avg(CASE WHEN a.label = b.label THEN c END), 6) AS same_mean, round(avg(CASE WHEN a.label <> b.label THEN c END), 6) AS different_mean, round(avg(CASE WHEN a.label = b.label THEN c END) - avg(CASE WHEN a.label <> b.label THEN c END), 6) AS margin
 FROM (SELECT a.label AS la, a, b, list_cosine_similarity(a.v, b.v) AS c FROM v a JOIN v b ON a.vec_id < b.vec_id) x""")
 def cluster_separation(spark, d):
     from graphloom.operators import evaluation
 
-    rows = table(spark, d, "embeddings").where("vec_id < 100").select("vec_id", "label", vector.doubles(F.col("embedding")).alias("v"))
+    rows = table(spark, d, "embeddings").select("vec_id", "label", vector.doubles(F.col("embedding")).alias("v"))
     return evaluation.cluster_separation(rows)
 
 
