@@ -1,56 +1,69 @@
 """Near-duplicates by bottom-k sketches from one hash function.
 
-Rows with equal shingle sets are one node.  A node keeps the SKETCH least of
-its shingles' hash values.  For two sets of Jaccard similarity s, the least
-value of their union is in both with probability s, so the KEYS least values of
-either, as keys of inverted lists, miss a pair with probability (1 - s)**KEYS:
-4e-9 at 0.8, and never if the sets are as small as the keys.
-
-* Lists of at most LIST nodes give their pairs (of fitting sizes), which the
-  sketch of the union filters: pairs five deviations below the limit go.
-* Nodes in longer lists (common phrases, large groups of copies) are listed
-  again by BANDS keys, each made of ROWS minima of the sketch under one mixed
-  hash, which unrelated texts with a common passage hardly share.  Lists that
-  stay long hold large families of near copies; they are chained, not paired.
-
-What is linked so far forms families.  Each family, in blocks of BLOCK nodes,
-gets its full sets once and is checked there exactly: pairs that the sketches
-allow and that are not yet connected are compared on full sets.  Only a
+Rows with equal shingle sets (128 bits of sums over them) are one node.  A node
+keeps the SKETCH least of its shingles' hash values.  The least SKETCH values of
+two sets' union estimate their Jaccard similarity: pairs whose sketches share
+fewer of them than the limit less DEVIATIONS standard deviations are ruled out,
+so at most ALLOWED of those values are not shared by a pair that stays (for sets
+that are whole in their sketches: exactly those pairs stay).  The inverted lists
+lose none of the pairs that stay:
+
+* A value is hot if more than LIST nodes retain it.  Every node is listed under
+  its first ALLOWED + 1 values that are not hot.  All such values before the first
+  one that a pair shares are unshared, so their number in both nodes together is
+  ALLOWED at most, and both nodes are listed under the shared one.
+* Only a node with ALLOWED or fewer values that are not hot can share hot values
+  alone.  Such nodes are also listed under every two values that follow each
+  other in their sketch: SKETCH - ALLOWED shared values with ALLOWED between them
+  hold such a couple.  Unrelated texts with a common passage hardly share one.
+  Couples of more than LIST nodes hold large families of near copies, which are
+  chained, not paired.
+
+What is linked so far forms families.  Each family, in blocks of bounded nodes and
+shingles, gets its full sets once and is checked there exactly: pairs that the
+sketches allow and that are not yet connected are compared on full sets.  Only a
 spanning forest of the links that hold leaves a task.  Components of those
 links, found by alternating stars, are the result.
 
 Defined results: null texts are empty; a text without words is alone; one with
 fewer words than a shingle has its whole sequence as its shingle; repeated rows are copies of each
-other; rows without an id never name a component that has one; an empty table
-gives an empty result; other columns are ignored.
+other; rows without an id never name a component that has one; very long texts are
+hashed in slices; the least id of a component names it; an empty table gives an
+empty result; other columns are ignored by the query and kept by the stage.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.store import aside, table, written
+from graphloom.llm.store import aside, dropped, table, written
 from graphloom.llm.wordhash import mix, slices, word_shingles, words_of
 
 SIMILAR = 80  # percent
 #: Words in a shingle of the pipeline's stage; op4 is bound to two.
 STAGE_WORDS = 5
 SKETCH = 64
-KEYS = 12
 LIST = 48
-BANDS, ROWS = 64, 4
-BLOCK = 1024
-BIN_NODES = 512
-#: More ids than this are joined by shuffle.
+#: Nodes and shingles of a family's block, and of a bin of small families.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
+BIN_NODES, BIN_SHINGLES = 512, 1 << 20
+#: More ids, or hot values, than this are joined by shuffle.
 BROADCAST_IDS = 2_000_000
+BROADCAST_HOT = 1_000_000
 #: Deviations below the limit at which the sketch of the union rules a pair out.
 DEVIATIONS = 5.0
+#: Unshared values among the union's SKETCH least of a pair that is not ruled out.
+ALLOWED = SKETCH - math.ceil(SKETCH * SIMILAR / 100 - DEVIATIONS * math.sqrt(SKETCH * SIMILAR / 100 * (1 - SIMILAR / 100)))
+#: Sets up to this size have partners that are whole in their sketches; n / 4 of their values may then be unshared.
+WHOLE = SKETCH * SIMILAR // 100
 
 
 def _hash63(values: np.ndarray) -> np.ndarray:
@@ -58,7 +71,7 @@ def _hash63(values: np.ndarray) -> np.ndarray:
 
 
 def _sets(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Shingles (ascending within a row), row offsets, and two sums that stand for each row's set."""
+    """Shingles (ascending within a row), row offsets, and two hashes that stand for each row's set."""
     shingles, offsets = word_shingles(words_of(batch["text"]), size)
     with np.errstate(over="ignore"):
         sums = [np.concatenate(([np.uint64(0)], np.cumsum(mix(shingles * k)))) for k in (np.uint64(1), np.uint64(0xD6E8FEB86659FD93))]
@@ -79,8 +92,8 @@ def _lists(values: np.ndarray, offsets: np.ndarray, most: int | None) -> pa.List
 def _sketches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
-            values, offsets, node, _ = _sets(batch, size)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(np.diff(offsets)), pa.array(node), _lists(values, offsets, SKETCH)], ["doc_id", "text_hash", "n", "node", "sketch"])
+            values, offsets, first, second = _sets(batch, size)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(np.diff(offsets)), pa.array(first), pa.array(second), _lists(values, offsets, SKETCH)], ["doc_id", "text_hash", "n", "h1", "h2", "sketch"])
 
     return run
 
@@ -88,27 +101,50 @@ def _sketches(size: int):
 def _full_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
-            values, offsets, node, _ = _sets(batch, size)
-            yield pa.RecordBatch.from_arrays([pa.array(node), _lists(values, offsets, None)], ["node", "shingles"])
+            values, offsets, first, second = _sets(batch, size)
+            yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), _lists(values, offsets, None)], ["h1", "h2", "shingles"])
 
     return run
 
 
-def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    salts = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
-    band = mix(np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(32))
-    for batch in batches:
-        keys = []
-        for sketch in batch["sketch"].to_numpy(zero_copy_only=False):
-            with np.errstate(over="ignore"):
-                low = mix(np.asarray(sketch, dtype=np.int64).astype(np.uint64)[:, None] ^ salts[None, :]).min(0).reshape(BANDS, ROWS)
-                key = band
-                for i in range(ROWS):
-                    key = mix(key * np.uint64(3) + low[:, i])
-            keys.append(key.view(np.int64))
-        flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([batch["node"], batch["n"], lists], ["node", "n", "keys"])
+def unshared(n: Column) -> Column:
+    """How many values a node of this size may not share with one that it is similar to."""
+    return F.when(n <= WHOLE, F.floor(n / 4)).otherwise(F.lit(ALLOWED)).cast("int")
+
+
+def _cool(shared):
+    """The first values of each sketch that are not hot, and whether there are too few of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = shared.value
+        for batch in batches:
+            lists, n = batch["sketch"], batch["n"].to_numpy()
+            flat, offsets = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
+            at = np.searchsorted(hot, flat)
+            at[at == len(hot)] = 0
+            cool = hot[at] != flat if len(hot) else np.ones(len(flat), bool)
+            before = np.concatenate(([0], np.cumsum(cool)))
+            row = np.repeat(np.arange(len(n)), np.diff(offsets))
+            most = np.where(n <= WHOLE, n // 4, ALLOWED)
+            take = cool & (before[:-1] - before[offsets[row]] <= most[row])
+            ends = np.concatenate(([0], np.cumsum(take)))[offsets]
+            keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[take]))
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["n"], keys, pa.array(before[offsets[1:]] - before[offsets[:-1]] <= most)], ["node", "n", "keys", "heavy"])
+
+    return run
+
+
+def cool_values(nodes: DataFrame, broadcast: int = BROADCAST_HOT) -> DataFrame:
+    """node, n, keys (its first values that are not hot), heavy (it may share hot values alone)."""
+    hot = written(nodes.select(F.explode("sketch").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LIST).select("key"), "dup-hot")
+    if hot.count() <= broadcast:
+        values = np.sort(hot.toArrow()["key"].to_numpy())  # at most ``broadcast`` rows
+        return nodes.select("node", "n", "sketch").mapInArrow(_cool(nodes.sparkSession.sparkContext.broadcast(values)), "node long, n long, keys array<long>, heavy boolean")
+    each = nodes.select("node", "n", F.posexplode("sketch").alias("at", "key")).join(hot.withColumn("hot", F.lit(True)), "key", "left")
+    kept = F.array_sort(F.collect_list(F.when(F.col("hot").isNull(), F.struct("at", "key"))))
+    rows = each.groupBy("node", "n").agg(kept.alias("kept"))
+    most = unshared(F.col("n"))
+    return rows.select("node", "n", F.transform(F.slice("kept", F.lit(1), most + 1), lambda x: x["key"]).alias("keys"), (F.size("kept") <= most).alias("heavy"))
 
 
 def _sized(keyed: DataFrame) -> DataFrame:
@@ -117,10 +153,10 @@ def _sized(keyed: DataFrame) -> DataFrame:
 
 
 def _pairs(keyed: DataFrame) -> DataFrame:
-    """Pairs of fitting sizes within each (short) list."""
-    lists = keyed.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "node"))).alias("m"))
+    """Pairs of fitting sizes within each (short) list of node, n, i: with no more values before this one than may be unshared."""
+    lists = keyed.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "node", "i"))).alias("m")).where("size(m) > 1")
     later = lambda x, i: F.transform(
-        F.filter(F.slice("m", i + 2, F.lit(LIST)), lambda y: x["n"] * 100 >= y["n"] * SIMILAR),
+        F.filter(F.slice("m", i + 2, F.lit(LIST)), lambda y: (x["n"] * 100 >= y["n"] * SIMILAR) & (x["i"] + y["i"] <= unshared(x["n"]))),
         lambda y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b")),
     )
     return lists.select(F.explode(F.flatten(F.transform("m", later))).alias("p")).select("p.a", "p.b")
@@ -147,7 +183,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("x"), "m").where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v"))
-        now = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
+        last, now = now, written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
+        dropped(last)
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
             break
@@ -237,49 +274,53 @@ def similar_components(docs: DataFrame, size: int = 2) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id of every row of doc_id, text, by shingles of ``size`` words."""
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
-    rows = written(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketches(size), "doc_id long, text_hash long, n long, node long, sketch array<long>"), "dup-rows")
-    nodes = written(rows.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "text_hash")).alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumns({"rep": F.col("least.doc_id"), "rep_text": F.col("least.text_hash")}).drop("least"), "dup-nodes")
-    keyed = written(_sized(nodes.select("node", "n", F.explode(F.slice("sketch", 1, KEYS)).alias("key"))), "dup-keys")
-    busy = keyed.where(F.col("size") > LIST).select("node").distinct()
-    bands = nodes.join(busy, "node", "left_semi").select("node", "n", "sketch").mapInArrow(_band_keys, "node long, n long, keys array<long>")
-    banded = written(_sized(bands.select("node", "n", F.explode("keys").alias("key"))), "dup-bands")
-    short = F.col("size") <= LIST
-    pairs = _pairs(keyed.where(short)).unionByName(_pairs(banded.where(short))).distinct()
+    rows = written(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketches(size), "doc_id long, text_hash long, n long, h1 long, h2 long, sketch array<long>"), "dup-rows")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "text_hash")).alias("least")
+    nodes = rows.where("n > 0").groupBy("h1", "h2").agg(least, F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    # numbers, not hashes, name the nodes from here on: no two sets are taken for one
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "n", "sketch", F.col("least.doc_id").alias("rep"), F.col("least.text_hash").alias("rep_text")), "dup-nodes")
+    cool = written(cool_values(nodes), "dup-cool")
+    values = cool.select("node", "n", F.posexplode("keys").alias("i", "key"))
+    couples = F.transform(F.sequence(F.lit(1), F.size("sketch") - 1), lambda t: F.xxhash64(F.get("sketch", t - 1), F.get("sketch", t)))
+    heavy = nodes.where("size(sketch) > 1").join(cool.where("heavy").select("node"), "node", "left_semi")
+    dense = written(_sized(heavy.select("node", "n", F.explode(F.array_distinct(couples)).alias("key"))), "dup-couples")
+    short = dense.where(F.col("size") <= LIST).select("node", "n", "key", F.lit(0).alias("i"))
+    pairs = _pairs(values).unionByName(_pairs(short)).distinct()
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(_allowed(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"))).select("a", "b")
-    dense = banded.where(~short)
-    chains = dense.join(dense.groupBy("key").agg(F.min("node").alias("b")), "key").select(F.col("node").alias("a"), "b").where("a <> b")
+    long = dense.where(F.col("size") > LIST)
+    chains = long.join(long.groupBy("key").agg(F.min("node").alias("b")), "key").select(F.col("node").alias("a"), "b").where("a <> b")
     families = written(components(pairs.unionByName(chains), "dup-families"), "dup-family")
     links = _verified(docs, nodes, families, size)
     linked = components(links, "dup-links")
-    labelled = nodes.select("node", "rep").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labelled = nodes.select("node", "h1", "h2", "rep").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
-    labelled = labelled.select("node", "root").join(least, "root").select("node", "component_id")
-    out = rows.drop("sketch").join(labelled, "node", "left")
+    labelled = labelled.select("h1", "h2", "root").join(least, "root").select("h1", "h2", "component_id")
+    out = rows.drop("sketch").join(labelled, ["h1", "h2"], "left")
     alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), alone.alias("component_id"))
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, families: DataFrame, size: int) -> DataFrame:
     """Links (a, b) between nodes of one family that hold on full sets: a spanning forest per task."""
-    wanted = written(families.join(nodes.select("node", "rep", "rep_text"), "node"), "dup-wanted")
-    count = wanted.count()
+    wanted = written(families.join(nodes.select("node", "h1", "h2", "n", "rep", "rep_text"), "node"), "dup-wanted")
+    count, shingles = wanted.agg(F.count(F.lit(1)), F.sum("n")).first()
     ids = wanted.select("rep", "rep_text").distinct()
     ids = F.broadcast(ids) if count <= BROADCAST_IDS else ids
     # by text too: the rows of a node may all be without an id
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["rep"]) & (F.xxhash64("text") == F.col("rep_text")), "left_semi")
-    sets = texts.select("text").mapInArrow(_full_sets(size), "node long, shingles array<long>")
-    sizes = wanted.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    place = wanted.select("node", "root").join(sizes, "root").withColumn("parts", F.expr(f"(members + {BLOCK - 1}) div {BLOCK}").cast("int"))
+    sets = texts.select("text").mapInArrow(_full_sets(size), "h1 long, h2 long, shingles array<long>")
+    sizes = wanted.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    place = wanted.select("node", "h1", "h2", "root").join(sizes, "root")
     place = place.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
-    bins = max(1, count // BIN_NODES)
+    bins = max(1, count // BIN_NODES, (shingles or 0) // BIN_SHINGLES)
     small = F.col("parts") == 1
     # a small family lies in a bin with others; a block of a large one meets every block
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     place = place.withColumn("other", other)
     place = place.withColumn("bin", F.when(small, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.col("root")))
     place = place.withColumn("i", F.when(small, -1).otherwise(F.least("part", "other"))).withColumn("j", F.when(small, -1).otherwise(F.greatest("part", "other")))
-    placed = sets.dropDuplicates(["node"]).join(place.select("node", "root", "bin", "part", "i", "j"), "node")
+    placed = sets.dropDuplicates(["h1", "h2"]).join(place.select("node", "h1", "h2", "root", "bin", "part", "i", "j"), ["h1", "h2"]).drop("h1", "h2")
     return written(placed.groupBy("bin", "i", "j").applyInPandas(_verify, "a long, b long"), "dup-verified")
 
 

@@ -215,3 +215,40 @@ def test_empty_chat_table(spark, empty_tables):
     from graphloom.llm import catalog
 
     assert [r["conv_id"] for r in catalog.QUERIES["op8_chat_formatting"](spark, empty_tables).collect()] == [-1]
+
+
+def test_no_link_is_lost_among_common_passages(spark):
+    """Two thousand texts with passages that hundreds share, near copies at and around the limit, against all pairs; recall is 1."""
+    import random
+
+    from graphloom.llm import neardup
+    from tests.llm.test_queries import brute_components
+
+    rng = random.Random(9)
+    passages = [" ".join(f"p{k}w{rng.randrange(60)}" for _ in range(rng.randint(20, 70))) for k in range(5)]
+    rows = []
+    while len(rows) < 2000:
+        own = [f"x{rng.randrange(400)}" for _ in range(rng.randint(3, 90))]
+        base = (rng.choice(passages).split() if rng.random() < 0.7 else []) + own
+        for _ in range(rng.choice((1, 1, 2, 3, 6))):
+            words = list(base)
+            for _ in range(rng.randint(0, max(1, len(words) // 12))):
+                words[rng.randrange(len(words))] = f"y{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    rows += [(len(rows) + k, passages[0] + f" z{k}") for k in range(120)]
+    found = neardup.similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    got, want = ({(r["doc_id"], r["n_shingles"], r["component_id"]) for r in found}, set(brute_components(rows)))
+    joined = {d for d, _, c in want if d != c}
+    recall = 1 - len({d for d, _, c in got if d == c} & joined) / len(joined)
+    print(f"recall of linked documents {recall:.6f} of {len(joined)}")
+    assert recall == 1.0 and got == want
+
+
+def test_cool_values_either_way(spark):
+    """Hot values joined by shuffle give the same lists as broadcast ones."""
+    from graphloom.llm import neardup
+
+    rows = [(i, 40 + i % 60, sorted({(i * 7 + j * 31) % 200 if i % 2 else i * 1000 + j if j % 3 else j for j in range(min(64, 40 + i % 60))})) for i in range(600)]
+    nodes = spark.createDataFrame(rows, "node long, n long, sketch array<long>")
+    both = [sorted((r["node"], tuple(r["keys"]), r["heavy"]) for r in neardup.cool_values(nodes, most).collect()) for most in (10**6, 0)]
+    assert both[0] == both[1] and any(r[2] for r in both[0]) and not all(r[2] for r in both[0])
