@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from graphloom.plans import context_queries, graph_queries, metric_queries, record_queries, state_queries, text_queries
+from graphloom.plans import context_queries, graph_queries, metric_queries, record_queries, runtime_queries, state_queries, text_queries
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (text_queries, metric_queries, graph_queries, state_queries, context_queries, record_queries):
+for _module in (text_queries, metric_queries, graph_queries, state_queries, context_queries, record_queries, runtime_queries):
     QUERIES |= _module.R.queries
     SQL |= _module.R.sql
