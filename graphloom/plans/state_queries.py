@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import arms, audit, chunking, discovery, evaluation, ingest, projection, retrieval
 from graphloom.operators.lineage import cut
-from graphloom.plans.graph_queries import _arguments, _facts
+from graphloom.plans.graph_queries import _ARGS, _arguments, _facts
 from graphloom.plans.tables import Registry, table
 from graphloom.streaming import fold
 
@@ -188,12 +188,13 @@ def tumbling_windows(spark, d):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
 
 
-@query()
+@query(f"""WITH {_ARGS}, a AS (SELECT * FROM args WHERE entity_id IS NOT NULL), e AS (SELECT DISTINCT entity_id, event_id FROM a)
+SELECT entity_id, any_value(name) AS name, md5(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id)) AS events, count(*) AS n FROM e JOIN (SELECT entity_id, arg_min(surface, event_id) AS name FROM a GROUP BY entity_id) USING (entity_id) GROUP BY entity_id""")
 def entity_snapshots(spark, d):
     args = _arguments(spark, d).where("entity_id is not null")
     mentions = args.select("entity_id", F.col("surface").alias("name"), F.col("surface").alias("alias"), F.col("event_id").alias("at"))
     obs = args.select("entity_id", F.col("event_id").cast("string").alias("event_id"), "role", F.array("surface").alias("counterparts"), F.col("argument_id").alias("evidence_id"), F.col("event_id").alias("at"))
-    return projection.entity_snapshots(mentions, obs).select("entity_id", "name", F.size("events").alias("events"), "content_hash")
+    return projection.entity_snapshots(mentions, obs).select("entity_id", "name", F.md5(F.array_join("events", ",")).alias("events"), F.size("events").cast("long").alias("n"))
 
 
 @query("""WITH f AS (SELECT CASE WHEN event_type IN ('click', 'view') THEN 'ham' ELSE 'spam' END AS l FROM events) SELECT 'record' AS kind, count(*) AS owners, CAST(count(*) AS BIGINT) AS n FROM f UNION ALL SELECT 'label', count(DISTINCT l), count(*) FROM f UNION ALL SELECT 'context', 1, count(*) FROM f UNION ALL SELECT 'aggregate', 1, count(*) FROM f""")
