@@ -8,7 +8,7 @@ bytes, bit by bit, from a bit model whose contexts cross words:
   or the word so far) and the bits so far up in tables of bit counts over all
   training texts, each occurrence counted;
 * their log-odds are combined by weights that a gate (bit position and the
-  longest context seen) selects; weights are learnt online, step by step,
+  number of predictors that lean to either side) selects; weights are learnt online, step by step,
   leaving each occurrence out of its own counts, over blocks of about LEARN_ROWS
   distinct contexts in the order of their hashes, and averaged.  Blocks follow
   from the contexts alone, and sums are taken in their order: the model does not
@@ -24,7 +24,8 @@ word alone, any other (a head) on the four bytes before it and its place in the
 word.  So each distinct head and each distinct word's tail is learnt once, times
 its occurrences, and computed once per task or table; sums over a text are those
 of a run over all its bytes.  The bit tables grow with the number of distinct
-contexts, from SLOTS to MAX_SLOTS a predictor; words and heads are counted by hash.  Texts meet the HOT_WORDS most frequent words as a table of
+contexts, in units of SLOTS to MAX_SLOTS; longer contexts, which are more, have
+larger tables; words and heads are counted by hash.  Texts meet the HOT_WORDS most frequent words as a table of
 bounded size and all others in a join.
 
 Defined results: a null text is empty: one token, the end; equal texts have
@@ -50,8 +51,10 @@ from graphloom.llm.wordhash import _SPACE, Words, mix, slices, words_of
 
 HELD_OUT = 10
 HOT_WORDS = 1 << 19
-#: Slots of each predictor's table: one for about eight distinct contexts, within these bounds.
+#: The unit of the tables' sizes: one for about eight distinct contexts, within these bounds.
 SLOTS, MAX_SLOTS = 1 << 18, 1 << 20
+#: Slots of the two shortest contexts, which are few, and units of the longer ones and of the word so far.
+FEW, SHARES = (1 << 12, 1 << 16), (1, 2, 4, 8)
 #: Distinct contexts that are learnt from in one block, and those taken together.
 LEARN_ROWS, LEARN_BATCH = 1 << 17, 1 << 14
 PREDICTORS = 6
@@ -74,6 +77,16 @@ def trains(doc_ids: list) -> np.ndarray:
     return np.fromiter((zlib.crc32(("" if d is None else str(d)).encode()) % HELD_OUT != 0 for d in doc_ids), dtype=bool, count=len(doc_ids))
 
 
+def layout(size: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """Slots of each predictor's table, and where each table starts; their sum ends the starts."""
+    sizes = (*FEW, *(share * size for share in SHARES))
+    return sizes, tuple(int(x) for x in np.concatenate(([0], np.cumsum(sizes))))
+
+
+#: What the bits so far add to a context's hash.
+SALTS = mix(np.arange(256, dtype=np.uint64) + np.uint64(11))
+
+
 class Contexts:
     """The table slots of the contexts of bytes, and their bits."""
 
@@ -89,14 +102,15 @@ class Contexts:
             hashes.append(mix(prefix + np.uint64(7 << 40)))
         self.hashes = hashes
 
-    def bits(self, size: int = SLOTS) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    def bits(self, size: int = SLOTS) -> Iterator[tuple[int, np.ndarray, list[np.ndarray], np.ndarray]]:
         """(position, bits so far with a leading 1, slots per predictor, bit)."""
-        value = self.bytes.astype(np.uint64)
+        value = self.bytes.astype(np.int64)
+        sizes, starts = layout(size)
         for position in range(8):
-            node = (np.uint64(1) << np.uint64(position)) | (value >> np.uint64(8 - position))
-            salt = mix(node + np.uint64(11))
-            slots = np.stack([((h ^ salt) & np.uint64(size - 1)).astype(np.int64) + i * size for i, h in enumerate(self.hashes)])
-            yield position, node.astype(np.int64), slots, ((value >> np.uint64(7 - position)) & np.uint64(1)).astype(bool)
+            node = (1 << position) | (value >> (8 - position))
+            salt = SALTS[node]
+            slots = [((h ^ salt) & np.uint64(n - 1)).view(np.int64) + start for h, n, start in zip(self.hashes, sizes, starts)]
+            yield position, node, slots, ((value >> (7 - position)) & 1).astype(bool)
 
 
 def _placed(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -204,7 +218,7 @@ def _summed(rows: DataFrame, sizes: dict[int, int]) -> dict[int, np.ndarray]:
     """Sums over all parts of arrays of a fixed size, given in blocks, in the order of their parts."""
     got = {k: np.zeros(n) for k, n in sizes.items()}
     some = rows.groupBy("kind", "block", F.pmod("part", F.lit(SUM_GROUPS)).alias("some")).applyInPandas(lambda key, pdf: _add(pdf), BLOCKS)
-    for r in some.groupBy("kind", "block").applyInPandas(lambda key, pdf: _add(pdf), BLOCKS).collect():  # a fixed number of rows
+    for r in some.groupBy("kind", "block").applyInPandas(lambda key, pdf: _add(pdf), BLOCKS).toLocalIterator():  # rows of a bounded size
         part = np.frombuffer(r["sums"], dtype="<f8")
         got[r["kind"]][r["block"] * BLOCK : r["block"] * BLOCK + len(part)] = part
     return got
@@ -226,23 +240,30 @@ def _events(batch: pa.RecordBatch) -> Iterator[tuple[Contexts, np.ndarray]]:
 
 def _count_bits(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(2 * PREDICTORS * size)
+        counts = np.zeros(2 * layout(size)[1][-1])
         for batch in batches:
             for event, times in _events(batch):
                 for _, _, slots, bit in event.bits(size):
-                    for i in range(PREDICTORS):
-                        own = slice(2 * i * size, 2 * (i + 1) * size)
-                        counts[own] += np.bincount((slots[i] - i * size) * 2 + bit, weights=times, minlength=2 * size)
+                    for slot in slots:
+                        np.add.at(counts, slot * 2 + bit, times)
         yield _as_blocks(counts, 0, TaskContext.get().partitionId())
 
     return run
 
 
-def _left_out(counts: np.ndarray, slots: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of each predictor and the number of predictors with counts, one occurrence's own bit left out."""
-    zero, one = counts[slots * 2], counts[slots * 2 + 1]
-    one, zero = np.maximum(0.0, one - bit), np.maximum(0.0, zero - ~bit)
-    return np.log((one + PRIOR) / (zero + PRIOR)), ((zero + one) > 0).sum(0)
+def _left_out(counts: np.ndarray, slots: list[np.ndarray], bit: np.ndarray) -> np.ndarray:
+    """Log-odds of each predictor, one occurrence's own bit left out."""
+    pairs, out = counts.reshape(-1, 2), np.empty((PREDICTORS, len(bit)))
+    own = np.stack((~bit, bit), 1)
+    for i, slot in enumerate(slots):
+        seen = np.maximum(0.0, pairs[slot] - own) + PRIOR
+        out[i] = np.log(seen[:, 1] / seen[:, 0])
+    return out
+
+
+def _gates(position: int, inputs: np.ndarray) -> np.ndarray:
+    """The set of weights: by the bit's position and how many predictors lean to either side."""
+    return position * LEVELS + (inputs != 0).sum(0)
 
 
 def _refined(table_: np.ndarray, score: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,8 +284,8 @@ def _learn(shared, size: int):
         for batch in block.to_batches(max_chunksize=LEARN_BATCH):
             for event, times in _events(batch):
                 for position, node, slots, bit in event.bits(size):
-                    inputs, level = _left_out(counts, slots, bit)
-                    gate = position * LEVELS + level
+                    inputs = _left_out(counts, slots, bit)
+                    gate = _gates(position, inputs)
                     for a in range(0, len(bit), STEP):
                         g, x, y, n = gate[a : a + STEP], inputs[:, a : a + STEP], bit[a : a + STEP], times[a : a + STEP]
                         share = n * (len(n) / n.sum())
@@ -283,13 +304,17 @@ def _learn(shared, size: int):
 
 def _logs(event: Contexts, model: dict) -> np.ndarray:
     """log10 of each byte's probability under the bit model."""
-    total = np.zeros(len(event.bytes))
-    for position, node, slots, bit in event.bits(len(model["odds"]) // PREDICTORS):
-        inputs, level = model["odds"][slots], model["seen"][slots].sum(0)
-        score = np.clip((model["weights"][position * LEVELS + level] * inputs.T).sum(1), -12, 12)
-        p, _ = _refined(model["refine"], score, node)
-        total += np.log10(np.where(bit, p, 1.0 - p))
-    return total
+    likely = np.ones(len(event.bytes))
+    inputs, weights = np.empty((PREDICTORS, len(likely))), np.ascontiguousarray(model["weights"].T)
+    for position, node, slots, bit in event.bits(model["size"]):
+        for i, slot in enumerate(slots):
+            inputs[i] = model["odds"][slot]
+        gate, score = _gates(position, inputs), np.zeros(len(likely))
+        for i in range(PREDICTORS):
+            score += weights[i][gate] * inputs[i]
+        p, _ = _refined(model["refine"], np.clip(score, -12, 12), node)
+        likely *= np.where(bit, p, 1.0 - p)
+    return np.log10(likely)
 
 
 def tail_logs(words: list[bytes], model: dict) -> np.ndarray:
@@ -402,7 +427,7 @@ def fit(spark: SparkSession, seen: DataFrame) -> dict:
     size = SLOTS
     while size < MAX_SLOTS and size * 8 < rows:
         size *= 2
-    bits = _summed(seen.mapInArrow(_count_bits(size), BLOCKS), {0: 2 * PREDICTORS * size})[0].astype(np.float32)
+    bits = _summed(seen.mapInArrow(_count_bits(size), BLOCKS), {0: 2 * layout(size)[1][-1]})[0].astype(np.float32)
     shared = spark.sparkContext.broadcast(bits)
     order = F.xxhash64("key", "word")
     blocks = seen.select("key", "word", "n", order.alias("order"), F.pmod(order, F.lit(-(-rows // LEARN_ROWS) or 1)).alias("part"))
@@ -411,7 +436,7 @@ def fit(spark: SparkSession, seen: DataFrame) -> dict:
     bucket = 1.0 / (1.0 + np.exp(-(np.arange(BUCKETS) / 2.0 - 8.0)))
     zero, one = learnt[2][::2].reshape(256, BUCKETS), learnt[2][1::2].reshape(256, BUCKETS)
     refine = ((one + 4.0 * bucket) / (zero + one + 4.0)).reshape(-1)
-    return {"odds": np.log((bits[1::2] + PRIOR) / (bits[::2] + PRIOR)), "seen": (bits[::2] + bits[1::2]) > 0, "weights": weights, "refine": refine}
+    return {"size": size, "odds": np.log((bits[1::2] + np.float32(PRIOR)) / (bits[::2] + np.float32(PRIOR))), "weights": weights, "refine": refine}
 
 
 def score_texts(docs: DataFrame) -> DataFrame:

@@ -136,7 +136,7 @@ def test_lm(spark, tables, rows):
 def test_spelling_is_a_distribution():
     from graphloom.llm import contextmix as cm
 
-    model = {"odds": np.random.default_rng(0).normal(size=cm.PREDICTORS * cm.SLOTS), "seen": np.ones(cm.PREDICTORS * cm.SLOTS, bool), "weights": np.full((cm.GATES, cm.PREDICTORS), 0.2), "refine": np.full(256 * cm.BUCKETS, 0.5)}
+    model = {"size": cm.SLOTS, "odds": np.random.default_rng(0).normal(size=cm.layout(cm.SLOTS)[1][-1]), "weights": np.full((cm.GATES, cm.PREDICTORS), 0.2), "refine": np.full(256 * cm.BUCKETS, 0.5)}
     every = [bytes([b]) for b in range(256)]
     spelled = cm.Spelling([b"ab" + e for e in every])
     total = np.zeros(len(spelled.bytes))

@@ -49,7 +49,7 @@ def test_scores_cover_the_byte_stream():
     from graphloom.llm.wordhash import words_of
 
     rng = np.random.default_rng(1)
-    model = {"odds": rng.normal(size=cm.PREDICTORS * cm.SLOTS), "seen": rng.random(cm.PREDICTORS * cm.SLOTS) < 0.5, "weights": np.full((cm.GATES, cm.PREDICTORS), 0.2), "refine": np.full(256 * cm.BUCKETS, 0.5)}
+    model = {"size": cm.SLOTS, "odds": rng.normal(size=cm.layout(cm.SLOTS)[1][-1]) * (rng.random(cm.layout(cm.SLOTS)[1][-1]) < 0.5), "weights": np.full((cm.GATES, cm.PREDICTORS), 0.2), "refine": np.full(256 * cm.BUCKETS, 0.5)}
     texts = ["One  two\tthreefold a bc", "threefold two bc a one", "", None, "verylongword x"]
     words = words_of(pa.array(texts))
     keys, row = cm.heads_of(words)
