@@ -64,7 +64,7 @@ BUCKETS = 33
 RATE = 0.02
 #: Bytes of words that are scored or learnt at once, and learnt in one online step.
 CHUNK, STEP = 1 << 17, 1 << 14
-BLOCK = 1 << 12
+BLOCK = 1 << 14
 PRIOR = 0.4
 #: Preceding bytes that the longest context holds.
 REACH = 4
@@ -194,19 +194,20 @@ def _chunks(words: list[bytes]) -> Iterator[list[bytes]]:
 
 
 def _as_blocks(array: np.ndarray, kind: int, part: int) -> pa.RecordBatch:
-    parts = [array[a : a + BLOCK] for a in range(0, len(array), BLOCK)]
-    columns = [pa.array([kind] * len(parts), pa.int32()), pa.array(range(len(parts)), pa.int32()), pa.array([part] * len(parts), pa.int64()), pa.array([p.astype("<f8").tobytes() for p in parts], pa.binary())]
+    parts = [(i, array[a : a + BLOCK]) for i, a in enumerate(range(0, len(array), BLOCK))]
+    parts = [(i, p) for i, p in parts if p.any()]
+    columns = [pa.array([kind] * len(parts), pa.int32()), pa.array([i for i, _ in parts], pa.int32()), pa.array([part] * len(parts), pa.int64()), pa.array([p.astype("<f8").tobytes() for _, p in parts], pa.binary())]
     return pa.RecordBatch.from_arrays(columns, ["kind", "block", "part", "sums"])
 
 
 BLOCKS = "kind int, block int, part long, sums binary"
-#: Parts that are summed first, group by group.
-SUM_GROUPS = 64
+#: Parts that are summed at once.
+SUM_PARTS = 64
 
 
 def _add(pdf):
     pdf = pdf.sort_values("part")
-    out = pdf.head(1).copy()
+    out = pdf.head(1).assign(part=pdf["part"].iloc[0] // SUM_PARTS)
     total = np.zeros(len(out["sums"].iloc[0]) // 8)
     for b in pdf["sums"]:
         total += np.frombuffer(b, dtype="<f8")
@@ -214,13 +215,15 @@ def _add(pdf):
     return out
 
 
-def _summed(rows: DataFrame, sizes: dict[int, int]) -> dict[int, np.ndarray]:
-    """Sums over all parts of arrays of a fixed size, given in blocks, in the order of their parts."""
+def _summed(rows: DataFrame, sizes: dict[int, int], parts: int) -> dict[int, np.ndarray]:
+    """Sums over all parts of arrays of a fixed size, given in blocks, in the order of their parts; blocks of zeros are left out."""
     got = {k: np.zeros(n) for k, n in sizes.items()}
-    some = rows.groupBy("kind", "block", F.pmod("part", F.lit(SUM_GROUPS)).alias("some")).applyInPandas(lambda key, pdf: _add(pdf), BLOCKS)
-    for r in some.groupBy("kind", "block").applyInPandas(lambda key, pdf: _add(pdf), BLOCKS).toLocalIterator():  # rows of a bounded size
+    while parts > 1:
+        rows = rows.groupBy("kind", "block", F.floor(F.col("part") / SUM_PARTS).alias("some")).applyInPandas(lambda key, pdf: _add(pdf), BLOCKS)
+        parts = -(-parts // SUM_PARTS)
+    for r in rows.toLocalIterator():  # rows of a bounded size, as many as blocks
         part = np.frombuffer(r["sums"], dtype="<f8")
-        got[r["kind"]][r["block"] * BLOCK : r["block"] * BLOCK + len(part)] = part
+        got[r["kind"]][r["block"] * BLOCK : r["block"] * BLOCK + len(part)] += part
     return got
 
 
@@ -334,14 +337,17 @@ class HeadLogs:
 
     def of(self, keys: np.ndarray) -> np.ndarray:
         kinds, which = np.unique(keys, return_inverse=True)
-        new = kinds[~np.isin(kinds, self.keys, assume_unique=True)]
+        at = np.minimum(np.searchsorted(self.keys, kinds), max(0, len(self.keys) - 1))
+        new = kinds[self.keys[at] != kinds] if len(self.keys) else kinds
         if len(self.keys) + len(new) > HEADS:
             self.keys, self.logs, new = np.empty(0, np.uint64), np.empty(0), kinds
-        logs = [_logs(Heads(new[a : a + CHUNK]), self.model) for a in range(0, len(new), CHUNK)]
-        merged = np.concatenate((self.keys, new))
-        order = np.argsort(merged, kind="stable")
-        self.keys, self.logs = merged[order], np.concatenate([self.logs, *logs])[order]
-        return self.logs[np.searchsorted(self.keys, kinds)][which]
+        if len(new):
+            logs = [_logs(Heads(new[a : a + CHUNK]), self.model) for a in range(0, len(new), CHUNK)]
+            merged = np.concatenate((self.keys, new))
+            order = np.argsort(merged, kind="stable")
+            self.keys, self.logs = merged[order], np.concatenate([self.logs, *logs])[order]
+            at = np.searchsorted(self.keys, kinds)
+        return self.logs[at][which]
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,11 +433,12 @@ def fit(spark: SparkSession, seen: DataFrame) -> dict:
     size = SLOTS
     while size < MAX_SLOTS and size * 8 < rows:
         size *= 2
-    bits = _summed(seen.mapInArrow(_count_bits(size), BLOCKS), {0: 2 * layout(size)[1][-1]})[0].astype(np.float32)
+    bits = _summed(seen.mapInArrow(_count_bits(size), BLOCKS), {0: 2 * layout(size)[1][-1]}, seen.rdd.getNumPartitions())[0].astype(np.float32)
     shared = spark.sparkContext.broadcast(bits)
     order = F.xxhash64("key", "word")
-    blocks = seen.select("key", "word", "n", order.alias("order"), F.pmod(order, F.lit(-(-rows // LEARN_ROWS) or 1)).alias("part"))
-    learnt = _summed(blocks.groupBy("part").applyInArrow(_learn(shared, size), BLOCKS), {1: GATES * PREDICTORS + 1, 2: 2 * 256 * BUCKETS})
+    parts = -(-rows // LEARN_ROWS) or 1
+    blocks = seen.select("key", "word", "n", order.alias("order"), F.pmod(order, F.lit(parts)).alias("part"))
+    learnt = _summed(blocks.groupBy("part").applyInArrow(_learn(shared, size), BLOCKS), {1: GATES * PREDICTORS + 1, 2: 2 * 256 * BUCKETS}, parts)
     weights = learnt[1][:-1].reshape(GATES, PREDICTORS) / learnt[1][-1] if learnt[1][-1] else np.full((GATES, PREDICTORS), 1.0 / PREDICTORS)
     bucket = 1.0 / (1.0 + np.exp(-(np.arange(BUCKETS) / 2.0 - 8.0)))
     zero, one = learnt[2][::2].reshape(256, BUCKETS), learnt[2][1::2].reshape(256, BUCKETS)
