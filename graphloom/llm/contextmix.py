@@ -359,20 +359,27 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array([words.text(i) for i in first], pa.binary()), pa.array(n)], ["hash", "word", "n"])
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys with the sums of their counts."""
+    keys, which = np.unique(np.concatenate([np.empty(0, np.uint64), *(k for k, _ in parts)]), return_inverse=True)
+    return keys, np.bincount(which, weights=np.concatenate([np.empty(0), *(n for _, n in parts)]), minlength=len(keys)).astype(np.int64)
+
+
 def _head_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct heads of training texts with their counts, about HEADS at once."""
-    keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-    made = lambda: pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "n"])
+    parts, held, kept = [], 0, 0
+    made = lambda keys, counts: pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "n"])
     for batch in (part for whole in batches for part in slices(whole)):
         found, row = heads_of(words_of(batch["text"]))
-        kinds, times = np.unique(found[trains(batch["doc_id"].to_pylist())[row]], return_counts=True)
-        both = np.concatenate((keys, kinds))
-        keys, which = np.unique(both, return_inverse=True)
-        counts = np.bincount(which, weights=np.concatenate((counts, times)), minlength=len(keys)).astype(np.int64)
-        if len(keys) > HEADS:
-            yield made()
-            keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-    yield made()
+        parts.append(np.unique(found[trains(batch["doc_id"].to_pylist())[row]], return_counts=True))
+        held += len(parts[-1][0])
+        if held > HEADS + kept:
+            parts = [_merged(parts)]
+            held = kept = len(parts[0][0])
+            if kept > HEADS:
+                yield made(*parts[0])
+                parts, held, kept = [], 0, 0
+    yield made(*_merged(parts))
 
 
 def _tails(shared):
