@@ -9,7 +9,8 @@ least two segments hold the same shingles in both, and one of them is not empty
 unless two are empty.  Every node names each of its segments (band, segment, hash
 of the contents) for its own band and for the next one, where it may be the
 smaller side; empty segments are named only by nodes that have two.  Nodes that
-share a name are chained to the least one; the components of these chains, the
+share a name are chained to the least one (by a hash of their sets: a clash would
+only make a family larger); the components of these chains, the
 families, therefore hold all links.  Texts that share a passage only hardly ever
 agree in a whole segment.
 
@@ -39,19 +40,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.neardup import _full_sets, _lists, _sets, components
+from graphloom.llm.neardup import _full_sets, _sets, components
 from graphloom.llm.store import table, written
 from graphloom.llm.wordhash import mix, slices
 
 SIMILAR = 90  # percent
 WORDS = 3
 #: Nodes and shingles of a block, and of small families that share a tile.
-BLOCK, BLOCK_SHINGLES = 4096, 1 << 21
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
 BIN_NODES, BIN_SHINGLES = 512, 1 << 20
 #: Bits of a bitmap: two a shingle of the largest set, within these bounds (longer sets are bounded less tightly).
 LEAST_BITS, MOST_BITS = 128, 8192
 #: Sets that are intersected at once.
 CHUNK = 64
+#: Sets that a task remembers in order not to send equal ones twice (they are sent again after more).
+SEEN = 1 << 20
+#: More ids than this are joined by shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 def band_bounds(similar: int = SIMILAR, most: int = 1 << 40) -> np.ndarray:
@@ -105,12 +110,54 @@ def segment_names(values: np.ndarray, offsets: np.ndarray, similar: int = SIMILA
     return names[order], np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=len(n))))), band
 
 
+def _sized(size: int, similar: int):
+    """Each row's size and band, and the two hashes that stand for its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole)):
+            _, offsets, first, second = _sets(batch, size)
+            n = np.diff(offsets)
+            band = np.searchsorted(band_bounds(similar), n, side="right") - 1
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(n), pa.array(band, pa.int32()), pa.array(first), pa.array(second)], ["doc_id", "text_hash", "n", "band", "h1", "h2"])
+
+    return run
+
+
 def _named(size: int, similar: int):
+    """name, h1 of every segment that a set names; a task names the segments of equal sets once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in (part for whole in batches for part in slices(whole)):
-            values, offsets, first, second = _sets(batch, size)
-            names, ends, band = segment_names(values, offsets, similar)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(np.diff(offsets)), pa.array(band, pa.int32()), pa.array(first), pa.array(second), _lists(names, ends, None)], ["doc_id", "text_hash", "n", "band", "h1", "h2", "names"])
+            values, offsets, first, _ = _sets(batch, size)
+            names, ends, _ = segment_names(values, offsets, similar)
+            fresh = np.zeros(len(first), bool)
+            for i, h in enumerate(first.tolist()):
+                if h not in seen:
+                    fresh[i] = True
+                    seen.add(h)
+            if len(seen) > SEEN:
+                seen.clear()
+            count = np.diff(ends)
+            keep = np.repeat(fresh, count)
+            yield pa.RecordBatch.from_arrays([pa.array(names[keep]), pa.array(np.repeat(first, count)[keep])], ["name", "h1"])
+
+    return run
+
+
+def _full_sets_once(size: int):
+    """h1, h2, shingles of each set, once per task for equal ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in _full_sets(size)(batches):
+            fresh = []
+            for pair in zip(batch["h1"].to_pylist(), batch["h2"].to_pylist(), strict=True):
+                fresh.append(pair not in seen)
+                seen.add(pair)
+            if len(seen) > SEEN:
+                seen.clear()
+            yield batch.filter(pa.array(fresh))
 
     return run
 
@@ -177,6 +224,7 @@ def _tile(similar: int):
         offsets = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
         a, b = [], []
         order = np.lexsort((node, root))
+        order = order[np.concatenate(([True], np.diff(node[order]) != 0))]  # repeated rows of several tasks
         for family in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
             own = np.concatenate([flat[offsets[i] : offsets[i + 1]] for i in family])
             ends = np.concatenate(([0], np.cumsum(offsets[family + 1] - offsets[family])))
@@ -210,21 +258,20 @@ def tiles(families: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of doc_id, text."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    rows = written(docs.mapInArrow(_named(size, similar), "doc_id long, text_hash long, n long, band int, h1 long, h2 long, names array<long>"), "join-rows")
+    rows = written(docs.mapInArrow(_sized(size, similar), "doc_id long, text_hash long, n long, band int, h1 long, h2 long"), "join-rows")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "text_hash")).alias("least")
     nodes = rows.where("n > 0").groupBy("h1", "h2").agg(least, F.first("n").alias("n"), F.first("band").alias("band"))
-    # numbers, not hashes, name the nodes from here on: no two sets are taken for one
+    # numbers, not hashes, name the nodes in tiles and links: no two sets are taken for one
     nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "n", "band", F.col("least.doc_id").alias("rep"), F.col("least.text_hash").alias("rep_text")), "join-nodes")
-    is_rep = lambda left, right: left["doc_id"].eqNullSafe(right["rep"]) & (left["text_hash"] == right["rep_text"])
-    names = rows.where("size(names) > 0").select("doc_id", "text_hash", "names")
-    names = names.join(nodes.select("node", "rep", "rep_text"), is_rep(names, nodes)).select("node", F.explode("names").alias("name"))
-    leader = F.first("node").over(Window.partitionBy("name").orderBy("node"))
-    chains = names.select("node", leader.alias("leader")).where("leader <> node").distinct().select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    families = components(written(chains, "join-chains"), "join-families")
-    families = written(families.join(nodes.select("node", "h1", "h2", "n", "band", "rep", "rep_text"), "node"), "join-family")
+    names = docs.mapInArrow(_named(size, similar), "name long, h1 long")
+    leader = F.first("h1").over(Window.partitionBy("name").orderBy("h1"))
+    chains = names.select("h1", leader.alias("leader")).where("leader <> h1").distinct().select(F.col("h1").alias("a"), F.col("leader").alias("b"))
+    families = components(written(chains, "join-chains"), "join-families").withColumnRenamed("node", "h1")
+    families = written(families.join(nodes, "h1"), "join-family")
     ids = families.select("rep", "rep_text").distinct()
-    texts = docs.join(ids, is_rep(docs, ids), "left_semi").select("text")
-    sets = texts.mapInArrow(_full_sets(size), "h1 long, h2 long, shingles array<long>").dropDuplicates(["h1", "h2"])
+    ids = F.broadcast(ids) if families.count() <= BROADCAST_IDS else ids
+    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["rep"]) & (docs["text_hash"] == ids["rep_text"]), "left_semi").select("text")
+    sets = texts.mapInArrow(_full_sets_once(size), "h1 long, h2 long, shingles array<long>")
     placed = sets.join(tiles(families), ["h1", "h2"]).drop("h1", "h2")
     links = written(placed.groupBy("bin", "i", "j").applyInArrow(_tile(similar), "a long, b long"), "join-links")
     linked = components(links, "join-components")
