@@ -1,10 +1,14 @@
 """Temperature mixing of sources (DataFrame functions only).
 
 Source shares of tokens are raised to an exponent, which is bisected (SECTIONS
-parts a round, all tried in one aggregation) until the mixture has no more than
-the target entropy and repeats no source more than MAX_REPEAT times as often as
-the least repeated one.  The normalised weights become token budgets: the
-largest source is read once, every other source as often as its weight says.
+parts a round, all tried in one aggregation) until the mixture has the target
+entropy: by default EVEN of the way from the entropy the sources have to that of
+an even mixture.  An exponent below 1 flattens the shares, one above 1 sharpens
+them.  The search goes no further than where some source would be repeated more
+than MAX_REPEAT times as often as the least repeated one; if the target lies
+beyond, the exponent is that of the limit, and ``Exponent.met`` says so.  The
+normalised weights become token budgets: the least repeated source is read once,
+every other source as often as its weight says.
 
 A source's stream is made of epochs.  Its documents lie in blocks of about
 BLOCK_ROWS, or in LEAST_BLOCKS if they are few, so that budgets are met closely
@@ -24,14 +28,17 @@ ignored by the query.
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.store import aside, table, written
 
 MAX_REPEAT = 2.0
-#: Share of the highest possible entropy that the mixture may reach.
-TARGET_ENTROPY = 0.95
+#: How far the mixture goes from the sources' own entropy to that of an even mixture.
+EVEN = 0.5
 SECTIONS = 32
 ROUNDS = 5
 BLOCK_ROWS = 512
@@ -47,39 +54,56 @@ def tokens(text: str = "text"):
     return F.greatest(F.lit(1), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0))).cast("long")
 
 
-def bisect_exponent(sources: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repeat: float = MAX_REPEAT) -> float:
-    """The least exponent in [0, 1] whose weights keep both limits; ``sources`` has ``total`` tokens of each source."""
-    n, most, whole = sources.agg(F.count(F.lit(1)), F.max("total"), F.sum("total")).first()
-    if not n or n == 1:
-        return 1.0
-    share = F.col("total") / F.lit(float(whole))
-    low, high = 0.0, 1.0
-    limit = target_entropy * float(sources.select(F.log(F.lit(float(n)))).first()[0])
-    for _ in range(ROUNDS):
+@dataclass(frozen=True)
+class Exponent:
+    """``met``: "target", or "repetition limit" where that stops the search first, or "even" for sources of one size."""
+
+    value: float
+    met: str
+    target: float
+
+
+def bisect_exponent(sources: DataFrame, target_entropy: float | None = None, max_repeat: float = MAX_REPEAT, even: float = EVEN) -> Exponent:
+    """The exponent whose mixture has the target entropy (a share of the highest possible one) within the repetition limit.
+
+    ``sources`` has ``total`` tokens of each source, all positive.  Entropy falls as the exponent grows.
+    """
+    n, most, least, whole = sources.agg(F.count(F.lit(1)), F.max("total"), F.min("total"), F.sum("total")).first()
+    if not n or most == least:
+        return Exponent(1.0, "even", 1.0)
+    share, highest = F.col("total") / F.lit(float(whole)), math.log(n)
+    if target_entropy is None:
+        own = sources.agg(-F.sum(share * F.log(share))).first()[0] / highest
+        target_entropy = own + even * (1.0 - own)
+    limit = target_entropy * highest
+    reach = math.log(max_repeat) / math.log(most / least)
+    low, high = max(0.0, 1.0 - reach), 1.0 + reach
+    for step_no in range(ROUNDS):
         step = (high - low) / SECTIONS
         tried = sources.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(SECTIONS)))).withColumn("a", F.lit(low) + F.col("i") * F.lit(step))
-        raised = tried.groupBy("i").agg(F.sum(F.pow(share, "a")).alias("z"), F.sum(F.pow(share, "a") * F.log(F.pow(share, "a"))).alias("e"), F.max(F.pow(F.lit(float(most)) / F.col("total"), 1 - F.col("a"))).alias("r"))
+        # relative to the largest source, so that no power leaves the range of doubles
+        power = F.pow(F.col("total") / F.lit(float(most)), "a")
+        raised = tried.groupBy("i").agg(F.sum(power).alias("z"), F.sum(F.when(power > 0, power * F.log(power)).otherwise(0.0)).alias("e"))
         # entropy of p = x/z is log z - sum(x log x)/z
-        fits = raised.where((F.log("z") - F.col("e") / F.col("z") <= limit) & (F.col("r") <= max_repeat)).agg(F.min("i")).first()[0]
-        if fits is None:
-            low = high
-            break
-        if fits == 0:
-            high = low
-            break
+        fits = raised.where(F.log("z") - F.col("e") / F.col("z") <= limit).agg(F.min("i")).first()[0]
+        if step_no == 0 and (fits is None or fits == 0):
+            end = high if fits is None else low
+            return Exponent(end, "target" if end == 0.0 and target_entropy >= 1.0 else "repetition limit", target_entropy)
+        fits = SECTIONS if fits is None else max(1, fits)
         low, high = low + (fits - 1) * step, low + fits * step
-    return high
+    return Exponent(high, "target", target_entropy)
 
 
-def plan(rows: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repeat: float = MAX_REPEAT) -> DataFrame:
-    """Per (source, block): the epochs that take the block and where in the source's stream it starts.
+def plan(rows: DataFrame, target_entropy: float | None = None, max_repeat: float = MAX_REPEAT) -> DataFrame:
+    """Per source: tokens, times it is read, budget and blocks.
 
     ``rows`` has _source, _key (a hash) and _tokens.
     """
     sources = written(rows.groupBy("_source").agg(F.sum("_tokens").alias("total"), F.count(F.lit(1)).alias("n")), "mix-sources")
-    exponent = bisect_exponent(sources, target_entropy, max_repeat)
-    most = sources.agg(F.max("total")).first()[0] or 1
-    budgets = sources.withColumn("_times", F.pow(F.col("total") / F.lit(float(most)), F.lit(exponent - 1.0))).withColumn("_budget", F.col("_times") * F.col("total"))
+    exponent = bisect_exponent(sources, target_entropy, max_repeat).value
+    most, least = sources.agg(F.max("total"), F.min("total")).first()
+    once = float((most if exponent <= 1 else least) or 1)
+    budgets = sources.withColumn("_times", F.pow(F.col("total") / F.lit(once), F.lit(exponent - 1.0))).withColumn("_budget", F.col("_times") * F.col("total"))
     return budgets.withColumn("_blocks", F.greatest(F.least(F.col("n"), F.lit(LEAST_BLOCKS)), F.expr(f"n div {BLOCK_ROWS}")).cast("long")).drop("n")
 
 

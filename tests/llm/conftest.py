@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import types as T
@@ -44,12 +45,40 @@ def tables(spark, rows, tmp_path_factory):
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
     turns = [(1, 0, "user", "hi <|end|>\n<|turn|>x"), (1, 1, "assistant", "yo \\<\\| [INST] </s>"), (2, 0, "system", None), (2, 1, "user", ""), (2, 2, "assistant", "é\n\n"), (2, 2, "assistant", "é\n\n"), (3, 0, "odd\nrole%", "t")]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    spark.createDataFrame([(i, prose(rng, "en", 30)) for i in range(6)] + [(6, None), (7, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for name, (found, schema) in shop().items():
+        spark.createDataFrame(found, schema).repartition(3).write.parquet(f"{folder}/{name}.parquet")
     return folder
 
 
+def shop():
+    """Rows and schema of clicks, sales and sale_lines: one client with most rows, ties, nulls, repeated, late and broken rows, clashing columns."""
+    rng, start = random.Random(7), datetime(2024, 1, 1)
+    when = lambda days: start + timedelta(seconds=rng.randrange(days * 86400 // 600) * 600)
+    client = lambda: None if rng.random() < 0.03 else 7 if rng.random() < 0.5 else rng.randrange(12)
+    late = lambda at: None if at is None or rng.random() < 0.04 else at + timedelta(seconds=rng.choice([-3600, 0, 5, 600, 90_000, 2_000_000]))
+    amount = lambda: rng.choice([None, float("nan"), 0.0, -1.005, 2.675, round(rng.uniform(0, 90), 2)])
+    clicks, sales, lines = [], [], []
+    for i in range(400):
+        at = None if rng.random() < 0.03 else when(60)
+        clicks.append((None if i % 50 == 3 else i, at, late(at), client(), rng.choice(["view", "purchase", None]), amount(), rng.choice([None, "{}", '{"k": 1}']), "x"))
+    for i in range(150):
+        at = None if rng.random() < 0.03 else when(60)
+        sales.append((None if i == 9 else i, client(), "done", amount(), at, late(at), 1, 5))
+        for n in range(rng.choice([0, 1, 2, 4, 30 if i == 11 else 1])):
+            lines.append((i, n, None if rng.random() < 0.1 else rng.randrange(5), 1, 1, amount(), 0.0, "kept", None if at is None or rng.random() < 0.05 else at + timedelta(days=rng.randrange(9)), "y"))
+    clicks += clicks[:20] + [(*clicks[30][:6], "other", "x")]
+    lines += lines[:15] + [(None, 1, 1, 1, 1, 1.0, 0.0, "kept", start, "y"), (9999, 1, 1, 1, 1, 1.0, 0.0, "kept", start, "y")]
+    return {
+        "clicks": (clicks, "click_id long, ts timestamp_ntz, arrived_at timestamp_ntz, client_id long, kind string, value double, props string, known string"),
+        "sales": (sales, "sale_id long, client_id long, status string, total double, sold_at timestamp_ntz, arrived_at timestamp_ntz, priority int, salt int"),
+        "sale_lines": (lines, "sale_id long, line_no int, item_id long, vendor_id long, quantity int, amount double, discount double, flag string, shipped_at timestamp_ntz, client string"),
+    }
+
+
 @pytest.fixture(scope="session")
 def empty_tables(spark, tables, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
-    for t in ("documents", "labels", "embeddings", "conversations"):
+    for t in ("documents", "labels", "embeddings", "conversations", "benchmark", "clicks", "sales", "sale_lines"):
         spark.read.parquet(f"{tables}/{t}.parquet").where("false").write.parquet(f"{folder}/{t}.parquet")
     return folder

@@ -147,33 +147,71 @@ def test_spelling_is_a_distribution():
     assert np.exp(total[2::4]).sum() == pytest.approx(1.0)
 
 
+def mixture(total, exponent):
+    """Entropy of a mixture as a share of the highest possible one."""
+    p = np.array([t**exponent for t in total], float)
+    p /= p.sum()
+    return float(-(p * np.log(p)).sum() / np.log(len(p)))
+
+
+def exponent_of(total, target, most=2.0):
+    """By plain bisection: the exponent with the target entropy, or the end of the range that the repetition limit allows."""
+    reach = np.log(most) / np.log(max(total) / min(total))
+    low, high = max(0.0, 1 - reach), 1 + reach
+    if mixture(total, low) <= target:
+        return low
+    if mixture(total, high) > target:
+        return high
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if mixture(total, middle) > target else (low, middle)
+    return high
+
+
 def test_mixing(spark, tables, rows):
+    """Shares, exponent, weights, budgets, epochs and positions, all computed again."""
     got = result(spark, "op6_source_mixing", tables)
-    assert {r["doc_id"] for r in got} == {r[0] for r in rows}
-    total = Counter()
+    total, least = Counter(), Counter()
     for r in rows:
-        total[r[3] or ""] += max(1, len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")))
-    taken = Counter()
-    for r in got:
-        taken[r["source"] or ""] += r["tokens"]
-    assert all(1.0 <= taken[s] / total[s] <= 2.0 + 1e-9 for s in total)
+        n = max(1, len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")))
+        total[r[3] or ""] += n
+        least[r[0], r[3] or ""] += 1
+    sizes = list(total.values())
+    own = mixture(sizes, 1.0)
+    a = exponent_of(sizes, own + 0.5 * (1 - own))
+    assert a < 1
+    times = {s: (total[s] / max(sizes)) ** (a - 1) for s in total}
+    assert max(times.values()) > 1.2
     for s in total:
-        at = 0
-        for r in sorted((r for r in got if (r["source"] or "") == s), key=lambda r: (r["position"], r["tokens"])):
-            assert r["position"] == at
+        mine = sorted((r for r in got if (r["source"] or "") == s), key=lambda r: (r["position"], r["tokens"]))
+        at, budget = 0, times[s] * total[s]
+        blocks = Counter()
+        for r in mine:
+            assert r["position"] == at and r["epoch"] == at // total[s] and r["mix_at"] == pytest.approx(at / budget, rel=1e-4)
             at += r["tokens"]
-
-
-def test_bisection(spark):
+            blocks[r["epoch"], r["block"]] += r["tokens"]
+        # the last block starts before the budget is met
+        last = blocks[mine[-1]["epoch"], mine[-1]["block"]]
+        assert at - last <= budget * (1 + 1e-4) and at >= budget * (1 - 1e-4)
+        for epoch in range(int(times[s] * (1 - 1e-4))):
+            assert Counter(r["doc_id"] for r in mine if r["epoch"] == epoch) == Counter({d: n for (d, x), n in least.items() if x == s})
+
+
+@pytest.mark.parametrize(
+    ("total", "target", "most", "met"),
+    [((8000, 1000, 1000), 1.0, 2.0, "repetition limit"), ((8000, 1000, 1000), 0.9, 100.0, "target"), ((100, 110, 90), 0.5, 2.0, "repetition limit"), ((100, 110, 90), 0.99, 2.0, "target"), ((100, 110, 90), None, 2.0, "target"), ((8000, 7000, 10**9), 0.2, 10**9, "target"), ((5, 5), None, 2.0, "even"), ((3,), 0.5, 2.0, "even")],
+)
+def test_bisection(spark, total, target, most, met):
     from graphloom.llm.mixing import bisect_exponent
 
-    s = spark.createDataFrame([(8000,), (1000,), (1000,)], "total long")
-    a = bisect_exponent(s, 1.0, 2.0)
-    assert 8 ** (1 - a) == pytest.approx(2.0, rel=1e-3)
-    p = np.array([0.8, 0.1, 0.1])
-    a = bisect_exponent(s, 0.9, 100.0)
-    q = p**a / (p**a).sum()
-    assert -(q * np.log(q)).sum() == pytest.approx(0.9 * np.log(3), rel=1e-3)
+    a = bisect_exponent(spark.createDataFrame([(t,) for t in total], "total long"), target, most)
+    assert a.met == met
+    if met == "even":
+        assert a.value == 1.0
+        return
+    assert a.value == pytest.approx(exponent_of(total, a.target, most), abs=1e-5)
+    if met == "target":
+        assert mixture(total, a.value) == pytest.approx(a.target, abs=1e-5)
 
 
 def test_sharding(spark, tables, rows):
