@@ -86,13 +86,18 @@ def top_components(query: Column, doc: Column, k: int = 8) -> Column:
     return F.transform(F.slice(F.array_sort(parts), 1, k), lambda x: F.struct(x["dimension"], x["contribution"]))
 
 
-def hashed_tokens(docs: DataFrame, id_col: str, text: Column, dims: int = 256) -> DataFrame:
-    """Sparse signed hashing vectors: id, dim, value (L2-normalised), zero entries gone."""
+def hashed_counts(docs: DataFrame, id_col: str, text: Column, dims: int = 256) -> DataFrame:
+    """Signed counts of hashed tokens: id, dim, raw; zero entries gone.  Whole numbers, which add up over texts."""
     token = F.explode(F.filter(F.split(F.lower(text), r"[ \t\n\r\f\x0B]+"), lambda x: x != ""))
     digest = docs.select(id_col, token.alias("t")).groupBy(id_col, "t").count().withColumn("h", F.sha2("t", 256))
     dim = (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % dims).cast("int")
     sign = F.when(F.conv(F.substring("h", 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
-    sums = digest.groupBy(id_col, dim.alias("dim")).agg(F.sum(sign * F.col("count")).alias("raw")).where("raw <> 0")
+    return digest.groupBy(id_col, dim.alias("dim")).agg(F.sum(sign * F.col("count")).alias("raw")).where("raw <> 0")
+
+
+def hashed_tokens(docs: DataFrame, id_col: str, text: Column, dims: int = 256) -> DataFrame:
+    """Sparse signed hashing vectors: id, dim, value (L2-normalised), zero entries gone."""
+    sums = hashed_counts(docs, id_col, text, dims)
     size = sums.groupBy(id_col).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("size"))
     return sums.join(size, id_col).select(id_col, "dim", (F.col("raw") / F.col("size")).alias("value"))
 

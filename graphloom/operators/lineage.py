@@ -2,9 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Used only where the session runs in one process and names no folder.
+LOCAL_FOLDER = "file:///tmp/checkpoints/graphloom-core"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """A checkpoint where the session names a folder for them (it survives lost executors), else a cached table."""
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see: spark.checkpoint.dir, or one under /tmp in a local session that names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = LOCAL_FOLDER
+    return folder.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows as a Parquet table in the shared folder, read back: lost executors cost lost tasks only."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

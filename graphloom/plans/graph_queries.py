@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphloom.functions import vector
 from graphloom.operators import graph, navigation, retrieval, sinks
 from graphloom.plans import planner
 from graphloom.plans.tables import Registry, table
@@ -100,14 +101,34 @@ def frontier_structural(spark, d):
     return navigation.frontier(docs, docs.where("doc_id % 50 = 0"), 20).select("from_id", "doc_id", F.col("structural").cast("long"))
 
 
-@query()
+def _unit(v: str) -> str:
+    return f"list_transform({v}, lambda x: x / sqrt(list_dot_product({v}, {v})))"
+
+
+def _beam(t: int) -> str:
+    """SQL of a beam's states at depth t from those before."""
+    new = lambda a, b: f"len(list_filter({a}, lambda x: NOT list_contains({b}, x)))"
+    confidence, novelty = "least(1.0::DOUBLE, 0.2 + 0.3 * len(list_intersect(en, den)) + 0.3 * len(list_intersect(ev, dev)) + 0.2 * len(list_intersect(sp, dsp)))", f"least(1.0::DOUBLE, 0.4 * {new('den', 'en')} + 0.3 * {new('dev', 'ev')} + 0.3 * {new('dsp', 'sp')})"
+    local = f"0.7::DOUBLE * (list_cosine_similarity(nav, dv) + 1) / 2 + 0.15::DOUBLE * {confidence} + 0.1::DOUBLE * CASE WHEN len(dsp) > 0 THEN 1.0 ELSE 0.4 END + 0.05::DOUBLE * {novelty} - 0.04::DOUBLE * {t - 1}"
+    return f"""e{t} AS (SELECT f, doc AS nx FROM (SELECT a.doc AS f, b.doc, sum(a.w) AS st FROM (SELECT DISTINCT doc FROM b{t - 1}) s JOIN k a ON a.doc = s.doc JOIN k b ON a.kind = b.kind AND a.key = b.key AND a.doc <> b.doc GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY f ORDER BY st DESC, doc) <= 20),
+m{t} AS (SELECT s.*, d.doc AS nx, d.en AS den, d.ev AS dev, d.sp AS dsp, d.v AS dv FROM b{t - 1} s JOIN e{t} e ON e.f = s.doc JOIN d ON d.doc = e.nx WHERE NOT list_contains(seen, d.doc)),
+n{t} AS (SELECT *, 0.65::DOUBLE * score + 0.35::DOUBLE * greatest(0, least(1, {local})) AS s2 FROM m{t}),
+o{t} AS (SELECT *, list_transform(range(1, len(dv) + 1), lambda i: 0.45::DOUBLE * q0[i] + 0.25::DOUBLE * nav[i] + 0.3::DOUBLE * dv[i]) AS mixed, row_number() OVER (PARTITION BY q ORDER BY round(s2, 9) DESC, nx, doc) AS r2 FROM n{t} QUALIFY r2 <= 3),
+b{t} AS (SELECT q, nx AS doc, r2 AS rank, s2 AS score, q0, {_unit("mixed")} AS nav, list_append(seen, nx) AS seen, list_distinct(list_concat(en, den)) AS en, list_distinct(list_concat(ev, dev)) AS ev, list_distinct(list_concat(sp, dsp)) AS sp FROM o{t})"""
+
+
+_DOC_ROWS = """d AS (SELECT o_orderkey AS doc, o_custkey AS own, list_distinct(list_concat(['c' || o_custkey], coalesce(s, []))) AS en, [strftime(o_orderdate, '%Y-%m-%d')] AS ev, coalesce(p, []) AS sp, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM orders JOIN embeddings ON vec_id = o_orderkey % 500 LEFT JOIN (SELECT l_orderkey, list(DISTINCT 's' || l_suppkey) AS s, list(DISTINCT 'p' || l_partkey) AS p FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey)"""
+
+
+@query(f"""WITH {_KEYS}, {_DOC_ROWS}, b0 AS (SELECT doc AS q, doc, 1 AS rank, 0.5::DOUBLE AS score, v AS q0, v AS nav, [doc] AS seen, en, ev, sp FROM d WHERE doc % 50 = 0), {", ".join(_beam(t) for t in (1, 2, 3))}
+{" UNION ALL ".join(f"SELECT q AS query_id, {t} AS depth, CAST(rank AS INTEGER) AS rank, doc AS doc_id, round(score, 6) AS score FROM b{t}" for t in range(4))}""")
 def beam_navigation(spark, d):
     """From every document whose id is divisible by 50, with its own vector as the query."""
     docs = _semantic_docs(spark, d)
     start = docs.where("doc_id % 50 = 0")
     v = start.select(F.col("doc_id").alias("query_id"), "v")
     seeds = start.select(F.col("doc_id").alias("query_id"), "doc_id", F.lit(0.5).alias("score"))
-    return navigation.navigate(docs, v, seeds)
+    return navigation.navigate(docs, v, seeds).withColumn("score", F.round("score", 6))
 
 
 def _passages(spark, d):
@@ -120,12 +141,102 @@ def _questions(spark, d):
     return p.groupBy("case_id").agg(F.max_by("v", "doc_id").alias("v"))
 
 
-@query()
+_PASSAGES = f"""p0 AS (SELECT label AS c, vec_id AS doc, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), p AS (SELECT c, doc, {_unit("v")} AS v FROM p0), q AS (SELECT c, arg_max(v, doc) AS v FROM p GROUP BY c)"""
+
+
+def _pooled(h: int) -> str:
+    """SQL of the chains after hop h; chains of one set are one."""
+    return f"""x{h} AS (SELECT c.c, q0, score + round(list_cosine_similarity(now, p.v), 9) AS score, list_transform(range(1, len(p.v) + 1), lambda i: total[i] + p.v[i]) AS total, list_append(chain, doc) AS chain FROM h{h - 1} c JOIN p ON p.c = c.c WHERE NOT list_contains(chain, doc)),
+y{h} AS (SELECT * FROM x{h} QUALIFY row_number() OVER (PARTITION BY c, list_sort(chain) ORDER BY score DESC, to_json(chain)::VARCHAR) = 1),
+z{h} AS (SELECT *, list_transform(range(1, len(total) + 1), lambda i: q0[i] * 0.6::DOUBLE + total[i] * (1.0::DOUBLE / {h}) * 0.4::DOUBLE) AS mixed FROM y{h} QUALIFY row_number() OVER (PARTITION BY c ORDER BY round(score, 9) DESC, to_json(chain)::VARCHAR) <= 3),
+h{h} AS (SELECT c, q0, {_unit("mixed")} AS now, total, score, chain FROM z{h})"""
+
+
+@query(f"""WITH {_PASSAGES}, h0 AS (SELECT c, v AS q0, v AS now, list_transform(v, lambda x: 0.0::DOUBLE) AS total, 0.0::DOUBLE AS score, CAST([] AS BIGINT[]) AS chain FROM q), {_pooled(1)}, {_pooled(2)} SELECT c AS case_id, array_to_string(chain, ',') AS chain, round(score, 6) AS score FROM h2""")
 def mdr_pooled_beam(spark, d):
-    return navigation.pooled_hops(_passages(spark, d), _questions(spark, d))
+    out = navigation.pooled_hops(_passages(spark, d), _questions(spark, d))
+    return out.withColumn("chain", F.array_join(F.transform("chain", lambda x: x.cast("string")), ","))
+
+
+_PATHS = """vv AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), qs AS (SELECT vec_id AS q, v AS qv FROM vv WHERE vec_id % 50 = 0), en AS (SELECT p_partkey::VARCHAR AS e, v FROM part JOIN vv ON vec_id = p_partkey % 500),
+tr AS (SELECT s, t, ev, sp, conf, v AS tv FROM (SELECT DISTINCT l_partkey::VARCHAR AS s, l_suppkey::VARCHAR AS t, ['ev' || l_partkey * l_suppkey % 50] AS ev, ['x' || (l_partkey * 3 + l_suppkey) % 40] AS sp, 0.5::DOUBLE + (l_partkey + l_suppkey) % 5 / 10.0::DOUBLE AS conf, (l_partkey * 7 + l_suppkey) % 500 AS vec FROM lineitem WHERE l_partkey <> l_suppkey) JOIN vv ON vec_id = vec),
+se AS (SELECT q, e, qv, list_cosine_similarity(qv, v) AS score FROM qs, en QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, e) <= 3),
+w0 AS (SELECT q, [e] AS path, qv AS pv, qv, [e] AS en, CAST([] AS VARCHAR[]) AS ev, CAST([] AS VARCHAR[]) AS sp, CAST([] AS VARCHAR[]) AS taken, score FROM se QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, e) <= 2)"""
+
+
+def _path_step(t: int) -> str:
+    """SQL of the paths that are kept at depth t."""
+    new = lambda a, b: f"CASE WHEN len(list_filter({a}, lambda x: NOT list_contains({b}, x))) > 0 THEN 1 ELSE 0 END"
+    step = f"0.45::DOUBLE * (list_cosine_similarity(qv, tv) + 1) / 2 + 0.2::DOUBLE * (list_cosine_similarity(pv, tv) + 1) / 2 + 0.15::DOUBLE * conf + 0.15::DOUBLE * least(1.0, 0.4 * {new('[t]', 'en')} + 0.25 * {new('tev', 'ev')} + 0.35 * {new('tsp', 'sp')}) - 0.1::DOUBLE * len(list_intersect(tsp, sp)) / len(tsp) - 0.04::DOUBLE * {t - 1}"
+    return f"""i{t} AS (SELECT w.*, tr.t, tr.ev AS tev, tr.sp AS tsp, conf, tv FROM w{t - 1} w JOIN tr ON tr.s = w.path[-1] WHERE NOT list_contains(taken, tr.s || '>' || tr.t)),
+j{t} AS (SELECT *, 0.65::DOUBLE * score + 0.35::DOUBLE * greatest(0, least(1, {step})) AS s2, list_append(path, t) AS p2, list_transform(range(1, len(tv) + 1), lambda i: 0.2::DOUBLE * qv[i] + 0.45::DOUBLE * pv[i] + 0.35::DOUBLE * tv[i]) AS mixed FROM i{t} QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(s2, 9) DESC, to_json(p2)::VARCHAR) <= 2),
+w{t} AS (SELECT q, p2 AS path, {_unit("mixed")} AS pv, qv, list_distinct(list_concat(en, [path[-1], t])) AS en, list_distinct(list_concat(ev, tev)) AS ev, CASE WHEN list_contains(sp, tsp[1]) THEN sp ELSE list_concat(sp, tsp) END AS sp, list_append(taken, path[-1] || '>' || t) AS taken, s2 AS score FROM j{t})"""
+
+
+_FOUND = f"""{_PATHS}, {_path_step(1)}, {_path_step(2)}, pa AS (SELECT q, path, sp, score, d, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, to_json(path)::VARCHAR) AS rank FROM (SELECT q, path, sp, score, 1 AS d FROM w1 UNION ALL SELECT q, path, sp, score, 2 FROM w2) QUALIFY rank <= 12)"""
+
+
+def _path_tables(spark, d):
+    e, li = table(spark, d, "embeddings"), table(spark, d, "lineitem")
+    v = e.select(F.col("vec_id").alias("_vec"), vector.doubles(F.col("embedding")).alias("v"))
+    asked = v.where("_vec % 50 = 0").withColumnRenamed("_vec", "query_id")
+    entities = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("entity"), (F.col("p_partkey") % 500).alias("_vec")).join(v, "_vec").drop("_vec")
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    named = lambda prefix, x: F.array(F.concat(F.lit(prefix), x.cast("string")))
+    moves = li.where(p != s).select(p.cast("string").alias("source"), s.cast("string").alias("target"), named("r", (p + s) % 3).alias("relations"), named("ev", p * s % 50).alias("events"), named("x", (p * 3 + s) % 40).alias("evidence"), (0.5 + (p + s) % 5 / 10.0).alias("confidence"), ((p * 7 + s) % 500).alias("_vec")).distinct().join(v, "_vec").drop("_vec")
+    seen = li.select(p.cast("string").alias("entity"), F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("observation"), named("y", F.col("l_orderkey") % 100).alias("evidence"), (F.col("l_orderkey") % 500).alias("_vec")).distinct().join(v, "_vec").drop("_vec")
+    return entities, seen, moves, asked
+
+
+@query(f"""WITH {_FOUND} SELECT q AS query_id, CAST(rank AS INTEGER) AS rank, d AS depth, array_to_string(path, '>') AS path, array_to_string(sp, ',') AS evidence, round(score, 6) AS score FROM pa""")
+def path_expansion(spark, d):
+    """Paths of parts and suppliers from the entities nearest to every query vector."""
+    from graphloom.operators import arms
+
+    entities, _, moves, asked = _path_tables(spark, d)
+    out = navigation.expand_paths(moves, arms.locate(entities, asked), asked)
+    return out.select("query_id", "rank", "depth", F.array_join("path", ">").alias("path"), F.array_join("evidence", ",").alias("evidence"), F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_FOUND}, ob AS (SELECT q, o, y, 0.75::DOUBLE * list_cosine_similarity(qv, v) + 0.25::DOUBLE * score AS s, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, o) AS rank FROM se JOIN (SELECT DISTINCT l_partkey::VARCHAR AS e, l_orderkey || ':' || l_linenumber AS o, 'y' || l_orderkey % 100 AS y, l_orderkey % 500 AS vec FROM lineitem) USING (e) JOIN vv ON vec_id = vec QUALIFY rank <= 6),
+al AS (SELECT q, 0 AS part, rank, 0 AS i, y AS x FROM ob UNION ALL SELECT q, 1, rank, i, sp[i] FROM pa, unnest(range(1, len(sp) + 1)) t(i)), fa AS (SELECT q, x, min((part, rank, i)) AS place FROM al GROUP BY q, x), fi AS (SELECT * FROM fa QUALIFY row_number() OVER (PARTITION BY q ORDER BY place) <= 8)
+SELECT q AS query_id, string_agg(x, ',' ORDER BY place) AS evidence FROM fi GROUP BY q""")
+def located_evidence(spark, d):
+    """Locate, inspect, expand: what the best observations and paths say."""
+    from graphloom.operators import arms
+
+    return arms.retrieve(*_path_tables(spark, d)).select("query_id", F.array_join("evidence", ",").alias("evidence"))
+
+
+_HOP_TEXTS = r"""ds AS (SELECT doc_id // 20 AS c, doc_id AS doc, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM documents), qs AS (SELECT c, arg_max(w, doc)[1:8] AS w FROM ds GROUP BY c),
+tk AS (SELECT c, doc, unnest(w) AS t FROM ds UNION ALL SELECT c, -1, unnest(w) FROM qs), th AS (SELECT t, sha256(t) AS h FROM (SELECT DISTINCT t FROM tk)),
+rw AS (SELECT c, doc, CAST('0x' || h[1:8] AS BIGINT) % 256 AS dim, sum(CASE WHEN CAST('0x' || h[9:10] AS BIGINT) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS raw FROM tk JOIN th USING (t) GROUP BY ALL HAVING raw <> 0), sz AS (SELECT c, doc, sqrt(sum(raw * raw)) AS size FROM rw WHERE doc >= 0 GROUP BY ALL)"""
+
+
+def _text_hop(h: int) -> str:
+    """SQL of hop h: the question with the passage taken last against every passage not taken."""
+    last = f" OR (c, doc) IN (SELECT (c, doc) FROM f{h - 1})" if h > 1 else ""
+    taken = " UNION ALL ".join(f"SELECT c, doc FROM f{i}" for i in range(1, h)) or "SELECT c, doc FROM ds WHERE false"
+    return f"""q{h} AS (SELECT c, dim, sum(raw) AS q FROM rw WHERE doc = -1{last} GROUP BY ALL), l{h} AS (SELECT c, sqrt(sum(q * q)) AS len FROM q{h} GROUP BY c), d{h} AS (SELECT r.c, r.doc, sum(q * raw) AS dot FROM rw r JOIN q{h} USING (c, dim) WHERE r.doc >= 0 GROUP BY ALL),
+f{h} AS (SELECT ds.c, ds.doc, round(coalesce(dot / (size * len), 0), 9) AS score FROM ds LEFT JOIN sz USING (c, doc) LEFT JOIN d{h} USING (c, doc) LEFT JOIN l{h} USING (c) WHERE (ds.c, ds.doc) NOT IN ({taken.replace("SELECT c, doc", "SELECT (c, doc)")}) QUALIFY row_number() OVER (PARTITION BY ds.c ORDER BY score DESC, ds.doc) = 1)"""
+
+
+@query(f"""WITH {_HOP_TEXTS}, {", ".join(_text_hop(h) for h in range(1, 6))} {" UNION ALL ".join(f"SELECT c AS case_id, {h} AS hop, doc AS doc_id, round(score, 6) AS score FROM f{h}" for h in range(1, 6))}""")
+def mdr_text_hops(spark, d):
+    """Twenty documents are a case; its question is the beginning of the last one."""
+    docs = table(spark, d, "documents").select(F.expr("doc_id div 20").alias("case_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    words = F.filter(F.split(F.lower("text"), r"[ \t\n\r\f\x0B]+"), lambda x: x != "")
+    questions = docs.groupBy("case_id").agg(F.max_by(F.array_join(F.slice(words, 1, 8), " "), "doc_id").alias("text"))
+    return navigation.text_hops(docs, questions)
+
+
+def _nearest(h: int) -> str:
+    """SQL of hop h: the unvisited passage nearest to the sum so far."""
+    return f"""n{h} AS (SELECT g.c, p.doc, round(list_cosine_similarity(now, p.v), 6) AS score, seen, list_transform(range(1, len(p.v) + 1), lambda i: now[i] + p.v[i]) AS mixed FROM g{h - 1} g JOIN p ON p.c = g.c WHERE NOT list_contains(seen, p.doc) QUALIFY row_number() OVER (PARTITION BY g.c ORDER BY round(list_cosine_similarity(now, p.v), 6) DESC, p.doc) = 1),
+g{h} AS (SELECT c, doc, score, list_append(seen, doc) AS seen, {_unit("mixed")} AS now FROM n{h})"""
 
 
-@query()
+@query(f"""WITH {_PASSAGES}, g0 AS (SELECT c, CAST([] AS BIGINT[]) AS seen, v AS now FROM q), {_nearest(1)}, {_nearest(2)}, {_nearest(3)} {" UNION ALL ".join(f"SELECT c AS case_id, {h} AS hop, doc AS doc_id, score FROM g{h}" for h in (1, 2, 3))}""")
 def mdr_iterative(spark, d):
     return navigation.mean_hop(_passages(spark, d), _questions(spark, d))
 

@@ -125,6 +125,31 @@ def projection_sync(spark, d):
     return records.synced({"runs": stored}, {"runs": made.where("run_id % 2 = 0")})["runs"]
 
 
+_KEPT = "run_id % 3 = 0 OR run_id % 2 = 0"
+
+
+@query(f"""WITH {_RECORDS}, {_LAST}, v AS (SELECT DISTINCT task_id, arm FROM recs WHERE run_id % 3 = 0 AND task_id % 2 = 0), k AS (SELECT * FROM recs WHERE {_KEPT})
+SELECT 'runs' AS "table", count(*) AS "rows", sum(CASE WHEN run_id % 2 = 0 THEN coalesce(revised, score) ELSE -1.0::DOUBLE END) AS active FROM k LEFT JOIN last USING (run_id) UNION ALL SELECT 'calls', count(*), NULL FROM calls WHERE {_KEPT} UNION ALL SELECT 'revisions', count(*), NULL FROM k JOIN v USING (task_id, arm)
+UNION ALL SELECT 'graph_metrics', count(*), NULL FROM k UNION ALL SELECT 'forensics', count(*), NULL FROM k UNION ALL SELECT 'audits', count(*), NULL FROM k WHERE run_id % 2 = 0""")
+def metrics_publication(spark, d):
+    """The six tables published as one: every third run with scores of -1, then every other run over them, that batch twice."""
+    import uuid
+
+    from graphloom.operators import lineage, publication
+
+    r = lineage.written(_records(spark, d), "publication-records")
+    made = records.projection(r, _last(spark, d), _revisions(spark, d), _audit_payloads(spark, d))
+    old = {name: t.where("run_id % 3 = 0") for name, t in made.items()}
+    old["runs"] = old["runs"].withColumn("active_score", F.lit(-1.0))
+    out = publication.Publication(spark, f"{lineage.shared_folder(spark)}/publication-{uuid.uuid4().hex}")
+    out.upsert(old, records.KEYS, "first")
+    for _ in range(2):
+        out.upsert({name: t.where("run_id % 2 = 0") for name, t in made.items()}, records.KEYS, "second")
+    tables = out.tables()
+    active = tables["runs"].agg(F.sum("active_score").alias("active")).select(F.lit("runs").alias("table"), "active")
+    return records.projection_summary(tables).join(active, "table", "left")
+
+
 @query("""WITH p AS (SELECT conv_id AS run_id, turn, length(text) AS chars, regexp_extract_all(lower(text), '[a-z]{9,}') AS e FROM conversations), s AS (SELECT run_id, arg_min(chars, turn) AS first_chars, max(chars) AS max_chars FROM p GROUP BY run_id),
 x AS (SELECT DISTINCT run_id, turn, unnest(e) AS e FROM p), r AS (SELECT run_id, sum(n) AS repeated FROM (SELECT run_id, e, count(*) - 1 AS n FROM x GROUP BY ALL) GROUP BY run_id)
 SELECT run_id, CAST(first_chars AS INTEGER) AS first_chars, CAST(max_chars AS INTEGER) AS max_chars, max_chars <= first_chars * 1.25 AS within, CAST(coalesce(repeated, 0) AS BIGINT) AS repeated FROM s LEFT JOIN r USING (run_id)""")

@@ -19,7 +19,31 @@ def _chunks(spark, d):
     return chunking.chunk_documents(table(spark, d, "documents").select("doc_id", "text"), BUDGET, r"\n\s*")
 
 
-@query()
+def _bare(source: str) -> str:
+    """SQL of the stripped pieces that are left of ``source`` (k, raw, o: offset), numbered in order."""
+    lead, body = r"length(regexp_extract(raw, '^\s*'))", r"regexp_replace(raw, '^\s+|\s+$', '', 'g')"
+    return f"(SELECT *, greatest(1, length(body) // 3) AS size, row_number() OVER (PARTITION BY k ORDER BY a) AS i FROM (SELECT k, {body} AS body, o + {lead} AS a, o + {lead} + length({body}) AS b FROM {source}) WHERE body <> '')"
+
+
+def _packed(pieces: str, out: str, glue: str) -> str:
+    """SQL of greedy runs of ``pieces`` within the budget, by recursion over their numbers; ``big`` ones are alone."""
+    fits = f"r.used > 0 AND r.used + p.size <= {BUDGET}"
+    return f"""{out}_r AS (SELECT k, i, CASE WHEN size > {BUDGET} THEN 0 ELSE size END AS used, 1 AS run FROM {pieces} WHERE i = 1
+UNION ALL SELECT p.k, p.i, CASE WHEN p.size > {BUDGET} THEN 0 WHEN {fits} THEN r.used + p.size ELSE p.size END, CASE WHEN {fits} THEN run ELSE run + 1 END FROM {out}_r r JOIN {pieces} p ON p.k = r.k AND p.i = r.i + 1),
+{out} AS (SELECT k, string_agg(body, {glue} ORDER BY i) AS body, min(a) AS a, max(b) AS b, bool_or(size > {BUDGET}) AS big FROM {out}_r JOIN {pieces} USING (k, i) GROUP BY k, run)"""
+
+
+_PARAGRAPHS = rf"""w AS (SELECT doc_id, string_split_regex(text, '\n\s*') AS parts, regexp_extract_all(text, '\n\s*') AS gaps FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, j, parts[j] AS raw, length(parts[j]) + length(coalesce(gaps[j], '')) AS whole FROM w, unnest(range(1, len(parts) + 1)) t(j)),
+y AS (SELECT doc_id AS k, raw, sum(whole) OVER (PARTITION BY doc_id ORDER BY j) - whole AS o FROM x), p AS {_bare("y")}, {_packed("p", "c1", "chr(10) || chr(10)")},
+m AS (SELECT {{'d': k, 'a': a}} AS k, a, regexp_extract_all(body, '[^.!?…]+[.!?…]*') AS ms, length(regexp_extract(body, '^[.!?…]*')) AS lead FROM c1 WHERE big),
+n AS (SELECT k, j, ms[j] AS raw, a + lead AS base FROM m, unnest(range(1, len(ms) + 1)) t(j)), z AS (SELECT k, raw, base + sum(length(raw)) OVER (PARTITION BY k ORDER BY j) - length(raw) AS o FROM n), q AS {_bare("z")}, {_packed("q", "c2", "' '")},
+l AS (SELECT k, substring(body, j + 1, {3 * BUDGET}) AS raw, a + j AS o FROM c2, unnest(range(0, length(body), {3 * BUDGET})) t(j) WHERE big), u AS {_bare("l")},
+found AS (SELECT k AS doc_id, body, a, b FROM c1 WHERE NOT big UNION ALL SELECT k.d, body, a, b FROM c2 WHERE NOT big UNION ALL SELECT k.d, body, a, b FROM u),
+chunked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS i FROM found)"""
+
+
+@query(f"WITH RECURSIVE {_PARAGRAPHS} SELECT doc_id, CAST(i AS INTEGER) AS \"index\", 'chunk_' || i || '_' || left(sha256(doc_id || ':' || i || ':' || body), 12) AS chunk_id, body AS text, greatest(1, length(body) // 3) AS token_count, a AS start_char, b AS end_char FROM chunked")
 def paragraph_chunks(spark, d):
     return _chunks(spark, d)
 
@@ -85,22 +109,69 @@ def masked_fact_control(spark, d):
     return audit.audit(claims, sub, edges, audit.MASKED).where("total > 0").select("claim", "total", "verified", "complete")
 
 
-@query()
+_MODES = f"""{_CLAIMS}, two AS (SELECT claim, source AS a, target AS b FROM edges UNION SELECT claim, target, source FROM edges), last AS (SELECT claim, max(pos) AS pos FROM v GROUP BY claim), kept AS (SELECT v.* FROM v LEFT JOIN last USING (claim, pos) WHERE last.pos IS NULL),
+r AS (SELECT claim, sub FROM v WHERE by_query UNION SELECT t.claim, t.b FROM r JOIN two t ON t.claim = r.claim AND t.a = r.sub), rm AS (SELECT claim, sub FROM kept WHERE by_query UNION SELECT t.claim, t.b FROM rm JOIN two t ON t.claim = rm.claim AND t.a = rm.sub JOIN kept k ON k.claim = t.claim AND k.sub = t.b),
+ok AS (SELECT '{audit.FLAT}' AS mode, claim, sub FROM v WHERE by_flat UNION ALL SELECT m, claim, sub FROM v, (VALUES ('{audit.QUERY}'), ('{audit.NO_EDGES}'), ('{audit.SHUFFLED}')) t(m) WHERE by_query UNION ALL SELECT '{audit.SHARED}', claim, sub FROM r UNION ALL SELECT '{audit.MASKED}', claim, sub FROM rm),
+ed AS (SELECT m AS mode, claim, source, target FROM edges, (VALUES ('{audit.QUERY}'), ('{audit.SHARED}'), ('{audit.MASKED}')) t(m) UNION ALL SELECT '{audit.SHUFFLED}', claim, source, coalesce(lead(target) OVER w, first(target) OVER w) FROM edges WINDOW w AS (PARTITION BY claim ORDER BY pos, edge_id)),
+ec AS (SELECT ed.mode, ed.claim, count(*) AS edges FROM ed JOIN ok a ON a.mode = ed.mode AND a.claim = ed.claim AND a.sub = ed.source JOIN ok b ON b.mode = ed.mode AND b.claim = ed.claim AND b.sub = ed.target GROUP BY ALL),
+fc AS (SELECT mode, claim, count(*) AS shared FROM (SELECT mode, ok.claim, fact FROM ok JOIN flat USING (claim, sub) WHERE mode <> '{audit.FLAT}' GROUP BY ALL HAVING count(*) > 1) GROUP BY ALL), vc AS (SELECT mode, claim, count(*) AS verified FROM ok GROUP BY ALL), tc AS (SELECT claim, count(*) AS total FROM v GROUP BY claim),
+au AS (SELECT mode, o_orderkey AS claim, coalesce(total, 0) AS total, coalesce(verified, 0) AS verified, coalesce(shared, 0) AS shared, coalesce(edges, 0) AS edges, o_orderstatus = 'F' AS against FROM orders CROSS JOIN (VALUES {", ".join(f"('{m}')" for m in audit.MODES)}) t(mode) LEFT JOIN tc ON tc.claim = o_orderkey LEFT JOIN vc USING (mode, claim) LEFT JOIN fc USING (mode, claim) LEFT JOIN ec USING (mode, claim)),
+ao AS (SELECT *, total > 0 AND verified = total AS complete, mode <> '{audit.FLAT}' AND (shared > 0 OR edges > 0) AS used FROM au)"""
+
+
+@query(f"""WITH RECURSIVE {_MODES} SELECT claim, mode, total, verified, shared AS shared_facts, edges, complete, CASE WHEN NOT used THEN 'neutral' WHEN against THEN 'misleading' WHEN NOT complete THEN 'insufficient' ELSE 'useful' END AS outcome, used AND complete AND edges > 0 AS answered_by_path FROM ao""")
+def audit_claims(spark, d):
+    """Every claim in every mode."""
+    claims, sub, edges = _audit_inputs(spark, d)
+    out = audit.audit_all(claims, sub, edges)
+    return out.select("claim", "mode", "total", "verified", "shared_facts", "edges", "complete", "outcome", "answered_by_path")
+
+
+@query(f"""WITH RECURSIVE {_MODES} SELECT mode, count(*) AS claims, round(avg(CASE WHEN total > 0 THEN verified::DOUBLE / total ELSE 1 END), 6) AS recall, count(*) FILTER (complete) AS complete, CAST(sum(edges) AS BIGINT) AS edges, count(*) FILTER (used AND NOT against AND complete) AS useful FROM ao GROUP BY mode""")
 def audit_modes(spark, d):
     claims, sub, edges = _audit_inputs(spark, d)
     return audit.audit_all(claims, sub, edges).groupBy("mode").agg(F.count(F.lit(1)).alias("claims"), F.round(F.avg("recall"), 6).alias("recall"), F.count_if("complete").alias("complete"), F.sum("edges").alias("edges"), F.count_if(F.col("outcome") == "useful").alias("useful"))
 
 
-@query()
-def discovery_modes(spark, d):
-    """Recovery of hidden evidence: orders are claims, their lines' part names the subclaims."""
-    rows = table(spark, d, "lineitem").join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+_FACTS = r"list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9]+(?:\.[0-9]+)?'), lambda t: length(t) > 3 OR regexp_matches(t, '^[0-9]+$')))"
+_DISCOVERY = f"""su AS (SELECT *, count(*) OVER (PARTITION BY claim) AS n, row_number() OVER (PARTITION BY claim ORDER BY pos DESC) AS back FROM (SELECT l_orderkey AS claim, l_linenumber AS pos, 'sc_' || l_linenumber AS sub, p_name || ' ' || l_partkey || ' supplied by ' || l_suppkey AS text, 'ev_' || l_orderkey || '_' || l_linenumber AS ev FROM lineitem JOIN part ON p_partkey = l_partkey QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1)),
+sb AS (SELECT *, back <= least(3, greatest(1, n // 2)) AS hidden, back = 1 AND claim % 10 IN (2, 7) AS absent FROM su),
+co AS (SELECT claim, ev, sub, true AS required, {_FACTS.format("'Required evidence: ' || text")} AS terms FROM sb WHERE NOT absent UNION ALL SELECT claim, 'dist_' || claim || '_' || i, NULL, false, {_FACTS.format("'Distractor passage ' || i || ' about unrelated background for claim ' || claim || '.'")} FROM (SELECT DISTINCT claim FROM sb), range(1, 16) r(i)),
+sl AS (SELECT 'iterative' AS mode, claim, sub AS slot, text AS goal, pos FROM sb WHERE hidden UNION ALL SELECT 'guided', claim, sub, text, pos FROM sb WHERE hidden UNION ALL SELECT 'oracle', claim, sub, 'Required evidence: ' || text, pos FROM sb WHERE hidden UNION ALL SELECT 'single', claim, '*', string_agg(text, ' ' ORDER BY pos), 0 FROM sb WHERE hidden GROUP BY claim),
+gt AS (SELECT mode, claim, slot, unnest({_FACTS.format("goal")}) AS t FROM sl), ct AS (SELECT claim, ev, sub, required, unnest(terms) AS t FROM co),
+hi AS (SELECT mode, gt.claim, slot, ev, sub, required, count(*) AS o FROM gt JOIN ct USING (claim, t) GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY mode, claim, slot ORDER BY o DESC, required DESC, ev) AS rank FROM hi),
+ac AS (SELECT mode, claim, slot, arg_min(ev, rank) AS ev, arg_min(sub, rank) AS sub FROM rk WHERE required AND (slot = '*' OR sub = slot) GROUP BY ALL), se AS (SELECT mode, claim, slot, count(*) AS seen FROM rk WHERE rank <= 5 GROUP BY ALL),
+pe AS (SELECT sl.mode, sl.claim, sl.slot, pos, ac.ev, ac.sub, coalesce(seen, 0) AS seen, min(CASE WHEN ac.ev IS NULL THEN pos END) OVER (PARTITION BY sl.mode, sl.claim) AS bad FROM sl LEFT JOIN ac USING (mode, claim, slot) LEFT JOIN se USING (mode, claim, slot)),
+us AS (SELECT mode, claim, count(*) AS n, list(ev) FILTER (ev IS NOT NULL AND (mode <> 'guided' OR bad IS NULL OR pos < bad)) AS evs, list(sub) FILTER (ev IS NOT NULL AND (mode <> 'guided' OR bad IS NULL OR pos < bad)) AS subs, sum(seen) FILTER (mode <> 'guided' OR bad IS NULL OR pos < bad) AS seen, sum(seen) FILTER (mode = 'guided' AND pos = bad) AS stuck, bool_or(bad IS NOT NULL) AS failed FROM pe GROUP BY mode, claim),
+cl AS (SELECT claim, count(*) AS total, list(sub) FILTER (NOT hidden) AS given, list(ev) FILTER (hidden) AS h, list(ev) FILTER (hidden AND NOT absent) AS there FROM sb GROUP BY claim),
+re AS (SELECT mode, claim, total, len(coalesce(given, [])) AS before, len(list_distinct(list_concat(coalesce(given, []), coalesce(subs, [])))) AS after, len(list_intersect(h, coalesce(evs, []))) AS got, len(h) AS hn, len(coalesce(there, [])) AS tn, len(coalesce(evs, [])) AS useful, CASE WHEN mode = 'guided' AND failed THEN n + 1 ELSE n END AS searches,
+coalesce(us.seen, 0) + CASE WHEN mode = 'guided' AND failed THEN (n + 1 - len(coalesce(evs, []))) * coalesce(stuck, 0) ELSE 0 END AS seen, len(list_filter(coalesce(there, []), lambda x: NOT list_contains(coalesce(evs, []), x))) AS left_ FROM us JOIN cl USING (claim))"""
+
+
+@query(f"""WITH {_DISCOVERY} SELECT mode, claim, before / total AS coverage_before, after / total AS coverage_after, after = total AS complete, CASE WHEN tn > 0 THEN got / tn ELSE 0 END AS recovery, got / hn AS recall, CASE WHEN seen > 0 THEN useful / seen ELSE 0 END AS precision, useful / searches AS useful_rate, after = total AND got < hn AS false_complete,
+CASE WHEN after = total THEN 'complete' WHEN left_ = 0 THEN 'corpus_insufficient' ELSE 'budget_exhausted' END AS stop FROM re""".replace(" / ", "::DOUBLE / "))
+def discovery_claims(spark, d):
+    """Every claim's scores in each mode."""
+    sub, out = cut(_subclaims(spark, d)), None
+    for mode in discovery.MODES:
+        one = discovery.run(sub, mode)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _subclaims(spark, d):
     from graphloom.operators.metrics import first_wins
 
+    rows = table(spark, d, "lineitem").join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
     rows = first_wins(rows, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey"])
     text = F.concat_ws(" ", "p_name", F.col("l_partkey").cast("string"), F.lit("supplied by"), F.col("l_suppkey").cast("string"))
-    sub = discovery.prepared(rows.select(F.col("l_orderkey").alias("claim"), F.col("l_linenumber").alias("pos"), F.concat(F.lit("sc_"), F.col("l_linenumber").cast("string")).alias("sub"), text.alias("text")))
-    sub, out = cut(sub), None
+    return discovery.prepared(rows.select(F.col("l_orderkey").alias("claim"), F.col("l_linenumber").alias("pos"), F.concat(F.lit("sc_"), F.col("l_linenumber").cast("string")).alias("sub"), text.alias("text")))
+
+
+@query(f"""WITH {_DISCOVERY} SELECT mode, count(*) AS claims, round(avg(after::DOUBLE / total), 6) AS coverage, round(avg(CASE WHEN tn > 0 THEN got::DOUBLE / tn ELSE 0 END), 6) AS recovery, count(*) FILTER (after = total) AS complete, count(*) FILTER (after = total AND got < hn) AS false_complete FROM re GROUP BY mode""")
+def discovery_modes(spark, d):
+    """Recovery of hidden evidence: orders are claims, their lines' part names the subclaims."""
+    sub, out = cut(_subclaims(spark, d)), None
     for mode in discovery.MODES:
         one = discovery.run(sub, mode).groupBy("mode").agg(F.count(F.lit(1)).alias("claims"), F.round(F.avg("coverage_after"), 6).alias("coverage"), F.round(F.avg("recovery"), 6).alias("recovery"), F.count_if("complete").alias("complete"), F.count_if("false_complete").alias("false_complete"))
         out = one if out is None else out.unionByName(one)
@@ -260,7 +331,18 @@ def nested_json_values(spark, d):
     return table(spark, d, "events").select("event_id", F.get(ingest.nested_values(wrapped, "k"), F.lit(0)).alias("k"))
 
 
-@query()
+def _scoring_sql() -> str:
+    from graphloom.plans.graph_queries import _DOC_ROWS, _KEYS
+
+    product, fresh = "list_transform(list_zip({0}, {1}), lambda x: x[1] * x[2])", "len(list_filter({0}, lambda x: NOT list_contains({1}, x)))"
+    return f"""WITH {_KEYS}, {_DOC_ROWS}, g AS (SELECT a.doc AS f, b.doc AS nx, sum(a.w) AS st FROM k a JOIN k b ON a.kind = b.kind AND a.key = b.key AND a.doc <> b.doc WHERE a.doc % 50 = 0 GROUP BY ALL), f AS MATERIALIZED (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY f ORDER BY st DESC, nx) <= 20),
+z AS MATERIALIZED (SELECT * FROM d WHERE doc % 50 = 0), t AS MATERIALIZED (SELECT f.f, f.nx, a.own AS o0, b.own AS o1, a.v AS q, b.v AS v, a.en AS e0, b.en AS e1, a.ev AS n0, b.ev AS n1, a.sp AS x0, b.sp AS x1 FROM z a JOIN f ON a.doc = f.f JOIN d b ON b.doc = f.nx), r AS (SELECT * FROM t WHERE o0 <> o1),
+s AS (SELECT f, nx, 0.5::DOUBLE * (list_cosine_similarity(q, v) + 1) / 2 + 0.2::DOUBLE * (list_cosine_similarity({product.format("q", "q")}, {product.format("q", "v")}) + 1) / 2 + 0.15::DOUBLE * least(1.0::DOUBLE, 0.2 + 0.3 * len(list_intersect(e0, e1)) + 0.3 * len(list_intersect(n0, n1)) + 0.2 * len(list_intersect(x0, x1)))
++ 0.1::DOUBLE * CASE WHEN len(x1) > 0 THEN 1.0 ELSE 0.4 END + 0.05::DOUBLE * least(1.0::DOUBLE, 0.4 * {fresh.format("e1", "e0")} + 0.3 * {fresh.format("n1", "n0")} + 0.3 * {fresh.format("x1", "x0")}) AS score FROM r)
+SELECT f AS case_id, nx AS doc_id, CAST(row_number() OVER (PARTITION BY f ORDER BY round(score, 9) DESC, nx) AS INTEGER) AS rank, round(score, 6) AS score FROM s"""
+
+
+@query(_scoring_sql())
 def frontier_scoring_eval(spark, d):
     from graphloom.plans.graph_queries import _semantic_docs
 

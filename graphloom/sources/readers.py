@@ -4,15 +4,12 @@ from __future__ import annotations
 
 import io
 import json
-import os
 import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 CASE = "task_id string, question string, answers array<string>, context string, gold_evidence array<string>, hops int, answerable boolean, context_tokens long, kind string"
@@ -110,70 +107,6 @@ def require_quota(rows: DataFrame, stratum: str, least: int, names: tuple[str, .
     return rows
 
 
-def diverse(rows: list[dict], attributes: tuple[str, ...], target: int) -> list[dict]:
-    """Greedy choice: each next case brings the most attribute values not seen yet; ties to the earlier case."""
-    left, chosen, seen = list(rows), [], set()
-    while left and len(chosen) < target:
-        best = max(range(len(left)), key=lambda i: (sum((a, left[i].get(a)) not in seen for a in attributes), -i))
-        pick = left.pop(best)
-        seen |= {(a, pick.get(a)) for a in attributes}
-        chosen.append(pick)
-    return chosen
-
-
-class _Page(InputPartition):
-    def __init__(self, path: str, offset: int, length: int):
-        self.path, self.offset, self.length = path, offset, length
-
-
-class _PagedReader(DataSourceReader):
-    def __init__(self, schema: T.StructType, options: dict):
-        self.names, self.options = schema.names, options
-
-    def partitions(self) -> list[_Page]:
-        size, total = int(self.options.get("page", 100)), int(self.options["rows"])
-        return [_Page(self.options["path"], a, min(size, total - a)) for a in range(0, total, size)]
-
-    def read(self, partition: _Page):
-        import time
-        import urllib.request
-
-        for attempt in range(int(self.options.get("attempts", 5))):
-            try:
-                if os.path.exists(partition.path):
-                    with open(partition.path) as lines:
-                        rows = [json.loads(x) for i, x in enumerate(lines) if partition.offset <= i < partition.offset + partition.length]
-                else:
-                    with urllib.request.urlopen(f"{partition.path}&offset={partition.offset}&length={partition.length}") as page:
-                        rows = [r["row"] for r in json.load(page)["rows"]]
-                break
-            except OSError:
-                if attempt + 1 == int(self.options.get("attempts", 5)):
-                    raise
-                time.sleep(min(2**attempt, 20))
-        for row in rows:
-            yield tuple(None if row.get(n) is None else str(row[n]) for n in self.names)
-
-
-class PagedRows(DataSource):
-    """Rows fetched page by page (offset, length), each page a partition with retries; ``path`` is an address or a file."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "paged_rows"
-
-    def schema(self) -> str:
-        return self.options.get("schema", "id string, question string, answer string")
-
-    def reader(self, schema: T.StructType) -> _PagedReader:
-        return _PagedReader(schema, self.options)
-
-
-def read_pages(spark: SparkSession, path: str, rows: int, schema: str, page: int = 100) -> DataFrame:
-    spark.dataSource.register(PagedRows)
-    return spark.read.format("paged_rows").schema(schema).option("path", path).option("rows", rows).option("page", page).load()
-
-
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Run records of JSON-lines files, with the file each came from."""
     return spark.read.json(path).withColumn("_artifact", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import audit, controller, discovery, extraction, graph, navigation, projection, retrieval, sinks
 from graphloom.plans import planner
-from graphloom.sources import readers
+from graphloom.sources import paged, readers
 from graphloom.streaming import fold
 
 
@@ -126,15 +126,48 @@ def test_path_expansion(spark):
     assert next(r for r in out if len(r["path"]) == 3)["evidence"] == ["x1", "x2"]
 
 
+def _asked(spark, d, policy, *seeds):
+    q = spark.createDataFrame([(i, "q") for i in range(1, 1 + max(1, len(seeds)))], "query_id int, query string")
+    at = spark.createDataFrame([(i, s, 0.5) for i, s in enumerate(seeds, 1)], "query_id int, doc_id string, score double")
+    return {r["query_id"]: r for r in controller.run(d, q, at.join(d.select("doc_id", "owner_type"), "doc_id"), policy).collect()}
+
+
+def _script(spark, *rows):
+    """(query, turn, action, transitions, subquery, summary)."""
+    return controller.scripted(spark.createDataFrame([(*r, 0.5, None) for r in rows], "query_id int, turn int, action string, transitions array<string>, subquery string, summary string, confidence double, gap string"))
+
+
 def test_controller(spark):
     d = docs(spark)
-    s = controller.run(d, "q", "d1", controller.greedy)
-    assert s.visited == ["d1", "d2", "d3"] and s.evidence == ["x1", "x2"]
-    s = controller.run(d, "q", "d1", controller.scripted([controller.Decision("expand", ("first",)), controller.Decision("answer", answer="yes")]))
-    assert s.answer == "yes" and controller.answer_from_trace(s.trace)["action"] == "answer"
-    with pytest.raises(ValueError, match="frontier"):
-        controller.run(d, "q", "d1", controller.scripted([controller.Decision("expand", ("nowhere",))]))
-    assert controller.run(d, "q", "none", controller.greedy).stop == "no_seed_documents"
+    s = _asked(spark, d, controller.greedy, "d1")[1]
+    assert s["docs"] == ["d1", "d2", "d3"] and s["evidence"] == ["x1", "x2"] and s["stop"] == "insufficient_evidence"
+    s = _asked(spark, d, _script(spark, (1, 0, "expand", ["__first__"], None, None), (1, 1, "answer", None, None, "yes"), (2, 0, "expand", ["__target_owner__:C"], None, None)), "d1", "d2")
+    assert s[1]["answer"] == "yes" and s[1]["trace"][-1]["action"] == "answer" and s[2]["docs"] == ["d2", "d3"]
+    for action, transitions in (("expand", ["nowhere"]), ("expand", []), ("reformulate", None)):
+        with pytest.raises(Exception, match="frontier|names no transition|no subquery"):
+            _asked(spark, d, _script(spark, (1, 0, action, transitions, None, None)), "d1")
+    assert _asked(spark, d, controller.greedy, "none")[1]["stop"] == "no_seed"
+
+
+def test_controller_budgets_and_repeats(spark):
+    d = docs(spark)
+    s = _asked(spark, d, _script(spark, *((1, i, "verify", None, None, None) for i in range(9))), "d2")[1]
+    assert s["stop"] == "model_call_budget_exhausted" and s["calls"] == 0 and len(s["trace"]) == 8
+    q, at = spark.createDataFrame([(1, "q")], "query_id int, query string"), spark.createDataFrame([(1, "d1", 1.0, "entity")], "query_id int, doc_id string, score double, owner_type string")
+    one = controller.run(d, q, at, _script(spark, (1, 0, "expand", ["__first__"], None, None)), controller.Budget(expansions=0)).first()
+    assert one["stop"] == "expansion_budget_exhausted" and one["docs"] == ["d1", "d2"]
+    one = controller.run(d, q, at, controller.greedy, controller.Budget(depth=1)).first()
+    assert one["stop"] == "max_depth_reached" and one["answer"] is None
+    # evidence shown once is left out of the next look, and counted
+    s = _asked(spark, d, _script(spark, (1, 0, "inspect", None, None, None), (1, 1, "stop", None, None, None)), "d1")[1]
+    assert [t["omitted"] for t in s["trace"]] == [0, 1] and s["presented"] == ["x2"]
+    guarded = controller.guarded(_script(spark, (1, 0, "expand", ["lost"], None, "go"), (1, 1, "answer", None, None, "thin"), (1, 2, "inspect", None, None, None), (1, 3, "inspect", None, None, None)))
+    s = _asked(spark, d, guarded, "d1")[1]
+    assert [t["action"] for t in s["trace"]] == ["expand", "answer"] and s["answer"] == "thin"
+    none = d.where("doc_id = 'd4'")
+    s = _asked(spark, none, controller.guarded(_script(spark, (1, 0, "expand", [], None, ""), (1, 1, "answer", None, None, "thin"))), "d4")[1]
+    assert [t["action"] for t in s["trace"]] == ["verify", "reformulate", "stop"] and s["subquery"] == "q"
+    assert controller.last_answer(controller.run(d, q, at, guarded)).first()["step"]["action"] == "answer"
 
 
 def _extracted(spark, *texts):
@@ -212,11 +245,12 @@ def test_readers(spark, tmp_path):
     assert len(r) == 1 and r[0]["hops"] == 2 and r[0]["gold_evidence"] == ["para_0"] and r[0]["answers"] == ["a", "b"]
     assert "secret code is x-0001" in readers.needle_cases(spark, 2, 10, "x").where("task_id = 'x_1'").first()["context"]
     (tmp_path / "p.jsonl").write_text("\n".join(json.dumps({"id": i, "question": f"q{i}", "answer": None}) for i in range(25)))
-    pages = readers.read_pages(spark, str(tmp_path / "p.jsonl"), 25, "id string, question string, answer string", 10)
+    pages = paged.read_pages(spark, str(tmp_path / "p.jsonl"), 25, "id string, question string, answer string", 10)
     assert pages.count() == 25 and pages.rdd.getNumPartitions() == 3
     quota = readers.first_per_stratum(spark.createDataFrame([(2, i) for i in range(5)] + [(3, i) for i in range(5)], "h int, i int"), "h", "i", {2: 2, 3: 1})
     assert sorted(map(tuple, quota.collect())) == [(2, 0), (2, 1), (3, 0)]
-    assert [x["n"] for x in readers.diverse([{"n": 1, "a": 1}, {"n": 2, "a": 1}, {"n": 3, "a": 2}], ("a",), 2)] == [1, 3]
+    few = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "n int, a int")
+    assert [x["n"] for x in paged.diverse(few, ("a",), "n", 2).orderBy("turn").collect()] == [1, 3]
     with pytest.raises(ValueError):
         readers.require_quota(spark.createDataFrame([("x",)], "b string"), "b", 2, ("x", "y"))
 
