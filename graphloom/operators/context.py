@@ -225,25 +225,3 @@ def normal_span(text: Column, surface: Column, start: Column, end: Column) -> Co
     first = F.instr(F.lower(text), F.lower(surface)) - 1
     found = F.when((first >= 0) & (surface != ""), F.struct(first.cast("int").alias("start"), (first + F.length(surface)).cast("int").alias("end")))
     return F.when(holds, F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))).otherwise(found)
-
-
-def ambiguous(kind: Column, same_name: Column) -> Column:
-    """Whether a mention needs a look at candidates: pronouns, nominals and names of several entities."""
-    return kind.isin("pronoun", "nominal", "descriptor") | (same_name > 1)
-
-
-def guarded_decision(kind: Column, decision: Column, target: Column, candidates: Column, reason: Column, score: Column, rivals: Column, confidence: Column, lexical: tuple[str, ...], strong: tuple[str, ...]) -> Column:
-    """A proposed resolution after its guards, as struct(decision, status).
-
-    A pronoun never makes an entity; a link goes to a candidate; a nominal's link needs a lexical reason; a pronoun with
-    rival candidates needs a strong reason and a score of 1.5 or more; confidence of 0.8 or more confirms.
-    """
-    no = (
-        (kind == "pronoun") & (decision == "create_entity")
-        | (decision == "link_to_existing") & ~F.coalesce(F.array_contains(candidates, target), F.lit(False))
-        | (decision == "link_to_existing") & (kind == "nominal") & ~F.coalesce(reason.isin(*lexical), F.lit(False))
-        | (decision == "link_to_existing") & (kind == "pronoun") & (rivals > 1) & ~(F.coalesce(reason.isin(*strong), F.lit(False)) & (score >= 1.5))
-    )
-    kept = F.when(no, "keep_as_mention_only").otherwise(decision)
-    status = F.when(no | (decision == "keep_as_mention_only"), "unresolved").when(confidence >= 0.8, "confirmed").otherwise("likely")
-    return F.struct(kept.alias("decision"), status.alias("status"))

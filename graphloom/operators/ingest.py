@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import ids, vector
 from graphloom.operators import chunking, extraction, sinks
-from graphloom.operators.lineage import cut
+from graphloom.operators.lineage import cut, written
 from graphloom.streaming import fold
 
 
@@ -44,3 +44,27 @@ def nested_values(json_text: Column, key: str) -> Column:
     """All scalar values of a key anywhere in nested JSON, in order of appearance."""
     pattern = '"' + key + r'"\s*:\s*("(?:[^"\\]|\\.)*"|-?[0-9.eE+-]+|true|false)'
     return F.transform(F.regexp_extract_all(json_text, F.lit(pattern), F.lit(1)), lambda x: F.btrim(x, F.lit('"')))
+
+
+def json_key_values(rows: DataFrame, id_col: str, json_col: str, key: str) -> DataFrame:
+    """id, value: the distinct values of a key anywhere in nested JSON, one level of all rows a step.
+
+    A key's list gives its items; below a key that matches nothing is looked for.  Nulls, false, 0, empty texts and empty
+    containers give nothing, neither does text that is no JSON.  Values are texts; nested ones are JSON.
+    """
+    spark = rows.sparkSession
+    level = written(rows.select(F.col(id_col).alias("id"), F.try_parse_json(json_col).alias("v")).where("v IS NOT NULL"), "json-level")
+    out, depth = None, 0
+    while depth == 0 or not level.isEmpty():
+        held = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("id", "key", "value")
+        kind = F.schema_of_variant("value")
+        hit = F.coalesce(F.col("key") == key, F.lit(False))
+        items = held.where(hit & kind.startswith("ARRAY")).select("id", F.col("value").alias("v")).lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("id", "value")
+        found = items.unionByName(held.where(hit & ~kind.startswith("ARRAY")).select("id", "value"))
+        found = found.select("id", F.when(F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)"), F.to_json("value")).otherwise(F.try_variant_get("value", "$", "string")).alias("value"), F.schema_of_variant("value").alias("_kind"))
+        false = F.col("value").isNull() | F.col("value").isin("", "{}", "[]") | (F.col("_kind") == "BOOLEAN") & (F.col("value") == "false") | ~F.col("_kind").rlike("^(STRING|BOOLEAN|OBJECT|ARRAY)") & (F.try_variant_get(F.try_parse_json("value"), "$", "double") == 0)
+        found = written(found.where(~F.coalesce(false, F.lit(False))).select("id", "value").distinct(), "json-found")
+        out = found if out is None else out.unionByName(found)
+        level = written(held.where(~hit & kind.rlike("^(OBJECT|ARRAY)")).select("id", F.col("value").alias("v")), "json-level")
+        depth += 1
+    return out.distinct()

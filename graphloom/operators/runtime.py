@@ -70,11 +70,6 @@ def reformulated(ranked: DataFrame, visited: DataFrame) -> DataFrame:
     return fresh.groupBy("query_id").agg(F.min_by(F.struct("doc_id", "score"), F.struct(-F.col("score"), "doc_id")).alias("j")).select("query_id", "j.*")
 
 
-def dual(graph: DataFrame, text: DataFrame) -> DataFrame:
-    """Both arms' results (query_id, answer, confidence, evidence, contradictions) under one arbiter; neither writes."""
-    return retrieval.arbitrate(graph, text, "query_id").withColumn("graph_mutation_allowed", F.lit(False))
-
-
 def seed_documents(docs: DataFrame) -> DataFrame:
     """owner_id, doc_id: an owner's entity document, else any, the least id first."""
     return docs.groupBy("owner_id").agg(F.min_by("doc_id", F.struct((F.col("owner_type") != "entity").cast("int"), "doc_id")).alias("doc_id"))
