@@ -93,7 +93,10 @@ def coverage_audit(chunks: DataFrame, events: DataFrame, arguments: DataFrame) -
 
 
 def reached(edges: DataFrame, seeds: DataFrame, allowed: DataFrame, part: list[str], most: int = 64) -> DataFrame:
-    """Fixed point: nodes reached from seeds over undirected edges (part, a, b) through allowed nodes (part, node)."""
+    """Fixed point: nodes reached from seeds over undirected edges (part, a, b) through allowed nodes (part, node).
+
+    A graph that is not exhausted after ``most`` rounds is an error, never a partial result.
+    """
     both = cut(edges.select(*part, "a", "b").unionByName(edges.select(*part, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     allowed = cut(allowed.select(*part, "node"))
     known = cut(seeds.select(*part, "node").distinct())
@@ -102,9 +105,9 @@ def reached(edges: DataFrame, seeds: DataFrame, allowed: DataFrame, part: list[s
         step = fresh.withColumnRenamed("node", "a").join(both, [*part, "a"]).select(*part, F.col("b").alias("node")).distinct()
         fresh = cut(step.join(allowed, [*part, "node"], "left_semi").join(known, [*part, "node"], "left_anti"))
         if fresh.isEmpty():
-            break
+            return known
         known = known.unionByName(fresh)
-    return known
+    raise RuntimeError(f"nodes are still being reached after {most} rounds")
 
 
 def neighbours(rows: DataFrame, part: str, order: str, value: str, before: int, after: int) -> DataFrame:

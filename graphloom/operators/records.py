@@ -251,10 +251,13 @@ def artifact_hash(files: DataFrame) -> DataFrame:
     return own.agg(F.sha2(listed, 256).alias("artifact_hash"))  # one short row per file
 
 
-def markdown(rows: DataFrame, title: str, limit: int = 1000) -> str:
-    """A report's (few) rows as a table."""
+def markdown(rows: DataFrame, title: str, most: int = 1000) -> str:
+    """A report's (few) rows as a table; more than ``most`` are an error."""
+    found = rows.take(most + 1)
+    if len(found) > most:
+        raise ValueError(f"{title} has more than {most} rows")
     head = f"# {title}\n\n| " + " | ".join(rows.columns) + " |\n|" + " --- |" * len(rows.columns)
-    return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows.limit(limit).collect())])
+    return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in found)])
 
 
 def write_report(rows: DataFrame, folder: str, title: str) -> None:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.operators import assembly, resolution
+import pytest
+
+from graphloom.operators import assembly, graph, records, resolution
 
 MENTIONS = "document_id string, chunk_id string, index int, mention_id string, text string, type string, kind string, confidence double, expectations array<string>"
 ENTITIES = "document_id string, entity_id string, canonical_name string, entity_type string, aliases array<string>"
@@ -70,3 +72,15 @@ def test_alias_chains_are_one_group(spark):
     seen = spark.createDataFrame([], "entity_id string, document_id string, at struct<index:int,n:int>, canonical_name string, entity_type string, alias_to_add string")
     got = {r["entity_id"]: r["group_id"] for r in assembly.closed(spark.createDataFrame(rows, ENTITIES), seen).collect()}
     assert {got[f"e{i:03d}"] for i in range(60)} == {"e000"} and got["lone"] == "lone" and got["far"] == "far"
+
+
+def test_limits_are_errors(spark):
+    """Neither a long chain nor a long report is cut in silence."""
+    edges = spark.createDataFrame([(1, i, i + 1) for i in range(9)], "g int, a int, b int")
+    seeds, allowed = spark.createDataFrame([(1, 0)], "g int, node int"), spark.createDataFrame([(1, i) for i in range(10)], "g int, node int")
+    assert graph.reached(edges, seeds, allowed, ["g"], most=10).count() == 10
+    with pytest.raises(RuntimeError, match="still being reached"):
+        graph.reached(edges, seeds, allowed, ["g"], most=3)
+    assert records.markdown(seeds, "T").endswith("| 1 | 0 |")
+    with pytest.raises(ValueError, match="more than 5"):
+        records.markdown(allowed, "T", most=5)
