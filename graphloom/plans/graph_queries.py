@@ -80,6 +80,25 @@ def shortest_path_le4(spark, d):
     return navigation.shortest_paths(e, table(spark, d, "supplier").where("s_suppkey % 50 = 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("source")), e.select(F.col("a").alias("target")))
 
 
+def _witness_sql() -> str:
+    reach = [f"r{h} AS MATERIALIZED (SELECT DISTINCT r.d, r.s, u.b AS node, {h} AS hops FROM r{h - 1} r JOIN u ON u.d = r.d AND u.a = r.node WHERE NOT EXISTS (SELECT 1 FROM ({' UNION ALL '.join(f'SELECT * FROM r{i}' for i in range(h))}) k WHERE k.d = r.d AND k.s = r.s AND k.node = u.b))" for h in range(1, 5)]
+    back = [f"p{h} AS MATERIALIZED (SELECT p.d, p.s, t, u.b AS node, lft - 1 AS lft, p.hops, list_append(back, u.b) AS back FROM p{h - 1} p JOIN u ON u.d = p.d AND u.a = p.node JOIN rr ON rr.d = p.d AND rr.s = p.s AND rr.node = u.b AND rr.hops = lft - 1 WHERE lft > 0 QUALIFY row_number() OVER (PARTITION BY p.d, p.s, t ORDER BY list_append(back, u.b)) <= 5)" for h in range(1, 5)]
+    return f"""WITH e AS (SELECT DISTINCT o_custkey AS d, 's' || l_suppkey % 30 AS a, 'p' || l_partkey % 25 AS b FROM lineitem JOIN orders ON o_orderkey = l_orderkey), u AS MATERIALIZED (SELECT d, a, b FROM e UNION SELECT d, b, a FROM e), r0 AS MATERIALIZED (SELECT d, min(a) AS s, min(a) AS node, 0 AS hops FROM e GROUP BY d), {", ".join(reach)},
+rr AS MATERIALIZED ({" UNION ALL ".join(f"SELECT * FROM r{h}" for h in range(5))}), p0 AS MATERIALIZED (SELECT d, s, node AS t, node, hops AS lft, hops, [node] AS back FROM rr WHERE hops > 0 AND node LIKE 's%'), {", ".join(back)}
+SELECT d AS document_id, s AS source, t AS target, hops, array_to_string(list_reverse(back), '>') AS path, CAST(row_number() OVER (PARTITION BY d, s, t ORDER BY back) AS INTEGER) AS rank FROM ({" UNION ALL ".join(f"SELECT * FROM p{h} WHERE lft = 0" for h in range(1, 5))})"""
+
+
+@query(_witness_sql())
+def shortest_path_witnesses(spark, d):
+    """Paths between suppliers of a customer over parts, from the least supplier, within the customer's own lines."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("document_id"))
+    li = table(spark, d, "lineitem")
+    e = li.join(o, li.l_orderkey == o.o_orderkey).select("document_id", F.concat(F.lit("s"), (F.col("l_suppkey") % 30).cast("string")).alias("a"), F.concat(F.lit("p"), (F.col("l_partkey") % 25).cast("string")).alias("b")).distinct()
+    first = e.groupBy("document_id").agg(F.min("a").alias("source"))
+    pairs = e.select("document_id", F.col("a").alias("target")).distinct().join(first, "document_id")
+    return navigation.path_witnesses(e, pairs, "document_id").withColumn("path", F.array_join("path", ">"))
+
+
 _KEYS = "k AS (SELECT o_orderkey AS doc, 'e' AS kind, 'c' || o_custkey AS key, 2 AS w FROM orders UNION SELECT l_orderkey, 'e', 's' || l_suppkey, 2 FROM lineitem UNION SELECT o_orderkey, 'v', CAST(o_orderdate AS DATE) || '', 3 FROM orders UNION SELECT l_orderkey, 'x', 'p' || l_partkey, 1 FROM lineitem)"
 
 
