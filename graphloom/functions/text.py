@@ -120,11 +120,6 @@ def word_windows(text: Column, size: int = 160) -> Column:
     return let(words(text), cut)
 
 
-def char_slices(text: Column, width: int) -> Column:
-    last = F.greatest(F.lit(0), F.length(text) - 1)
-    return F.transform(F.sequence(F.lit(0), last, F.lit(width)), lambda i: F.substring(text, i + 1, F.lit(width)))
-
-
 def occurrences(text: Column, needle: Column) -> Column:
     """Offsets of a literal, letter case aside: what lies between its occurrences gives their places."""
     low, key = F.lower(text), F.lower(needle)

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from graphloom.operators import sinks
 from graphloom.operators.lineage import shared_folder
 from graphloom.plans.tables import Registry, table
 from graphloom.sources import readers
@@ -85,3 +86,22 @@ def first_per_stratum(spark, d):
     """The first orders of two states, by quota; a stratum that is short would be an error."""
     rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
     return readers.require_quota(readers.first_per_stratum(rows, "o_orderstatus", "o_orderkey", {"F": 7, "O": 5}), "o_orderstatus", 5, ("F", "O"))
+
+
+@query("SELECT o_orderkey AS run_id, o_orderstatus AS status, o_orderkey % 2 AS batch FROM orders")
+def appended_records(spark, d):
+    """Run records appended to JSON lines in two batches, and read back."""
+    rows, path = table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderstatus").alias("status"), (F.col("o_orderkey") % 2).alias("batch")), _folder(spark, "records")
+    for batch in (0, 1):
+        sinks.append_jsonl(rows.where(F.col("batch") == batch), path)
+    return spark.read.schema(rows.schema).json(path)
+
+
+@query("""WITH r AS (SELECT o_custkey AS task_id, 'arm' || o_orderkey % 3 AS arm, o_orderkey % 2 AS batch, CAST(sum(floor(o_totalprice)) AS BIGINT) AS tokens FROM orders GROUP BY ALL)
+SELECT task_id, arm, batch, CASE WHEN task_id % 2 = 0 THEN tokens ELSE -1 END AS tokens, CASE WHEN batch = 0 THEN 'first' WHEN task_id % 2 = 0 THEN 'second' END AS synced FROM r WHERE batch = 0 OR task_id % 2 = 0""")
+def batch_upsert(spark, d):
+    """Rows keyed by task, arm and batch: a later projection wins, what it does not have stays, and a row keeps when it first came."""
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("task_id"), F.concat(F.lit("arm"), (k % 3).cast("string")).alias("arm"), (k % 2).alias("batch")).agg(F.sum(F.floor("o_totalprice")).cast("long").alias("tokens"))
+    stored = rows.where("batch = 0").withColumn("tokens", F.lit(-1).cast("long")).withColumn("synced", F.lit("first"))
+    return sinks.upsert(stored, rows.where("task_id % 2 = 0").withColumn("synced", F.lit("second")), ["task_id", "arm", "batch"], insert_only=("synced",))
