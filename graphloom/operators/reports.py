@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import stats
 
 #: Fixed values.
-PAIR_BACKEND, PAIR_NAME, OFFICIAL = "oolong_pairs_f1", "pair_f1", "official"
+PAIR_NAME, OFFICIAL = "pair_f1", "official"
 SCORES = ("evidence_recall", "evidence_precision", "complete_evidence_coverage", "retrieved_count", "answer_f1", "exact_match")
 
 
@@ -52,7 +52,7 @@ def evaluation_report(runs: DataFrame) -> DataFrame:
 
 def pair_scores(cases: DataFrame, f1: Column) -> DataFrame:
     """Score rows of pair answers (task_id, origin): token F1, official where the data are."""
-    return cases.select("task_id", F.lit(PAIR_BACKEND).alias("score_backend"), F.lit(PAIR_NAME).alias("score_name"), f1.alias("score_value"), (F.col("origin") == OFFICIAL).alias("is_official_score"))
+    return cases.select("task_id", F.lit(PAIR_NAME).alias("score_name"), f1.alias("score_value"), (F.col("origin") == OFFICIAL).alias("is_official_score"))
 
 
 def pairs_in(text: Column) -> Column:
