@@ -151,9 +151,9 @@ def test_controller(spark):
 
 def test_controller_budgets_and_repeats(spark):
     d = docs(spark)
-    s = _asked(spark, d, _script(spark, *((1, i, "verify", None, None, None) for i in range(9))), "d2")[1]
-    assert s["stop"] == "model_call_budget_exhausted" and s["calls"] == 0 and len(s["trace"]) == 8
     q, at = spark.createDataFrame([(1, "q")], "query_id int, query string"), spark.createDataFrame([(1, "d1", 1.0, "entity")], "query_id int, doc_id string, score double, owner_type string")
+    s = controller.run(d, q, at, _script(spark, *((1, i, "verify", None, None, None) for i in range(9))), controller.Budget(calls=2)).first()
+    assert s["stop"] == "model_call_budget_exhausted" and s["calls"] == 0 and len(s["trace"]) == 2
     one = controller.run(d, q, at, _script(spark, (1, 0, "expand", ["__first__"], None, None)), controller.Budget(expansions=0)).first()
     assert one["stop"] == "expansion_budget_exhausted" and one["docs"] == ["d1", "d2"]
     one = controller.run(d, q, at, controller.greedy, controller.Budget(depth=1)).first()
