@@ -111,7 +111,10 @@ def dual_runtime(spark, d):
     lines = table(spark, d, "lineitem").select("l_orderkey", F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("doc_id"), "l_returnflag", F.array(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string"))).alias("terms"))
     asked = states.select("query_id")
     terms = lines.join(asked, F.col("l_orderkey") == F.col("query_id"), "left_semi").groupBy(F.col("l_orderkey").alias("query_id")).agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
-    hits = retrieval.text_search(lines.select("doc_id", "terms"), terms, 5).join(lines.select("doc_id", "l_orderkey", "l_returnflag"), "doc_id")
+    # lines of one number and flag are one text; a struct sorts by its fields
+    one = F.struct("doc_id", "l_orderkey", "l_returnflag").alias("doc_id")
+    texts = lines.groupBy(one).agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
+    hits = retrieval.text_search(texts, terms, 5).select("query_id", "score", "doc_id.*")
     other, bad = F.col("l_orderkey") != F.col("query_id"), (F.col("l_returnflag") == "R") & (F.col("query_id") % 7 == 0)
     text = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.when(other, F.col("doc_id")))).alias("evidence"), F.max("score").alias("confidence"), F.collect_list(F.when(bad, F.col("doc_id"))).alias("contradictions"))
     text = text.withColumn("answer", F.when(F.size("evidence") > 0, F.concat(F.lit("text "), F.col("query_id").cast("string"))))

@@ -35,3 +35,21 @@ def test_claim_pairs_outlive_clashing_ids(spark, monkeypatch):
     claims = spark.createDataFrame([("c", "1", "", 0.5, ["a", "b", "a"]), ("c", "1", "", 0.5, ["a", "b"])], "chunk_id string, claim_id string, text string, confidence double, subjects array<string>")
     assert sorted((r.source_entity_id, r.target_entity_id) for r in extraction.claim_pairs(claims).collect()) == [("a", "b"), ("b", "a")]
 
+
+_LINE = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string"
+_ORDER = "o_orderkey long, o_custkey long, o_orderdate timestamp"
+
+
+def _orders(spark, folder):
+    from datetime import datetime
+
+    orders = [(k, k % 4, datetime(2024, 1, 1 + k % 3)) for k in range(120)]
+    # lines 1 of an order stand twice: with one flag, and with two
+    lines = [(k, n, (k * 7 + n) % 30, (k + 3 * n) % 5, "RNA"[(k + n) % 3]) for k in range(0, 120, 1) for n in (1, 2)]
+    lines += [(k, 1, (k * 5) % 30, k % 5, "RNA"[(k + k % 2) % 3]) for k in range(0, 120, 2)]
+    vectors = [(i, [float(1 + i % 7), float(i % 5), 1.0 + i / 500]) for i in range(500)]
+    return _tables(spark, folder, orders=(orders, _ORDER), lineitem=(lines, _LINE), embeddings=(vectors, "vec_id long, embedding array<float>"))
+
+
+def test_dual_runtime_with_repeated_line_numbers(spark, tmp_path):
+    assert _same(spark, _orders(spark, tmp_path), "dual_runtime")
