@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import text, vector
-from graphloom.operators import evaluation, navigation
+from graphloom.operators import evaluation, navigation, retrieval
+from graphloom.operators.lineage import among, cut
 from graphloom.operators.retrieval import best, window
 
 Arm = Callable[[DataFrame], DataFrame]
@@ -70,20 +71,24 @@ def fingerprint(*columns: str) -> Column:
 
 
 def locate(entities: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
-    """query_id, entity, score of the best entities (entity, v) by cosine; queries are few."""
-    pairs = entities.join(F.broadcast(queries.select("query_id", F.col("v").alias("q"))))
-    return best(pairs.select("query_id", "entity", vector.cosine(F.col("q"), F.col("v")).alias("score")), ["query_id"], [F.desc(F.round("score", 9)), "entity"], k)
+    """query_id, entity, score, rank of the best entities (entity, v) by cosine."""
+    sized = lambda df, *c: df.select(*c, "v", vector.norm(F.col("v")).alias("size"))
+    # entities are named by strings, so no query is kept from an entity of its own id
+    asked = sized(queries.withColumn("_q", F.concat(F.lit("query:"), F.col("query_id").cast("string"))), F.col("_q").alias("query_id"))
+    found = retrieval.nearest(sized(entities, F.concat(F.lit("entity:"), "entity").alias("vec_id")), asked, k, 9, blank=0.0)
+    named = found.select(F.col("query_id").alias("_q"), F.substring("vec_id", len("entity:") + 1, 2**31 - 1).alias("entity"), F.col("raw").alias("score"), "rank")
+    return queries.select("query_id", F.concat(F.lit("query:"), F.col("query_id").cast("string")).alias("_q")).join(named, "_q").drop("_q")
 
 
 def inspect(observations: DataFrame, seeds: DataFrame, queries: DataFrame, k: int = 6) -> DataFrame:
     """query_id, observation, score (.75 of its own similarity, .25 of its entity's) of the best observations of the seeds."""
-    rows = observations.join(seeds.select("query_id", "entity", F.col("score").alias("_s")), "entity").join(queries.select("query_id", F.col("v").alias("q")), "query_id")
+    rows = among(observations, "entity", seeds.select("entity")).join(seeds.select("query_id", "entity", F.col("score").alias("_s")), "entity").join(queries.select("query_id", F.col("v").alias("q")), "query_id")
     return best(rows.withColumn("score", 0.75 * vector.cosine(F.col("q"), F.col("v")) + 0.25 * F.col("_s")), ["query_id"], [F.desc(F.round("score", 9)), "observation"], k).drop("q", "_s")
 
 
 def retrieve(entities: DataFrame, observations: DataFrame, transitions: DataFrame, queries: DataFrame, evidence: int = 8) -> DataFrame:
     """query_id, evidence: of the best observations, then of the best paths, in order of first appearance."""
-    seeds = locate(entities, queries)
+    seeds = cut(locate(entities, queries))
     seen = inspect(observations, seeds, queries).select("query_id", F.lit(0).alias("part"), F.col("rank").alias("at"), "evidence")
     paths = navigation.expand_paths(transitions, seeds, queries).select("query_id", F.lit(1).alias("part"), F.col("rank").alias("at"), "evidence")
     ordered = F.array_sort(F.collect_list(F.struct("part", "at", "evidence")))
