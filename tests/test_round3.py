@@ -82,3 +82,22 @@ def test_nearest_is_all_pairs_without_a_nested_loop_of_them(spark):
     # of ordinary vectors no pair is a row: nothing but what can't be multiplied meets in a nested loop
     plan = retrieval.dense_topk(v, asked, 7)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInPandas" in plan
+
+
+def test_event_pairs_and_title_counts_meet_without_all_pairs(spark):
+    from graphloom.operators import graph
+
+    rows = [("e", "1", "x", "s1", "agent"), ("e", "1", "x", "s1", "location"), ("e", "2", "y", "s2", "patient"), ("e", "3", None, "s3", "place"), ("e", None, "z", "s4", "agent"), (None, "5", "x", "s", "agent"), ("f", "1", "y", "s", "speaker"), ("f", "2", "x", "s", None), ("f", "2", "x", "s", "target")]
+    a = spark.createDataFrame(rows, "event_id string, argument_id string, entity_id string, surface string, role string")
+    pairs = graph.pair_snapshots(a)
+    assert sorted(map(tuple, pairs.collect())) == [("x", "y", 2, 1, 1, ["e", "f"]), ("x", "z", 1, 0, 0, ["e"]), ("y", "z", 1, 0, 1, ["e"])]
+    assert "Expand" not in pairs._jdf.queryExecution().executedPlan().toString()
+    got = {(r.event_id, r.argument_id): (r.counterparts, r.unresolved) for r in graph.counterparts(a).collect()}
+    assert got == {("e", "1"): (["y"], ["s3"]), ("e", "2"): (["x"], ["s3"]), ("e", "3"): (["x", "y"], []), ("f", "1"): (["x"], []), ("f", "2"): (["y"], [])}
+    assert sorted(map(tuple, graph.shared_places(a).collect())) == [("x", "y", "s3"), ("x", "z", "s3"), ("y", "z", "s3"), ("y", "z", "x")]
+    titles = [(1, 1, "ABCD", "has abcd and efgh"), (1, 2, "efgh", "abcd abcd"), (1, 2, "abcd", "nothing"), (1, 3, "abc", "abc"), (1, 4, None, None), (2, 1, "abcd", "abcd")]
+    t = spark.createDataFrame(titles, "c int, row_id int, title string, text string")
+    links = graph.title_links(t, "c", "title", "text")
+    plain = [(c, i, j) for c, i, _, x in titles for e, j, u, _ in titles if c == e and i != j and x and u and len(u) >= 4 and u.lower() in x.lower()]
+    assert sorted(map(tuple, links.collect())) == sorted(plain)
+    assert [tuple(r) for r in graph.title_link_counts(t, "c", "title", "text").collect()] == [(1, len(plain))]
