@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators import navigation, retrieval
+from graphloom.operators import inverted, navigation, retrieval
 from graphloom.operators.lineage import written
 
 Policy = Callable[[DataFrame, int], DataFrame]
@@ -48,13 +48,13 @@ def transition_id(source: Column, target: Column) -> Column:
     return F.concat(F.lit("transition_"), F.substring(F.sha2(F.concat(source.cast("string"), F.lit("->"), target.cast("string")), 256), 1, 12))
 
 
-def frontiers(docs: DataFrame, states: DataFrame, cap: int) -> DataFrame:
+def frontiers(docs: DataFrame, states: DataFrame, cap: int, index: inverted.Lists | None = None) -> DataFrame:
     """query_id, frontier: transitions from each state's document to unvisited ones, in order of their ids.
 
     Evidence that was presented before, or by an earlier transition, is left out of ``fresh`` and counted in ``omitted``.
     """
     own = docs.select(F.col("doc_id").alias("_from"), F.col("owner_id").alias("_owner"), F.col("entities").alias("_en"), F.col("events").alias("_ev"))
-    edges = navigation.frontier(docs, docs.join(states.select("doc_id").distinct(), "doc_id", "left_semi"), cap).select(F.col("from_id").alias("_from"), "doc_id")
+    edges = navigation.frontier(docs, docs.join(states.select("doc_id").distinct(), "doc_id", "left_semi"), cap, index).select(F.col("from_id").alias("_from"), "doc_id")
     rows = edges.join(states.select("query_id", F.col("doc_id").alias("_from"), "docs", "presented"), "_from").where(~F.array_contains("docs", F.col("doc_id")))
     rows = rows.join(own, "_from").join(docs.select("doc_id", "owner_id", "entities", "events", "evidence"), "doc_id")
     step = F.struct(
@@ -67,19 +67,19 @@ def frontiers(docs: DataFrame, states: DataFrame, cap: int) -> DataFrame:
     return found.select("query_id", shown.alias("frontier"))
 
 
-def _inspected(docs: DataFrame, states: DataFrame, cap: int) -> DataFrame:
+def _inspected(docs: DataFrame, states: DataFrame, cap: int, index: inverted.Lists | None = None) -> DataFrame:
     """States with their frontier looked at anew where ``look`` is set, and what it showed remembered."""
     looking = states.where("look AND stop IS NULL")
-    out = states.join(frontiers(docs, looking, cap).withColumnRenamed("frontier", "_new"), "query_id", "left")
+    out = states.join(frontiers(docs, looking, cap, index).withColumnRenamed("frontier", "_new"), "query_id", "left")
     empty = F.filter("frontier", lambda t: F.lit(False))
     out = out.withColumn("frontier", F.when(F.col("look"), F.coalesce("_new", empty)).otherwise(F.col("frontier")))
     shown = F.flatten(F.transform("frontier", lambda t: t["fresh"]))
     return out.withColumn("presented", F.when(F.col("look"), F.array_union("presented", shown)).otherwise(F.col("presented"))).drop("_new")
 
 
-def located(docs: DataFrame, questions: DataFrame, seeds: DataFrame, budget: Budget = Budget()) -> DataFrame:  # noqa: B008
+def located(docs: DataFrame, questions: DataFrame, seeds: DataFrame, budget: Budget = Budget(), index: inverted.Lists | None = None) -> DataFrame:  # noqa: B008
     """The first state of every question (query_id, query): at the best of its seeds (query_id, doc_id, score, owner_type), with its frontier."""
-    edges = navigation.frontier(docs, docs.join(seeds.select("doc_id").distinct(), "doc_id", "left_semi"), 1).select(F.col("from_id").alias("doc_id"))
+    edges = navigation.frontier(docs, docs.join(seeds.select("doc_id").distinct(), "doc_id", "left_semi"), 1, index).select(F.col("from_id").alias("doc_id"))
     best = retrieval.seed_with_frontier(seeds, seeds.join(edges, "doc_id", "left_semi")).select("query_id", "doc_id")
     rows = questions.select("query_id", F.col("query").alias("subquery")).join(best, "query_id", "left").join(docs.select("doc_id", "owner_id", "entities", "evidence"), "doc_id", "left")
     none, void = F.expr(_NONE), F.lit(None).cast("string")
@@ -91,7 +91,7 @@ def located(docs: DataFrame, questions: DataFrame, seeds: DataFrame, budget: Bud
         none.alias("transitions"), none.alias("presented"), F.array_distinct(F.coalesce("evidence", none)).alias("evidence"), F.lit(0).alias("depth"), F.lit(budget.calls).alias("calls"), F.lit(budget.expansions).alias("expansions"), void.alias("action"),
         F.lit(0.0).alias("confidence"), void.alias("answer"), F.when(F.col("doc_id").isNull(), STOPS["seed"]).alias("stop"), F.lit(True).alias("look"), F.expr(f"cast(array() as {frontier})").alias("frontier"), F.expr(f"cast(array() as {trace})").alias("trace"),
     )
-    return _inspected(docs, first, budget.cap)
+    return _inspected(docs, first, budget.cap, index)
 
 
 def _carried_out(states: DataFrame, decisions: DataFrame, turn: int) -> DataFrame:
@@ -120,7 +120,8 @@ def _carried_out(states: DataFrame, decisions: DataFrame, turn: int) -> DataFram
 def run(docs: DataFrame, questions: DataFrame, seeds: DataFrame, policy: Policy, budget: Budget = Budget()) -> DataFrame:  # noqa: B008
     """The last state of every question; ``stop`` says why it ended."""
     docs = written(docs, "controller-docs")
-    now = written(located(docs, questions, seeds, budget), "controller")
+    index = navigation.frontier_lists(docs, budget.cap)
+    now = written(located(docs, questions, seeds, budget, index), "controller")
     done = now.where("stop IS NOT NULL")
     for turn in range(budget.calls + 1):
         spent = F.when(F.col("calls") <= 0, STOPS["calls"]).when(F.col("depth") >= budget.depth, STOPS["depth"])
@@ -130,7 +131,7 @@ def run(docs: DataFrame, questions: DataFrame, seeds: DataFrame, policy: Policy,
         if open_.isEmpty():
             break
         acted = written(_carried_out(open_, policy(open_, turn), turn), "controller-acted")
-        now = written(_inspected(docs, acted, budget.cap), "controller")
+        now = written(_inspected(docs, acted, budget.cap, index), "controller")
         done = done.unionByName(now.where("stop IS NOT NULL"))
     return done
 

@@ -101,3 +101,23 @@ def test_event_pairs_and_title_counts_meet_without_all_pairs(spark):
     plain = [(c, i, j) for c, i, _, x in titles for e, j, u, _ in titles if c == e and i != j and x and u and len(u) >= 4 and u.lower() in x.lower()]
     assert sorted(map(tuple, links.collect())) == sorted(plain)
     assert [tuple(r) for r in graph.title_link_counts(t, "c", "title", "text").collect()] == [(1, len(plain))]
+
+
+def test_bounded_lists_lose_nothing(spark, monkeypatch):
+    """Hot keys alone, in pairs and in threes, ties and rare keys: as by all pairs."""
+    import random
+
+    from graphloom.operators import inverted, navigation
+
+    r = random.Random(7)
+    rows = [(i, [f"a{r.randrange(3)}", f"b{r.randrange(2)}", f"r{r.randrange(60)}", None], [f"d{i % 2}"], [f"x{r.randrange(4)}", f"y{i % 3}"]) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, entities array<string>, events array<string>, evidence array<string>")
+    current = docs.where("doc_id % 5 = 0")
+    want = navigation.best(navigation.frontier(docs, current, None), ["from_id"], [F.desc("structural"), "doc_id"], 4)
+    index = inverted.lists(navigation._postings(docs, "doc_id"), 4, longest=8)
+    assert len(index.sets) >= 2
+    got = navigation.frontier(docs, current, 4, index)
+    order = ["from_id", "rank", "doc_id", "structural"]
+    assert sorted(map(tuple, got.select(*order).collect())) == sorted(map(tuple, want.select(*order).collect()))
+    # a list is whole if it is short, and k + 1 long if not
+    assert index.table.groupBy("list").count().agg(F.max("count")).first()[0] <= 8
