@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import controller, retrieval
+from graphloom.operators import controller, inverted
 from graphloom.plans.graph_queries import _KEYS, _semantic_docs
 from graphloom.plans.tables import Registry, table
 
@@ -114,7 +114,7 @@ def dual_runtime(spark, d):
     # lines of one number and flag are one text; a struct sorts by its fields
     one = F.struct("doc_id", "l_orderkey", "l_returnflag").alias("doc_id")
     texts = lines.groupBy(one).agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
-    hits = retrieval.text_search(texts, terms, 5).select("query_id", "score", "doc_id.*")
+    hits = inverted.text_search(texts, terms, 5).select("query_id", "score", "doc_id.*")
     other, bad = F.col("l_orderkey") != F.col("query_id"), (F.col("l_returnflag") == "R") & (F.col("query_id") % 7 == 0)
     text = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.when(other, F.col("doc_id")))).alias("evidence"), F.max("score").alias("confidence"), F.collect_list(F.when(bad, F.col("doc_id"))).alias("contradictions"))
     text = text.withColumn("answer", F.when(F.size("evidence") > 0, F.concat(F.lit("text "), F.col("query_id").cast("string"))))

@@ -121,3 +121,13 @@ def test_bounded_lists_lose_nothing(spark, monkeypatch):
     assert sorted(map(tuple, got.select(*order).collect())) == sorted(map(tuple, want.select(*order).collect()))
     # a list is whole if it is short, and k + 1 long if not
     assert index.table.groupBy("list").count().agg(F.max("count")).first()[0] <= 8
+
+
+def test_text_search_by_bounded_lists(spark, monkeypatch):
+    from graphloom.operators import inverted, retrieval
+
+    monkeypatch.setattr(inverted.lists, "__defaults__", (6,))
+    docs = spark.createDataFrame([(i, [f"a{i % 2}", f"b{i % 3}", f"c{i % 4}", f"r{i}"]) for i in range(100)], "doc_id long, terms array<string>")
+    queries = spark.createDataFrame([(q, [f"a{q % 2}", f"b{q % 3}", f"c{q % 4}", f"r{9 * q}", "none"]) for q in range(9)], "query_id long, terms array<string>")
+    order = ["query_id", "rank", "doc_id", "overlap", "score"]
+    assert sorted(map(tuple, inverted.text_search(docs, queries, 5).select(*order).collect())) == sorted(map(tuple, retrieval.text_search(docs, queries, 5).select(*order).collect()))
