@@ -131,3 +131,27 @@ def test_text_search_by_bounded_lists(spark, monkeypatch):
     queries = spark.createDataFrame([(q, [f"a{q % 2}", f"b{q % 3}", f"c{q % 4}", f"r{9 * q}", "none"]) for q in range(9)], "query_id long, terms array<string>")
     order = ["query_id", "rank", "doc_id", "overlap", "score"]
     assert sorted(map(tuple, inverted.text_search(docs, queries, 5).select(*order).collect())) == sorted(map(tuple, retrieval.text_search(docs, queries, 5).select(*order).collect()))
+
+
+def test_shortest_paths_from_many_sources_at_once(spark):
+    """More sources than a word has bits, with a cycle, a branch and a part of its own."""
+    from graphloom.operators import navigation
+
+    edges = [(f"n{i}", f"n{(i + 1) % 90}") for i in range(90)] + [("n3", "n40"), ("x", "y"), ("y", "y")]
+    near: dict = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = set()
+    for s in [f"n{i}" for i in range(80)] + ["x", "lone"]:
+        seen, now = {s}, {s}
+        for hop in range(1, 4):
+            now = {b for a in now for b in near.get(a, ())} - seen
+            seen |= now
+            want |= {(s, t, hop) for t in now if t != "n7"}
+    e = spark.createDataFrame(edges, "a string, b string")
+    sources = spark.createDataFrame([(f"n{i}",) for i in range(80)] + [("x",), ("lone",), ("n5",), (None,)], "source string")
+    targets = e.select(F.explode(F.array("a", "b")).alias("target")).where("target <> 'n7'")
+    got = navigation.shortest_paths(e, sources, targets, 3)
+    assert got._jdf.queryExecution().analyzed().toString().count("pack") > 0  # a row holds many sources
+    assert sorted(map(tuple, got.collect())) == sorted(want)
