@@ -155,3 +155,20 @@ def test_shortest_paths_from_many_sources_at_once(spark):
     got = navigation.shortest_paths(e, sources, targets, 3)
     assert got._jdf.queryExecution().analyzed().toString().count("pack") > 0  # a row holds many sources
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_coreference_takes_k_of_equal_entities(spark):
+    from graphloom.operators import context
+
+    terms = [["a", "b"], ["b", "a"], ["a"], ["b", "c"], ["c"]]
+    entities = [(i, i % 2, terms[i % 5]) for i in range(200)]
+    asked = [(m, m % 2, terms[m % 5] + (["zz"] if m % 3 else [])) for m in range(12)]
+    e = spark.createDataFrame(entities, "entity_id long, document_id long, terms array<string>")
+    got = context.coreference_candidates(spark.createDataFrame(asked, "mention_id long, document_id long, terms array<string>"), e, 3)
+    want = []
+    for m, d, t in asked:
+        scored = sorted((-(1.5 * len(set(t) & set(u)) / len(u) + 0.5 * (d == f)), i) for i, f, u in entities if set(t) & set(u))
+        want += [(m, i, round(-s, 9), r) for r, (s, i) in enumerate(scored[:3], 1)]
+    assert sorted((r.mention_id, r.entity_id, round(r.score, 9), r["rank"]) for r in got.collect()) == sorted(want)
+    # of entities that score alike only k are met: a rank before the join and one after
+    assert got._jdf.queryExecution().analyzed().toString().count("row_number()") >= 2
