@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.operators import arms, audit, context, discovery, extraction, ingest, records, reports, retrieval, runtime
-from graphloom.operators.lineage import cut
 from graphloom.operators.metrics import first_wins
 from graphloom.plans.context_queries import _LINES
 from graphloom.plans.state_queries import _CLAIMS, _DISCOVERY, _MODES, _audit_inputs, _subclaims
@@ -197,7 +196,7 @@ def discovery_cost(spark, d):
 
 @query(f"WITH {_DISCOVERY} SELECT claim AS task_id, mode AS arm, before::DOUBLE / total AS coverage_before, after::DOUBLE / total AS coverage_after, after::DOUBLE / total - before::DOUBLE / total AS coverage_gain, CASE WHEN after = total THEN 'complete' WHEN left_ = 0 THEN 'corpus_insufficient' ELSE 'budget_exhausted' END AS stop_reason FROM re WHERE mode = 'iterative'")
 def discovery_coverage(spark, d):
-    return reports.coverage_rows(discovery.run(cut(_subclaims(spark, d)), "iterative"))
+    return reports.coverage_rows(discovery.run(_subclaims(spark, d), "iterative"))
 
 
 _TREE = "t AS (SELECT click_id, rid, j.id, j.parent, j.key, j.type, j.value ->> '$' AS value FROM (SELECT *, row_number() OVER () AS rid FROM clicks) c, json_tree(CASE WHEN json_valid(props) THEN props END) j), e AS (SELECT c.click_id, p.key, c.value, c.type FROM t p JOIN t c ON c.rid = p.rid AND c.parent = p.id WHERE p.type = 'ARRAY' UNION ALL SELECT click_id, key, value, type FROM t WHERE type <> 'ARRAY')"

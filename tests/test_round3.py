@@ -172,3 +172,29 @@ def test_coreference_takes_k_of_equal_entities(spark):
     assert sorted((r.mention_id, r.entity_id, round(r.score, 9), r["rank"]) for r in got.collect()) == sorted(want)
     # of entities that score alike only k are met: a rank before the join and one after
     assert got._jdf.queryExecution().analyzed().toString().count("row_number()") >= 2
+
+
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_discovery_sends_only_subclaims_for_all_modes(spark):
+    from graphloom.operators import discovery
+
+    rows = spark.createDataFrame([(c, p, f"sc_{p}", t) for c in (1, 2, 15) for p, t in ((1, "green box 7"), (2, "required distractor 12"), (3, "evidence about 3"), (4, ""))], "claim long, pos int, sub string, text string")
+    run = discovery.run(discovery.prepared(rows), *discovery.MODES)
+    assert _shuffles(run) == 1
+    assert {(r.claim, r.mode) for r in run.collect()} == {(c, m) for c in (1, 2, 15) for m in discovery.MODES}
+
+
+def test_discovery_is_its_sql_with_repeated_lines(spark, tmp_path):
+    folder = _orders(spark, tmp_path)
+    # names with the lead's and the distractors' words and numbers
+    _tables(spark, folder, part=([(k, ("required evidence", "about claim", "7 blue", "distractor 12", "required passage")[k % 5]) for k in range(30)], "p_partkey long, p_name string"))
+    for name in ("discovery_claims", "discovery_modes", "discovery_coverage"):
+        con = duckdb.connect()
+        for t in ("lineitem", "part", "orders"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+        want = con.sql(catalog.SQL[name])
+        got = catalog.QUERIES[name](spark, folder).select(*want.columns)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str)
