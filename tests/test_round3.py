@@ -198,3 +198,14 @@ def test_discovery_is_its_sql_with_repeated_lines(spark, tmp_path):
         want = con.sql(catalog.SQL[name])
         got = catalog.QUERIES[name](spark, folder).select(*want.columns)
         assert sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
+def test_coverage_audit_counts_repeated_rows_and_nulls(spark):
+    from graphloom.operators import graph
+
+    chunks = spark.createDataFrame([(1,), (1,), (2,), (3,), (None,)], "chunk_id long")
+    events = spark.createDataFrame([(1, "a", "complete"), (1, "a", "partial"), (1, "b", None), (2, "a", "complete"), (2, None, "partial"), (None, "c", "partial")], "chunk_id long, event_id string, event_status string")
+    arguments = spark.createDataFrame([("a", "x", "resolved"), ("a", "y", None), ("a", None, "resolved"), ("b", "z", "open"), (None, "w", "resolved")], "event_id string, argument_id string, status string")
+    out = graph.coverage_audit(chunks, events, arguments)
+    assert "count(distinct" not in out._jdf.queryExecution().optimizedPlan().toString() and "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect()), key=str) == [(1, 2, 10, 8, 6, 1), (2, 1, 2, 2, 1, 0), (3, 0, 0, 0, 0, 0), (None, 0, 0, 0, 0, 0)]
