@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import graph
+from graphloom.operators.lineage import cut
 
 #: Fixed values.
 FLAT, QUERY, SHARED = "flat_subclaim_verification", "graph_query_verification", "graph_shared_evidence"
@@ -41,68 +42,74 @@ def edges_for(edges: DataFrame, mode: str) -> DataFrame:
     return edges.select("claim", "pos", F.concat("edge_id", F.lit(":shuffled")).alias("edge_id"), "source", F.coalesce(F.lead("target").over(w), first).alias("target"), F.concat("fact", F.lit(":shuffled")).alias("fact"))
 
 
-def masked(subclaims: DataFrame) -> DataFrame:
-    """The last subclaim of each claim without its evidence."""
-    last = F.col("pos") == F.max("pos").over(Window.partitionBy("claim"))
-    return subclaims.withColumn("evidence", F.when(last, F.expr("cast(array() as array<string>)")).otherwise(F.col("evidence")))
+def _spread(subclaims: DataFrame, edges: DataFrame, modes: tuple[str, ...]) -> DataFrame:
+    """claim, sub and, per spreading mode, whether evidence reaches it by way of edges; ``subclaims`` has seed, allowed, has and last, ``edges`` a tag."""
+    end = lambda c: subclaims.where("has").select("claim", F.col("sub").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("seed", "allowed", "last", "facts")))
+    good = edges.join(end("source"), ["claim", "source"]).join(end("target"), ["claim", "target"]).where(F.array_contains("source_facts", F.col("fact")) & F.array_contains("target_facts", F.col("fact")))
+    wanted = F.array_compact(F.array(*(F.when((F.col("tag") == SHUFFLED) if m == SHUFFLED else (F.col("tag") == SHARED) & (F.lit(m != MASKED) | ~F.col("source_last") & ~F.col("target_last")), m) for m in modes)))
+    # what isn't found independently is open: only edges that end in an open subclaim spread anything
+    good = good.select("claim", "source", "target", F.col("source_seed").alias("_s"), F.col("target_seed").alias("_t"), (F.col("source_allowed") & ~F.col("source_seed")).alias("_so"), (F.col("target_allowed") & ~F.col("target_seed")).alias("_to"), F.explode(wanted).alias("mode"))
+    good = cut(good.where("(_s OR _so) AND _to OR (_t OR _to) AND _so"))
+    first = good.where("_s AND _to").select("claim", "mode", F.col("target").alias("node")).unionByName(good.where("_t AND _so").select("claim", "mode", F.col("source").alias("node")))
+    chain = good.where("_so AND _to").select("claim", "mode", F.col("source").alias("a"), F.col("target").alias("b"))
+    inside = chain.select("claim", "mode", F.col("a").alias("node")).unionByName(chain.select("claim", "mode", F.col("b").alias("node"))).distinct()
+    found = graph.reached(chain, first, inside, ["claim", "mode"])
+    return found.groupBy("claim", F.col("node").alias("sub")).agg(*(F.max(F.col("mode") == m).alias(f"_{m}") for m in modes))
 
 
-def valid_edges(edges: DataFrame, subclaims: DataFrame) -> DataFrame:
-    """Edges whose ends both have evidence and the edge's fact."""
-    end = lambda c: subclaims.where(F.size("evidence") > 0).select("claim", F.col("sub").alias(c), F.col("facts").alias(f"_{c}"))
-    both = edges.join(end("source"), ["claim", "source"]).join(end("target"), ["claim", "target"])
-    return both.where(F.array_contains("_source", F.col("fact")) & F.array_contains("_target", F.col("fact"))).drop("_source", "_target")
+def marked(subclaims: DataFrame, edges: DataFrame, modes: tuple[str, ...]) -> DataFrame:
+    """claim, sub, evidence, facts and, for each mode, a column of its name that tells whether it verifies the subclaim."""
+    last = F.col("pos") == F.max("pos").over(Window.partitionBy("claim"))
+    rows = subclaims.withColumns({"last": last, "has": F.size("evidence") > 0, "seed": verified_in(QUERY), "allowed": verified_in(SHARED)})
+    spreading = tuple(m for m in modes if m in SPREADING and m != NO_EDGES)
+    own = lambda m: F.col("seed") if m in SPREADING else verified_in(m)
+    if spreading:
+        rows = cut(rows)
+        rows = rows.join(_spread(rows, edges, spreading), ["claim", "sub"], "left").fillna(False, [f"_{m}" for m in spreading])
+    ok = {m: (own(m) | F.col(f"_{m}") if m in spreading else own(m)) & (~F.col("last") if m == MASKED else F.lit(True)) for m in modes}
+    return rows.select("claim", "sub", "evidence", "facts", *(c.alias(m) for m, c in ok.items()))
 
 
-def verified(subclaims: DataFrame, edges: DataFrame, mode: str) -> DataFrame:
-    """claim, node, support of the verified subclaims; ``edges`` and ``subclaims`` are the mode's own."""
-    if mode not in SPREADING:
-        return subclaims.where(verified_in(mode)).select("claim", F.col("sub").alias("node"), F.lit("independently_retrieved").alias("support"))
-    seeds = subclaims.where(verified_in(QUERY)).select("claim", F.col("sub").alias("node"))
-    allowed = subclaims.where(verified_in(SHARED)).select("claim", F.col("sub").alias("node"))
-    good = valid_edges(edges, subclaims).select("claim", F.col("source").alias("a"), F.col("target").alias("b"))
-    everyone = graph.reached(good, seeds, allowed, ["claim"])
-    marked = everyone.join(seeds.distinct().withColumn("_s", F.lit(True)), ["claim", "node"], "left")
-    return marked.select("claim", "node", F.when(F.col("_s"), "independently_retrieved").otherwise("inferred_through_graph_edge").alias("support"))
+def audit(claims: DataFrame, subclaims: DataFrame, edges: DataFrame, mode: str) -> DataFrame:
+    return audit_all(claims, subclaims, edges, (mode,))
 
 
-def audit(claims: DataFrame, subclaims: DataFrame, edges: DataFrame, mode: str) -> DataFrame:
-    """One row per claim: coverage, reuse of facts and evidence, edges between verified subclaims, and the outcome."""
-    subclaims = masked(subclaims) if mode == MASKED else subclaims
-    edges = edges_for(edges, mode)
-    found = verified(subclaims, edges, mode)
-    marks = found.select("claim", F.col("node").alias("sub"), F.lit(True).alias("ok"))
-    own = subclaims.join(marks, ["claim", "sub"], "left").select("claim", "sub", "evidence", "facts", F.coalesce("ok", F.lit(False)).alias("ok"))
-    ok = own.where("ok")
-    facts = ok.select("claim", F.explode("facts").alias("x")).groupBy("claim", "x").count().groupBy("claim").agg(F.count_if(F.col("count") > 1).alias("shared_facts"))
-    reuse = ok.select("claim", F.explode("evidence").alias("x")).groupBy("claim", "x").count().groupBy("claim").agg(F.sum(F.greatest(F.lit(0), F.col("count") - 1)).alias("reused"))
-    end = lambda c: found.select("claim", F.col("node").alias(c))
-    crossing = edges.join(end("source"), ["claim", "source"], "left_semi").join(end("target"), ["claim", "target"], "left_semi").groupBy("claim").agg(F.count(F.lit(1)).alias("edges"))
-    if mode not in EDGE_MODES:
-        crossing = crossing.where(F.lit(False))
-    counts = own.groupBy("claim").agg(F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("verified"))
-    rows = claims.join(counts, "claim", "left").join(facts, "claim", "left").join(reuse, "claim", "left").join(crossing, "claim", "left").fillna(0, ["total", "verified", "shared_facts", "reused", "edges"])
-    if mode == FLAT:
-        rows = rows.withColumn("shared_facts", F.lit(0).cast("long"))
+def audit_all(claims: DataFrame, subclaims: DataFrame, edges: DataFrame, modes: tuple[str, ...] = MODES) -> DataFrame:
+    """One row per claim and mode: coverage, reuse of facts and evidence, edges between verified subclaims, and the outcome.
+
+    All modes go in one pass, as columns of a subclaim, and become rows when a claim's numbers are there.
+    """
+    edges = edges.withColumn("tag", F.lit(SHARED))
+    if SHUFFLED in modes:
+        edges = edges.unionByName(edges_for(edges.drop("tag"), SHUFFLED).withColumn("tag", F.lit(SHUFFLED)))
+    own = cut(marked(subclaims, edges, modes))
+    per = lambda f: [f(m) for m in modes]
+    counts = own.groupBy("claim").agg(F.count(F.lit(1)).alias("total"), *per(lambda m: F.count_if(m).alias(f"v_{m}")))
+    things = F.concat(F.transform("facts", lambda x: F.struct(F.lit(True).alias("fact"), x.alias("x"))), F.transform("evidence", lambda x: F.struct(F.lit(False).alias("fact"), x.alias("x"))))
+    things = own.select("claim", F.explode(things).alias("t"), *modes).repartition("claim").groupBy("claim", "t").agg(*per(lambda m: F.count_if(m).alias(m)))
+    things = things.groupBy("claim").agg(*per(lambda m: F.count_if(F.col("t.fact") & (F.col(m) > 1)).alias(f"f_{m}")), *per(lambda m: F.sum(F.when(~F.col("t.fact"), F.greatest(F.lit(0), F.col(m) - 1)).otherwise(0)).alias(f"r_{m}")))
+    crossed = [m for m in modes if m in EDGE_MODES]
+    end = lambda c: own.select("claim", F.col("sub").alias(c), F.array(*crossed).alias(f"_{c}"))
+    if crossed:
+        both = edges.select("claim", "source", "target", "tag").join(end("source"), ["claim", "source"]).join(end("target"), ["claim", "target"])
+        crossing = both.groupBy("claim").agg(*(F.count_if((F.col("tag") == (SHUFFLED if m == SHUFFLED else SHARED)) & F.col("_source")[i] & F.col("_target")[i]).alias(f"e_{m}") for i, m in enumerate(crossed)))
+    else:
+        crossing = edges.select("claim").where(F.lit(False))
+    rows = claims.join(counts, "claim", "left").join(things, "claim", "left").join(crossing, "claim", "left").fillna(0, ["total", *(f"{x}_{m}" for m in modes for x in "vfr"), *(f"e_{m}" for m in crossed)])
+    zero = F.lit(0).cast("long")
+    each = lambda m: F.struct(F.lit(m).alias("mode"), F.col(f"v_{m}").alias("verified"), (zero if m == FLAT else F.col(f"f_{m}")).alias("shared_facts"), F.col(f"r_{m}").alias("reused"), (F.col(f"e_{m}") if m in crossed else zero).alias("edges"))
+    rows = rows.select("claim", "contradictions", "tokens", "total", F.inline(F.array(*per(each))))
     complete = (F.col("total") > 0) & (F.col("verified") == F.col("total"))
-    used = F.lit(mode != FLAT) & ((F.col("shared_facts") > 0) | (F.col("edges") > 0))
+    used = (F.col("mode") != FLAT) & ((F.col("shared_facts") > 0) | (F.col("edges") > 0))
     recall = F.when(F.col("total") > 0, F.col("verified") / F.col("total")).otherwise(1.0)
     outcome = F.when(~used, "neutral").when(F.col("contradictions") > 0, "misleading").when(~complete, "insufficient").otherwise("useful")
     return rows.select(
-        "claim", F.lit(mode).alias("mode"), "total", "verified", recall.alias("recall"), complete.alias("complete"), "shared_facts", "reused", "edges", used.alias("contributed"), outcome.alias("outcome"),
+        "claim", "mode", "total", "verified", recall.alias("recall"), complete.alias("complete"), "shared_facts", "reused", "edges", used.alias("contributed"), outcome.alias("outcome"),
         (used & complete & (F.col("edges") > 0)).alias("answered_by_path"), F.when(F.col("verified") > 0, F.col("tokens") / F.col("verified")).alias("tokens_per_verified"),
         F.when(complete & (F.col("tokens") > 0), 10000.0 / F.col("tokens")).otherwise(0.0).alias("per_10k_tokens"),
     )
 
 
-def audit_all(claims: DataFrame, subclaims: DataFrame, edges: DataFrame, modes: tuple[str, ...] = MODES) -> DataFrame:
-    out = None
-    for mode in modes:
-        one = audit(claims, subclaims, edges, mode)
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def pivoted_scores(audits: DataFrame) -> DataFrame:
     """Long form: claim, mode, score_name, score_value."""
     scores = F.array(*(F.struct(F.lit(c).alias("score_name"), F.col(c).cast("double").alias("score_value")) for c in ("recall", "complete", "shared_facts", "reused", "edges", "contributed", "answered_by_path", "per_10k_tokens")))

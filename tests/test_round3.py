@@ -209,3 +209,18 @@ def test_coverage_audit_counts_repeated_rows_and_nulls(spark):
     out = graph.coverage_audit(chunks, events, arguments)
     assert "count(distinct" not in out._jdf.queryExecution().optimizedPlan().toString() and "Expand" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, out.collect()), key=str) == [(1, 2, 10, 8, 6, 1), (2, 1, 2, 2, 1, 0), (3, 0, 0, 0, 0, 0), (None, 0, 0, 0, 0, 0)]
+
+
+def test_audit_of_all_modes_is_one_pass_and_its_single_audits(spark):
+    from graphloom.operators import audit
+
+    every = [audit.SHARED, audit.QUERY, audit.FLAT]
+    rows = [(c, p, f"s{p}", [f"e{p // 2}"] if p != c else [], [f"f{p // 2}", f"g{p % 3}"], every if p % 4 == 1 else [audit.SHARED] if p % 4 else [audit.FLAT]) for c in (1, 2, 3) for p in range(1, 9)]
+    sub = spark.createDataFrame(rows, "claim long, pos int, sub string, evidence array<string>, facts array<string>, modes array<string>")
+    edges = spark.createDataFrame([(c, a * 10 + b, f"s{a}:s{b}", f"s{a}", f"s{b}", f"f{a // 2}" if a // 2 == b // 2 else f"g{a % 3}") for c in (1, 2, 3) for a in range(1, 9) for b in range(a + 1, 9) if a // 2 == b // 2 or a % 3 == b % 3], "claim long, pos int, edge_id string, source string, target string, fact string")
+    claims = spark.createDataFrame([(c, c % 2, 100 * c) for c in (1, 2, 3, 4)], "claim long, contradictions int, tokens long")
+    out = audit.audit_all(claims, sub, edges)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 20
+    got = sorted(map(tuple, out.collect()), key=str)
+    assert got == sorted((tuple(r) for m in audit.MODES for r in audit.audit(claims, sub, edges, m).collect()), key=str)
+    assert {r[1] for r in got if r[3] and r[1] == audit.SHARED} == {audit.SHARED}
