@@ -224,3 +224,12 @@ def test_audit_of_all_modes_is_one_pass_and_its_single_audits(spark):
     got = sorted(map(tuple, out.collect()), key=str)
     assert got == sorted((tuple(r) for m in audit.MODES for r in audit.audit(claims, sub, edges, m).collect()), key=str)
     assert {r[1] for r in got if r[3] and r[1] == audit.SHARED} == {audit.SHARED}
+
+
+def test_classifier_is_fitted_on_all_trusted_documents(spark, monkeypatch):
+    from graphloom.llm import quality
+
+    monkeypatch.setattr(quality, "fit", lambda texts: texts.count())
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 > 0, F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"))
+    labels = spark.range(4900).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert quality.train(docs, labels) == 4410
