@@ -233,3 +233,17 @@ def test_classifier_is_fitted_on_all_trusted_documents(spark, monkeypatch):
     docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 > 0, F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"))
     labels = spark.range(4900).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
     assert quality.train(docs, labels) == 4410
+
+
+def test_trusted_texts_are_found_where_they_are_read(spark, monkeypatch):
+    from graphloom.llm import quality
+
+    ids = [-70_000, -32_768, -1, 0, 1, 7, 8, 32_767, 32_768, 32_769, 65_536, 2**40, 2**62]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in [*ids, *ids[:3]]] + [(None, "none")] + [(i + 2, "other") for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in ids] + [(None, 1), (3, 0), (8, 1), (1, None)], "doc_id long, quality int")
+    want = sorted(map(tuple, docs.join(quality.trusted_ids(labels), "doc_id", "left_semi").collect()))
+    found = quality.among_trusted(docs, labels)
+    assert sorted(map(tuple, found.collect())) == want and len(want) > len(ids)
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(quality, "FEW_BITMAPS", 0)
+    assert sorted(map(tuple, quality.among_trusted(docs, labels).collect())) == want
