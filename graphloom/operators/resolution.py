@@ -80,47 +80,65 @@ def known_names(rows: DataFrame, entities: DataFrame) -> DataFrame:
     return stored.unionByName(made)
 
 
+def gated(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Prepared mentions with ``gated``: ambiguous, or of a name that is known before their chunk."""
+    first = names.groupBy("document_id", F.col("name").alias("normal")).agg(F.min("since").alias("_since"))
+    known = F.coalesce(F.col("_since") < F.col("index"), F.lit(False))
+    return rows.join(first, ["document_id", "normal"], "left").withColumn("gated", F.col("vague") | F.col("asks") & known).drop("_since")
+
+
 def first_by_name(entity: DataFrame, k: int) -> DataFrame:
     """Entities that can be among the first k by name of those known at some index: fewer than k come before them in name and are known as early.
 
     An entity that is known earlier than all before it in name is a record; k times, the records are taken out.
     """
     before = Window.partitionBy("document_id").orderBy(F.lower("canonical_name"), "entity_id").rowsBetween(Window.unboundedPreceding, -1)
-    out, rest = None, entity
+    out = entity.withColumn("_taken", F.lit(False))
     for _ in range(k):
-        marked = rest.withColumn("_m", F.min("since").over(before))
-        record = F.col("_m").isNull() | (F.col("since") < F.col("_m"))
-        taken, rest = marked.where(record).drop("_m"), marked.where(~record).drop("_m")
-        out = taken if out is None else out.unionByName(taken)
-    return out
+        out = out.withColumn("_m", F.min(F.when(~F.col("_taken"), F.col("since"))).over(before))
+        out = out.withColumn("_taken", F.col("_taken") | F.col("_m").isNull() | (F.col("since") < F.col("_m")))
+    return out.where("_taken").drop("_taken", "_m")
 
 
 def candidates(rows: DataFrame, names: DataFrame, observations: DataFrame, chunks: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """mention_id, entity_id, canonical_name, score, reasons, rank of the best entities of each mention, ties by name and id."""
+    """mention_id, entity_id, canonical_name, entity_type, score, reasons, rank of the best entities of each mention, ties by name and id.
+
+    What a name or a chunk leads to is found once for all its mentions; a pair then travels once, with its reasons as bits.
+    """
+    bit = {reason: 1 << i for i, reason in enumerate(POINTS)}
     words = lambda c: F.explode(F.array_distinct(F.split(c, " "))).alias("word")
     asked = rows.select("mention_id", "document_id", "index", "normal", "pronoun")
-    entity = names.select("document_id", "entity_id", "canonical_name", "since").distinct()
-    because = lambda df, reason: df.select("mention_id", "entity_id", F.lit(reason).alias("reason"))
-    listed = names.select("document_id", "entity_id", "name", "since", words("name")).where("word <> ''")
-    near = asked.where("normal <> ''").select("mention_id", "document_id", "index", "normal", words("normal")).join(listed, ["document_id", "word"]).where("since < index")
-    same = because(near.where(F.col("normal") == F.col("name")), SURFACE)
-    part = because(near.where(F.col("name").contains(F.col("normal")) | F.col("normal").contains(F.col("name"))), PARTIAL)
-    before = asked.select("mention_id", "document_id", "index", "pronoun", F.explode(F.sequence(F.col("index") - WINDOW, F.col("index") - 1)).alias("_at"))
+    told_by = F.struct("canonical_name", "entity_type").alias("told_by")
+    listed = names.select("document_id", "entity_id", told_by, "name", "since", words("name")).where("word <> ''")
+    near = asked.where("normal <> ''").select("document_id", "normal").distinct().select("document_id", "normal", words("normal")).join(listed, ["document_id", "word"])
+    # of the words that both have only the first makes a row
+    near = near.where(F.col("word") == F.array_intersect(F.split("normal", " "), F.split("name", " "))[0])
+    why = F.when(F.col("normal") == F.col("name"), bit[SURFACE]).otherwise(0) + F.when(F.col("name").contains(F.col("normal")) | F.col("normal").contains(F.col("name")), bit[PARTIAL]).otherwise(0)
+    near = near.select("document_id", "normal", "entity_id", "told_by", "since", why.alias("bits")).where("bits > 0")
+    by_name = asked.join(near, ["document_id", "normal"]).where("since < index")
+    # seen in a chunk: a candidate in the WINDOW chunks after it
+    after = F.explode(F.sequence(F.col("index") + 1, F.col("index") + WINDOW)).alias("index")
     made = names.where("since >= 0").select("entity_id", "document_id", F.col("since").alias("index"))
-    seen = observations.select("entity_id", "document_id", "index").unionByName(made).distinct().withColumnRenamed("index", "_at")
-    seen = because(before.join(seen, ["document_id", "_at"]), SEEN)
+    known = names.groupBy("entity_id").agg(F.min(told_by).alias("told_by"))
+    seen = observations.select("entity_id", "document_id", "index").unionByName(made).select("entity_id", "document_id", after).distinct().join(known, "entity_id")
     # an alias that the text holds has all words of the text but, perhaps, its first and last: any of its words finds it
-    told = before.where("pronoun").join(chunks.select("document_id", F.col("index").alias("_at"), F.lower("text").alias("_t")), ["document_id", "_at"]).groupBy("mention_id", "document_id", "index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_t"))), lambda x: x["_t"]), " ").alias("_t"))
-    alias = names.where(F.col("name") != surface(F.col("canonical_name"))).where(~F.col("name").isin(*PRONOUNS)).select("document_id", "entity_id", "name", "since", words("name"))
-    bridge = because(told.select("mention_id", "document_id", "index", "_t", F.explode(F.array_distinct(F.split("_t", _WORDS))).alias("word")).join(alias, ["document_id", "word"]).where("since < index").where(F.col("_t").contains(F.col("name"))), BRIDGE)
+    before = asked.where("pronoun").select("document_id", "index").distinct().select("document_id", "index", F.explode(F.sequence(F.col("index") - WINDOW, F.col("index") - 1)).alias("_at"))
+    told = before.join(chunks.select("document_id", F.col("index").alias("_at"), F.lower("text").alias("_t")), ["document_id", "_at"]).groupBy("document_id", "index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_t"))), lambda x: x["_t"]), " ").alias("_t"))
+    alias = names.where(F.col("name") != surface(F.col("canonical_name"))).where(~F.col("name").isin(*PRONOUNS)).select("document_id", "entity_id", told_by, "name", "since", words("name"))
+    bridge = told.select("document_id", "index", "_t", F.explode(F.array_distinct(F.split("_t", _WORDS))).alias("word")).join(alias, ["document_id", "word"]).where("since < index").where(F.col("_t").contains(F.col("name"))).select("document_id", "index", "entity_id", "told_by").distinct()
+    at = seen.withColumn("bits", F.lit(bit[SEEN])).unionByName(bridge.withColumn("bits", F.lit(bit[BRIDGE])))
+    by_chunk = asked.join(at, ["document_id", "index"]).where(F.col("pronoun") | (F.col("bits") == bit[SEEN]))
     # every known entity is a pronoun's candidate; of those without another reason the first k by name can count
-    fill = asked.where("pronoun").join(first_by_name(entity, k), "document_id").where("since < index").select("mention_id", "entity_id")
-    found = same.unionByName(part).unionByName(seen).unionByName(bridge).distinct()
-    active = found.select("mention_id", "entity_id").join(asked.where("pronoun").select("mention_id"), "mention_id", "left_semi").unionByName(fill).distinct().withColumn("reason", F.lit(ACTIVE))
-    points = F.element_at(F.create_map(*(F.lit(x) for pair in POINTS.items() for x in pair)), F.col("reason"))
-    scored = found.unionByName(active).groupBy("mention_id", "entity_id").agg(F.round(F.sum(points), 3).alias("score"), F.array_sort(F.collect_set("reason")).alias("reasons")).join(entity.select("entity_id", "canonical_name").distinct(), "entity_id")
+    entity = names.select("document_id", "entity_id", "canonical_name", "since", told_by).distinct()
+    fill = asked.where("pronoun").join(first_by_name(entity, k), "document_id").where("since < index").withColumn("bits", F.lit(0))
+    pair = ["mention_id", "entity_id", "told_by", (F.col("bits") + F.when(F.col("pronoun"), bit[ACTIVE]).otherwise(0)).alias("bits")]
+    pairs = by_name.select(*pair).unionByName(by_chunk.select(*pair)).unionByName(fill.select(*pair)).repartition("mention_id")
+    has = lambda reason: F.col("bits").bitwiseAND(bit[reason]) > 0
+    score = sum((F.when(has(reason), points).otherwise(0.0) for reason, points in POINTS.items()), F.lit(0.0))
+    reasons = F.array_compact(F.array(*(F.when(has(reason), reason) for reason in sorted(POINTS))))
+    scored = pairs.groupBy("mention_id", "entity_id").agg(F.bit_or("bits").alias("bits"), F.min("told_by").alias("told_by")).select("mention_id", "entity_id", "told_by.*", F.round(score, 3).alias("score"), "bits")
     best = Window.partitionBy("mention_id").orderBy(F.desc("score"), F.lower("canonical_name"), "entity_id")
-    return scored.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("mention_id", "entity_id", "canonical_name", "score", "reasons", "rank")
+    return scored.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("mention_id", "entity_id", "canonical_name", "entity_type", "score", reasons.alias("reasons"), "rank")
 
 
 def guards(rows: DataFrame) -> DataFrame:
@@ -148,8 +166,7 @@ def resolve(mentions: DataFrame, entities: DataFrame, observations: DataFrame, c
     """
     rows = prepared(mentions)
     names = written(known_names(rows, entities), "resolve-names")
-    named = rows.where("asks AND NOT vague").join(names.select("document_id", F.col("name").alias("normal"), "since"), ["document_id", "normal"]).where("since < index").select("mention_id").distinct().withColumn("named", F.lit(True))
-    rows = written(rows.join(named, "mention_id", "left").withColumn("gated", F.col("vague") | F.coalesce("named", F.lit(False))).drop("named"), "resolve-mentions")
+    rows = written(gated(rows, names), "resolve-mentions")
     concept, only = F.array_contains("expectations", CONCEPT), F.array_contains("expectations", MENTION_ONLY)
     own, text = made_entity(F.col("document_id"), F.col("normal")), F.col("text")
     void, no_alias = F.lit(None).cast("string"), F.lit(None).cast("string").alias("alias_to_add")
@@ -164,9 +181,9 @@ def resolve(mentions: DataFrame, entities: DataFrame, observations: DataFrame, c
     open_ = rows.where(F.col("gated") & ~concept)
     found = written(candidates(open_, names, observations, chunks), "resolve-candidates")
     said = propose(open_, found).select("mention_id", "decision", F.col("entity_id").alias("target"), F.col("confidence").alias("_c"), "reason")
-    listed = found.groupBy("mention_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "entity_id"))), lambda x: x["entity_id"]).alias("candidates"))
-    chosen = found.select("mention_id", F.col("entity_id").alias("target"), "score", "reasons").join(names.select(F.col("entity_id").alias("target"), "canonical_name", "entity_type").distinct(), "target")
-    rows = open_.join(said, "mention_id", "left").join(listed, "mention_id", "left").join(chosen, ["mention_id", "target"], "left")
+    listed = found.groupBy("mention_id").agg(F.array_sort(F.collect_list(F.struct("rank", "entity_id", "canonical_name", "entity_type", "score", "reasons"))).alias("_found"))
+    rows = open_.join(said, "mention_id", "left").join(listed, "mention_id", "left").withColumn("_hit", F.get(F.filter("_found", lambda x: x["entity_id"] == F.col("target")), F.lit(0)))
+    rows = rows.withColumn("candidates", F.transform("_found", lambda x: x["entity_id"])).select("*", *(F.col(f"_hit.{c}").alias(c) for c in ("canonical_name", "entity_type", "score", "reasons"))).drop("_found", "_hit")
     rows = rows.withColumns({"decision": F.coalesce("decision", F.lit("keep_unresolved")), "confidence": F.coalesce("_c", F.lit(0.0)), "candidates": F.coalesce("candidates", F.expr("cast(array() as array<string>)"))})
     rows = guards(rows.withColumn("n", F.size("candidates")))
     linked, new, mere = (F.col("decision") == d for d in ("link_existing", "propose_new", "mention_only"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import resolution
+from graphloom.operators.lineage import written
 from graphloom.plans.context_queries import _LINES
 from graphloom.plans.tables import Registry, table
 
@@ -31,6 +32,7 @@ def _tables(spark, d):
         F.expr("l_orderkey div 20").alias("document_id"), (F.col("l_orderkey") % 20).cast("int").alias("index"), "l_orderkey", "l_linenumber", F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("mention_id"), letter(F.col("l_suppkey") % 13).alias("s"),
         (F.col("l_partkey") % 6).cast("int").alias("c"), F.expr("cast(l_partkey div 6 % 5 as int)").alias("x"), letter(F.expr("l_partkey div 6 % 20")).alias("f"), F.expr("cast((l_partkey div 30 + l_linenumber) % 6 as int)").alias("y"), F.round(0.5 + F.col("l_quantity").cast("long") % 5 / 10.0, 2).alias("confidence"), F.round(0.45 + F.col("l_suppkey") % 6 / 10.0, 2).alias("pc"),
     )
+    li = written(li, "mention-lines")
     name = F.concat(F.lit("E"), F.col("document_id").cast("string"), "s")
     told = F.concat(F.lit("the old keeper "), "s")
     one = li.where("l_linenumber = 1")
@@ -76,9 +78,8 @@ def mention_candidates(spark, d):
     """The candidates alone, with every ambiguous mention's reasons."""
     mentions, entities, observations, chunks, _ = _tables(spark, d)
     rows = resolution.prepared(mentions)
-    names = resolution.known_names(rows, entities)
-    named = rows.where("asks AND NOT vague").join(names.select("document_id", F.col("name").alias("normal"), "since"), ["document_id", "normal"]).where("since < index").select("mention_id").distinct()
-    gated = rows.where("vague").unionByName(rows.join(named, "mention_id", "left_semi")).where(~F.array_contains("expectations", resolution.CONCEPT))
+    names = written(resolution.known_names(rows, entities), "resolve-names")
+    gated = written(resolution.gated(rows, names).where("gated").where(~F.array_contains("expectations", resolution.CONCEPT)), "resolve-mentions")
     out = resolution.candidates(gated, names, observations, chunks)
     return out.select("mention_id", "entity_id", "rank", "score", F.array_join("reasons", ",").alias("reasons"))
 

@@ -247,3 +247,16 @@ def test_trusted_texts_are_found_where_they_are_read(spark, monkeypatch):
     assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(quality, "FEW_BITMAPS", 0)
     assert sorted(map(tuple, quality.among_trusted(docs, labels).collect())) == want
+
+
+def test_an_entity_of_two_documents_is_one_candidate(spark):
+    from graphloom.operators import resolution
+
+    none = spark.createDataFrame([], "entity_id string, document_id string, index int")
+    chunks = spark.createDataFrame([("d", 0, "the keeper came"), ("f", 0, "x")], "document_id string, index int, text string")
+    entities = spark.createDataFrame([("d", "e", "Ann Bell", "person", ["keeper"]), ("f", "e", "Ann Ball", "person", []), ("d", "g", "Cay", "person", None)], "document_id string, entity_id string, canonical_name string, entity_type string, aliases array<string>")
+    mentions = spark.createDataFrame([("d", "c", 1, "m1", "he", "pronoun", "pronoun", 0.9, [resolution.ENTITY]), ("d", "c", 1, "m2", "the Bell", "nominal", "generic_nominal", 0.9, [resolution.ENTITY])], "document_id string, chunk_id string, index int, mention_id string, text string, type string, kind string, confidence double, expectations array<string>")
+    rows = resolution.prepared(mentions)
+    names = resolution.known_names(rows, entities)
+    got = resolution.candidates(rows, names, none, chunks).select("mention_id", "rank", "entity_id", "canonical_name", "score").collect()
+    assert sorted(map(tuple, got)) == [("m1", 1, "e", "Ann Bell", 1.5), ("m1", 2, "g", "Cay", 0.3), ("m2", 1, "e", "Ann Bell", 0.6)]
