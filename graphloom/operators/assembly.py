@@ -52,31 +52,31 @@ def assembled(chunks: DataFrame, mentions: DataFrame, events: DataFrame, argumen
     ``arguments``: chunk_id, e, a, role, ref, surface, start, end, grounding, confidence.  n, e and a number them.
     """
     text = chunks.select("chunk_id", F.col("text").alias("_t"))
-    placed = lambda rows: rows.join(text, "chunk_id").withColumn("_s", moved(F.col("_t"), F.col("surface"), F.col("start"), F.col("end"))).drop("_t")
-    said, args = placed(mentions), placed(arguments)
-    lost = said.where("_s IS NULL").select("chunk_id", F.concat(F.lit("mention "), F.col("n").cast("string")).alias("row"), "surface")
-    lost = lost.unionByName(args.where("_s IS NULL").select("chunk_id", F.concat_ws(" ", F.lit("argument"), F.col("e").cast("string"), F.col("a").cast("string")).alias("row"), "surface")).withColumn("fault", F.lit("span mismatch"))
-    said, args = said.where("_s IS NOT NULL"), args.where("_s IS NOT NULL")
-    order = F.struct(F.lit(0).alias("p"), F.col("n").alias("i"), F.lit(0).alias("j"))
-    said = said.select("chunk_id", order.alias("at"), "ref", "surface", F.col("_s.start").alias("start"), F.col("_s.end").alias("end"), "type", "kind", "confidence")
-    args = written(args.select("chunk_id", "e", "a", F.struct(F.lit(1).alias("p"), F.col("e").alias("i"), F.col("a").alias("j")).alias("at"), "role", "ref", "surface", F.col("_s.start").alias("start"), F.col("_s.end").alias("end"), "grounding", "confidence"), "draft-arguments")
-    defined = said.where("ref IS NOT NULL").groupBy("chunk_id", "ref").agg(F.max_by(F.struct("start", "end", "surface"), "at").alias("_def"))
-    args = args.join(defined, ["chunk_id", "ref"], "left")
-    turn = F.row_number().over(Window.partitionBy("chunk_id", "ref").orderBy("at"))
-    makes = F.col("_def").isNull() & (F.col("ref").isNull() | (turn == 1))
+    order = lambda p, i, j: F.struct(F.lit(p).alias("p"), i.cast("int").alias("i"), j.cast("int").alias("j")).alias("at")
+    void = F.lit(None).cast("string")
     pronoun = resolution.surface(F.col("surface")).isin(*PRONOUNS)
-    args = args.withColumn("_makes", makes).withColumn("_first", F.first(F.struct("start", "end", "surface")).over(Window.partitionBy("chunk_id", "ref").orderBy("at")))
-    args = args.withColumn("_m", F.when(F.col("ref").isNull(), F.struct("start", "end", "surface")).otherwise(F.coalesce("_def", "_first")))
-    asks = said.unionByName(args.where("_makes").select("chunk_id", "at", "ref", "surface", "start", "end", F.when(pronoun, "pronoun").otherwise("nominal").alias("type"), F.when(pronoun, "pronoun").otherwise("generic_nominal").alias("kind"), "confidence"))
-    span = ["chunk_id", "start", "end", "surface"]
-    free = F.row_number().over(Window.partitionBy("chunk_id", "ref").orderBy("at")) == 1
-    first = F.row_number().over(Window.partitionBy(*span).orderBy("at"))
-    made = asks.withColumn("_free", F.col("ref").isNotNull() & free).withColumn("_r", first).where("_r = 1")
-    number = F.row_number().over(Window.partitionBy("chunk_id").orderBy("at"))
-    made = made.withColumn("_k", number).select("chunk_id", F.when(F.col("_free"), F.col("ref")).otherwise(F.concat(F.lit("m"), F.col("_k").cast("string"))).alias("mention_key"), F.col("_k").alias("n"), F.col("surface").alias("text"), "start", "end", "type", "kind", "confidence")
-    made = written(made, "draft-mentions")
-    keys = made.select("chunk_id", F.struct("start", "end", F.col("text").alias("surface")).alias("_m"), "mention_key", F.col("type").alias("_type"))
-    bound = args.join(keys, ["chunk_id", "_m"]).select("chunk_id", "e", "a", "role", "mention_key", "surface", "start", "end", expectation(F.col("surface"), F.col("_type"), F.col("grounding")).alias("grounding"), "confidence")
+    said = mentions.select("chunk_id", order(0, F.col("n"), F.lit(0)), "ref", "surface", "start", "end", "type", "kind", "confidence", void.alias("role"), void.alias("grounding"))
+    used = arguments.select("chunk_id", order(1, F.col("e"), F.col("a")), "ref", "surface", "start", "end", F.when(pronoun, "pronoun").otherwise("nominal").alias("type"), F.when(pronoun, "pronoun").otherwise("generic_nominal").alias("kind"), "confidence", "role", "grounding")
+    # one shuffle by chunk: text, references, spans and numbers are all looked up in it
+    rows = said.unionByName(used).repartition("chunk_id").join(text, "chunk_id").withColumn("_s", moved(F.col("_t"), F.col("surface"), F.col("start"), F.col("end"))).drop("_t", "start", "end")
+    is_arg, placed = F.col("at.p") == 1, F.col("_s").isNotNull()
+    own = F.struct(F.col("_s.start").alias("start"), F.col("_s.end").alias("end"), "surface")
+    by_ref = Window.partitionBy("chunk_id", placed, "ref").orderBy("at")
+    whole = by_ref.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"_turn": F.row_number().over(by_ref), "_def": F.last(F.when(~is_arg, own), ignorenulls=True).over(whole), "_first": F.first(own).over(whole)})
+    asks = placed & (~is_arg | F.col("ref").isNull() | F.col("_def").isNull() & (F.col("_turn") == 1))
+    rows = rows.withColumns({"_asks": asks, "_free": F.col("ref").isNotNull() & (F.col("_turn") == 1), "_m": F.when(~is_arg | F.col("ref").isNull(), own).otherwise(F.coalesce("_def", "_first"))}).drop("_def", "_first", "_turn")
+    # the first that asks for a span makes its mention; mentions are numbered as they are made
+    by_span = Window.partitionBy("chunk_id", placed, "_m.start", "_m.end", "_m.surface").orderBy(F.desc("_asks"), "at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    maker = F.first(F.struct("at", F.when(F.col("_free"), F.col("ref")).alias("ref"), "type")).over(by_span)
+    rows = rows.withColumn("_maker", maker).withColumn("_k", F.dense_rank().over(Window.partitionBy("chunk_id", placed).orderBy("_maker.at")))
+    rows = rows.withColumn("mention_key", F.coalesce("_maker.ref", F.concat(F.lit("m"), F.col("_k").cast("string"))))
+    rows = written(rows.select("chunk_id", "at", "surface", "_s.start", "_s.end", "type", "kind", "confidence", "role", "grounding", "mention_key", F.col("_k").alias("n"), placed.alias("_placed"), (F.col("_asks") & (F.col("at") == F.col("_maker.at"))).alias("_makes"), F.col("_maker.type").alias("_type")), "draft-rows")
+    name = F.when(is_arg, F.concat_ws(" ", F.lit("argument"), F.col("at.i").cast("string"), F.col("at.j").cast("string"))).otherwise(F.concat(F.lit("mention "), F.col("at.i").cast("string")))
+    lost = rows.where("NOT _placed").select("chunk_id", name.alias("row"), "surface", F.lit("span mismatch").alias("fault"))
+    made = rows.where("_placed AND _makes").select("chunk_id", "mention_key", "n", F.col("surface").alias("text"), "start", "end", "type", "kind", "confidence")
+    args = rows.where(F.col("_placed") & is_arg).withColumns({"e": F.col("at.i"), "a": F.col("at.j")})
+    bound = args.select("chunk_id", "e", "a", "role", "mention_key", "surface", "start", "end", expectation(F.col("surface"), F.col("_type"), F.col("grounding")).alias("grounding"), "confidence")
     reach = args.groupBy("chunk_id", "e").agg(F.min("start").alias("_a"), F.max("end").alias("_b"))
     rows = events.join(text, "chunk_id").join(reach, ["chunk_id", "e"], "left")
     given = F.col("evidence_start").isNotNull() & F.col("evidence_end").isNotNull()
@@ -102,15 +102,18 @@ def expectations(draft: dict[str, DataFrame]) -> DataFrame:
     return draft["mentions"].select("chunk_id", "mention_key").join(said, ["chunk_id", "mention_key"], "left").withColumn("expectations", F.coalesce("expectations", F.expr("cast(array() as array<string>)")))
 
 
-def patch(draft: dict[str, DataFrame], decisions: DataFrame, chunks: DataFrame, entities: DataFrame, run: str) -> dict[str, DataFrame]:
-    """hypotheses, mentions, arguments, events, entities, observations and faults.
+def patch(draft: dict[str, DataFrame], decisions: DataFrame, chunks: DataFrame, entities: DataFrame, run: str, want: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
+    """hypotheses, mentions, arguments, events, entities, observations and faults, or those of them that are wanted.
 
     ``decisions`` is as ``resolution.resolve`` returns it, ``chunks`` has chunk_id, document_id, index, ``entities`` the
     stored ones (document_id, entity_id, canonical_name, entity_type, aliases).
     """
+    wanted = lambda *parts: want is None or not set(parts).isdisjoint(want)
     raw = draft["mentions"].withColumn("mention_id", mention_id(F.col("chunk_id"), F.col("mention_key"))).join(chunks.select("chunk_id", "document_id", "index"), "chunk_id")
     said = decisions.drop("document_id").withColumnRenamed("confidence", "sure")
-    rows = written(raw.join(said, "mention_id"), "patch-rows")
+    rows = raw.join(said, "mention_id")
+    if wanted("hypotheses", "mentions", "entities", "observations"):
+        rows = written(rows, "patch-rows")
     strange = decisions.join(raw.select("mention_id"), "mention_id", "left_anti").select(F.col("mention_id").alias("row"), F.lit("decision on an unknown mention").alias("fault"))
     named = F.col("decision").isin(CREATE, LINK)
     hypotheses = rows.select(
@@ -123,15 +126,20 @@ def patch(draft: dict[str, DataFrame], decisions: DataFrame, chunks: DataFrame,
     entity = F.when(named, F.col("entity_id"))
     key = lambda c: F.concat(F.col("chunk_id").cast("string"), F.lit("_"), c)
     event = F.concat(F.lit("ev"), F.col("e").cast("string"))
-    arguments = written(arguments.select(
+    arguments = arguments.select(
         key(F.concat(event, F.lit("_arg_"), F.col("a").cast("string"))).alias("argument_id"), key(event).alias("event_id"), "role", "mention_id", entity.alias("entity_id"), F.col("surface"), key(F.concat(F.lit("s"), F.col("e").cast("string"))).alias("span_id"),
         F.when(F.col("grounding") != resolution.ENTITY, "mention_only").when(entity.isNotNull(), "resolved").otherwise("unresolved").alias("resolution_status"), "grounding", F.col("a").alias("argument_index"), "confidence",
-    ), "patch-arguments")
+    )
+    if wanted("arguments", "events"):
+        arguments = written(arguments, "patch-arguments")
     open_ = arguments.where("grounding = 'entity_expected' AND resolution_status <> 'resolved'").select("event_id").distinct().withColumn("_open", F.lit(True))
     events = draft["events"].withColumn("event_id", key(F.col("event_key"))).join(open_, "event_id", "left").select("event_id", "chunk_id", "predicate", "normalized", "event_type", key(F.col("evidence_key")).alias("span_id"), "evidence", "start", "end", F.when(F.col("_open"), "partial").otherwise("complete").alias("resolution_status"), F.lit("valid").alias("materialization_status"), "confidence")
     seen = resolved.select("entity_id", "document_id", F.struct("index", "n").alias("at"), "chunk_id", "mention_id", F.col("text").alias("surface"), "decision", "canonical_name", "entity_type", "alias_to_add")
     observations = seen.select("entity_id", F.row_number().over(Window.partitionBy("entity_id").orderBy("at", "mention_id")).alias("position"), "document_id", "chunk_id", "mention_id", "surface", "decision")
-    return {"hypotheses": hypotheses, "mentions": mentions, "arguments": arguments, "events": events, "entities": closed(entities, seen), "observations": observations, "faults": strange}
+    made = {"hypotheses": hypotheses, "mentions": mentions, "arguments": arguments, "events": events, "observations": observations, "faults": strange}
+    if wanted("entities"):
+        made["entities"] = closed(entities, seen)
+    return {part: table for part, table in made.items() if wanted(part)}
 
 
 def closed(entities: DataFrame, seen: DataFrame) -> DataFrame:
@@ -151,12 +159,17 @@ def closed(entities: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def groups(names: DataFrame) -> DataFrame:
-    """entity_id, group_id: least entity of each component of (document_id, entity_id, name), by hooking to the least neighbour and jumping."""
+    """entity_id, group_id: least entity of each component of (document_id, entity_id, name), by hooking to the least neighbour and jumping.
+
+    Only entities that share a name with another have rows.
+    """
+    by_name = Window.partitionBy("document_id", "name")
+    names = names.select("document_id", "entity_id", "name").repartition("document_id", "name").distinct()
+    names = written(names.withColumn("_n", F.count(F.lit(1)).over(by_name)).where("_n > 1").drop("_n"), "group-names")
     of = written(names.select("entity_id", F.col("entity_id").alias("group_id")).distinct(), "group")
-    names = written(names.select("document_id", "entity_id", "name").distinct(), "group-names")
     while True:
-        by_name = names.join(of, "entity_id").withColumn("_low", F.min("group_id").over(Window.partitionBy("document_id", "name")))
-        hooks = by_name.groupBy("group_id").agg(F.min("_low").alias("_low")).where("_low < group_id")
+        lows = names.join(of, "entity_id").withColumn("_low", F.min("group_id").over(by_name))
+        hooks = lows.groupBy("group_id").agg(F.min("_low").alias("_low")).where("_low < group_id")
         if hooks.isEmpty():
             return of
         # a root's new root may itself have moved: jump until none has

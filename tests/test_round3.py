@@ -260,3 +260,26 @@ def test_an_entity_of_two_documents_is_one_candidate(spark):
     names = resolution.known_names(rows, entities)
     got = resolution.candidates(rows, names, none, chunks).select("mention_id", "rank", "entity_id", "canonical_name", "score").collect()
     assert sorted(map(tuple, got)) == [("m1", 1, "e", "Ann Bell", 1.5), ("m1", 2, "g", "Cay", 0.3), ("m2", 1, "e", "Ann Bell", 0.6)]
+
+
+def test_patch_makes_only_what_is_wanted(spark, monkeypatch):
+    from graphloom.operators import assembly
+
+    chunks = spark.createDataFrame([(1, 7, 0, "Ann met Bob"), (2, 7, 1, "Bob met Cay")], "chunk_id long, document_id long, index int, text string")
+    mentions = spark.createDataFrame([(1, 1, "r1", "Ann", 0, 3), (2, 1, None, "Bob", 5, 6), (2, 2, None, "Dan", 0, 3)], "chunk_id long, n int, ref string, surface string, start int, end int").selectExpr("*", "'named' AS type", "'named_anchor' AS kind", "0.9 AS confidence")
+    events = spark.createDataFrame([(1, 1), (2, 1)], "chunk_id long, e int").selectExpr("*", "'met' AS predicate", "CAST(NULL AS STRING) AS normalized", "'meeting' AS event_type", "'' AS evidence_text", "CAST(NULL AS INT) AS evidence_start", "CAST(NULL AS INT) AS evidence_end", "0.8 AS confidence")
+    arguments = spark.createDataFrame([(1, 1, 0, "agent", "r1", "Ann"), (1, 1, 1, "patient", "x", "Bob"), (1, 1, 2, "witness", "x", "met"), (2, 1, 0, "agent", None, "Bob"), (2, 1, 1, "patient", None, "Cay")], "chunk_id long, e int, a int, role string, ref string, surface string").selectExpr("*", "0 AS start", "0 AS end", "'' AS grounding", "0.7 AS confidence")
+    draft = assembly.assembled(chunks, mentions, events, arguments)
+    keys = sorted((r.chunk_id, r.n, r.mention_key, r.text, r.type) for r in draft["mentions"].collect())
+    assert keys == [(1, 1, "r1", "Ann", "named"), (1, 2, "x", "Bob", "nominal"), (2, 1, "m1", "Bob", "named"), (2, 2, "m2", "Cay", "nominal")]
+    assert sorted((r.chunk_id, r.a, r.mention_key) for r in draft["arguments"].collect()) == [(1, 0, "r1"), (1, 1, "x"), (1, 2, "x"), (2, 0, "m1"), (2, 1, "m2")]
+    assert [(r.chunk_id, r.row, r.surface) for r in draft["faults"].collect()] == [(2, "mention 2", "Dan")]
+    decisions = draft["mentions"].select(assembly.mention_id(F.col("chunk_id"), F.col("mention_key")).alias("mention_id"), F.lit(7).alias("document_id"), F.lit("create_entity").alias("decision"), F.concat(F.lit("e"), "text").alias("entity_id"), F.col("text").alias("canonical_name"), F.lit("person").alias("entity_type"), F.lit(None).cast("string").alias("alias_to_add"), F.lit(0.8).alias("confidence"), F.lit("confirmed").alias("status"), F.expr("cast(array() as array<string>)").alias("candidates"), F.lit("").alias("reason"))
+    stored = spark.createDataFrame([], "document_id long, entity_id string, canonical_name string, entity_type string, aliases array<string>")
+    every = assembly.patch(draft, decisions, chunks, stored, "run")
+    monkeypatch.setattr(assembly, "closed", None)
+    some = assembly.patch(draft, decisions, chunks, stored, "run", ("events", "arguments"))
+    assert set(some) == {"events", "arguments"} and len(every) == 7
+    for part in some:
+        assert sorted(map(str, some[part].collect())) == sorted(map(str, every[part].collect()))
+    assert {r.entity_id: r.group_id for r in every["entities"].collect()} == {x: x for x in ("eAnn", "eBob", "eCay")}
