@@ -283,3 +283,53 @@ def test_patch_makes_only_what_is_wanted(spark, monkeypatch):
     for part in some:
         assert sorted(map(str, some[part].collect())) == sorted(map(str, every[part].collect()))
     assert {r.entity_id: r.group_id for r in every["entities"].collect()} == {x: x for x in ("eAnn", "eBob", "eCay")}
+
+
+def _stages(spark, work):
+    """Stages that ran for ``work``, and its result."""
+    context, group = spark.sparkContext, str(id(work))
+    context.setJobGroup(group, group)
+    try:
+        out = work()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    return sum(1 for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds if (i := tracker.getStageInfo(s)) and i.numCompletedTasks), out
+
+
+def _witnesses(edges, pairs, most, keep):
+    """All shortest paths by plain search, the first ones as ordered from their end."""
+    want = set()
+    for part, source, target in {p for p in pairs if None not in p}:
+        near = {}
+        for p, a, b in edges:
+            if p == part and a is not None and b is not None:
+                near.setdefault(a, set()).add(b)
+                near.setdefault(b, set()).add(a)
+        paths = [[source]]
+        for hops in range(1, most + 1):
+            if target == source:
+                break
+            paths = [[*p, n] for p in paths for n in near.get(p[-1], ()) if n not in p]
+            found = sorted(p[::-1] for p in paths if p[-1] == target)
+            if found:
+                want |= {(part, source, target, hops, tuple(p[::-1]), i + 1) for i, p in enumerate(found[:keep])}
+                break
+    return want
+
+
+def test_path_witnesses_shuffle_once_and_are_whole(spark, monkeypatch):
+    from graphloom.operators import navigation
+
+    edges = [(p, f"s{(i * 7 + p) % 9}", f"p{(i * i + 3 * p) % 8}") for p in range(6) for i in range(4 + 9 * p)]
+    edges += [(1, "s1", "s1"), (1, None, "p2"), (1, "s2", None), (None, "s1", "p1"), (2, "far", "away")]
+    pairs = [(p, f"s{x}", f"{k}{y}") for p in range(6) for x in (0, 4) for k in "sp" for y in range(9)] + [(1, "none", "s1"), (2, "far", "away"), (3, None, "s1"), (None, "s1", "p1"), (2, "far", "s1"), (4, "s0", "s4")]
+    e = spark.createDataFrame(edges, "part long, a string, b string")
+    p = spark.createDataFrame(pairs, "part long, source string, target string")
+    rows = lambda df: sorted((r.part, r.source, r.target, r.hops, tuple(r.path), r["rank"]) for r in df.collect())
+    for keep in (2, 5):
+        stages, got = _stages(spark, lambda keep=keep: rows(navigation.path_witnesses(e, p, "part", 4, keep)))
+        assert got == sorted(_witnesses(edges, pairs, 4, keep)) and any(r[5] == keep for r in got)
+        assert stages <= 12  # a step for each hop, there and back, took 38
+    monkeypatch.setattr(navigation, "PART_ROWS", 60)  # some parts go the other way
+    assert rows(navigation.path_witnesses(e, p, "part")) == sorted(_witnesses(edges, pairs, 4, 5))
