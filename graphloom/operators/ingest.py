@@ -11,20 +11,26 @@ from graphloom.operators.lineage import cut, written
 from graphloom.streaming import fold
 
 
-def ingest(docs: DataFrame, budget: int, ledger: DataFrame | None = None, mode: str = "overwrite", separator: str = r"\n\s*\n") -> dict[str, DataFrame]:
-    """Chunks to do, their label tables, and the document state after every chunk.
+PARTS = ("chunks", *extraction.PARTS, "state", "entities")
+
+
+def ingest(docs: DataFrame, budget: int, ledger: DataFrame | None = None, mode: str = "overwrite", separator: str = r"\n\s*\n", wanted: tuple[str, ...] = PARTS) -> dict[str, DataFrame]:
+    """Chunks to do, their label tables, and the document state after every chunk; or the ``wanted`` of these.
 
     ``ledger`` (document_id, index, content_hash, status) says what is done; a chunk whose content changed is redone.
     """
     chunks = chunking.chunk_documents(docs, budget, separator).withColumn("content_hash", F.sha2("text", 256)).withColumn("document_id", F.col("doc_id"))
     todo = chunks if ledger is None else sinks.to_redo(chunks, ledger, mode)
-    todo = cut(todo)
-    out = {"chunks": todo, **extraction.extract(todo)}
-    known = out["hypotheses"].where(F.col("decision").isin("create_entity", "link_to_existing")).groupBy("chunk_id").agg(F.array_sort(F.collect_set("entity_id")).alias("entities"))
-    nothing = F.expr("cast(array() as array<string>)")
-    out["state"] = fold.batch_fold(todo.select("doc_id", "index", "chunk_id").join(known, "chunk_id", "left").withColumn("entities", F.coalesce("entities", nothing)))
-    out["entities"] = out["hypotheses"].where("entity_id is not null and status <> 'rejected'").groupBy("entity_id").agg(F.count_distinct("mention_id").alias("mentions"), F.max("confidence").alias("confidence"))
-    return out
+    todo = todo if set(wanted) == {"entities"} else cut(todo)
+    labels = [p for p in extraction.PARTS if p in wanted or p == "hypotheses" and {"state", "entities"} & set(wanted)]
+    out = {"chunks": todo, **(extraction.extract(todo, tuple(labels)) if labels else {})}
+    if "state" in wanted:
+        known = out["hypotheses"].where(F.col("decision").isin("create_entity", "link_to_existing")).groupBy("chunk_id").agg(F.array_sort(F.collect_set("entity_id")).alias("entities"))
+        nothing = F.expr("cast(array() as array<string>)")
+        out["state"] = fold.batch_fold(todo.select("doc_id", "index", "chunk_id").join(known, "chunk_id", "left").withColumn("entities", F.coalesce("entities", nothing)))
+    if "entities" in wanted:
+        out["entities"] = out["hypotheses"].where("entity_id is not null and status <> 'rejected'").groupBy("entity_id").agg(F.count_distinct("mention_id").alias("mentions"), F.max("confidence").alias("confidence"))
+    return {name: out[name] for name in wanted}
 
 
 def relation_text(source: Column, predicate: Column, target: Column, evidence: Column) -> Column:

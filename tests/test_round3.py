@@ -333,3 +333,20 @@ def test_path_witnesses_shuffle_once_and_are_whole(spark, monkeypatch):
         assert stages <= 12  # a step for each hop, there and back, took 38
     monkeypatch.setattr(navigation, "PART_ROWS", 60)  # some parts go the other way
     assert rows(navigation.path_witnesses(e, p, "part")) == sorted(_witnesses(edges, pairs, 4, 5))
+
+
+def test_ingestion_shuffles_texts_and_mentions_once(spark):
+    from graphloom.operators import ingest
+
+    docs = spark.createDataFrame([(i, f"Ann{i} saw the old dog. Then Bob{i % 3} met him. The dog was here.\n\nAnn{i} held it. Однако she left.") for i in range(40)] + [(90, None), (91, "")], "doc_id long, text string")
+    stages, got = _stages(spark, lambda: sorted(map(tuple, ingest.ingest(docs, 12, wanted=("entities",))["entities"].collect())))
+    assert stages <= 10  # 41 before
+    assert got == sorted(map(tuple, ingest.ingest(docs, 12)["entities"].collect())) and len(got) > 40
+
+
+def test_extraction_is_its_sql_on_odd_turns(spark, tmp_path):
+    said = ["Ann saw the old man. Then Ann met him. He was Bob Ray.", "He saw it.", "", None, "Ann Lee met Bob Ray. He was old.", "Ann Lee is here. The dog was old. Bob Ray saw the dog. The dog is big. The cat saw the dog", "the man met the man. Ann met Ann. Ann saw the man and Bob", "...\n\n", "Well. Ann and Bob, then Cid Moe said the old dog was Ann"]
+    turns = [(c, t, "user", said[(c * 5 + t) % len(said)]) for c in range(9) for t in range(5)]
+    folder = _tables(spark, tmp_path, conversations=(turns, "conv_id long, turn long, role string, text string"))
+    for name in ("extraction_mentions", "event_frames", "resolution_cascade", "agent_patient_relations"):
+        assert _same(spark, folder, name), name
