@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,6 +97,31 @@ def hashed_counts(docs: DataFrame, id_col: str, text: Column, dims: int = 256) -
     return digest.groupBy(id_col, dim.alias("dim")).agg(F.sum(sign * F.col("count")).alias("raw")).where("raw <> 0")
 
 
+def dense_counts(text: Column, dims: int = 256) -> Column:
+    """``hashed_counts`` of a text as one array of ``dims`` whole numbers, counted where the text is read; null texts have none."""
+
+    @F.pandas_udf("array<int>")
+    def counted(tokens: pd.Series) -> pd.Series:
+        known: dict[str, tuple[int, int]] = {}
+
+        def place(t: str) -> tuple[int, int]:
+            if t not in known:
+                h = hashlib.sha256(t.encode()).digest()
+                known[t] = int.from_bytes(h[:4], "big") % dims, 1 - 2 * (h[4] % 2)
+            return known[t]
+
+        def one(words: np.ndarray) -> np.ndarray:
+            if not len(words):
+                return np.zeros(dims, dtype=np.int32)
+            at, sign = zip(*map(place, words), strict=True)
+            return np.bincount(at, sign, dims).astype(np.int32)
+
+        return tokens.map(one)
+
+    tokens = F.filter(F.split(F.lower(text), r"[ \t\n\r\f\x0B]+"), lambda x: x != "")
+    return counted(F.coalesce(tokens, F.expr("cast(array() as array<string>)")))
+
+
 def hashed_tokens(docs: DataFrame, id_col: str, text: Column, dims: int = 256) -> DataFrame:
     """Sparse signed hashing vectors: id, dim, value (L2-normalised), zero entries gone."""
     sums = hashed_counts(docs, id_col, text, dims)

@@ -350,3 +350,19 @@ def test_extraction_is_its_sql_on_odd_turns(spark, tmp_path):
     folder = _tables(spark, tmp_path, conversations=(turns, "conv_id long, turn long, role string, text string"))
     for name in ("extraction_mentions", "event_frames", "resolution_cascade", "agent_patient_relations"):
         assert _same(spark, folder, name), name
+
+
+def test_text_hops_are_their_sql_in_few_stages(spark, tmp_path):
+    from graphloom.operators import navigation
+
+    texts = [None, "", "one", "One two\tTWO  three", "ünï two. Straße ÉTÉ", "a b c d e f g h i j k l", "two two two -two", " \n "]
+    docs = [(i, None if i == 45 else f"{texts[(i * 3) % 8] or ''} w{i % 7} w{i % 5} w{i % 7}" if i % 4 else texts[i % 8]) for i in range(70)]
+    folder = _tables(spark, tmp_path, documents=(docs, "doc_id long, text string"))
+    stages, got = _stages(spark, lambda: _same(spark, folder, "mdr_text_hops"))
+    assert len(got) == 20 and stages <= 40
+    # a passage given in two rows is the sum of both
+    two = spark.createDataFrame([(1, 1, "x y"), (1, 1, "z"), (1, 2, "x"), (1, None, "q")], "case_id long, doc_id long, text string")
+    one = spark.createDataFrame([(1, 1, "x y z"), (1, 2, "x"), (1, None, "q")], "case_id long, doc_id long, text string")
+    asked = spark.createDataFrame([(1, "x y z")], "case_id long, text string")
+    rows = [sorted(map(str, navigation.text_hops(p, asked, hops=2).collect())) for p in (two, one)]
+    assert rows[0] == rows[1] and len(rows[0]) == 2
