@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import text, vector
-from graphloom.operators import evaluation, navigation, retrieval
-from graphloom.operators.lineage import among, cut
+from graphloom.operators import evaluation, inverted, navigation, retrieval
+from graphloom.operators.lineage import among, cut, lent, written
 from graphloom.operators.retrieval import best, window
 
 Arm = Callable[[DataFrame], DataFrame]
@@ -113,15 +113,22 @@ def text_arm(chunks: DataFrame, hits: DataFrame, rounds: int = 2, radius: int =
     return got.groupBy("document_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("consulted"), F.least(F.lit(1.0), F.count_distinct("chunk_id") / F.lit(wanted)).alias("completeness"))
 
 
-def frontier_scores(docs: DataFrame, cases: DataFrame, weights: dict[str, float], cap: int = 20) -> DataFrame:
+def frontier_scores(docs: DataFrame, cases: DataFrame, weights: dict[str, float], cap: int = 20, vectors: DataFrame | None = None) -> DataFrame:
     """case_id, doc_id, owner_id, score, rank: next documents of each case's current one, by weights that are normalised.
 
-    ``cases`` has case_id, from_id (a document) and v (the query's vector).
+    ``cases`` has case_id, from_id (a document) and v (the query's vector).  Where ``vectors`` (vec, v) are given, documents
+    and cases have the key vec instead of v, which travels in the vector's place.
     """
     total = sum(weights.values())
-    own = docs.select(F.col("doc_id").alias("from_id"), F.col("owner_id").alias("o0"), F.col("entities").alias("e0"), F.col("events").alias("n0"), F.col("evidence").alias("x0"), F.col("v").alias("v0"))
-    current = docs.join(cases.select(F.col("from_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    rows = navigation.frontier(docs, current, cap).join(cases.select("case_id", "from_id", F.col("v").alias("q")), "from_id").join(own, "from_id").join(docs, "doc_id").where("owner_id <> o0")
+    key = "v" if vectors is None else "vec"
+    docs = docs.select("doc_id", "owner_id", "entities", "events", "evidence", key)
+    current = written(inverted.only(docs, cases.select(F.col("from_id").alias("doc_id")), "doc_id").join(cases.select(F.col("from_id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "frontier-current")
+    edges = written(navigation.frontier(docs, current, cap).select("from_id", "doc_id"), "frontier-edges")
+    own = current.select(F.col("doc_id").alias("from_id"), F.col("owner_id").alias("o0"), F.col("entities").alias("e0"), F.col("events").alias("n0"), F.col("evidence").alias("x0"), F.col(key).alias("_k0"))
+    rows = inverted.only(docs, edges, "doc_id").withColumnRenamed(key, "_k1").join(edges, "doc_id")
+    rows = rows.join(own.join(cases.select("case_id", "from_id", F.col(key).alias("_kq")), "from_id"), "from_id").where("owner_id <> o0")
+    names = {"_kq": "q", "_k0": "v0", "_k1": "v"}
+    rows = rows.withColumnsRenamed(names) if vectors is None else lent(rows, vectors, **names)
     size = lambda f, a, b: F.size(f(a, b))
     structure = navigation.structural_confidence(*(size(F.array_intersect, a, b) for a, b in (("e0", "entities"), ("n0", "events"), ("x0", "evidence"))))
     fresh = navigation.novelty(*(size(F.array_except, a, b) for a, b in (("entities", "e0"), ("events", "n0"), ("evidence", "x0"))))

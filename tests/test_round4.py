@@ -29,3 +29,32 @@ def test_only_asked_lists_are_sent(spark, monkeypatch, few):
     order = ["from_id", "rank", "doc_id", "structural"]
     want = navigation.best(navigation.frontier(docs, current, None), ["from_id"], [F.desc("structural"), "doc_id"], 4)
     assert sorted(map(tuple, navigation.frontier(docs, current, 4, index).select(*order).collect())) == sorted(map(tuple, want.select(*order).collect()))
+
+
+def _with_vectors(spark):
+    docs = _documents(spark, 90).withColumn("events", F.coalesce("events", F.array())).withColumn("owner_id", F.concat(F.lit("o"), (F.col("doc_id") % 9).cast("string")))
+    vectors = spark.createDataFrame([(i, [1.0 + i % 3, float(i % 4), 0.5 * i]) for i in range(7)], "vec long, v array<double>")
+    return docs.withColumn("vec", F.col("doc_id") % 7), vectors
+
+
+def test_scores_with_lent_vectors(spark):
+    """Keys that travel in the place of vectors give what the vectors give, without a shuffled vector."""
+    from graphloom.operators import arms
+
+    docs, vectors = _with_vectors(spark)
+    case = lambda df, key: df.where("doc_id % 30 = 0").select(F.col("doc_id").alias("case_id"), F.col("doc_id").alias("from_id"), key)
+    weights, order = {"query": 0.5, "profile": 0.2, "structure": 0.15, "novelty": 0.15}, ["case_id", "rank", "doc_id", "score"]
+    lent = arms.frontier_scores(docs, case(docs, "vec"), weights, 4, vectors)
+    whole = docs.join(vectors, "vec").drop("vec")
+    assert sorted(map(tuple, lent.select(*order).collect())) == sorted(map(tuple, arms.frontier_scores(whole, case(whole, "v"), weights, 4).select(*order).collect()))
+
+
+def test_beams_with_lent_vectors(spark):
+    from graphloom.operators import navigation
+
+    docs, vectors = _with_vectors(spark)
+    whole = docs.join(vectors, "vec").drop("vec")
+    start = lambda df, key: df.where("doc_id % 30 = 0").select(F.col("doc_id").alias("query_id"), key)
+    seeds = docs.where("doc_id % 30 = 0").select(F.col("doc_id").alias("query_id"), "doc_id", F.lit(0.5).alias("score"))
+    run = lambda df, key, **more: sorted(map(tuple, navigation.navigate(df, start(df, key), seeds, 2, 2, 4, {"profile": 0.1}, **more).select("query_id", "depth", "rank", "doc_id", "score").collect()))
+    assert run(docs, "vec", vectors=vectors) == run(whole, "v")
