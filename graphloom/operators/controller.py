@@ -48,40 +48,74 @@ def transition_id(source: Column, target: Column) -> Column:
     return F.concat(F.lit("transition_"), F.substring(F.sha2(F.concat(source.cast("string"), F.lit("->"), target.cast("string")), 256), 1, 12))
 
 
-def frontiers(docs: DataFrame, states: DataFrame, cap: int, index: inverted.Lists | None = None) -> DataFrame:
+class _Known:
+    """Transitions of documents that were looked at: a document's are found once, whatever the number of looks."""
+
+    def __init__(self, docs: DataFrame, cap: int, index: inverted.Lists | None = None):
+        self.docs, self.cap, self.index = docs, cap, index or navigation.frontier_lists(docs, cap)
+        self.looked = self.edges = None
+
+    def among(self, asked: DataFrame) -> DataFrame:
+        """The documents with an id of ``asked``, picked out where they lie."""
+        return inverted.only(self.docs, asked, "doc_id").join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
+
+    def of(self, states: DataFrame) -> DataFrame:
+        """from_id, doc_id of all transitions from the states' documents, and maybe more."""
+        new = states.select("doc_id").where("doc_id IS NOT NULL").distinct()
+        new = written(new if self.looked is None else new.join(self.looked, "doc_id", "left_anti"), "controller-looked")
+        if self.edges is None or not new.isEmpty():
+            edges = written(navigation.frontier(self.docs, self.among(new), self.cap, self.index).select("from_id", "doc_id"), "controller-edges")
+            self.looked = new if self.looked is None else self.looked.unionByName(new)
+            self.edges = edges if self.edges is None else self.edges.unionByName(edges)
+        return self.edges
+
+    def neighboured(self, ids: DataFrame) -> DataFrame:
+        """The ids of documents that have a transition: a long key leads somewhere, the others are looked at."""
+        rows = written(inverted.only(self.index.docs, ids, "doc_id").join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", (F.size("codes") > 0).alias("_long")), "controller-ids")
+        sure, rest = rows.where("_long").select("doc_id"), rows.where("NOT _long").select("doc_id")
+        if rest.isEmpty():
+            return sure
+        return sure.unionByName(navigation.frontier(self.docs, self.among(rest), 1, self.index).select(F.col("from_id").alias("doc_id")))
+
+
+def frontiers(known: _Known, states: DataFrame) -> DataFrame:
     """query_id, frontier: transitions from each state's document to unvisited ones, in order of their ids.
 
     Evidence that was presented before, or by an earlier transition, is left out of ``fresh`` and counted in ``omitted``.
     """
-    own = docs.select(F.col("doc_id").alias("_from"), F.col("owner_id").alias("_owner"), F.col("entities").alias("_en"), F.col("events").alias("_ev"))
-    edges = navigation.frontier(docs, docs.join(states.select("doc_id").distinct(), "doc_id", "left_semi"), cap, index).select(F.col("from_id").alias("_from"), "doc_id")
-    rows = edges.join(states.select("query_id", F.col("doc_id").alias("_from"), "docs", "presented"), "_from").where(~F.array_contains("docs", F.col("doc_id")))
-    rows = rows.join(own, "_from").join(docs.select("doc_id", "owner_id", "entities", "events", "evidence"), "doc_id")
+    pairs = known.of(states).withColumnRenamed("from_id", "_from").join(states.select("query_id", F.col("doc_id").alias("_from"), "docs"), "_from").where(~F.array_contains("docs", F.col("doc_id")))
+    pairs = written(pairs.select("query_id", "_from", "doc_id"), "controller-pairs")
+    own = known.among(states).select(F.col("doc_id").alias("_from"), F.col("owner_id").alias("_owner"), F.col("entities").alias("_en"), F.col("events").alias("_ev"))
+    # what a question has seen joins last, once it is one row
+    rows = inverted.only(known.docs.select("doc_id", "owner_id", "entities", "events", "evidence"), pairs, "doc_id").join(pairs, "doc_id").join(own, "_from")
     step = F.struct(
         F.col("doc_id").alias("target"), transition_id(F.col("_from"), F.col("doc_id")).alias("id"), F.col("owner_id").alias("owner"), F.col("_owner").alias("source_owner"), F.array_sort(F.array_intersect("_en", "entities")).alias("shared_entities"),
         F.array_sort(F.array_intersect("_ev", "events")).alias("shared_events"), F.col("entities"), F.array_distinct("evidence").alias("evidence"),
     )
-    found = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(step)).alias("_f"), F.first("presented").alias("_seen"))  # ``cap`` rows of each question
+    found = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(step)).alias("_f"))  # ``cap`` rows of each question
+    found = found.join(states.select("query_id", F.col("presented").alias("_seen")), "query_id")
     before = lambda i: F.array_union("_seen", F.flatten(F.transform(F.slice("_f", F.lit(1), i), lambda t: t["evidence"])))
     shown = F.transform("_f", lambda t, i: t.withField("fresh", F.array_except(t["evidence"], before(i))).withField("omitted", F.size(F.array_intersect(t["evidence"], before(i)))))
     return found.select("query_id", shown.alias("frontier"))
 
 
-def _inspected(docs: DataFrame, states: DataFrame, cap: int, index: inverted.Lists | None = None) -> DataFrame:
+def _inspected(known: _Known, states: DataFrame) -> DataFrame:
     """States with their frontier looked at anew where ``look`` is set, and what it showed remembered."""
     looking = states.where("look AND stop IS NULL")
-    out = states.join(frontiers(docs, looking, cap, index).withColumnRenamed("frontier", "_new"), "query_id", "left")
+    out = states.join(frontiers(known, looking).withColumnRenamed("frontier", "_new"), "query_id", "left")
     empty = F.filter("frontier", lambda t: F.lit(False))
     out = out.withColumn("frontier", F.when(F.col("look"), F.coalesce("_new", empty)).otherwise(F.col("frontier")))
     shown = F.flatten(F.transform("frontier", lambda t: t["fresh"]))
     return out.withColumn("presented", F.when(F.col("look"), F.array_union("presented", shown)).otherwise(F.col("presented"))).drop("_new")
 
 
-def located(docs: DataFrame, questions: DataFrame, seeds: DataFrame, budget: Budget = Budget(), index: inverted.Lists | None = None) -> DataFrame:  # noqa: B008
+def located(docs: DataFrame, questions: DataFrame, seeds: DataFrame, budget: Budget = Budget(), known: _Known | None = None) -> DataFrame:  # noqa: B008
     """The first state of every question (query_id, query): at the best of its seeds (query_id, doc_id, score, owner_type), with its frontier."""
-    edges = navigation.frontier(docs, docs.join(seeds.select("doc_id").distinct(), "doc_id", "left_semi"), 1, index).select(F.col("from_id").alias("doc_id"))
-    best = retrieval.seed_with_frontier(seeds, seeds.join(edges, "doc_id", "left_semi")).select("query_id", "doc_id")
-    rows = questions.select("query_id", F.col("query").alias("subquery")).join(best, "query_id", "left").join(docs.select("doc_id", "owner_id", "entities", "evidence"), "doc_id", "left")
+    known = known or _Known(docs, budget.cap)
+    seeds = written(seeds, "controller-seeds")
+    best = retrieval.seed_with_frontier(seeds, seeds.join(known.neighboured(seeds), "doc_id", "left_semi")).select("query_id", "doc_id")
+    best = written(best, "controller-best")
+    rows = questions.select("query_id", F.col("query").alias("subquery")).join(best, "query_id", "left").join(known.among(best).select("doc_id", "owner_id", "entities", "evidence"), "doc_id", "left")
     none, void = F.expr(_NONE), F.lit(None).cast("string")
     ids = dict(docs.dtypes)["doc_id"]
     frontier = f"array<struct<target:{ids},id:string,owner:string,source_owner:string,shared_entities:array<string>,shared_events:array<string>,entities:array<string>,evidence:array<string>,fresh:array<string>,omitted:int>>"
@@ -91,7 +125,7 @@ def located(docs: DataFrame, questions: DataFrame, seeds: DataFrame, budget: Bud
         none.alias("transitions"), none.alias("presented"), F.array_distinct(F.coalesce("evidence", none)).alias("evidence"), F.lit(0).alias("depth"), F.lit(budget.calls).alias("calls"), F.lit(budget.expansions).alias("expansions"), void.alias("action"),
         F.lit(0.0).alias("confidence"), void.alias("answer"), F.when(F.col("doc_id").isNull(), STOPS["seed"]).alias("stop"), F.lit(True).alias("look"), F.expr(f"cast(array() as {frontier})").alias("frontier"), F.expr(f"cast(array() as {trace})").alias("trace"),
     )
-    return _inspected(docs, first, budget.cap, index)
+    return _inspected(known, written(first, "controller-first"))
 
 
 def _carried_out(states: DataFrame, decisions: DataFrame, turn: int) -> DataFrame:
@@ -118,10 +152,9 @@ def _carried_out(states: DataFrame, decisions: DataFrame, turn: int) -> DataFram
 
 
 def run(docs: DataFrame, questions: DataFrame, seeds: DataFrame, policy: Policy, budget: Budget = Budget()) -> DataFrame:  # noqa: B008
-    """The last state of every question; ``stop`` says why it ended."""
-    docs = written(docs, "controller-docs")
-    index = navigation.frontier_lists(docs, budget.cap)
-    now = written(located(docs, questions, seeds, budget, index), "controller")
+    """The last state of every question; ``stop`` says why it ended.  Documents are read at every turn: what is costly to make is written first."""
+    known = _Known(docs, budget.cap)
+    now = written(located(docs, questions, seeds, budget, known), "controller")
     done = now.where("stop IS NOT NULL")
     for turn in range(budget.calls + 1):
         spent = F.when(F.col("calls") <= 0, STOPS["calls"]).when(F.col("depth") >= budget.depth, STOPS["depth"])
@@ -131,7 +164,7 @@ def run(docs: DataFrame, questions: DataFrame, seeds: DataFrame, policy: Policy,
         if open_.isEmpty():
             break
         acted = written(_carried_out(open_, policy(open_, turn), turn), "controller-acted")
-        now = written(_inspected(docs, acted, budget.cap, index), "controller")
+        now = written(_inspected(known, acted), "controller")
         done = done.unionByName(now.where("stop IS NOT NULL"))
     return done
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.operators import controller, inverted
+from graphloom.operators.lineage import written
 from graphloom.plans.graph_queries import _KEYS, _semantic_docs
 from graphloom.plans.tables import Registry, table
 
@@ -67,7 +68,7 @@ arm AS MATERIALIZED (SELECT *, list_distinct(list_concat(list_transform(docs, la
 
 
 def _final(spark, d):
-    docs = _semantic_docs(spark, d).drop("v").withColumn("owner_type", F.when(F.col("doc_id") % 3 == 0, "pair").otherwise("entity"))
+    docs = written(_semantic_docs(spark, d).drop("v", "vec").withColumn("owner_type", F.when(F.col("doc_id") % 3 == 0, "pair").otherwise("entity")), "semantic-docs")
     ids = docs.select("doc_id")
     asked = ids.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id")).unionByName(ids.where("doc_id % 500 = 0").select((-F.col("doc_id") - 1).alias("query_id")))
     asked = asked.withColumn("kind", F.when(F.col("query_id") < 0, 0).otherwise(F.expr("cast((query_id div 50) % 6 as int)"))).withColumn("query", F.concat(F.lit("question "), F.col("query_id").cast("string")))
@@ -113,7 +114,7 @@ def dual_runtime(spark, d):
     terms = lines.join(asked, F.col("l_orderkey") == F.col("query_id"), "left_semi").groupBy(F.col("l_orderkey").alias("query_id")).agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
     # lines of one number and flag are one text; a struct sorts by its fields
     one = F.struct("doc_id", "l_orderkey", "l_returnflag").alias("doc_id")
-    texts = lines.groupBy(one).agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
+    texts = written(lines.groupBy(one).agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms")), "line-texts")
     hits = inverted.text_search(texts, terms, 5).select("query_id", "score", "doc_id.*")
     other, bad = F.col("l_orderkey") != F.col("query_id"), (F.col("l_returnflag") == "R") & (F.col("query_id") % 7 == 0)
     text = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.when(other, F.col("doc_id")))).alias("evidence"), F.max("score").alias("confidence"), F.collect_list(F.when(bad, F.col("doc_id"))).alias("contradictions"))

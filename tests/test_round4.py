@@ -58,3 +58,20 @@ def test_beams_with_lent_vectors(spark):
     seeds = docs.where("doc_id % 30 = 0").select(F.col("doc_id").alias("query_id"), "doc_id", F.lit(0.5).alias("score"))
     run = lambda df, key, **more: sorted(map(tuple, navigation.navigate(df, start(df, key), seeds, 2, 2, 4, {"profile": 0.1}, **more).select("query_id", "depth", "rank", "doc_id", "score").collect()))
     assert run(docs, "vec", vectors=vectors) == run(whole, "v")
+
+
+def test_a_document_is_looked_at_once(spark, monkeypatch):
+    """Repeated looks at one document find its transitions once."""
+    from graphloom.operators import controller, navigation
+
+    rows = [("d1", ["a", "b"], ["x"], ["p"]), ("d2", ["a"], ["x"], ["q"]), ("d3", ["b"], [], ["p", "r"])]
+    docs = spark.createDataFrame([(i, f"o{i}", "entity", *r) for i, *r in rows], "doc_id string, owner_id string, owner_type string, entities array<string>, events array<string>, evidence array<string>")
+    asked = spark.createDataFrame([(1, "what")], "query_id int, query string")
+    seeds = spark.createDataFrame([(1, "d1", 0.5, "entity")], "query_id int, doc_id string, score double, owner_type string")
+    script = [(1, 0, "inspect", None, None, None, 0.1, None), (1, 1, "reformulate", None, "other", None, 0.2, None), (1, 2, "answer", None, None, "yes", 0.9, None)]
+    policy = controller.scripted(spark.createDataFrame(script, "query_id int, turn int, action string, transitions array<string>, subquery string, summary string, confidence double, gap string"))
+    calls, plain = [], navigation.frontier
+    monkeypatch.setattr(navigation, "frontier", lambda *a: calls.append(a[2]) or plain(*a))
+    s = controller.run(docs, asked, seeds, policy).first()
+    assert (s["stop"], [f["target"] for f in s["frontier"]], [f["shared_entities"] for f in s["frontier"]]) == ("answer", ["d2", "d3"], [["a"], ["b"]])
+    assert calls.count(controller.Budget.cap) == 1
