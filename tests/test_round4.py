@@ -75,3 +75,18 @@ def test_a_document_is_looked_at_once(spark, monkeypatch):
     s = controller.run(docs, asked, seeds, policy).first()
     assert (s["stop"], [f["target"] for f in s["frontier"]], [f["shared_entities"] for f in s["frontier"]]) == ("answer", ["d2", "d3"], [["a"], ["b"]])
     assert calls.count(controller.Budget.cap) == 1
+
+
+def test_bits_part_most_pairs_and_no_similar_ones(spark):
+    """Bits rule out pairs that share a value or few, and never one that the sketches let pass."""
+    from graphloom.llm import neardup
+
+    r = random.Random(3)
+    base = sorted(r.sample(range(1 << 62), 64))
+    sketches = [base, sorted([*base[:50], *r.sample(range(1 << 62), 14)]), sorted([*base[:36], *r.sample(range(1 << 62), 28)]), *(sorted([*base[:2], *r.sample(range(1 << 62), 62)]) for _ in range(20)), base[:40], base[:33]]
+    nodes = spark.createDataFrame([(i, 100 if len(s) == 64 else len(s), s) for i, s in enumerate(sketches)], "node long, n long, sketch array<long>")
+    marks = nodes.mapInArrow(neardup._bits, "node long, n long, bits array<long>").join(nodes.select("node", "sketch"), "node")
+    side = lambda c: marks.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}"), F.col("sketch").alias(f"s{c}"))
+    pairs = side("a").join(side("b"), F.expr("a < b")).withColumn("may", neardup._may_be_allowed("ba", "bb", F.col("na"), F.col("nb"))).withColumn("ok", neardup._allowed(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb")))
+    found = pairs.agg(F.count_if("ok"), F.count_if(F.col("ok") & F.col("may")), F.count_if("may"), F.count(F.lit(1))).first()
+    assert found[0] == found[1] > 2 and found[2] < found[3] / 10
