@@ -90,3 +90,30 @@ def test_bits_part_most_pairs_and_no_similar_ones(spark):
     pairs = side("a").join(side("b"), F.expr("a < b")).withColumn("may", neardup._may_be_allowed("ba", "bb", F.col("na"), F.col("nb"))).withColumn("ok", neardup._allowed(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb")))
     found = pairs.agg(F.count_if("ok"), F.count_if(F.col("ok") & F.col("may")), F.count_if("may"), F.count(F.lit(1))).first()
     assert found[0] == found[1] > 2 and found[2] < found[3] / 10
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_shortest_paths_send_reached_nodes_or_their_edges(spark, monkeypatch, few):
+    """Repeated edges and more sources than a word has bits, by either way, against a plain search."""
+    from graphloom.operators import navigation
+
+    monkeypatch.setattr(navigation, "FEW_REACHED", few)
+    r = random.Random(2)
+    edges = [(f"n{r.randrange(120)}", f"n{r.randrange(120)}") for _ in range(150)] * 2 + [("n1", None)]
+    near = {}
+    for a, b in edges:
+        if b is not None:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = set()
+    for source in (f"n{i}" for i in range(0, 120, 1)):
+        seen = now = {source}
+        for hop in range(1, 4):
+            now = {b for a in now for b in near.get(a, ())} - seen
+            seen = seen | now
+            want |= {(source, b, hop) for b in now if b.endswith("0")}
+    e = spark.createDataFrame(edges, "a string, b string")
+    s = spark.createDataFrame([(f"n{i}",) for i in range(120)], "source string")
+    t = spark.createDataFrame([(f"n{i}",) for i in range(0, 120, 10)], "target string")
+    got = navigation.shortest_paths(e, s, t, 3)
+    assert sorted(map(tuple, got.select("source", "target", "hops").collect())) == sorted(want)
