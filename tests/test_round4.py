@@ -117,3 +117,20 @@ def test_shortest_paths_send_reached_nodes_or_their_edges(spark, monkeypatch, fe
     t = spark.createDataFrame([(f"n{i}",) for i in range(0, 120, 10)], "target string")
     got = navigation.shortest_paths(e, s, t, 3)
     assert sorted(map(tuple, got.select("source", "target", "hops").collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("most", [2, 10**6])
+def test_pair_counts_by_bounded_tasks(spark, monkeypatch, most):
+    """A source with many pairs is dealt by target; counts are those of the pairs' events."""
+    from graphloom.operators import graph
+
+    r = random.Random(4)
+    roles = ["agent", "patient", "location", None]
+    rows = [(r.randrange(30) if i else None, str(i), f"x{r.randrange(12)}" if i % 9 else None, "s", r.choice(roles)) for i in range(200)]
+    a = spark.createDataFrame(rows, "event_id long, argument_id string, entity_id string, surface string, role string")
+    order = ["source", "target", "shared", "forward", "backward"]
+    monkeypatch.setattr(graph, "TASK_PAIRS", most)
+    got = graph.pair_snapshots(a, events=False)
+    # every task counts about so many pairs
+    assert got.rdd.getNumPartitions() >= graph.pair_events(a).count() // most
+    assert sorted(map(tuple, got.select(*order).collect())) == sorted(map(tuple, graph.pair_snapshots(a).select(*order).collect()))
