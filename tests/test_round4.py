@@ -134,3 +134,27 @@ def test_pair_counts_by_bounded_tasks(spark, monkeypatch, most):
     # every task counts about so many pairs
     assert got.rdd.getNumPartitions() >= graph.pair_events(a).count() // most
     assert sorted(map(tuple, got.select(*order).collect())) == sorted(map(tuple, graph.pair_snapshots(a).select(*order).collect()))
+
+
+def test_every_byte_is_one_of_its_own(spark):
+    """With more bytes than symbols, rare and unseen ones differ, and the chances of all bytes are no more than one."""
+    import numpy as np
+
+    from graphloom.llm import quality
+
+    letters = [chr(c) for c in range(33, 123)]
+    texts = [("".join(letters[:55]) * 3 + f"ab{letters[60 + i % 30]}",) for i in range(40)]
+    model = quality.fit(spark.createDataFrame([*texts, ("ab" + letters[70],)] * 3, "text string"))
+    lines = spark.createDataFrame([(f"zzab{letters[70]}",), (f"zzab{letters[88]}",), ("zzab~",), ("zzab\u007f",), ("zzab\x01",)], "text string")
+    got = [r[quality._BITS] for r in quality.scored(lines, model).collect()]
+    # the one that was seen most, one that was seen, and ones that were not
+    assert got[0] < got[1] < min(got[2:])
+    table = quality.dense(model)
+
+    def bits(raw: bytes) -> float:
+        data = np.frombuffer(raw, dtype=np.uint8)
+        return float(table[quality._grams(data, np.array([0, len(data)]), model["symbols"])[0]].sum())
+
+    for head in (b"", b"ab", bytes([200, 7])):
+        assert 0.8 < sum(2.0 ** (bits(head) - bits(head + bytes([b]))) for b in range(256)) <= 1.0001
+    assert len({tuple(model["symbols"][:, b]) for b in range(256)}) == 256
