@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import vector
 from graphloom.operators import graph
 from graphloom.operators.lineage import cut
 
@@ -21,8 +22,8 @@ SPREADING = (SHARED, NO_EDGES, SHUFFLED, MASKED)
 EDGE_MODES = (QUERY, SHARED, SHUFFLED, MASKED, RECURSIVE)
 
 
-def verified_in(mode: str) -> Column:
-    return (F.size("evidence") > 0) & ((F.size("modes") == 0) | F.array_contains("modes", mode))
+def verified_in(mode: str, evidence: Column | str = "evidence", modes: Column | str = "modes") -> Column:
+    return (F.size(evidence) > 0) & ((F.size(modes) == 0) | F.array_contains(modes, mode))
 
 
 def modes_by_position(pos: Column, count: Column, degree: Column) -> Column:
@@ -98,7 +99,11 @@ def audit_all(claims: DataFrame, subclaims: DataFrame, edges: DataFrame, modes:
     rows = claims.join(counts, "claim", "left").join(things, "claim", "left").join(crossing, "claim", "left").fillna(0, ["total", *(f"{x}_{m}" for m in modes for x in "vfr"), *(f"e_{m}" for m in crossed)])
     zero = F.lit(0).cast("long")
     each = lambda m: F.struct(F.lit(m).alias("mode"), F.col(f"v_{m}").alias("verified"), (zero if m == FLAT else F.col(f"f_{m}")).alias("shared_facts"), F.col(f"r_{m}").alias("reused"), (F.col(f"e_{m}") if m in crossed else zero).alias("edges"))
-    rows = rows.select("claim", "contradictions", "tokens", "total", F.inline(F.array(*per(each))))
+    return _outcomes(rows.select("claim", "contradictions", "tokens", "total", F.inline(F.array(*per(each)))))
+
+
+def _outcomes(rows: DataFrame) -> DataFrame:
+    """Rows of a claim and mode (total, verified, shared_facts, reused, edges) with what follows from them."""
     complete = (F.col("total") > 0) & (F.col("verified") == F.col("total"))
     used = (F.col("mode") != FLAT) & ((F.col("shared_facts") > 0) | (F.col("edges") > 0))
     recall = F.when(F.col("total") > 0, F.col("verified") / F.col("total")).otherwise(1.0)
@@ -110,6 +115,68 @@ def audit_all(claims: DataFrame, subclaims: DataFrame, edges: DataFrame, modes:
     )
 
 
+#: Subclaims of a claim whose audit is made in its row.
+ROW_SUBCLAIMS = 64
+
+
+def _reached(mode: str) -> Column:
+    """Names of the open subclaims that evidence reaches, in a claim's row: a step for each subclaim is enough."""
+    some = lambda c: F.coalesce(c, F.lit(False))
+    kept = lambda s: ~s["last"] if mode == MASKED else F.lit(True)
+    ends = lambda e, c: F.filter("subs", lambda s: some(s["has"] & (s["sub"] == e[c]) & F.array_contains(s["facts"], e["fact"]) & kept(s)))
+    is_open = lambda s: some(s["allowed"]) & ~some(s["seed"])
+    pairs = F.transform("shuffled" if mode == SHUFFLED else "edges", lambda e: F.struct(e["source"].alias("source"), e["target"].alias("target"), ends(e, "source").alias("s"), ends(e, "target").alias("t")))
+    pairs = F.transform(F.filter(pairs, lambda p: (F.size(p["s"]) > 0) & (F.size(p["t"]) > 0)), lambda p: F.struct(p["source"].alias("source"), p["target"].alias("target"), *(F.exists(p[c], test).alias(c + n) for c in "st" for n, test in (("s", lambda x: some(x["seed"])), ("o", is_open)))))
+
+    def spread(good: Column) -> Column:
+        names = lambda test, c: F.transform(F.filter(good, test), lambda p: p[c])
+        first = F.array_distinct(F.concat(names(lambda p: p["ss"] & p["to"], "target"), names(lambda p: p["ts"] & p["so"], "source")))
+        on = lambda known, c: lambda p: p["so"] & p["to"] & F.array_contains(known, p[c])
+        steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("subs")))
+        further = F.aggregate(steps, first, lambda known, _: F.array_union(known, F.concat(names(on(known, "source"), "target"), names(on(known, "target"), "source"))))
+        return F.when(F.exists(good, lambda p: p["so"] & p["to"]), further).otherwise(first)
+
+    return vector.let(pairs, spread)
+
+
+def audit_rows(rows: DataFrame, modes: tuple[str, ...] = MODES) -> DataFrame:
+    """``audit_all`` of claims that are a row each, made where the row lies.
+
+    ``rows``: claim, contradictions, tokens, subs (pos, sub, evidence, facts, modes) and edges (pos, edge_id, source, target,
+    fact), arrays of a bounded number of subclaims.
+    """
+    some = lambda c: F.coalesce(c, F.lit(False))
+    latest = F.array_max(F.transform("subs", lambda s: s["pos"]))
+    marks = lambda s: (some(s["pos"] == F.col("_latest")).alias("last"), (F.size(s["evidence"]) > 0).alias("has"), *(some(verified_in(m, s["evidence"], s["modes"])).alias(n) for m, n in ((QUERY, "seed"), (SHARED, "allowed"), (FLAT, "flat"), (PROJECTION, "projection"), (RECURSIVE, "recursive"))))
+    ordered = F.array_sort(F.transform("edges", lambda e: F.struct(*(e[c].alias(c) for c in ("pos", "edge_id", "source", "target", "fact")))))
+    turned = F.transform("_ordered", lambda e, i: F.struct(e["source"].alias("source"), F.coalesce(F.get("_ordered", i + 1)["target"], F.get("_ordered", F.lit(0))["target"]).alias("target"), F.concat(e["fact"], F.lit(":shuffled")).alias("fact")))
+    rows = rows.withColumn("_latest", latest).withColumn("subs", F.transform("subs", lambda s: F.struct(*(s[c].alias(c) for c in ("sub", "evidence", "facts")), *marks(s))))
+    rows = rows.withColumn("_ordered", ordered).withColumn("shuffled", turned).drop("_ordered", "_latest")
+    spreading = tuple(m for m in modes if m in SPREADING and m != NO_EDGES)
+    rows = rows.withColumns({f"_{m}": _reached(m) for m in spreading})
+    found = {FLAT: "flat", PROJECTION: "projection", RECURSIVE: "recursive"}
+
+    def told(m: str) -> Column:
+        """A mode's numbers of a claim."""
+        own = lambda s: s[found.get(m, "seed")] | some(F.array_contains(f"_{m}", s["sub"])) if m in spreading else s[found.get(m, "seed")]
+        verified = F.filter("subs", lambda s: own(s) & ~s["last"] if m == MASKED else own(s))
+
+        def numbers(ok: Column) -> Column:
+            whole = lambda c: F.flatten(F.transform(F.filter(ok, lambda s: s["facts"].isNotNull() & s["evidence"].isNotNull()), lambda s: s[c]))
+            # of a sorted list, a value's second place tells that it is shared
+            again = lambda x: F.size(F.filter(F.transform(x, lambda v, i: (i > 0) & F.get(x, i - 1).eqNullSafe(v) & ((i < 2) | ~F.get(x, i - 2).eqNullSafe(v))), lambda y: y))
+            here = lambda name: F.size(F.filter(ok, lambda s: some(s["sub"] == name)))
+            across = F.aggregate("shuffled" if m == SHUFFLED else "edges", F.lit(0).cast("long"), lambda t, e: t + here(e["source"]) * here(e["target"]))
+            return F.struct(
+                F.lit(m).alias("mode"), F.size(ok).cast("long").alias("verified"), (F.lit(0) if m == FLAT else vector.let(F.array_sort(whole("facts")), again)).cast("long").alias("shared_facts"),
+                vector.let(whole("evidence"), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("reused"), (across if m in EDGE_MODES else F.lit(0)).cast("long").alias("edges"),
+            )
+
+        return vector.let(verified, numbers)
+
+    return _outcomes(rows.select("claim", "contradictions", "tokens", F.size("subs").cast("long").alias("total"), F.inline(F.array(*(told(m) for m in modes)))))
+
+
 def pivoted_scores(audits: DataFrame) -> DataFrame:
     """Long form: claim, mode, score_name, score_value."""
     scores = F.array(*(F.struct(F.lit(c).alias("score_name"), F.col(c).cast("double").alias("score_value")) for c in ("recall", "complete", "shared_facts", "reused", "edges", "contributed", "answered_by_path", "per_10k_tokens")))
