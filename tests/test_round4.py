@@ -158,3 +158,42 @@ def test_every_byte_is_one_of_its_own(spark):
     for head in (b"", b"ab", bytes([200, 7])):
         assert 0.8 < sum(2.0 ** (bits(head) - bits(head + bytes([b]))) for b in range(256)) <= 1.0001
     assert len({tuple(model["symbols"][:, b]) for b in range(256)}) == 256
+
+
+def _audit_tables(spark):
+    r = random.Random(6)
+    subs, edges = [], []
+    for c in range(40):
+        n = r.randrange(1, 7)
+        for i in range(n):
+            modes = r.choice([[], ["graph_shared_evidence"], ["graph_shared_evidence", "graph_query_verification"], ["flat_subclaim_verification"], ["other"]])
+            subs.append((c, i, f"s{i}", r.choice([[], ["e1"], ["e1", "e2"], [f"e{i}"]]), r.choice([["f1", "f2"], ["f1", "f1", None], [f"f{i % 2}", "f1", "f1:shuffled"], []]), modes))
+        edges += [(c, p, f"x{p}", f"s{r.randrange(n)}", f"s{r.randrange(n + 1)}", r.choice(["f1", "f2", "f1", "f1"])) for p in range(r.randrange(14))]
+    s = spark.createDataFrame(subs, "claim long, pos int, sub string, evidence array<string>, facts array<string>, modes array<string>")
+    e = spark.createDataFrame(edges, "claim long, pos int, edge_id string, source string, target string, fact string")
+    return spark.createDataFrame([(c, c % 2, 10 * c) for c in range(42)], "claim long, contradictions int, tokens long"), s, e
+
+
+def test_audits_in_rows(spark):
+    """A claim's row gives what joins over all claims give: chains, masked and shuffled edges, repeated and null facts."""
+    from graphloom.operators import audit
+
+    claims, subs, edges = _audit_tables(spark)
+    gathered = lambda t, name: t.groupBy("claim").agg(F.collect_list(F.struct(*(c for c in t.columns if c != "claim"))).alias(name))
+    rows = claims.join(gathered(subs, "subs"), "claim", "left").join(gathered(edges, "edges"), "claim", "left").withColumns({c: F.coalesce(c, F.array()) for c in ("subs", "edges")})
+    order = ["claim", "mode", "total", "verified", "shared_facts", "reused", "edges", "contributed", "outcome", "answered_by_path", "recall", "complete"]
+    got = audit.audit_rows(rows).select(*order).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, audit.audit_all(claims, subs, edges).select(*order).collect()))
+    by = {m: sum(x["verified"] for x in got if x["mode"] == m) for m in audit.MODES}
+    assert by[audit.SHARED] > by[audit.QUERY] > 0 and by[audit.MASKED] > 0
+
+
+def test_audits_of_large_claims_go_by_joins(spark, monkeypatch):
+    from graphloom.operators import audit
+    from graphloom.plans import state_queries
+
+    order = ["claim", "mode", "total", "verified", "shared_facts", "edges", "outcome"]
+    run = lambda: sorted(map(tuple, state_queries._audits(spark, "/root/testdata/sf0.001").select(*order).collect()))
+    whole = run()
+    monkeypatch.setattr(audit, "ROW_SUBCLAIMS", 3)
+    assert run() == whole
