@@ -109,19 +109,24 @@ def patch(draft: dict[str, DataFrame], decisions: DataFrame, chunks: DataFrame,
     stored ones (document_id, entity_id, canonical_name, entity_type, aliases).
     """
     wanted = lambda *parts: want is None or not set(parts).isdisjoint(want)
-    raw = draft["mentions"].withColumn("mention_id", mention_id(F.col("chunk_id"), F.col("mention_key"))).join(chunks.select("chunk_id", "document_id", "index"), "chunk_id")
+    named = F.col("decision").isin(CREATE, LINK)
+    # what travels by mention is what the wanted parts are made of: without hypotheses, only decisions that name an entity
+    spans = ("start", "end", "type") if wanted("mentions") else ()
+    raw = draft["mentions"].select(mention_id(F.col("chunk_id"), F.col("mention_key")).alias("mention_id"), "chunk_id", "n", "text", *spans).join(chunks.select("chunk_id", "document_id", "index"), "chunk_id")
     said = decisions.drop("document_id").withColumnRenamed("confidence", "sure")
+    if not wanted("hypotheses"):
+        named_by = ("canonical_name", "entity_type", "alias_to_add") if wanted("entities") else ()
+        said = said.where(named).select("mention_id", "decision", "entity_id", *named_by)
     rows = raw.join(said, "mention_id")
     if wanted("hypotheses", "mentions", "entities", "observations"):
         rows = written(rows, "patch-rows")
     strange = decisions.join(raw.select("mention_id"), "mention_id", "left_anti").select(F.col("mention_id").alias("row"), F.lit("decision on an unknown mention").alias("fault"))
-    named = F.col("decision").isin(CREATE, LINK)
-    hypotheses = rows.select(
+    hypotheses = rows if not wanted("hypotheses") else rows.select(
         ids.joined_id("rh", F.lit(run), F.col("mention_id"), F.coalesce("entity_id", F.lit(""))).alias("hypothesis_id"), "mention_id", F.when(F.col("decision") == CREATE, "mention_to_new_entity").when(F.col("decision") == LINK, "mention_to_known_entity").otherwise("unresolved").alias("hypothesis_type"), F.when(named, F.col("entity_id")).alias("final_entity_id"),
         F.when(named, F.col("decision")).otherwise(KEEP).alias("entity_creation_decision"), "status", F.when(F.size("candidates") > 0, F.col("candidates")).when(named, F.array("entity_id")).otherwise(F.expr("cast(array() as array<string>)")).alias("candidates"), F.col("sure").alias("confidence"), F.lit(STAGE).alias("decision_stage"), F.lit(AUTHORITY).alias("authority"), named.alias("is_terminal"), "reason",
     )
     resolved = rows.where(named)
-    mentions = resolved.select(F.concat("mention_id", F.lit("_resolved")).alias("mention_id"), "chunk_id", "text", "start", "end", "entity_id", F.when(F.col("type") == "pronoun", "pronoun").otherwise("nominal").alias("reference_type"))
+    mentions = resolved if not wanted("mentions") else resolved.select(F.concat("mention_id", F.lit("_resolved")).alias("mention_id"), "chunk_id", "text", "start", "end", "entity_id", F.when(F.col("type") == "pronoun", "pronoun").otherwise("nominal").alias("reference_type"))
     arguments = draft["arguments"].withColumn("mention_id", mention_id(F.col("chunk_id"), F.col("mention_key"))).join(said.select("mention_id", "decision", "entity_id"), "mention_id", "left")
     entity = F.when(named, F.col("entity_id"))
     key = lambda c: F.concat(F.col("chunk_id").cast("string"), F.lit("_"), c)
@@ -134,7 +139,7 @@ def patch(draft: dict[str, DataFrame], decisions: DataFrame, chunks: DataFrame,
         arguments = written(arguments, "patch-arguments")
     open_ = arguments.where("grounding = 'entity_expected' AND resolution_status <> 'resolved'").select("event_id").distinct().withColumn("_open", F.lit(True))
     events = draft["events"].withColumn("event_id", key(F.col("event_key"))).join(open_, "event_id", "left").select("event_id", "chunk_id", "predicate", "normalized", "event_type", key(F.col("evidence_key")).alias("span_id"), "evidence", "start", "end", F.when(F.col("_open"), "partial").otherwise("complete").alias("resolution_status"), F.lit("valid").alias("materialization_status"), "confidence")
-    seen = resolved.select("entity_id", "document_id", F.struct("index", "n").alias("at"), "chunk_id", "mention_id", F.col("text").alias("surface"), "decision", "canonical_name", "entity_type", "alias_to_add")
+    seen = resolved.select("entity_id", "document_id", F.struct("index", "n").alias("at"), "chunk_id", "mention_id", F.col("text").alias("surface"), "decision", *(("canonical_name", "entity_type", "alias_to_add") if wanted("entities") else ()))
     observations = seen.select("entity_id", F.row_number().over(Window.partitionBy("entity_id").orderBy("at", "mention_id")).alias("position"), "document_id", "chunk_id", "mention_id", "surface", "decision")
     made = {"hypotheses": hypotheses, "mentions": mentions, "arguments": arguments, "events": events, "observations": observations, "faults": strange}
     if wanted("entities"):

@@ -197,3 +197,25 @@ def test_audits_of_large_claims_go_by_joins(spark, monkeypatch):
     whole = run()
     monkeypatch.setattr(audit, "ROW_SUBCLAIMS", 3)
     assert run() == whole
+
+
+def test_a_patch_sends_what_is_wanted(spark, monkeypatch):
+    """Without hypotheses, only decisions that name an entity travel, without their reasons; the parts stay the same."""
+    from graphloom.operators import assembly
+
+    mentions = spark.createDataFrame([(1, "m1", 1, "Ann"), (1, "m2", 2, "Bob"), (1, "m3", 3, "it")], "chunk_id long, mention_key string, n int, text string").selectExpr("*", "0 AS start", "1 AS end", "'named' AS type", "'x' AS kind", "0.9 AS confidence")
+    arguments = spark.createDataFrame([(1, 1, 0, "m1"), (1, 1, 1, "m3")], "chunk_id long, e int, a int, mention_key string").selectExpr("*", "'agent' AS role", "'s' AS surface", "0 AS start", "1 AS end", "'entity_expected' AS grounding", "0.9 AS confidence")
+    events = spark.createDataFrame([(1, "ev1", "s1", 1)], "chunk_id long, event_key string, evidence_key string, e int").selectExpr("*", "'p' AS predicate", "'p' AS normalized", "'t' AS event_type", "'v' AS evidence", "0 AS start", "1 AS end", "0.8 AS confidence")
+    chunks = spark.createDataFrame([(1, 7, 0)], "chunk_id long, document_id long, index int")
+    said = [("1_m1", "create_entity", "eA", "Ann", None), ("1_m2", "link_to_existing", "eB", "Bob", "Bobby"), ("1_m3", "mention_only_allowed", None, None, None)]
+    decisions = spark.createDataFrame(said, "mention_id string, decision string, entity_id string, canonical_name string, alias_to_add string").selectExpr("*", "7L AS document_id", "'person' AS entity_type", "0.8 AS confidence", "'confirmed' AS status", "CAST(array() AS array<string>) AS candidates", "'by rule' AS reason")
+    stored = spark.createDataFrame([(7, "eB", "Bob", "person", ["Rob"])], "document_id long, entity_id string, canonical_name string, entity_type string, aliases array<string>")
+    draft = {"mentions": mentions, "arguments": arguments, "events": events}
+    every = assembly.patch(draft, decisions, chunks, stored, "run")
+    kept, plain = {}, assembly.written
+    monkeypatch.setattr(assembly, "written", lambda df, name: kept.setdefault(name, df) is None or plain(df, name))
+    for want in (("entities", "observations"), ("events", "arguments"), ("mentions",)):
+        some = assembly.patch(draft, decisions, chunks, stored, "run", want)
+        for part in want:
+            assert sorted(map(str, some[part].collect())) == sorted(map(str, every[part].collect())), part
+    assert kept["patch-rows"].count() == 2 and not {"reason", "status", "candidates"} & set(kept["patch-rows"].columns)
