@@ -219,3 +219,17 @@ def test_a_patch_sends_what_is_wanted(spark, monkeypatch):
         for part in want:
             assert sorted(map(str, some[part].collect())) == sorted(map(str, every[part].collect())), part
     assert kept["patch-rows"].count() == 2 and not {"reason", "status", "candidates"} & set(kept["patch-rows"].columns)
+
+
+def test_text_search_sends_asked_lists(spark):
+    """Ids of several fields, a common word and few questions: what is found is that of all pairs, what is sent is little."""
+    from graphloom.operators import inverted, retrieval
+
+    docs = spark.createDataFrame([((f"c{i}", i), ["all", f"w{i % 90}", f"r{i}"]) for i in range(600)], "doc_id struct<chunk:string,n:long>, terms array<string>")
+    queries = spark.createDataFrame([(1, ["all", "w5"]), (2, ["r7", "none"])], "query_id long, terms array<string>")
+    order = ["query_id", "rank", "doc_id", "overlap", "score"]
+    plain = lambda f: sorted(map(str, f(docs, queries, 5).select(*order).collect()))
+    assert plain(inverted.text_search) == plain(retrieval.text_search)
+    rows = lambda df, own: df.select(own, F.transform("terms", lambda t: F.struct(t.alias("key"), F.lit(1).alias("weight"))).alias("postings"))
+    index = inverted.lists(rows(docs, "doc_id"), 5)
+    assert inverted._asked_lists(index, index.marked(inverted._gathered(rows(queries, "query_id"), "query_id"), "query_id"))[0].count() < 200
